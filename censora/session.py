@@ -1,4 +1,4 @@
-"""Session settings and the few helpers that look at the session: shared scratch folder, lineage cuts, checked broadcast."""
+"""Session settings and the few helpers that look at the session: shared scratch folder and lineage cuts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job relies on. Partition counts are left to the cluster: AQE coalesces and splits from what it measures.
 SETTINGS = {
@@ -55,12 +54,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when a bounded probe proves that ``df`` has at most ``max_rows`` rows.
-
-    Beyond the bound the frame comes back unhinted and the join is planned as a shuffle with AQE skew handling.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
