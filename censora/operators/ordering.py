@@ -151,19 +151,19 @@ def ranked(df: DataFrame, value: str, tie_break: Sequence[str], blocks: int = BL
     Adds ``rank`` (ties share it), ``percent_rank`` (smallest first, 0..1), ``position`` (ties in ``tie_break`` order) and
     ``prev_value`` (the value of the row one position above; NULL for the first).
     """
-    flipped = df.withColumn("flipped", -F.col(value))
-    ladder = value_ladder(flipped, [], "flipped", blocks).select(
-        F.col("value").alias("ladder_value"), "copies", "below", "n", "previous"
+    flipped = df.withColumn("_flipped", -F.col(value))
+    ladder = value_ladder(flipped, [], "_flipped", blocks).select(
+        *[F.col(c).alias(f"_{c}") for c in ("value", "copies", "below", "n", "previous")]
     )
-    within = W.partitionBy("flipped").orderBy(*tie_break)
-    joined = flipped.join(ladder, F.col("flipped") == F.col("ladder_value")).withColumn("seat", F.row_number().over(within))
-    above = F.col("n") - F.col("below") - F.col("copies")  # rows with a smaller value
+    within = W.partitionBy("_flipped").orderBy(*tie_break)
+    joined = flipped.join(ladder, F.col("_flipped") == F.col("_value")).withColumn("_seat", F.row_number().over(within))
+    smaller = F.col("_n") - F.col("_below") - F.col("_copies")
     return (
-        joined.withColumn("rank", F.col("below") + 1)
-        .withColumn("position", F.col("below") + F.col("seat"))
-        .withColumn("percent_rank", F.when(F.col("n") > 1, above / (F.col("n") - 1)).otherwise(F.lit(0.0)))
-        .withColumn("prev_value", F.when(F.col("seat") > 1, F.col(value)).otherwise(-F.col("previous")))
-        .drop("flipped", "ladder_value", "copies", "below", "n", "previous", "seat")
+        joined.withColumn("rank", F.col("_below") + 1)
+        .withColumn("position", F.col("_below") + F.col("_seat"))
+        .withColumn("percent_rank", F.when(F.col("_n") > 1, smaller / (F.col("_n") - 1)).otherwise(F.lit(0.0)))
+        .withColumn("prev_value", F.when(F.col("_seat") > 1, F.col(value)).otherwise(-F.col("_previous")))
+        .select(*df.columns, "rank", "position", "percent_rank", "prev_value")
     )
 
 
