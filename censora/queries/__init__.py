@@ -40,7 +40,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        setattr(self, name, frame)
+        return frame
 
 
 @dataclass(frozen=True)
