@@ -170,6 +170,16 @@ def worst_gap_at(summaries: DataFrame, start: Column, end: Column) -> DataFrame:
     return worst.select(*KEYS, F.when(F.col("covered") > 0, F.greatest("gap", _ms(end) - _ms("last"))).alias("worst_ms"))
 
 
+def _sliding_hour(rows: DataFrame, along, columns: Sequence[str]) -> DataFrame:
+    """Maximum of each column over the 60 rows that end at the current one, by doubling: 1, 2, 4 … 32 rows, then 32 + 28.
+
+    A sliding frame would look at 60 rows for every row; this takes six look-backs of one row.
+    """
+    for back in (1, 2, 4, 8, 16, WINDOW_MIN - 32):
+        rows = rows.withColumns({c: F.greatest(c, F.lag(c, back).over(along)) for c in columns})
+    return rows
+
+
 def classes_by_minute(
     summaries: DataFrame, data: DataFrame, checks: DataFrame, start: Column, end: Column
 ) -> DataFrame:
@@ -177,57 +187,65 @@ def classes_by_minute(
 
     ``data(system, datum, source_kind, source_clock_ms, declared_latency_ms, via, check_url)`` declares the data;
     ``checks(system, datum, at, result)`` are the comparisons with the public face. Each datum is laid on the calendar of
-    minutes and every rule is a running or sliding aggregate along it: partitions are as long as the evaluated span.
+    minutes, from its first stored summary on, and every rule is a running aggregate or a look-back along it: partitions
+    are as long as the calendar, whatever the number of refreshes.
     """
-    grid = data.withColumn("minute", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MINUTE"))))
     buckets = summaries.where((F.col("on_time") == 1) & (F.col("minute") < end)).select(
-        *KEYS, "minute", "first", "last", "max_gap_ms", "events", "source_latency_max_ms", "deliveries", "delivery_latency_max_ms"
-    )
-    # What happened before the calendar starts only matters through the last summary: keep its minutes as extra rows.
-    early = buckets.where(F.col("minute") < start).join(data, KEYS).withColumn("extra", F.lit(True))
-    rows = grid.join(buckets, [*KEYS, "minute"], "left").unionByName(early, allowMissingColumns=True)
-    number = F.floor(F.unix_seconds("minute") / 60)
+        *KEYS,
+        F.floor(F.unix_seconds("minute") / 60).alias("t"),
+        _ms("first").alias("first_ms"),
+        _ms("last").alias("last_ms"),
+        "max_gap_ms",
+        F.when(F.col("deliveries") > 0, F.col("delivery_latency_max_ms")).alias("delivered"),
+        F.when(F.col("events") > 0, F.col("source_latency_max_ms")).alias("observed"),
+    )
+    first = F.floor(F.unix_seconds(start) / 60)
+    stored = F.coalesce(buckets.agg(F.min("t").alias("t")).scalar(), first)
+    calendar = F.sequence(F.least(first, stored), F.floor(F.unix_seconds(end) / 60))
+    grid = data.select(*KEYS).withColumn("t", F.explode(calendar))
+    rows = grid.join(buckets, [*KEYS, "t"], "left").join(failing_checks(checks), [*KEYS, "t"], "left")
     along = W.partitionBy(*KEYS).orderBy("t")
-    past = along.rangeBetween(W.unboundedPreceding, -1)
-    hour_before, hour_ending = along.rangeBetween(-WINDOW_MIN, -1), along.rangeBetween(-(WINDOW_MIN - 1), 0)
-    delivered = F.when((F.col("deliveries") > 0), F.col("delivery_latency_max_ms"))
-    observed = F.when((F.col("events") > 0), F.col("source_latency_max_ms"))
+    past = along.rowsBetween(W.unboundedPreceding, -1)
     rows = (
-        rows.withColumn("t", number)
-        .withColumn("prev_last", F.last(_ms("last"), ignorenulls=True).over(past))
-        .withColumn("gap", F.greatest(_ms("first") - F.col("prev_last"), F.col("max_gap_ms")))
-        .withColumn("push_hour", F.when(delivered.isNotNull(), F.max(delivered).over(hour_ending)))
-        .withColumn("push_source", F.when(delivered.isNotNull(), F.struct(F.max(observed).over(hour_ending).alias("ms"))))
+        rows.withColumn("prev_last", F.last("last_ms", ignorenulls=True).over(past))
+        .withColumn("first_t", F.min(F.when(F.col("first_ms").isNotNull(), F.col("t"))).over(past))
+        .withColumn("failing", F.coalesce(F.last("failing", ignorenulls=True).over(along), F.lit(False)))
+        .withColumn("gap", F.greatest(F.col("first_ms") - F.col("prev_last"), F.col("max_gap_ms")))
+        .withColumn("delivers", F.col("delivered").isNotNull())
+        .drop("first_ms", "last_ms", "max_gap_ms")
     )
+    rows = _sliding_hour(rows, along, ["gap", "delivered", "observed"])
+    # Without deliveries in the hour, the last hour that had some counts, with the source latencies of that hour.
+    hour = F.when(F.col("delivers"), F.struct("delivered", "observed"))
     rows = rows.withColumns(
         {
-            "covered": F.count("first").over(along.rangeBetween(W.unboundedPreceding, -WINDOW_MIN - 1)) > 0,
-            "poll_ms": F.greatest(F.max("gap").over(hour_before), F.col("t") * 60_000 - F.col("prev_last")),
-            "push_now": F.max(delivered).over(hour_before),
-            "push_last": F.last("push_hour", ignorenulls=True).over(past),
-            "source_now": F.max(observed).over(hour_before),
-            "source_last": F.last("push_source", ignorenulls=True).over(past)["ms"],
+            "gap": F.lag("gap").over(along),
+            "push_now": F.lag("delivered").over(along),
+            "source_now": F.lag("observed").over(along),
+            "push_last": F.last(hour, ignorenulls=True).over(past),
         }
-    )
+    ).drop("delivered", "observed", "delivers")
+    rows = rows.where(F.col("t") >= first).join(data, KEYS)
     push = F.col("via") == "push"
-    worst = F.when(push, F.coalesce("push_now", "push_last")).otherwise(F.when(F.col("covered"), F.col("poll_ms")))
-    seen = F.when(push & F.col("push_now").isNull(), F.col("source_last")).otherwise(F.col("source_now"))
-    rows = rows.where("extra is null").withColumn("w_ms", worst).withColumn("source_ms", seen)
+    covered = F.col("first_t") < F.col("t") - WINDOW_MIN
+    polled = F.when(covered, F.greatest("gap", F.col("t") * 60_000 - F.col("prev_last")))
+    worst = F.when(push, F.coalesce("push_now", "push_last.delivered")).otherwise(polled)
+    seen = F.when(push & F.col("push_now").isNull(), F.col("push_last.observed")).otherwise(F.col("source_now"))
+    rows = rows.withColumn("w_ms", worst).withColumn("source_ms", seen)
     # A source that is slower than declared raises the declaration for good.
     raised = F.max(F.when(F.col("w_ms").isNotNull(), F.col("source_ms"))).over(along)
     declared = F.when(F.col("declared_latency_ms").isNotNull(), F.greatest("declared_latency_ms", raised))
+    rows = rows.withColumn("declared_ms", declared)
     by_event = F.when(F.col("declared_latency_ms").isNull(), OUT).otherwise(
-        less_fine(class_of(F.col("w_ms")), class_of(F.coalesce("source_ms", declared)))
+        less_fine(class_of(F.col("w_ms")), class_of(F.coalesce("source_ms", "declared_ms")))
     )
     by_clock = less_fine(class_of(F.col("w_ms")), class_of(F.col("source_clock_ms")))
     graded = F.when(F.col("w_ms").isNull(), NO_WINDOW).when(F.col("source_kind") == "event", by_event).otherwise(by_clock)
-    rows = rows.withColumn("declared_ms", declared).withColumn("graded", graded)
-    rows = rows.join(failing_checks(checks), [*KEYS, "t"], "left").withColumn(
-        "failing", F.coalesce(F.last("failing", ignorenulls=True).over(along), F.lit(False))
-    )
     unchecked = F.col("check_url").isNull() | F.col("failing")
     final = F.when(F.col("graded").isin(*IN_CLASS) & unchecked, OUT).otherwise(F.col("graded"))
-    return rows.select(*KEYS, "minute", "w_ms", "declared_ms", final.alias("class"))
+    return rows.withColumn("graded", graded).select(
+        *KEYS, F.timestamp_seconds(F.col("t") * 60).alias("minute"), "w_ms", "declared_ms", final.alias("class")
+    )
 
 
 def failing_checks(checks: DataFrame) -> DataFrame:
