@@ -1 +1,187 @@
-"""feeds."""
+"""Live feeds (M11–M18) over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from censora.functions.scalars import cents, json_field
+from censora.plans import air, climate, feeds
+from censora.queries import Tables, query
+from censora.queries import derive as D
+from censora.queries.pulse import plain
+from censora.queries.windows import CLIMATE_ARGS, CLIMATE_SQL, WEIGHTED_SQL, _interpolated
+from censora.streaming import pulse_stream as S
+
+
+def sightings(t: Tables):
+    """Every event read twice: late by its value, and once more an hour afterwards."""
+    at = F.col("ts").cast("timestamp")
+    late = F.round(F.col("value") * 1_000_000).cast("bigint")
+    once = t.events.select(
+        "event_id",
+        "event_type",
+        F.timestamp_micros(F.unix_micros(at) - F.when(F.col("event_id") < 50, 86_400_000_000).otherwise(0)).alias("origin"),
+        F.timestamp_micros(F.unix_micros(at) + late).alias("seen"),
+    )
+    return once.unionByName(once.withColumn("seen", F.col("seen") + F.expr("INTERVAL 1 HOUR")))
+
+
+@query(
+    "m11_event_latency",
+    """WITH s AS (SELECT event_type, ts - CASE WHEN event_id < 50 THEN INTERVAL 24 HOUR ELSE INTERVAL 0 HOUR END AS origin, ts + to_microseconds(round(value * 1000000)::BIGINT) AS seen FROM events),
+            k AS (SELECT event_type, (epoch_us(seen) // 1000 - epoch_us(origin) // 1000) / 1000 AS v FROM s WHERE origin > (SELECT min(seen) FROM s)), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM k)
+       SELECT event_type, any_value(n) AS n, max(v) FILTER (rn = floor((n - 1) * 0.5::DOUBLE)) AS median_s, max(v) FILTER (rn = floor((n - 1) * 0.9::DOUBLE)) AS p90_s, max(v) AS max_s FROM r GROUP BY 1""",
+)
+def _(t: Tables):
+    return feeds.event_latency(sightings(t), ["event_id"], "origin", "seen", ["event_type"])
+
+
+@query(
+    "m12_frozen_forecast",
+    """WITH c AS (SELECT event_type AS station, date_trunc('hour', ts) + to_hours((event_id % 3)::INTEGER) AS hour, ts AS consulted, value AS temp_c FROM events)
+       SELECT station, hour, arg_max(temp_c, consulted) AS temp_c, max(consulted) AS consulted FROM c WHERE consulted < hour GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    at = F.col("ts").cast("timestamp")
+    consulted = t.events.select(
+        F.col("event_type").alias("station"),
+        F.timestamp_seconds(F.unix_seconds(F.date_trunc("hour", at)) + (F.col("event_id") % 3) * 3600).alias("hour"),
+        at.alias("consulted"),
+        F.col("value").alias("temp_c"),
+    )
+    return plain(climate.frozen_forecast(consulted))
+
+
+STATIONS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(
+    "m13_batch_book",
+    f"""WITH {D.READINGS_SQL} SELECT instant AS hour, count(DISTINCT station) AS received, count(*) FILTER (k % 10 = 0) AS marked, min(instant + to_seconds(delay_min * 60)) AS first_arrival, max(instant + to_seconds(delay_min * 60)) AS last_arrival,
+            array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda s: NOT list_contains(list(station), s)), ',') AS missing FROM readings GROUP BY 1""",
+)
+def _(t: Tables):
+    hour = F.col("instant").cast("timestamp")
+    rows = D.readings(t).select(
+        "station",
+        hour.alias("hour"),
+        (F.col("k") % 10 == 0).alias("marked"),
+        F.timestamp_millis(F.unix_millis(hour) + F.round(F.col("delay_min") * 60_000).cast("bigint")).alias("arrived"),
+    )
+    book = climate.batch_book(rows, F.array(*[F.lit(s) for s in STATIONS]))
+    return plain(book.withColumn("missing", F.concat_ws(",", "missing")))
+
+
+@query(
+    "m14_new_observations",
+    """WITH r AS (SELECT user_id AS station, ts AS seen, event_id, date_trunc('day', ts) AS source_time FROM events) SELECT station, event_id, source_time IS DISTINCT FROM lag(source_time) OVER (PARTITION BY station ORDER BY seen) AS is_new FROM r""",
+)
+def _(t: Tables):
+    refreshes = t.events.select(
+        F.col("user_id").alias("station"), F.col("ts").alias("seen"), "event_id", F.date_trunc("day", "ts").alias("source_time")
+    )
+    return climate.changed_source_time(refreshes, ["station"], "seen", "source_time").select("station", "event_id", "is_new")
+
+
+@query(
+    "m14_stream_first_seen",
+    "SELECT DISTINCT user_id AS station, date_trunc('hour', ts) AS source_time FROM events",
+)
+def _(t: Tables):
+    raw = S.event_stream(t.spark, t.directory, t.events.schema, "events.parquet")
+    hours = raw.select(F.col("user_id").alias("station"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("source_time"))
+    return plain(S.run_available(S.first_seen_stream(hours, ["station", "source_time"], "source_time"), "first-seen"))
+
+
+INDEX_SQL = f"""{D.AIR_SQL}, {WEIGHTED_SQL},
+     eight AS (SELECT a.station, a.pollutant, a.hour, count(*) AS n, sum(b.value ORDER BY b.hour DESC) / count(*) AS mean FROM air_hours a JOIN air_hours b ON a.station = b.station AND b.pollutant = 'CO' AND b.hour BETWEEN a.hour - 7 AND a.hour WHERE a.pollutant = 'CO' GROUP BY 1, 2, 3),
+     conc AS (SELECT station, pollutant, hour, CASE WHEN recent >= 2 THEN floor(raw * 1 + 0.5 + 1e-9) / 1 END AS x FROM c UNION ALL SELECT station, pollutant, hour, CASE WHEN n >= 6 THEN floor(mean * 100 + 0.5 + 1e-9) / 100 END FROM eight
+              UNION ALL SELECT station, pollutant, hour, floor(value * 1000 + 0.5 + 1e-9) / 1000 FROM air_hours WHERE pollutant IN ('O3', 'NO2')),
+     stk AS (SELECT station, pollutant, hour, count(value) OVER w = 6 AND min(value) OVER w = max(value) OVER w AS stuck FROM air_hours WINDOW w AS (PARTITION BY station, pollutant ORDER BY hour ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+     base AS (SELECT conc.*, stuck FROM conc JOIN stk USING (station, pollutant, hour)),
+     lim AS (SELECT min(hour) AS lo, max(hour) AS hi FROM air_hours), g AS (SELECT s.station, unnest(range(lo, hi + 1)) AS hour FROM lim, (SELECT DISTINCT station FROM air_hours) s),
+     nw AS (SELECT g.station, g.hour, b.pollutant, arg_max(b.stuck, b.hour) AS stuck, max(b.hour) AS h FROM g JOIN base b ON b.station = g.station AND b.hour BETWEEN g.hour - 3 AND g.hour GROUP BY 1, 2, 3),
+     us AS (SELECT nw.station, nw.hour, nw.pollutant, b.x, list_position(['PM2.5', 'PM10', 'O3', 'NO2', 'SO2', 'CO'], nw.pollutant) AS ord FROM nw JOIN base b ON b.station = nw.station AND b.pollutant = nw.pollutant AND b.hour = nw.h WHERE NOT nw.stuck AND b.x IS NOT NULL),
+     cuts AS (SELECT * FROM (VALUES ('PM2.5', 15, 25, 79, 130), ('PM10', 45, 50, 132, 213), ('O3', 0.058, 0.09, 0.135, 0.175), ('NO2', 0.053, 0.106, 0.16, 0.213), ('CO', 5, 9, 12, 16)) v(pollutant, a, b, c, d)),
+     gr AS (SELECT us.*, CASE WHEN x <= a::DOUBLE THEN 0 WHEN x <= b::DOUBLE THEN 1 WHEN x <= c::DOUBLE THEN 2 WHEN x <= d::DOUBLE THEN 3 ELSE 4 END AS cat FROM us JOIN cuts USING (pollutant)),
+     wr AS (SELECT station, hour, max(cat) AS category, arg_max(pollutant, (cat, -ord)) AS pollutant, count(*) AS pollutants FROM gr GROUP BY 1, 2)"""
+
+
+@query(
+    "m15_air_index",
+    f"WITH {INDEX_SQL} SELECT g.station, g.hour, category, wr.pollutant, pollutants, (['Buena', 'Aceptable', 'Mala', 'Muy mala', 'Extremadamente mala'])[category + 1] AS quality FROM g LEFT JOIN wr ON wr.station = g.station AND wr.hour = g.hour",
+)
+def _(t: Tables):
+    hours = D.air_hours(t)
+    ends = hours.agg(F.struct(F.min("hour").alias("lo"), F.max("hour").alias("hi")).alias("e")).scalar()
+    grid = hours.select("station").distinct().withColumn("hour", F.explode(F.sequence(ends["lo"], ends["hi"])))
+    return air.index_by_hour(hours, grid)
+
+
+@query(
+    "m16_today_versus_normal",
+    f"""WITH {CLIMATE_SQL}, nm AS (SELECT station, date, variable, CASE WHEN years >= needed AND n >= 0.8 * 15 * needed THEN format('{{:.1f}}', mean)::DOUBLE END AS mean FROM stat),
+            t AS (SELECT station, day, tmax AS high, tmin AS low, strftime(day, '%m-%d') AS date FROM daily WHERE year(day) = 2000)
+        SELECT t.station, t.day, high, low, format('{{:.1f}}', high - a.mean)::DOUBLE AS high_vs_mean, format('{{:.1f}}', low - b.mean)::DOUBLE AS low_vs_mean
+        FROM t LEFT JOIN nm a ON a.station = t.station AND a.date = t.date AND a.variable = 'tmax' LEFT JOIN nm b ON b.station = t.station AND b.date = t.date AND b.variable = 'tmin'""",
+)
+def _(t: Tables):
+    daily = D.daily(t)
+    today = daily.where(F.year("day") == 2000).select("station", "day", F.col("tmax").alias("high"), F.col("tmin").alias("low"))
+    return climate.versus_normal(today, climate.climatology(daily, **CLIMATE_ARGS)).drop("high_rank", "low_rank")
+
+
+def _grid_sql() -> str:
+    cells = ", ".join(f"format('{{:.1f}}', {_interpolated(i / 20)})::DOUBLE" for i in range(21))
+    return f"CASE WHEN years >= needed AND n >= 0.8 * 15 * needed THEN [{cells}] END"
+
+
+@query(
+    "m16_percentile_rank",
+    f"""WITH {CLIMATE_SQL}, nm AS (SELECT station, date, {_grid_sql()} AS grid FROM stat WHERE variable = 'tmax'), t AS (SELECT station, day, tmax AS high, strftime(day, '%m-%d') AS date FROM daily WHERE year(day) = 2000),
+            j AS (SELECT t.station, t.day, high, grid, list_filter(range(20), lambda i: high >= grid[i + 1] AND high <= grid[i + 2])[1] AS i FROM t LEFT JOIN nm USING (station, date))
+        SELECT station, day, round(CASE WHEN high <= grid[1] THEN 0 WHEN high >= grid[21] THEN 100 WHEN grid[i + 1] = grid[i + 2] THEN (i * 5 + (i + 1) * 5) / 2 ELSE i * 5 + (high - grid[i + 1]) / (grid[i + 2] - grid[i + 1]) * 5 END) AS high_rank FROM j""",
+)
+def _(t: Tables):
+    daily = D.daily(t)
+    today = daily.where(F.year("day") == 2000).select("station", "day", F.col("tmax").alias("high"), F.col("tmin").alias("low"))
+    return climate.versus_normal(today, climate.climatology(daily, **CLIMATE_ARGS)).select("station", "day", "high_rank")
+
+
+@query(
+    "m17_delivery_minutes",
+    """WITH a AS (SELECT user_id AS page, json_extract_string(props, '$.k')::INTEGER AS reading, ts AS arrived, ts - to_microseconds(round(value * 10000)::BIGINT) AS sent, event_type <> 'error' AS visible, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts) AS rn FROM events)
+       SELECT date_trunc('minute', arrived) AS minute, count(*) FILTER (visible) AS deliveries, count(*) FILTER (NOT visible) AS hidden, coalesce(max(CASE WHEN visible THEN epoch_us(arrived) // 1000 - epoch_us(sent) // 1000 END), 0) AS worst_ms,
+              min(CASE WHEN visible THEN arrived END) AS first, max(CASE WHEN visible THEN arrived END) AS last FROM a WHERE rn = 1 GROUP BY 1""",
+)
+def _(t: Tables):
+    at = F.col("ts").cast("timestamp")
+    acks = t.events.select(
+        F.col("user_id").alias("page"),
+        json_field("props", "k", "int").alias("reading"),
+        at.alias("arrived"),
+        F.timestamp_micros(F.unix_micros(at) - F.round(F.col("value") * 10_000).cast("bigint")).alias("sent"),
+        (F.col("event_type") != "error").alias("visible"),
+    )
+    return plain(feeds.delivery_minutes(acks))
+
+
+@query(
+    "m18_lead_time_accuracy",
+    """WITH h AS (SELECT event_type AS station, date_trunc('hour', ts) AS hour, sum(round(value * 100)::BIGINT)::BIGINT / (100 * count(*)) AS temp_c, sum(json_extract_string(props, '$.k')::INTEGER) % 10 = 0 AS marked FROM events GROUP BY 1, 2),
+            f AS (SELECT event_type AS station, date_trunc('hour', ts) + to_hours((json_extract_string(props, '$.k')::INTEGER)) AS hour, ts AS issued, value AS temp_c FROM events),
+            e AS (SELECT f.station, (epoch_us(f.hour) // 1000000 - epoch_us(issued) // 1000000) / 3600 AS lead, round((f.temp_c - h.temp_c) * 100)::BIGINT AS e FROM f JOIN h USING (station, hour) WHERE NOT marked AND hour > issued)
+       SELECT station, CASE WHEN lead < 24 THEN '0-24' WHEN lead < 48 THEN '24-48' WHEN lead < 72 THEN '48-72' ELSE '72-120' END AS lead_h, count(*) AS n, sum(abs(e))::BIGINT / (count(*) * 100) AS mae, sum(e)::BIGINT / (count(*) * 100) AS bias FROM e GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    at, k = F.col("ts").cast("timestamp"), json_field("props", "k", "int")
+    readings = t.events.groupBy(F.col("event_type").alias("station"), F.date_trunc("hour", at).alias("hour")).agg(
+        (F.sum(cents("value")) / (F.count(F.lit(1)) * 100)).alias("temp_c"), (F.sum(k) % 10 == 0).alias("marked")
+    )
+    forecasts = t.events.select(
+        F.col("event_type").alias("station"),
+        F.timestamp_seconds(F.unix_seconds(F.date_trunc("hour", at)) + k * 3600).alias("hour"),
+        at.alias("issued"),
+        F.col("value").alias("temp_c"),
+    )
+    return feeds.lead_time_accuracy(forecasts, readings, ["station"])
