@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Accented Latin letters and their plain forms.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+COMBINING = "".join(chr(c) for c in range(0x300, 0x370))
 # Fixed value: a search looks for at most this many terms.
 MAX_TERMS = 8
 
@@ -17,8 +18,9 @@ MAX_TERMS = 8
 def strip_accents(text: Column | str) -> Column:
     """Lower case without accents, runs of blanks collapsed, both precomposed and combining forms."""
     text = F.col(text) if isinstance(text, str) else text
-    bare = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[̀-ͯ]", ""), r"\s+", " "))
+    # Characters without a counterpart in PLAIN (the combining marks) are dropped by translate.
+    bare = F.translate(F.lower(text), ACCENTED + COMBINING, PLAIN)
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def slugify(text: Column | str) -> Column:
@@ -58,7 +60,6 @@ def synonym_search(df: DataFrame, column: str, query: str, thesaurus: Mapping[st
     folded = strip_accents(column)
     if not terms:
         return df.withColumn("synonym_only", F.lit(0))
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | folded.contains(term)
-    return df.where(hit).withColumn("synonym_only", F.when(folded.contains(terms[0]), 0).otherwise(1))
+    # One pattern of quoted terms: the text is folded once per row, not once per term.
+    any_term = "|".join(rf"\Q{term}\E" for term in terms)
+    return df.where(folded.rlike(any_term)).withColumn("synonym_only", F.when(folded.contains(terms[0]), 0).otherwise(1))

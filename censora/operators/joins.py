@@ -53,44 +53,49 @@ def nearest_within(
     right_time: str,
     fields: Sequence[str],
     tolerance_s: int,
+    block_s: int = 60,
 ) -> DataFrame:
     """As-of join: for every left row the nearest right row of its key within ±tolerance, the earlier one on a tie.
 
-    Both sides meet in one window per (key, block of ``tolerance_s``), without pairing rows. A block also receives the last
-    right row of the block before and the first of the block after, so neighbours across an edge are seen.
-    Left rows without a match keep NULL ``fields`` and NULL ``distance_s``.
+    No rows are paired: both sides meet in windows over (key, block of ``block_s`` seconds), one running forwards and one
+    backwards. What lies beyond the block's edges comes from a summary with one row per key and block. Left rows without a
+    match keep NULL ``fields`` and NULL ``distance_s``.
     """
     keys, fields = list(keys), list(fields)
 
     def block(instant: str) -> Column:
-        return F.floor(F.unix_micros(F.col(instant)) / F.lit(tolerance_s * 1_000_000)).cast("long")
+        return F.floor(F.unix_micros(F.col(instant)) / F.lit(block_s * 1_000_000)).cast("long")
 
-    found = right.select(*keys, F.col(right_time).alias("at"), F.struct(F.col(right_time).alias("at"), *fields).alias("report"))
-    found = found.withColumn("block", block("at"))
-    edge = found.groupBy(*keys, "block").agg(
-        F.min_by("report", "report").alias("first"), F.max_by("report", "report").alias("last")
+    rights = right.select(*keys, F.col(right_time).alias("at"), F.struct(F.col(right_time).alias("at"), *fields).alias("report"))
+    rights = rights.withColumn("block", block("at"))
+    lefts = left.select(*keys, block(left_time).alias("block"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"))
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    edges = both.groupBy(*keys, "block").agg(F.min("report").alias("first"), F.max("report").alias("last"))
+    up, down = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in ("block", F.desc("block")))
+    edges = edges.select(
+        *keys,
+        "block",
+        F.last("last", ignorenulls=True).over(up).alias("left_edge"),
+        F.last("first", ignorenulls=True).over(down).alias("right_edge"),
     )
-    rights = (
-        found.select(*keys, "block", "at", "report")
-        .unionByName(edge.select(*keys, (F.col("block") + 1).alias("block"), F.col("last.at").alias("at"), F.col("last").alias("report")))
-        .unionByName(edge.select(*keys, (F.col("block") - 1).alias("block"), F.col("first.at").alias("at"), F.col("first").alias("report")))
-    )
-    lefts = left.select(
-        *keys, block(left_time).alias("block"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row")
+    # Right rows come before left rows of the same instant, in both directions.
+    is_left = F.col("row").isNotNull()
+    inside = W.partitionBy(*keys, "block").rowsBetween(W.unboundedPreceding, 0)
+    seen = (
+        both.withColumn("before", F.last("report", ignorenulls=True).over(inside.orderBy("at", is_left, "report")))
+        .withColumn("after", F.last("report", ignorenulls=True).over(inside.orderBy(F.desc("at"), is_left, F.desc("report"))))
+        .where(is_left)
+        .join(edges, [*keys, "block"])
+        .withColumn("before", F.coalesce("before", "left_edge"))
+        .withColumn("after", F.coalesce("after", "right_edge"))
     )
-    both = lefts.unionByName(rights, allowMissingColumns=True)
-    # Right rows sort before left rows of the same instant; ties among right rows go by their fields.
-    ordered = W.partitionBy(*keys, "block").orderBy("at", F.col("row").isNotNull(), "report")
-    before = F.last("report", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("report", ignorenulls=True).over(ordered.rowsBetween(0, W.unboundedFollowing))
-    seen = both.withColumn("before", before).withColumn("after", after).where("row is not null")
 
     def gap(side: str) -> Column:
         return F.abs(F.unix_micros("at") - F.unix_micros(F.col(side)["at"])) / 1_000_000
 
-    use_after = gap("before").isNull() | (gap("after") < gap("before"))
-    nearest = F.when(use_after & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("before"))
-    seen = seen.withColumn("nearest", nearest).withColumn("distance_s", gap("nearest"))
+    later = F.col("after").isNotNull() & (F.col("before").isNull() | (gap("after") < gap("before")))
+    seen = seen.withColumn("nearest", F.when(later, F.col("after")).otherwise(F.col("before")))
+    seen = seen.withColumn("distance_s", gap("nearest"))
     hit = F.col("distance_s") <= tolerance_s
     return seen.select(
         "row.*",

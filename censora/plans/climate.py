@@ -277,5 +277,5 @@ def batch_book(readings: DataFrame, stations: Column) -> DataFrame:
 
 def changed_source_time(refreshes: DataFrame, keys: Sequence[str], seen: str, source_time: str) -> DataFrame:
     """Refreshes that brought a new observation: the source's own time differs from the refresh before."""
-    rows = with_previous(refreshes, keys, [seen], F.date_trunc("day", seen), [source_time])
+    rows = with_previous(refreshes, keys, [seen], F.date_trunc("minute", seen), [source_time])
     return rows.withColumn("is_new", ~F.col(source_time).eqNullSafe(F.col(f"prev_{source_time}")))

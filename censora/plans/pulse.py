@@ -59,7 +59,7 @@ def less_fine(a: Column, b: Column) -> Column:
 
 
 def summary_columns(at: str = "at", extras: Sequence[str] = ()) -> list[Column]:
-    """Aggregates of one minute, the same in batch and in a stream.
+    """Aggregates of one minute for a stream, which allows one grouping and no look-back.
 
     The instants of a minute are kept as a set of milliseconds: at most 60,000 numbers however many rows a minute has, so a
     hot minute folds map-side. ``extras`` names the optional inputs that are present: ``source_latency_ms`` (set on events of
@@ -90,9 +90,41 @@ def with_inner_gap(summaries: DataFrame) -> DataFrame:
 
 
 def minute_summaries(events: DataFrame) -> DataFrame:
-    """``events(system, datum, at, …)`` → one row per system, datum and minute."""
-    minute = F.date_trunc("minute", "at").alias("minute")
-    return with_inner_gap(events.groupBy(*KEYS, minute).agg(*summary_columns(extras=events.columns)))
+    """``events(system, datum, at, …)`` → one row per system, datum and minute; ``received``, if there, is the latest arrival.
+
+    Rows of one millisecond fold first, map-side; the gaps of a minute are then a look-back over its distinct instants,
+    60,000 at most. Gives what ``summary_columns`` gives in a stream.
+    """
+    have = set(events.columns)
+    refresh = F.col("is_refresh") if "is_refresh" in have else F.lit(True)
+    minute = [*KEYS, "minute"]
+    latencies = [(n, c) for n, c in (("source_latency_ms", "events"), ("delivery_latency_ms", "deliveries"))]
+    folded = [
+        F.count_if(refresh).alias("refreshes"),
+        F.min("at").alias("first"),
+        F.max("at").alias("last"),
+        F.count(F.lit(1)).alias("observations"),
+    ]
+    for name, count in latencies:
+        present = F.col(name) if name in have else F.lit(None).cast("long")
+        folded += [F.count(present).alias(count), F.max(present).alias(name.replace("_ms", "_max_ms"))]
+    if "received" in have:
+        folded.append(F.max("received").alias("received"))
+    instants = events.groupBy(*KEYS, F.date_trunc("minute", "at").alias("minute"), _ms("at").alias("ms")).agg(*folded)
+    refreshed = F.when(F.col("refreshes") > 0, F.col("ms"))
+    earlier = F.last(refreshed, ignorenulls=True).over(
+        W.partitionBy(*minute).orderBy("ms").rowsBetween(W.unboundedPreceding, -1)
+    )
+    gaps = instants.withColumn("gap", refreshed - earlier)
+    return gaps.groupBy(*minute).agg(
+        F.sum("refreshes").alias("refreshes"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.sum("observations").alias("observations"),
+        *[c for n, k in latencies for c in (F.sum(k).alias(k), F.max(n.replace("_ms", "_max_ms")).alias(n.replace("_ms", "_max_ms")))],
+        *([F.max("received").alias("received")] if "received" in have else []),
+        F.coalesce(F.max("gap"), F.lit(0)).cast("long").alias("max_gap_ms"),
+    )
 
 
 def with_punctuality(summaries: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.events.select("event_id", "user_id", "ts", "value")
-    out = with_previous(rows, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), ["ts", "value"])
+    out = with_previous(rows, ["user_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"), ["ts", "value"])
     return out.select("event_id", "user_id", "prev_ts", "prev_value")
 
 

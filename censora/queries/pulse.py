@@ -31,12 +31,7 @@ def events(rows):
 
 
 def summaries(t: Tables):
-    feed = events(t.events)
-    minute = F.date_trunc("minute", "at").alias("minute")
-    rows = feed.groupBy(*pulse.KEYS, minute).agg(
-        *pulse.summary_columns(extras=feed.columns), F.max("received").alias("received")
-    )
-    return pulse.with_punctuality(pulse.with_inner_gap(rows))
+    return pulse.with_punctuality(pulse.minute_summaries(events(t.events)))
 
 
 def plain(df):
@@ -47,7 +42,7 @@ def plain(df):
 
 @query("m1_minute_summaries", f"WITH {EV_SQL} SELECT system, datum, minute, refreshes, first, last, observations, events, source_latency_max_ms, deliveries, delivery_latency_max_ms, max_gap_ms FROM summ")
 def _(t: Tables):
-    return plain(pulse.minute_summaries(events(t.events)))
+    return plain(pulse.minute_summaries(events(t.events).drop("received")))
 
 
 @query(

@@ -258,7 +258,7 @@ def _(t: Tables):
 @query(
     "k14_review_states",
     """WITH v AS (SELECT o_custkey AS id, o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
-       SELECT c_custkey AS id, c_mktsegment AS dataset, coalesce(CASE o_orderstatus WHEN 'F' THEN 'aceptada' WHEN 'O' THEN 'rechazada' ELSE 'en-revision' END, 'pendiente') AS state, o_orderdate AS reviewed_at FROM customer LEFT JOIN v ON id = c_custkey AND rn = 1""",
+       SELECT c_custkey AS id, c_mktsegment AS dataset, CASE WHEN o_orderkey IS NULL THEN 'pendiente' WHEN o_orderstatus = 'F' THEN 'aceptada' WHEN o_orderstatus = 'O' THEN 'rechazada' ELSE 'en-revision' END AS state, o_orderdate AS reviewed_at FROM customer LEFT JOIN v ON id = c_custkey AND rn = 1""",
 )
 def _(t: Tables):
     reports = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("dataset"))
