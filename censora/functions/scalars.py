@@ -165,9 +165,9 @@ def parse_local_stamp(text: Column | str) -> Column:
 
 
 def trim_decimal_text(text: Column | str) -> Column:
-    """'12.5000' → '12.5', '0.000' → '0'; text without a point is left alone."""
+    """'12.5000' → '12.5', '7.' → '7'; text without a point is left alone."""
     text = _col(text)
-    trimmed = F.regexp_replace(text, r"\.?0+$", "")
+    trimmed = F.regexp_replace(text, r"\.?0*$", "")
     value = F.when(text.contains("."), trimmed).otherwise(text)
     return F.when(value.isin("", "-"), F.lit("0")).otherwise(value)
 

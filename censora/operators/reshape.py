@@ -72,7 +72,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> tu
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("best"))
     first = best.select(*[F.col(c) if c in keys else F.col("best")[c].alias(c) for c in df.columns])
     identity = list(dict.fromkeys([*keys, *arrival]))
-    return first, df.join(first.select(*identity), identity, "left_anti")
+    return first, df.join(first.select(*identity), identity, "left_anti").select(*df.columns)
 
 
 def latest_version(manifest: DataFrame, keys: Sequence[str], stamp: str, content: Sequence[str]) -> DataFrame:

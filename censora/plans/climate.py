@@ -168,7 +168,7 @@ def climatology(
         (F.sum(F.round(F.col("value") * 10).cast("bigint")) / (F.count(F.lit(1)) * 10)).alias("mean"),
         F.sort_array(F.collect_list("value")).alias("sorted"),
     )
-    position = lambda i: (F.col("n") - 1) * F.lit(i / 20)
+    position = lambda i: (F.col("n") - 1) * (5 * i) / 100
     at = lambda rank: F.get("sorted", rank.cast("int"))
     cell = lambda i: at(F.floor(position(i))) + (at(F.ceil(position(i))) - at(F.floor(position(i)))) * (
         position(i) - F.floor(position(i))

@@ -171,16 +171,19 @@ def intake_rules(summaries: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("faults", faults)
 
 
-def upsert_summaries(stored: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Stored and newly arrived summaries merged: the latest report's values, but a replacement never regains punctuality."""
-    both = stored.unionByName(arrived)
-    rest = [c for c in both.columns if c not in (*KEYS, "minute", "on_time")]
-    merged = both.groupBy(*KEYS, "minute").agg(
+def fold_reports(reports: DataFrame) -> DataFrame:
+    """One summary per minute from all its reports: the latest one's values, but a replacement never regains punctuality."""
+    rest = [c for c in reports.columns if c not in (*KEYS, "minute", "on_time")]
+    merged = reports.groupBy(*KEYS, "minute").agg(
         F.max_by(F.struct(*rest), "received").alias("row"), F.min("on_time").alias("on_time")
     )
     return merged.select(*KEYS, "minute", "row.*", "on_time")
 
 
+def upsert_summaries(stored: DataFrame, arrived: DataFrame) -> DataFrame:
+    return fold_reports(stored.unionByName(arrived))
+
+
 # ------------------------------------------------------------------ freshness classes
 
 
@@ -290,10 +293,17 @@ def failing_checks(checks: DataFrame) -> DataFrame:
     )
 
 
-def class_changes(classes: DataFrame) -> DataFrame:
-    """The change log: only the minutes at which the class differs from the one before (at first there is no window)."""
-    before = F.coalesce(F.lag("class").over(W.partitionBy(*KEYS).orderBy("minute")), F.lit(NO_WINDOW))
-    changed = classes.withColumn("before", before).where("class <> before")
+def class_changes(classes: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The change log: only the minutes at which the class differs from the one before.
+
+    ``before(system, datum, class)`` is the class ahead of the first minute; without it there was no window.
+    """
+    earlier = F.lag("class").over(W.partitionBy(*KEYS).orderBy("minute"))
+    rows = classes.withColumn("earlier", earlier)
+    if before is not None:
+        rows = rows.join(before.select(*KEYS, F.col("class").alias("initial")), KEYS, "left")
+        rows = rows.withColumn("earlier", F.coalesce("earlier", "initial"))
+    changed = rows.where(F.col("class") != F.coalesce("earlier", F.lit(NO_WINDOW)))
     return changed.select(*KEYS, F.col("minute").alias("since"), "class", "w_ms")
 
 

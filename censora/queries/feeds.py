@@ -132,7 +132,7 @@ def _(t: Tables):
 
 
 def _grid_sql() -> str:
-    cells = ", ".join(f"format('{{:.1f}}', {_interpolated(i / 20)})::DOUBLE" for i in range(21))
+    cells = ", ".join(f"format('{{:.1f}}', {_interpolated(5 * i)})::DOUBLE" for i in range(21))
     return f"CASE WHEN years >= needed AND n >= 0.8 * 15 * needed THEN [{cells}] END"
 
 

@@ -174,9 +174,9 @@ CLIMATE_SQL = f"""{D.DAILY_SQL}, fy AS (SELECT station, year(day) AS y, count(tm
                      list(value ORDER BY value) AS vs FROM vals GROUP BY 1, 2, 3, 4, 5)"""
 
 
-def _interpolated(p: float) -> str:
+def _interpolated(percent: int) -> str:
     """percentile_cont of the sorted list ``vs`` in SQL."""
-    position = f"(n - 1) * {p}::DOUBLE"
+    position = f"((n - 1) * {percent} / 100)"
     low, high = f"vs[1 + floor({position})::INTEGER]", f"vs[1 + ceil({position})::INTEGER]"
     return f"({low} + ({high} - {low}) * ({position} - floor({position})))"
 
@@ -184,7 +184,7 @@ def _interpolated(p: float) -> str:
 @query(
     "f12_climatology",
     f"""WITH {CLIMATE_SQL} SELECT station, date, variable, level, n, years, CASE WHEN ok THEN format('{{:.1f}}', mean)::DOUBLE END AS mean,
-            {", ".join(f"CASE WHEN ok THEN format('{{:.1f}}', {_interpolated(p)})::DOUBLE END AS p{round(p * 100)}" for p in (0.05, 0.5, 0.95))}
+            {", ".join(f"CASE WHEN ok THEN format('{{:.1f}}', {_interpolated(p)})::DOUBLE END AS p{p}" for p in (5, 50, 95))}
         FROM (SELECT *, years >= needed AND n >= 0.8 * 15 * needed AS ok FROM stat)""",
 )
 def _(t: Tables):

@@ -6,7 +6,7 @@ shared checkpoint folder, so a lost executor or a restarted driver goes on from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,9 @@ from censora.session import shared_dir
 LATEST = "24 hours"
 
 
-def event_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str) -> DataFrame:
-    """Files of ``folder`` that match ``pattern`` as a stream, a bounded number per trigger."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 64)
+def event_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str, files: int = 64) -> DataFrame:
+    """Files of ``folder`` that match ``pattern`` as a stream, at most ``files`` per micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files)
     return reader.parquet(folder)
 
 
@@ -69,21 +69,49 @@ def first_seen_stream(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     return events.withWatermark(at, LATEST).dropDuplicatesWithinWatermark(keys)
 
 
-def class_batch(data: DataFrame, checks: DataFrame, store: str, start: Column, end: Column):
-    """Handler for ``foreachBatch`` over summaries: upsert them, then grade the minutes with the batch rules.
+def class_job(reports: DataFrame, data: DataFrame, checks: DataFrame, label: str = "classes") -> DataFrame:
+    """Grade a stream of reported minute summaries; returns the change log it wrote.
 
-    The summaries table is rewritten under a new version per batch; the classes of the version replace the earlier ones.
+    Every micro-batch appends its reports to a log (one folder per batch, so a repeated batch replaces itself), folds the log
+    with the upsert rule and grades the minutes that have come due: up to the latest arrival minus the grace. Minutes that
+    were graded stay as they are. What the next batch needs of the past — class, raised latency, last minute — is a state
+    table with one row per datum.
     """
+    spark = reports.sparkSession
+    store = shared_dir(spark, label)
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        log, state, changes = (f"{store}/{name}" for name in ("log", "state", "changes"))
         arrived = pulse.with_punctuality(batch).where("status <> 'rejected'").drop("status")
-        if number > 0:
-            stored = spark.read.parquet(f"{store}/summaries-{number - 1}")
-            arrived = pulse.upsert_summaries(stored, arrived)
-        arrived.write.mode("overwrite").parquet(f"{store}/summaries-{number}")
-        summaries = spark.read.parquet(f"{store}/summaries-{number}")
-        changes = pulse.class_changes(pulse.classes_by_minute(summaries, data, checks, start, end))
-        changes.write.mode("overwrite").parquet(f"{store}/changes-{number}")
-
-    return handle
+        arrived.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        stored = spark.read.schema(arrived.schema).parquet(f"{log}/batch=*")
+        summaries = pulse.fold_reports(stored)
+        seen = stored.agg(F.date_trunc("minute", F.min("minute")).alias("lo"), F.date_trunc("minute", F.max("received")).alias("hi")).first()
+        if seen.hi is None:
+            return
+        until = F.lit(seen.hi) - F.make_dt_interval(mins=F.lit(pulse.GRACE_MIN))
+        if number == 0:
+            since, known = F.lit(seen.lo), data
+            before = data.select(*pulse.KEYS, F.lit(pulse.NO_WINDOW).alias("class"))
+        else:
+            last = spark.read.parquet(f"{state}/batch={number - 1}")
+            before = last.select(*pulse.KEYS, "class")
+            raised = last.select(*pulse.KEYS, "declared_ms")
+            known = data.join(raised, pulse.KEYS, "left").withColumn("declared_latency_ms", F.greatest("declared_latency_ms", "declared_ms"))
+            known = known.drop("declared_ms")
+            since = F.lit(last.agg(F.max("minute")).first()[0]) + F.make_dt_interval(mins=F.lit(1))
+        due = spark.range(1).select((since <= until).alias("due")).first().due
+        if not due:
+            spark.read.parquet(f"{state}/batch={number - 1}").write.mode("overwrite").parquet(f"{state}/batch={number}")
+            return
+        path = f"{store}/graded/batch={number}"
+        pulse.classes_by_minute(summaries, known, checks, since, until).write.mode("overwrite").parquet(path)
+        graded = spark.read.parquet(path)
+        pulse.class_changes(graded, before).write.mode("overwrite").parquet(f"{changes}/batch={number}")
+        tail = graded.groupBy(*pulse.KEYS).agg(F.max_by(F.struct("class", "declared_ms", "minute"), "minute").alias("row"))
+        tail.select(*pulse.KEYS, "row.*").write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    checkpoint = shared_dir(spark, f"{label}-checkpoint")
+    writer = reports.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.foreachBatch(handle).start().awaitTermination()
+    return spark.read.parquet(f"{store}/changes/batch=*")
