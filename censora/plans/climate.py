@@ -168,17 +168,17 @@ def climatology(
         (F.sum(F.round(F.col("value") * 10).cast("bigint")) / (F.count(F.lit(1)) * 10)).alias("mean"),
         F.sort_array(F.collect_list("value")).alias("sorted"),
     )
-    position = lambda i: (F.col("n") - 1) * (5 * i) / 100
-    at = lambda rank: F.get("sorted", rank.cast("int"))
-    cell = lambda i: at(F.floor(position(i))) + (at(F.ceil(position(i))) - at(F.floor(position(i)))) * (
-        position(i) - F.floor(position(i))
-    )
-    stats = stats.withColumn("grid", F.array(*[cell(i) for i in range(21)]))
     enough = (F.col("years") >= F.col("needed")) & (F.col("n") >= MIN_FRACTION * (2 * half_window + 1) * F.col("needed"))
+
+    def percentile(percent: Column) -> Column:
+        position = (F.col("n") - 1) * percent / 100
+        low, high = F.get("sorted", F.floor(position).cast("int")), F.get("sorted", F.ceil(position).cast("int"))
+        return round_half_even(low + (high - low) * (position - F.floor(position)), 1)
+
     return stats.select(
         "station", "date", "variable", "level", "n", "years",
         F.when(enough, round_half_even("mean", 1)).alias("mean"),
-        F.when(enough, F.transform("grid", lambda g: round_half_even(g, 1))).alias("grid"),
+        F.when(enough, F.transform(F.sequence(F.lit(0), F.lit(100), F.lit(5)), percentile)).alias("grid"),
     )
 
 

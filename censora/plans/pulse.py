@@ -25,7 +25,7 @@ CHECK_TOLERANCE_MS = 5 * 60_000
 CLASS_LIMITS_MS = (1, 1_000, 60_000)
 CLASSES = ("DPMS", "DPS", "DPM", "fuera-de-clase", "sin-ventana")
 IN_CLASS = CLASSES[:3]
-OUT, NO_WINDOW = CLASSES[3], CLASSES[4]
+NO_WINDOW = CLASSES[4]
 
 KEYS = ["system", "datum"]
 
@@ -38,21 +38,17 @@ def _ms(instant: Column | str) -> Column:
     return F.unix_millis(F.col(instant) if isinstance(instant, str) else instant)
 
 
-def class_of(ms: Column) -> Column:
-    """Class of a period; NULL or negative means that no bound is declared."""
+def grade_of(ms: Column) -> Column:
+    """Grade of a period, 0 the finest; 3 beyond the limits and where no bound is declared (NULL or negative)."""
     fine, second, minute = CLASS_LIMITS_MS
-    return (
-        F.when(ms.isNull() | (ms < 0), OUT)
-        .when(ms <= fine, "DPMS")
-        .when(ms <= second, "DPS")
-        .when(ms <= minute, "DPM")
-        .otherwise(OUT)
-    )
+    return F.when((ms < 0) | (ms > minute), 3).when(ms <= fine, 0).when(ms <= second, 1).when(ms <= minute, 2).otherwise(3)
 
 
-def less_fine(a: Column, b: Column) -> Column:
-    order = F.array(*[F.lit(c) for c in CLASSES])
-    return F.get(order, F.greatest(F.array_position(order, a), F.array_position(order, b)).cast("int") - 1)
+def class_name(grade: Column) -> Column:
+    names = F.lit(CLASSES[-1])
+    for i, name in enumerate(CLASSES[:-1]):
+        names = F.when(grade == i, name).otherwise(names)
+    return names
 
 
 # ------------------------------------------------------------------ minute summaries
@@ -271,15 +267,14 @@ def classes_by_minute(
     raised = F.max(F.when(F.col("w_ms").isNotNull(), F.col("source_ms"))).over(along)
     declared = F.when(F.col("declared_latency_ms").isNotNull(), F.greatest("declared_latency_ms", raised))
     rows = rows.withColumn("declared_ms", declared)
-    by_event = F.when(F.col("declared_latency_ms").isNull(), OUT).otherwise(
-        less_fine(class_of(F.col("w_ms")), class_of(F.coalesce("source_ms", "declared_ms")))
-    )
-    by_clock = less_fine(class_of(F.col("w_ms")), class_of(F.col("source_clock_ms")))
-    graded = F.when(F.col("w_ms").isNull(), NO_WINDOW).when(F.col("source_kind") == "event", by_event).otherwise(by_clock)
+    # Of two grades the less fine one holds; an event source without a declared latency has no class.
+    by_event = F.when(F.col("declared_latency_ms").isNull(), 3).otherwise(grade_of(F.coalesce("source_ms", "declared_ms")))
+    bound = F.when(F.col("source_kind") == "event", by_event).otherwise(grade_of(F.col("source_clock_ms")))
+    grade = F.greatest(grade_of(F.col("w_ms")), bound)
     unchecked = F.col("check_url").isNull() | F.col("failing")
-    final = F.when(F.col("graded").isin(*IN_CLASS) & unchecked, OUT).otherwise(F.col("graded"))
-    return rows.withColumn("graded", graded).select(
-        *KEYS, F.timestamp_seconds(F.col("t") * 60).alias("minute"), "w_ms", "declared_ms", final.alias("class")
+    final = F.when(F.col("w_ms").isNull(), 4).when((grade < 3) & unchecked, 3).otherwise(grade)
+    return rows.withColumn("grade", final).select(
+        *KEYS, F.timestamp_seconds(F.col("t") * 60).alias("minute"), "w_ms", "declared_ms", class_name(F.col("grade")).alias("class")
     )
 
 
