@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,10 @@ def reload_slice(df: DataFrame, path: str, slice_column: str, value) -> str:
 def _slice_rows(spark: SparkSession, path: str, df: DataFrame, slice_column: str, value) -> int:
     try:
         stored = spark.read.schema(df.schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return -1
-        raise
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
     return stored.where(F.col(slice_column) == F.lit(value)).count()
 
 

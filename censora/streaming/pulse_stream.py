@@ -6,6 +6,7 @@ shared checkpoint folder, so a lost executor or a restarted driver goes on from
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,17 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
         query = writer.outputMode(mode).foreachBatch(keep).start()
     query.awaitTermination()
     extra = [] if mode == "append" else [T.StructField("batch", T.IntegerType())]
-    return spark.read.schema(T.StructType([*stream.schema.fields, *extra])).parquet(target if mode == "append" else f"{target}/n=*")
+    return read_written(spark, target if mode == "append" else f"{target}/n=*", T.StructType([*stream.schema.fields, *extra]))
+
+
+def read_written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What a sink wrote; nothing when no batch ran."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def latest_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,4 +125,5 @@ def class_job(reports: DataFrame, data: DataFrame, checks: DataFrame, label: str
     checkpoint = shared_dir(spark, f"{label}-checkpoint")
     writer = reports.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer.foreachBatch(handle).start().awaitTermination()
-    return spark.read.parquet(f"{store}/changes/batch=*")
+    schema = "system string, datum string, since timestamp, class string, w_ms bigint"
+    return read_written(spark, f"{store}/changes/batch=*", T.StructType.fromDDL(schema))
