@@ -67,7 +67,7 @@ def nearest_within(
         return F.floor(F.unix_micros(F.col(instant)) / F.lit(block_s * 1_000_000)).cast("long")
 
     rights = right.select(*keys, F.col(right_time).alias("at"), F.struct(F.col(right_time).alias("at"), *fields).alias("report"))
-    rights = rights.withColumn("block", block("at"))
+    rights = rights.dropna(subset=keys).withColumn("block", block("at"))  # a NULL key matches nothing
     lefts = left.select(*keys, block(left_time).alias("block"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
     edges = both.groupBy(*keys, "block").agg(F.min("report").alias("first"), F.max("report").alias("last"))
@@ -85,7 +85,7 @@ def nearest_within(
         both.withColumn("before", F.last("report", ignorenulls=True).over(inside.orderBy("at", is_left, "report")))
         .withColumn("after", F.last("report", ignorenulls=True).over(inside.orderBy(F.desc("at"), is_left, F.desc("report"))))
         .where(is_left)
-        .join(edges, [*keys, "block"])
+        .join(edges, [*keys, "block"], "left")
         .withColumn("before", F.coalesce("before", "left_edge"))
         .withColumn("after", F.coalesce("after", "right_edge"))
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from censora.operators.ordering import join_null_safe
+
 
 def unfold(df: DataFrame, ids: Sequence[str], members: Mapping[str, str], dimension: str, measure: str) -> DataFrame:
     """One row per id × member from a wide frame; ``members`` maps member ids to columns."""
@@ -72,7 +74,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> tu
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("best"))
     first = best.select(*[F.col(c) if c in keys else F.col("best")[c].alias(c) for c in df.columns])
     identity = list(dict.fromkeys([*keys, *arrival]))
-    return first, df.join(first.select(*identity), identity, "left_anti").select(*df.columns)
+    return first, join_null_safe(df, first.select(*identity), identity, "left_anti")
 
 
 def latest_version(manifest: DataFrame, keys: Sequence[str], stamp: str, content: Sequence[str]) -> DataFrame:

@@ -306,7 +306,8 @@ def rollup_frame(cube: Cube, tables, dimensions: Sequence[str], measures: Sequen
 
 
 def _base(cube: Cube, tables, dims: Sequence[Dimension], q: CubeQuery) -> DataFrame:
-    used = [*dims, *[cube.dimension(k) for k in q.filters], *([cube.dimension(cube.time)] if cube.time else [])]
+    stocks = cube.time and any(cube.measure(k).kind == "stock" for k in q.measures)
+    used = [*dims, *[cube.dimension(k) for k in q.filters], *([cube.dimension(cube.time)] if stocks else [])]
     links = [x for d in used for x in d.links] + [x for k in q.measures for x in cube.measure_links.get(k, ())]
     df = _joined(cube, tables, [*cube.where_links, *links])
     if cube.where:

@@ -48,7 +48,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return Q.plan(replace(C.SALES, time=None), Q.CubeQuery(("quantity", "lines"), ("flag", "status"), order="flag"), t)
+    return Q.plan(C.SALES, Q.CubeQuery(("quantity", "lines"), ("flag", "status"), order="flag"), t)
 
 
 @query(

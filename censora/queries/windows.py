@@ -162,7 +162,7 @@ def _(t: Tables):
 
 CLIMATE_ARGS = {"half_window": 7, "min_years": 5, "min_reference": 2, "min_days": 100, "periods": ((1996, 2000), (1995, 1999))}
 CLIMATE_SQL = f"""{D.DAILY_SQL}, fy AS (SELECT station, year(day) AS y, count(tmax) AS days FROM daily GROUP BY 1, 2 HAVING count(tmax) >= 100),
-     cnt AS (SELECT station, count(*) FILTER (y BETWEEN 1996 AND 2000) AS y0, count(*) FILTER (y BETWEEN 1995 AND 1999) AS y1 FROM fy GROUP BY 1),
+     cnt AS (SELECT s.station, count(*) FILTER (y BETWEEN 1996 AND 2000) AS y0, count(*) FILTER (y BETWEEN 1995 AND 1999) AS y1 FROM (SELECT DISTINCT station FROM daily) s LEFT JOIN fy ON fy.station = s.station GROUP BY 1),
      lvl AS (SELECT station, CASE WHEN y0 >= 5 OR y1 >= 5 THEN 'normal' WHEN y0 >= 2 THEN 'reference' ELSE 'insufficient' END AS level, CASE WHEN y0 >= 5 OR y1 < 5 THEN 1996 ELSE 1995 END AS a,
                     CASE WHEN y0 >= 5 OR y1 >= 5 THEN 5 WHEN y0 >= 2 THEN 2 END AS needed FROM cnt),
      cal AS (SELECT strftime(DATE '2000-01-01' + i::INTEGER, '%m-%d') AS date FROM range(366) r(i)),

@@ -30,12 +30,12 @@ def cont(values, p):
     return values[low] + (values[high] - values[low]) * (position - low)
 
 
-@pytest.mark.parametrize("blocks", [1, 7, 4096])
-def test_percentiles_equal_brute_force(spark, blocks):
+@pytest.mark.parametrize(("blocks", "levels"), [(1, 1), (7, 2), (5, 3), (4096, 1)])
+def test_percentiles_equal_brute_force(spark, blocks, levels):
     data = sample()
     df = spark.createDataFrame(data, "k string, v double")
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = {r.k: r for r in O.percentiles(df, ["k"], "v", points, blocks).collect()}
+    got = {r.k: r for r in O.percentiles(df, ["k"], "v", points, blocks, levels).collect()}
     assert set(got) == {"hot", "a", None}
     for key, row in got.items():
         values = brute(data, key)
@@ -71,11 +71,11 @@ def test_ranked_equals_brute_force(spark):
 
 def test_previous_row_across_blocks_and_a_hot_key(spark):
     rng = random.Random(11)
-    data = [(rng.choices([1, 2, 3], [9, 1, 1])[0], rng.randrange(5000), i) for i in range(1500)]
+    data = [(rng.choices([1, 2, None], [9, 1, 1])[0], rng.randrange(5000), i) for i in range(1500)]
     df = spark.createDataFrame(data, "k int, t long, id int")
     got = O.with_previous(df, ["k"], ["t", "id"], F.floor(F.col("t") / 10), ["id", "t"])
     want = []
-    for key in (1, 2, 3):
+    for key in (1, 2, None):
         last = (None, None)
         for k, t, i in sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2])):
             want.append((k, t, i, *last))
@@ -86,14 +86,14 @@ def test_previous_row_across_blocks_and_a_hot_key(spark):
 def test_nearest_within_equals_brute_force(spark):
     rng = random.Random(2)
     start = 1_700_000_000
-    left = [(rng.choice("ab"), start + rng.randrange(40_000), i) for i in range(300)]
-    right = [(rng.choice("ab"), start + rng.randrange(40_000), float(i)) for i in range(60)]
+    left = [(rng.choice(["a", "b", None]), start + rng.randrange(40_000), i) for i in range(300)]
+    right = [(rng.choice(["a", "b", None]), start + rng.randrange(40_000), float(i)) for i in range(60)]
     ldf = spark.createDataFrame(left, "k string, s long, id int").withColumn("ts", F.timestamp_seconds("s"))
     rdf = spark.createDataFrame(right, "k string, s long, v double").withColumn("rt", F.timestamp_seconds("s"))
     got = J.nearest_within(ldf, rdf.drop("s"), ["k"], "ts", "rt", ["v"], 900, block_s=60).collect()
     assert len(got) == len(left)
     for r in got:
-        near = sorted((abs(s - r.s), s) for k, s, _ in right if k == r.k and abs(s - r.s) <= 900)
+        near = sorted((abs(s - r.s), s) for k, s, _ in right if k is not None and k == r.k and abs(s - r.s) <= 900)
         assert r.distance_s == (near[0][0] if near else None)
         if near:
             assert int(r.matched_at.timestamp()) in {s for d, s in near if d == near[0][0]}

@@ -25,10 +25,10 @@ def test_strict_types(frame):
 
 
 def test_keep_first_is_idempotent(frame):
-    df = frame("k string, v int, arrival int", ("a", 1, 3), ("a", 2, 1), ("b", 3, 2), ("a", 4, 9))
+    df = frame("k string, v int, arrival int", ("a", 1, 3), ("a", 2, 1), ("b", 3, 2), ("a", 4, 9), (None, 5, 4), (None, 6, 5))
     first, repeats = R.keep_first(df, ["k"], ["arrival"])
-    assert rows(first) == [("a", 2, 1), ("b", 3, 2)]
-    assert rows(repeats) == [("a", 1, 3), ("a", 4, 9)]
+    assert rows(first) == [("a", 2, 1), ("b", 3, 2), (None, 5, 4)]
+    assert rows(repeats) == [("a", 1, 3), ("a", 4, 9), (None, 6, 5)]
     again, none = R.keep_first(first, ["k"], ["arrival"])
     assert rows(again) == rows(first) and none.count() == 0
 
