@@ -53,8 +53,10 @@ def reconcile_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def fidelity_profile(df: DataFrame) -> DataFrame:
     """One row per column: Σ of numbers (4 decimals, exact), true count of booleans, first|last of dates, distinct texts;
-    plus the row count. One pass over the table, whatever its width."""
+    plus the row count. One pass over everything but the texts; each text column is read alone, so that counting distinct
+    values of many columns does not multiply the rows."""
     cells = [F.struct(F.lit("*").alias("column"), F.lit("count").alias("metric"), F.count(F.lit(1)).cast("string").alias("value"))]
+    texts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.NumericType):
@@ -64,11 +66,14 @@ def fidelity_profile(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             metric, value = "range", F.concat_ws("|", F.min(c).cast("string"), F.max(c).cast("string"))
         elif isinstance(f.dataType, T.StringType):
-            metric, value = "distinct", F.count_distinct(c).cast("string")
+            distinct = df.where(c.isNotNull()).select(c).distinct()
+            texts.append(distinct.agg(F.lit(f.name).alias("column"), F.lit("distinct").alias("metric"), F.count(F.lit(1)).cast("string").alias("value")))
+            continue
         else:
             metric, value = "filled", F.count(c).cast("string")
         cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(metric).alias("metric"), value.alias("value")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+    plain = df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+    return reduce(lambda a, b: a.unionByName(b), texts, plain)
 
 
 def compare_profiles(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from censora.functions.scalars import map_code
+from censora.functions.text import synonym_search
 from censora.operators.filters import MAX_FILTER_VALUES, in_filter
 from censora.operators.paging import ordered, truncated
 
@@ -342,27 +343,40 @@ def plan(cube: Cube, q: CubeQuery, tables) -> DataFrame:
     return truncated(result, order, min(q.limit or MAX_ROWS, MAX_ROWS))
 
 
-def members(cube: Cube, key: str, tables, contains: str | None = None, filters: Mapping[str, Sequence] | None = None, limit: int = 1000) -> DataFrame:
+def members(
+    cube: Cube,
+    key: str,
+    tables,
+    contains: str | None = None,
+    filters: Mapping[str, Sequence] | None = None,
+    limit: int = 1000,
+    thesaurus: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
     """Members of a dimension ``(id, name, n)``: the declared ones of a virtual dimension, the catalogue's, or those found in
-    the fact with their rows, under the filters of other dimensions."""
+    the fact with their rows, under the filters of other dimensions. With a thesaurus the search in names ignores accents and
+    knows synonyms; members that hold the words themselves come first."""
     d, filters = cube.dimension(key), dict(filters or {})
-    spark = tables.spark
+    unknown = F.lit(None).cast("bigint").alias("n")
+    text = lambda sql, name: F.expr(sql).cast("string").alias(name)
     if d.virtual:
-        frame = spark.createDataFrame([(m.id, m.name) for m in d.virtual], "id string, name string").withColumn("n", F.lit(None).cast("bigint"))
+        frame = tables.spark.createDataFrame([(m.id, m.name) for m in d.virtual], "id string, name string").select("*", unknown)
     elif d.catalogue is not None:
-        frame = d.catalogue(tables).select(F.col("id").cast("string").alias("id"), F.col("name").cast("string").alias("name"), F.lit(None).cast("bigint").alias("n"))
+        frame = d.catalogue(tables).select(text("id", "id"), text("name", "name"), unknown)
     else:
         for needed in cube.required:
             if needed != key and not filters.get(needed):
                 raise CubeError(f"members of {key!r} are read from the fact: filter by {needed!r}")
-        filters.pop(key, None)
-        q = CubeQuery((cube.measures[0].key,), (key,), {k: v for k, v in filters.items() if not cube.dimension(k).virtual})
-        base = _base(cube, tables, [d], q)
-        frame = base.groupBy(F.expr(d.id).cast("string").alias("id"), F.expr(d.name or d.id).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        kept = {k: v for k, v in filters.items() if k != key and not cube.dimension(k).virtual}
+        base = _base(cube, tables, [d], CubeQuery((), (key,), kept))
+        frame = base.groupBy(text(d.id, "id"), text(d.name or d.id, "name")).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.expr(d.order) if d.order else F.col("id"), F.col("id")]
+    if contains and thesaurus is not None:
+        found = synonym_search(frame, "name", contains, thesaurus)
+        return found.orderBy("synonym_only", *order).limit(limit).select("id", "name", "n")
     if contains:
         needle = contains.lower()
         frame = frame.where(F.lower("name").contains(needle) | F.lower("id").contains(needle))
-    return frame.orderBy(F.expr(d.order) if d.order else F.col("id"), "id").limit(limit)
+    return frame.orderBy(*order).limit(limit)
 
 
 def card(cube: Cube, tables) -> DataFrame:

@@ -218,8 +218,8 @@ def classes_by_minute(
 
     ``data(system, datum, source_kind, source_clock_ms, declared_latency_ms, via, check_url)`` declares the data;
     ``checks(system, datum, at, result)`` are the comparisons with the public face. Each datum is laid on the calendar of
-    minutes, from its first stored summary on, and every rule is a running aggregate or a look-back along it: partitions
-    are as long as the calendar, whatever the number of refreshes.
+    minutes, from two hours before ``start`` on, and every rule is a running aggregate or a look-back along it: partitions
+    are as long as the evaluated span, whatever the number of refreshes. What is older comes in as one row per datum.
     """
     buckets = summaries.where((F.col("on_time") == 1) & (F.col("minute") < end)).select(
         *KEYS,
@@ -231,19 +231,20 @@ def classes_by_minute(
         F.when(F.col("events") > 0, F.col("source_latency_max_ms")).alias("observed"),
     )
     first = F.floor(F.unix_seconds(start) / 60)
-    stored = F.coalesce(buckets.agg(F.min("t").alias("t")).scalar(), first)
-    calendar = F.sequence(F.least(first, stored), F.floor(F.unix_seconds(end) / 60))
-    grid = data.select(*KEYS).withColumn("t", F.explode(calendar))
+    origin, recent = first - 2 * WINDOW_MIN, first - WINDOW_MIN
+    calendar = F.sequence(origin, F.floor(F.unix_seconds(end) / 60))
+    grid = data.select(*KEYS).withColumn("t", F.explode(calendar)).join(_earlier(buckets, origin, recent), KEYS, "left")
     rows = grid.join(buckets, [*KEYS, "t"], "left").join(failing_checks(checks), [*KEYS, "t"], "left")
     along = W.partitionBy(*KEYS).orderBy("t")
     past = along.rowsBetween(W.unboundedPreceding, -1)
+    seen_t = F.when(F.col("first_ms").isNotNull(), F.col("t"))
     rows = (
-        rows.withColumn("prev_last", F.last("last_ms", ignorenulls=True).over(past))
-        .withColumn("first_t", F.min(F.when(F.col("first_ms").isNotNull(), F.col("t"))).over(past))
+        rows.withColumn("prev_last", F.coalesce(F.last("last_ms", ignorenulls=True).over(past), "old_last"))
+        .withColumn("first_t", F.least("old_first_t", F.min(seen_t).over(past)))
         .withColumn("failing", F.coalesce(F.last("failing", ignorenulls=True).over(along), F.lit(False)))
         .withColumn("gap", F.greatest(F.col("first_ms") - F.col("prev_last"), F.col("max_gap_ms")))
-        .withColumn("delivers", F.col("delivered").isNotNull())
-        .drop("first_ms", "last_ms", "max_gap_ms")
+        .withColumn("delivers", F.col("delivered").isNotNull() & (F.col("t") >= recent))
+        .drop("first_ms", "last_ms", "max_gap_ms", "old_last", "old_first_t")
     )
     rows = _sliding_hour(rows, along, ["gap", "delivered", "observed"])
     # Without deliveries in the hour, the last hour that had some counts, with the source latencies of that hour.
@@ -253,9 +254,9 @@ def classes_by_minute(
             "gap": F.lag("gap").over(along),
             "push_now": F.lag("delivered").over(along),
             "source_now": F.lag("observed").over(along),
-            "push_last": F.last(hour, ignorenulls=True).over(past),
+            "push_last": F.coalesce(F.last(hour, ignorenulls=True).over(past), "old_hour"),
         }
-    ).drop("delivered", "observed", "delivers")
+    ).drop("delivered", "observed", "delivers", "old_hour")
     rows = rows.where(F.col("t") >= first).join(data, KEYS)
     push = F.col("via") == "push"
     covered = F.col("first_t") < F.col("t") - WINDOW_MIN
@@ -278,6 +279,21 @@ def classes_by_minute(
     )
 
 
+def _earlier(buckets: DataFrame, origin: Column, recent: Column) -> DataFrame:
+    """What a datum brings from before the calendar: its last refresh and first minute (before ``origin``), and the worst
+    latencies of its last hour with deliveries (before ``recent``). Partial aggregates, one row per datum."""
+    old = buckets.where(F.col("t") < origin).groupBy(*KEYS).agg(
+        F.max_by("last_ms", "t").alias("old_last"), F.min("t").alias("old_first_t")
+    )
+    before = buckets.where(F.col("t") < recent)
+    last = before.where("delivered is not null").groupBy(*KEYS).agg(F.max("t").alias("last_t"))
+    in_hour = (F.col("t") > F.col("last_t") - WINDOW_MIN) & (F.col("t") <= F.col("last_t"))
+    hour = before.join(last, KEYS).where(in_hour).groupBy(*KEYS).agg(
+        F.struct(F.max("delivered").alias("delivered"), F.max("observed").alias("observed")).alias("old_hour")
+    )
+    return old.join(hour, KEYS, "full_outer")
+
+
 def failing_checks(checks: DataFrame) -> DataFrame:
     """Per check (by the first minute T that sees it) whether it completes three failures in a row."""
     last_three = W.partitionBy(*KEYS).orderBy("at").rowsBetween(-(FAILED_CHECKS - 1), 0)

@@ -101,6 +101,14 @@ def _(t: Tables):
     return Q.members(C.CUSTOMERS, "nation", t, contains="N_1")
 
 
+@query(
+    "i3_members_by_synonym",
+    "SELECT n_nationkey::VARCHAR AS id, n_name AS name, NULL::BIGINT AS n FROM nation WHERE regexp_matches(lower(n_name), 'country|nation_2|nation_7')",
+)
+def _(t: Tables):
+    return Q.members(C.CUSTOMERS, "nation", t, contains="Coúntry", thesaurus={"country": ["nation_2", "nation_7"]})
+
+
 def _card_sql(key, topic, rows, cut, cube):
     not_additive = ",".join(m.key for m in cube.measures if not m.additive)
     return f"""SELECT '{key}' AS cube, '{topic}' AS topic, ({rows}) AS rows, ({cut})::VARCHAR AS cut, '{",".join(m.key for m in cube.measures)}' AS measures, '{",".join(d.key for d in cube.dimensions)}' AS dimensions, '{not_additive}' AS not_additive"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from censora.functions.scalars import json_field
 from censora.plans import pulse
 from censora.queries import Tables, query
+from censora.session import materialise, shared_dir
 from censora.streaming import pulse_stream as S
 
 EV_SQL = """ev AS (SELECT event_id, event_type AS system, 'd' || (user_id % 4) AS datum, user_id, ts AS inst, date_trunc('minute', ts) AS minute, epoch_us(ts) // 1000 AS ms, ts + to_microseconds(round(value * 1000000)::BIGINT) AS received,
@@ -188,6 +189,24 @@ def _(t: Tables):
     return plain(pulse.class_intervals(pulse.class_changes(classes(t))))
 
 
+DUE_SQL = CHANGES_SQL.replace(
+    "date_trunc('minute', max(inst)) + INTERVAL 5 MINUTE AS hi FROM ev", "date_trunc('minute', max(received)) - INTERVAL 5 MINUTE AS hi FROM ev"
+)
+
+
+@query("m8_stream_class_changes", f"WITH {DUE_SQL} SELECT system, datum, since, class, w_ms FROM chg")
+def _(t: Tables):
+    # Reports reach the stream in order of arrival, half a month per micro-batch of so many files.
+    files = 16
+    reports = summaries(t).where("status <> 'rejected'").drop("status", "on_time")
+    folder, half = shared_dir(t.spark, "reports"), F.floor(F.dayofmonth("received") / 16).alias("half")
+    stored = materialise(reports.select("*", half), "reports-all")
+    for number in range(2):
+        stored.where(F.col("half") == number).drop("half").repartition(files).write.mode("append").parquet(folder)
+    stream = S.event_stream(t.spark, folder, reports.schema, "*.parquet", files=files)
+    return plain(S.class_job(stream, catalogue(t).drop("mode", "verified_at"), checks(t)))
+
+
 USER_SQL = """us AS (SELECT user_id, date_trunc('minute', ts) AS minute, max(ts + to_microseconds(round(value * 1000000)::BIGINT)) AS received FROM events GROUP BY 1, 2),
      dys AS (SELECT DISTINCT 'u' || user_id AS system, (minute - INTERVAL 6 HOUR)::DATE AS day FROM us WHERE received <= minute + INTERVAL 6 MINUTE),
      cal AS (SELECT s.system, (DATE '2023-12-25' + i::INTEGER) AS day FROM (SELECT DISTINCT 'u' || user_id AS system FROM us) s, range(38) r(i)),

@@ -121,6 +121,16 @@ def test_sparse_history_equals_brute_force(grade):
         assert got[t].w_ms == want, t
 
 
+@pytest.mark.parametrize("via", ["poll", "push"])
+def test_a_later_start_grades_the_same(grade, via):
+    minutes = [*range(0, 70), 75, 140, 141, 200, 205, 330, 331]
+    data = [summary(m, 5, 35, 30_000, refreshes=2, deliveries=m % 3, delivered=(m * 37) % 900 if m % 3 else None, events=1, latency=m * 3) for m in minutes]
+    whole = grade(data, datum(via=via), start=0, end=420)
+    for start in (1, 61, 130, 210, 265, 331, 400):
+        part = grade(data, datum(via=via), start=start, end=420)
+        assert {t: (r.w_ms, r["class"]) for t, r in part.items()} == {t: (r.w_ms, r["class"]) for t, r in whole.items() if t >= start}
+
+
 def test_punctuality(frame):
     df = frame(SUMMARY, summary(0, late=300), summary(1, late=360), summary(2, late=24 * 3600 + 1)).drop("on_time")
     got = pulse.with_punctuality(df).orderBy("minute").collect()
