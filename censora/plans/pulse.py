@@ -233,18 +233,20 @@ def classes_by_minute(
     first = F.floor(F.unix_seconds(start) / 60)
     origin, recent = first - 2 * WINDOW_MIN, first - WINDOW_MIN
     calendar = F.sequence(origin, F.floor(F.unix_seconds(end) / 60))
-    grid = data.select(*KEYS).withColumn("t", F.explode(calendar)).join(_earlier(buckets, origin, recent), KEYS, "left")
-    rows = grid.join(buckets, [*KEYS, "t"], "left").join(failing_checks(checks), [*KEYS, "t"], "left")
+    failing = failing_checks(checks)
+    grid = data.select(*KEYS).withColumn("t", F.explode(calendar))
+    grid = grid.join(_earlier(buckets, failing, origin, recent), KEYS, "left")
+    rows = grid.join(buckets, [*KEYS, "t"], "left").join(failing, [*KEYS, "t"], "left")
     along = W.partitionBy(*KEYS).orderBy("t")
     past = along.rowsBetween(W.unboundedPreceding, -1)
     seen_t = F.when(F.col("first_ms").isNotNull(), F.col("t"))
     rows = (
         rows.withColumn("prev_last", F.coalesce(F.last("last_ms", ignorenulls=True).over(past), "old_last"))
         .withColumn("first_t", F.least("old_first_t", F.min(seen_t).over(past)))
-        .withColumn("failing", F.coalesce(F.last("failing", ignorenulls=True).over(along), F.lit(False)))
+        .withColumn("failing", F.coalesce(F.last("failing", ignorenulls=True).over(along), "old_failing", F.lit(False)))
         .withColumn("gap", F.greatest(F.col("first_ms") - F.col("prev_last"), F.col("max_gap_ms")))
         .withColumn("delivers", F.col("delivered").isNotNull() & (F.col("t") >= recent))
-        .drop("first_ms", "last_ms", "max_gap_ms", "old_last", "old_first_t")
+        .drop("first_ms", "last_ms", "max_gap_ms", "old_last", "old_first_t", "old_failing")
     )
     rows = _sliding_hour(rows, along, ["gap", "delivered", "observed"])
     # Without deliveries in the hour, the last hour that had some counts, with the source latencies of that hour.
@@ -279,9 +281,10 @@ def classes_by_minute(
     )
 
 
-def _earlier(buckets: DataFrame, origin: Column, recent: Column) -> DataFrame:
-    """What a datum brings from before the calendar: its last refresh and first minute (before ``origin``), and the worst
-    latencies of its last hour with deliveries (before ``recent``). Partial aggregates, one row per datum."""
+def _earlier(buckets: DataFrame, failing: DataFrame, origin: Column, recent: Column) -> DataFrame:
+    """What a datum brings from before the calendar: its last refresh, first minute and verdict of its checks (before
+    ``origin``), and the worst latencies of its last hour with deliveries (before ``recent``). Partial aggregates, one row
+    per datum."""
     old = buckets.where(F.col("t") < origin).groupBy(*KEYS).agg(
         F.max_by("last_ms", "t").alias("old_last"), F.min("t").alias("old_first_t")
     )
@@ -291,7 +294,8 @@ def _earlier(buckets: DataFrame, origin: Column, recent: Column) -> DataFrame:
     hour = before.join(last, KEYS).where(in_hour).groupBy(*KEYS).agg(
         F.struct(F.max("delivered").alias("delivered"), F.max("observed").alias("observed")).alias("old_hour")
     )
-    return old.join(hour, KEYS, "full_outer")
+    verdict = failing.where(F.col("t") < origin).groupBy(*KEYS).agg(F.max_by("failing", "t").alias("old_failing"))
+    return old.join(hour, KEYS, "full_outer").join(verdict, KEYS, "full_outer")
 
 
 def failing_checks(checks: DataFrame) -> DataFrame:

@@ -125,9 +125,10 @@ def test_sparse_history_equals_brute_force(grade):
 def test_a_later_start_grades_the_same(grade, via):
     minutes = [*range(0, 70), 75, 140, 141, 200, 205, 330, 331]
     data = [summary(m, 5, 35, 30_000, refreshes=2, deliveries=m % 3, delivered=(m * 37) % 900 if m % 3 else None, events=1, latency=m * 3) for m in minutes]
-    whole = grade(data, datum(via=via), start=0, end=420)
+    checks = [("s", "d", at(10 * i), "no-coincide" if 3 <= i <= 6 or i >= 30 else "coincide") for i in (0, 1, 2, 3, 4, 5, 6, 9, 30, 31, 32)]
+    whole = grade(data, datum(via=via), checks, start=0, end=420)
     for start in (1, 61, 130, 210, 265, 331, 400):
-        part = grade(data, datum(via=via), start=start, end=420)
+        part = grade(data, datum(via=via), checks, start=start, end=420)
         assert {t: (r.w_ms, r["class"]) for t, r in part.items()} == {t: (r.w_ms, r["class"]) for t, r in whole.items() if t >= start}
 
 
