@@ -49,12 +49,12 @@ def _(t: Tables):
 
 @query(
     "g5_offset_page",
-    """SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS total, ceil((SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') / 50)::BIGINT AS pages
-       FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_name, c_custkey LIMIT 50 OFFSET 100""",
+    """SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS total, ceil((SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') / 10)::BIGINT AS pages
+       FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_name, c_custkey LIMIT 10 OFFSET 10""",
 )
 def _(t: Tables):
     kept = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    return P.offset_page(kept, [F.col("c_name"), F.col("c_custkey")], 3, 50)
+    return P.offset_page(kept, [F.col("c_name"), F.col("c_custkey")], 2, 10)
 
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
