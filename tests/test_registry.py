@@ -9,8 +9,9 @@ SMOKE = ["a5_strict_types", "c6_synonym_search", "e8_percentile_cont", "g6_curso
 
 
 def test_every_query_has_sql_and_columns_of_the_same_name():
-    assert set(contract.queries()) == set(contract.oracle_sql())
-    assert len(contract.queries()) >= 240
+    assert {name for name, q in load().items() if q.sql is None} == set()
+    assert set(load()) <= set(contract.queries())
+    assert len(load()) >= 240
 
 
 def test_names_say_their_operator():
