@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from censora.llm.frames import with_fields
+
 # Words whose ids a worker remembers: two generations of this many, about 150 bytes each.
 CACHE_WORDS = 500_000
 
@@ -158,8 +160,8 @@ def vocabulary(path: str) -> Bpe:
 
 def encode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text: str = "text", ids: str = "ids") -> DataFrame:
     """``keep`` columns and the text's ``ids``: little-endian unsigned 32-bit integers in one binary value."""
-    rows = df.select(*keep, df[text].cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    rows = df.select(*[df[c] for c in keep], df[text].cast("string").alias("_text"))
+    schema = with_fields(df.select(*[df[c] for c in keep]).schema, f"`{ids}` binary")
 
     def run(batches):
         coder = vocabulary(path)
@@ -167,13 +169,13 @@ def encode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text: st
             packed = [coder.encode(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(packed, pa.binary())], [*keep, ids])
 
-    return rows.mapInArrow(run, f"{schema}, `{ids}` binary")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids: str = "ids", text: str = "text") -> DataFrame:
     """``keep`` columns and the ``text`` of the ids; bytes that are no UTF-8 become U+FFFD. NULL ids give an empty text."""
-    rows = df.select(*keep, df[ids].alias("_ids"))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    rows = df.select(*[df[c] for c in keep], df[ids].alias("_ids"))
+    schema = with_fields(df.select(*[df[c] for c in keep]).schema, f"`{text}` string")
 
     def run(batches):
         coder = vocabulary(path)
@@ -181,4 +183,4 @@ def decode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids: str
             texts = [coder.decode(i).decode("utf-8", "replace") if i else "" for i in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, text])
 
-    return rows.mapInArrow(run, f"{schema}, `{text}` string")
+    return rows.mapInArrow(run, schema)

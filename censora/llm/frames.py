@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Rows that one block of a numbered group holds on average, whatever the size of the group.
 BLOCK_ROWS = 100_000
@@ -38,3 +39,19 @@ def numbered(df: DataFrame, keys: Sequence[str], identity: Sequence[str], name:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The column as text, an empty one for NULL."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def with_fields(schema: StructType, added: str) -> StructType:
+    """The schema with further fields, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])
+
+
+def aside(df: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns renamed whose names an operator needs, and the way back to the columns of ``df``."""
+    taken = {r.lower() for r in reserved}
+    names = [f"_own_{i}" if c.lower() in taken else c for i, c in enumerate(df.columns)]
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(f"`{new}`").alias(old) for new, old in zip(names, df.columns)])
+
+    return df.toDF(*names), back

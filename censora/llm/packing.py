@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from censora.llm import bpe
-from censora.llm.frames import numbered
+from censora.llm.frames import numbered, with_fields
 from censora.session import materialise
 
 # Rounds of the weights (rounded solutions are looked at every STRIDE of them), how fast weights fall with the cover, and
@@ -68,8 +68,8 @@ _LIBRARY: dict[str, LibraryIds] = {}
 
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, keep: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``keep``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, its ``ids``."""
-    kind = df.schema[keep].dataType.simpleString()
-    rows = df.select(F.col(keep), F.col(text).cast("string").alias("_text"))
+    rows = df.select(df[keep], df[text].cast("string").alias("_text"))
+    fields = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
         if path not in _LIBRARY:
@@ -94,8 +94,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, keep: str =
                 names = [keep, "piece", "start", "length", "ids_crc32", "ids"][: 1 + len(columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *columns], names)
 
-    schema = f"`{keep}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, with_fields(df.select(df[keep]).schema, fields))
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,8 +259,7 @@ def pack(cut: DataFrame, capacity: int, identity: Sequence[str] = ("doc_id", "pi
                 [*batch.columns[: len(names)], pa.array(base + nth // copies), pa.array(offset + nth % copies * length)], [*names, "sequence_id", "offset"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return rows.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return rows.mapInArrow(run, with_fields(cut.schema, "sequence_id long, offset long"))
 
 
 def packed_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep: str = "doc_id", text: str = "text") -> DataFrame:

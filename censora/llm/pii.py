@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from censora.llm.frames import with_fields
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -225,20 +227,16 @@ SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
-def _schema(df: DataFrame, columns: Sequence[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-
-
 def find(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns and the text's ``spans``."""
-    rows = df.select(*keep, df[text].cast("string").alias("_text"))
+    rows = df.select(*[df[c] for c in keep], df[text].cast("string").alias("_text"))
 
     def run(batches):
         for batch in batches:
             found = [[s._asdict() for s in spans(t)] for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, _ARROW)], [*keep, "spans"])
 
-    return rows.mapInArrow(run, f"{_schema(df, keep)}, spans {SPANS}")
+    return rows.mapInArrow(run, with_fields(df.select(*[df[c] for c in keep]).schema, f"spans {SPANS}"))
 
 
 def masked(text: str | None) -> str | None:
@@ -265,7 +263,7 @@ def mask(df: DataFrame, text: str = "text") -> DataFrame:
             column = pa.array([masked(t) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([column if i == place else c for i, c in enumerate(batch.columns)], names)
 
-    return rows.mapInArrow(run, _schema(rows, names))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def joined(found: Column) -> Column:

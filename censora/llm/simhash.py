@@ -23,8 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from censora.llm.components import components
+from censora.llm.frames import aside, with_fields
 from censora.session import materialise
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -63,8 +65,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "print",
             found = np.array([fingerprint(t) for t in batch.column(place).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], [*(names[i] for i in kept), name])
 
-    schema = ", ".join(f"`{rows.schema[i].name}` {rows.schema[i].dataType.simpleString()}" for i in kept)
-    return rows.mapInArrow(run, f"{schema}, `{name}` long" if kept else f"`{name}` long")
+    schema = StructType([rows.schema[i] for i in kept])
+    return rows.mapInArrow(run, with_fields(schema, f"`{name}` long"))
 
 
 def distances(prints: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -189,16 +191,17 @@ def grouped(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``print``, ``component_id``: one row per row of ``docs``. Texts are read once and not shuffled."""
-    return grouped(materialise(with_fingerprints(docs.select(doc_id, text), text), "fingerprints"), doc_id).drop("root")
+    return grouped(materialise(with_fingerprints(docs.select(docs[doc_id], docs[text]), text), "fingerprints"), doc_id).drop("root")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id (the first stored one of equal ids)."""
-    stored = materialise(with_fingerprints(docs, text, "_print", keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "marked")
+    own, back = aside(docs, ("_print", "_row"))
+    stored = materialise(with_fingerprints(own, text, "_print", keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "marked")
     groups = grouped(stored.select(F.col(doc_id).alias("_id"), F.col("_print").alias("print"), "_row"), "_id")
     first = F.min(F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     stay = materialise(groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("_row")), "staying")
-    return stored.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(stored.join(stay, "_row", "left_semi"))
 
 
 def hex_print(column: str = "print") -> Column:
