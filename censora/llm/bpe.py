@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from censora.llm.frames import with_fields
+from censora.llm.frames import slices, with_fields
 
-# Words whose ids a worker remembers: two generations of this many, about 150 bytes each.
-CACHE_WORDS = 500_000
+# Words whose ids a worker remembers: two generations of this many, about 200 bytes each.
+CACHE_WORDS = 250_000
 
 # Texts of these characters alone are cut by the faster of two engines; every letter here is one for both.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -165,7 +165,7 @@ def encode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text: st
 
     def run(batches):
         coder = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [coder.encode(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(packed, pa.binary())], [*keep, ids])
 
@@ -179,7 +179,7 @@ def decode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids: str
 
     def run(batches):
         coder = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [coder.decode(i).decode("utf-8", "replace") if i else "" for i in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, text])
 

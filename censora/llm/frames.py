@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.types import StructType
 
 # Rows that one block of a numbered group holds on average, whatever the size of the group.
 BLOCK_ROWS = 100_000
+# Rows with whole texts that a worker handles at once.
+SLICE_ROWS = 256
 
 
 def blocks_for(rows: int, spark) -> int:
@@ -41,6 +44,13 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut small, so that what a worker holds in Python does not depend on the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def with_fields(schema: StructType, added: str) -> StructType:
     """The schema with further fields, given as DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(added).fields])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from censora.llm import bpe
-from censora.llm.frames import numbered, with_fields
+from censora.llm.frames import numbered, slices, with_fields
 from censora.session import materialise
 
 # Rounds of the weights (rounded solutions are looked at every STRIDE of them), how fast weights fall with the cover, and
@@ -45,7 +45,7 @@ class LibraryIds:
 
         self.library = Tokenizer.from_file(path)
         self.cut = bpe.vocabulary(path)
-        self.known = bpe.Recent(lambda word: self.of([word])[0], 700_000)
+        self.known = bpe.Recent(lambda word: self.of([word])[0], bpe.CACHE_WORDS)
 
     def of(self, words: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)

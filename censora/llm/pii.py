@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from censora.llm.frames import with_fields
+from censora.llm.frames import slices, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -232,7 +232,7 @@ def find(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -
     rows = df.select(*[df[c] for c in keep], df[text].cast("string").alias("_text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [[s._asdict() for s in spans(t)] for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, _ARROW)], [*keep, "spans"])
 
@@ -259,7 +259,7 @@ def mask(df: DataFrame, text: str = "text") -> DataFrame:
     rows = df.withColumn(text, F.col(f"`{text}`").cast("string"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             column = pa.array([masked(t) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([column if i == place else c for i, c in enumerate(batch.columns)], names)
 

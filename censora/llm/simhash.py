@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from censora.llm.components import components
-from censora.llm.frames import aside, with_fields
+from censora.llm.frames import aside, slices, with_fields
 from censora.session import materialise
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "print",
     kept = [i for i in range(len(names)) if keep_text or i != place]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t) for t in batch.column(place).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], [*(names[i] for i in kept), name])
 
