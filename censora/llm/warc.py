@@ -322,7 +322,7 @@ def compressed(file) -> Iterator[Record]:
         else:
             while more(1 << 20):
                 del data[:]
-            at = read - len(given) - len(inflate.unused_data)
+            at = read - len(inflate.unused_data)
 
 
 def plain(file) -> Iterator[Record]:
