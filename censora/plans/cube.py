@@ -2,12 +2,13 @@
 a DataFrame plan.
 
 A definition knows what may be summed. A query is refused when it would count nested universes several times, lacks a
-mandatory filter or names something unknown. Everything else is a plain Catalyst plan: filter, join, group, order, limit.
+mandatory filter or names something unknown. Everything else is a plain Catalyst plan: filter, join, group, order. Results are
+complete unless the query itself asks for a limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,6 @@ from censora.functions.text import synonym_search
 from censora.operators.filters import MAX_FILTER_VALUES, in_filter
 from censora.operators.paging import ordered, truncated
 
-# Fixed value: rows of an interactive result.
-MAX_ROWS = 50_000
-
 
 @dataclass(frozen=True)
 class Measure:
@@ -155,34 +153,62 @@ def default_query(cube: Cube) -> CubeQuery:
     return CubeQuery(**cube.default) if cube.default else CubeQuery((cube.measures[0].key,))
 
 
-def check_query(cube: Cube, q: CubeQuery) -> None:
+def _names(cube: Cube, q: CubeQuery) -> Iterator[str]:
+    """What the query names exists, and nothing is asked for twice."""
+    known = {"measure": {m.key for m in cube.measures}, "dimension": {d.key for d in cube.dimensions}}
+    for kind, asked in (("measure", q.measures), ("dimension", q.columns), ("dimension", tuple(q.filters))):
+        for key in sorted(set(asked) - known[kind]):
+            yield f"{cube.key} declares no {kind} {key}"
+        for key in sorted({k for k in asked if asked.count(k) > 1}):
+            yield f"{kind} {key} is asked for more than once"
     if not q.measures:
-        raise CubeError("name at least one measure")
-    for label, keys, find in (("measure", q.measures, cube.measure), ("column", q.columns, cube.dimension)):
-        if len(set(keys)) != len(keys):
-            raise CubeError(f"a {label} is repeated")
-        for key in keys:
-            find(key)
+        yield "a query needs a measure"
+    if q.order is not None and q.order not in {*q.measures, *q.columns}:
+        yield f"{q.order} is not in the result, so it cannot order it"
+
+
+def _sizes(cube: Cube, q: CubeQuery) -> Iterator[str]:
+    """Filters have values, but not more than a predicate should hold; a limit leaves something."""
     for key, values in q.filters.items():
-        cube.dimension(key)
-        if not 1 <= len(values) <= MAX_FILTER_VALUES:
-            raise CubeError(f"a filter takes 1 to {MAX_FILTER_VALUES} values")
+        if not values:
+            yield f"the filter by {key} has no values"
+        if len(values) > MAX_FILTER_VALUES:
+            yield f"the filter by {key} has {len(values)} values; join a table of more than {MAX_FILTER_VALUES}"
+    if q.limit is not None and q.limit < 1:
+        yield f"a limit of {q.limit} leaves nothing"
+
+
+def _mandatory(cube: Cube, q: CubeQuery) -> Iterator[str]:
     for key in cube.required:
         if not q.filters.get(key):
-            raise CubeError(f"cube {cube.key!r} asks for a filter by {key!r} in every query")
+            yield f"{cube.key} is only read filtered by {key}"
+
+
+def _universes(cube: Cube, q: CubeQuery) -> Iterator[str]:
+    """Levels that contain one another are told apart by a filter, or by grouping along them."""
     for d in cube.dimensions:
-        if d.partition is None:
-            continue
-        if not (q.filters.get(d.key) or d.key in q.columns or any(x in q.columns for x in d.partition)):
-            raise CubeError(f"{d.key!r} holds universes that contain one another: filter one level or group by it")
-    shown = [d for d in expand(cube, q) if d.virtual]
-    filtered = [cube.dimension(k) for k in q.filters if cube.dimension(k).virtual]
-    if len(shown) > 1 or (shown and any(d.key != shown[0].key for d in filtered)) or (not shown and len(filtered) > 1):
-        raise CubeError("only one virtual dimension per query")
-    if q.order and q.order not in (*q.measures, *q.columns):
-        raise CubeError(f"{q.order!r} is neither a measure nor a column of the query")
-    if q.limit is not None and q.limit < 1:
-        raise CubeError("limit must be at least 1")
+        apart = {d.key, *(d.partition or ())} & set(q.columns)
+        if d.partition is not None and not apart and not q.filters.get(d.key):
+            yield f"the levels of {d.key} contain one another and would be counted several times"
+
+
+def _virtuals(cube: Cube, q: CubeQuery) -> Iterator[str]:
+    """Columns of a wide table stand for one dimension at a time."""
+    virtual = {d.key for d in cube.dimensions if d.virtual}
+    used = virtual & {*q.columns, *q.filters}
+    if len(used) > 1:
+        yield f"{' and '.join(sorted(used))} both stand for columns; a query can break down by one of them"
+
+
+# Each rule tells what is wrong, independently of the others.
+RULES: tuple[Callable[[Cube, CubeQuery], Iterator[str]], ...] = (_names, _sizes, _mandatory, _universes, _virtuals)
+
+
+def check_query(cube: Cube, q: CubeQuery) -> None:
+    """Refuse a query with everything that is wrong with it."""
+    wrong = [complaint for rule in RULES for complaint in rule(cube, q)]
+    if wrong:
+        raise CubeError("; ".join(wrong))
 
 
 def expand(cube: Cube, q: CubeQuery) -> list[Dimension]:
@@ -240,10 +266,11 @@ def _aggregate(cube: Cube, source: DataFrame, dims: Sequence[Dimension], q: Cube
         for m in chosen:
             if not any(m.key in x.exprs for x in members):
                 raise CubeError(f"measure {m.key!r} is not broken down by {virtual.key!r}")
-        wide = source.groupBy(*keyed).agg(
-            *[column(m, x).alias(f"v__{i}__{m.key}") for i, x in enumerate(members) for m in chosen]
-        )
-        return _unfold(wide, names, virtual, members, [m.key for m in chosen])
+        # One struct per member, all computed in the one aggregation, then one row each.
+        shown = [
+            F.struct(F.lit(x.id).alias(virtual.id_column), F.lit(x.name).alias(virtual.key), *[column(m, x).alias(m.key) for m in chosen]) for x in members
+        ]
+        return source.groupBy(*keyed).agg(F.array(*shown).alias("_members")).select(*names, F.inline("_members"))
     time_shown = cube.time is None or any(d.key == cube.time for d in dims)
     late = [m for m in chosen if m.kind == "stock"] if not time_shown else []
     plain = [m for m in chosen if m not in late]
@@ -273,21 +300,6 @@ def _members(d: Dimension, q: CubeQuery) -> list[Member]:
     return chosen
 
 
-def _unfold(wide: DataFrame, ids: list[str], d: Dimension, members: list[Member], measures: list[str]) -> DataFrame:
-    """One row per group × member, inside the plan: an array of member rows, exploded."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(m.id).alias(d.id_column),
-                F.lit(m.name).alias(d.key),
-                *[F.col(f"v__{i}__{k}").alias(k) for k in measures],
-            )
-            for i, m in enumerate(members)
-        ]
-    )
-    return wide.select(*ids, F.explode(rows).alias("r")).select(*ids, "r.*")
-
-
 def _route(cube: Cube, q: CubeQuery, dims: Sequence[Dimension]) -> Rollup | None:
     """The narrowest rollup that holds every column, filter and measure of the query; only additive measures travel."""
     needed = {d.key for d in dims} | set(q.filters)
@@ -340,7 +352,7 @@ def plan(cube: Cube, q: CubeQuery, tables) -> DataFrame:
     by_dimension = next((d for d in dims if d.key == first), None)
     rest = [d.id_column for d in dims]
     order = ordered(by_dimension.id_column if by_dimension else first, q.descending, rest)
-    return truncated(result, order, min(q.limit or MAX_ROWS, MAX_ROWS))
+    return truncated(result, order, q.limit)
 
 
 def members(
@@ -349,19 +361,24 @@ def members(
     tables,
     contains: str | None = None,
     filters: Mapping[str, Sequence] | None = None,
-    limit: int = 1000,
+    limit: int | None = None,
     thesaurus: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Members of a dimension ``(id, name, n)``: the declared ones of a virtual dimension, the catalogue's, or those found in
-    the fact with their rows, under the filters of other dimensions. With a thesaurus the search in names ignores accents and
-    knows synonyms; members that hold the words themselves come first."""
+    """Members of a dimension ``(id, name, n, position, truncated)``: the declared ones of a virtual dimension in their
+    declared order, the catalogue's by name, or those found in the fact with their rows, under the filters of other
+    dimensions, by id; a declared order goes first. With a thesaurus the search ignores accents and knows synonyms; members
+    that hold the words themselves come first. All members, unless the caller sets a limit."""
     d, filters = cube.dimension(key), dict(filters or {})
     unknown = F.lit(None).cast("bigint").alias("n")
     text = lambda sql, name: F.expr(sql).cast("string").alias(name)
+    order = [F.expr(d.order)] if d.order else []
     if d.virtual:
-        frame = tables.spark.createDataFrame([(m.id, m.name) for m in d.virtual], "id string, name string").select("*", unknown)
+        declared = [(m.id, m.name, i) for i, m in enumerate(d.virtual)]
+        frame = tables.spark.createDataFrame(declared, "id string, name string, place int").select("id", "name", unknown, "place")
+        order.append(F.col("place"))
     elif d.catalogue is not None:
         frame = d.catalogue(tables).select(text("id", "id"), text("name", "name"), unknown)
+        order.append(F.col("name"))
     else:
         for needed in cube.required:
             if needed != key and not filters.get(needed):
@@ -369,14 +386,14 @@ def members(
         kept = {k: v for k, v in filters.items() if k != key and not cube.dimension(k).virtual}
         base = _base(cube, tables, [d], CubeQuery((), (key,), kept))
         frame = base.groupBy(text(d.id, "id"), text(d.name or d.id, "name")).agg(F.count(F.lit(1)).alias("n"))
-    order = [F.expr(d.order) if d.order else F.col("id"), F.col("id")]
+    order.append(F.col("id"))
     if contains and thesaurus is not None:
-        found = synonym_search(frame, "name", contains, thesaurus)
-        return found.orderBy("synonym_only", *order).limit(limit).select("id", "name", "n")
-    if contains:
+        frame = synonym_search(frame, ["name", "id"], contains, thesaurus)
+        order.insert(0, F.col("synonym_only"))
+    elif contains:
         needle = contains.lower()
-        frame = frame.where(F.lower("name").contains(needle) | F.lower("id").contains(needle))
-    return frame.orderBy(*order).limit(limit)
+        frame = frame.where(F.contains(F.lower("name"), F.lit(needle)) | F.contains(F.lower("id"), F.lit(needle)))
+    return truncated(frame, order, limit).select("id", "name", "n", "position", "truncated")
 
 
 def card(cube: Cube, tables) -> DataFrame:

@@ -129,9 +129,10 @@ PARTS = Cube(
 )
 
 
-def _wide_orders(t):
-    flag = "sum(CASE WHEN l_returnflag = '{0}' THEN cast(l_quantity AS bigint) END) AS qty_{1}"
-    lines = t.lineitem.groupBy("l_orderkey").agg(*[F.expr(flag.format(f, f.lower())) for f in "ANR"])
+def _wide_lines(t):
+    """One row per line, its quantity in the column of its return flag; orders without lines keep one row."""
+    quantity = F.col("l_quantity").cast("bigint")
+    lines = t.lineitem.select("l_orderkey", *[F.when(F.col("l_returnflag") == f, quantity).alias(f"qty_{f.lower()}") for f in "ANR"])
     return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
 
@@ -139,10 +140,10 @@ def _wide_orders(t):
 QUANTITIES = Cube(
     key="quantities",
     topic="trade",
-    fact=_wide_orders,
+    fact=_wide_lines,
     measures=(
         Measure("quantity", "sum(coalesce(qty_a, 0) + coalesce(qty_n, 0) + coalesce(qty_r, 0))", "units"),
-        Measure("orders", "count(*)", "orders"),
+        Measure("orders", "count(DISTINCT o_orderkey)", "orders", "rate"),
     ),
     dimensions=(
         Dimension("year", "year(o_orderdate)", kind="temporal"),

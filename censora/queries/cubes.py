@@ -13,10 +13,10 @@ from censora.session import materialise
 STAR = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
 
 
-def numbered(body: str, order: str, limit: int = 50_000) -> str:
-    """The result of ``body`` in the asked order with its position and whether more rows exist."""
-    return f"""WITH r AS ({body}) SELECT *, row_number() OVER (ORDER BY {order})::INTEGER AS position, (SELECT count(*) FROM r) > {limit} AS truncated
-        FROM r ORDER BY {order} LIMIT {limit}"""
+def numbered(body: str, order: str, limit: int | None = None) -> str:
+    """The result of ``body`` with its position in the asked order and whether a limit left rows out."""
+    rest = f"(SELECT count(*) FROM r) > {limit} AS truncated FROM r ORDER BY {order} LIMIT {limit}" if limit else "false AS truncated FROM r"
+    return f"WITH r AS ({body}) SELECT *, row_number() OVER (ORDER BY {order}) AS position, {rest}"
 
 
 @query(
@@ -40,6 +40,20 @@ def _(t: Tables):
     return Q.plan(C.SALES, q, t)
 
 
+@query(
+    "i1_cube_many_groups",
+    numbered(
+        """SELECT o_orderdate AS day, o_custkey AS buyer, o_orderkey AS number, l_returnflag AS flag, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS revenue, count(*) AS lines
+           FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4""",
+        "revenue DESC NULLS LAST, day NULLS LAST, buyer NULLS LAST, number NULLS LAST, flag NULLS LAST",
+    ),
+)
+def _(t: Tables):
+    # Nearly as many groups as lines: the result is complete, and no task holds more of it than its range.
+    fine = tuple(Q.Dimension(k, c, links=("orders",)) for k, c in (("day", "o_orderdate"), ("buyer", "o_custkey"), ("number", "o_orderkey")))
+    return Q.plan(replace(C.SALES, dimensions=(*C.SALES.dimensions, *fine)), Q.CubeQuery(("revenue", "lines"), ("day", "buyer", "number", "flag")), t)
+
+
 @query(
     "i1_cube_no_join_needed",
     numbered(
@@ -88,25 +102,36 @@ def _(t: Tables):
     return Q.plan(C.ORDERS, Q.CubeQuery(("orders",), ("month", "nation"), parents=True, order="nation", descending=False), t)
 
 
+def listed(body: str, order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS position, false AS truncated FROM ({body})"
+
+
 @query(
     "i3_members_from_facts",
-    "SELECT c_mktsegment AS id, c_mktsegment AS name, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT') AND c_mktsegment ILIKE '%ur%' GROUP BY 1, 2",
+    listed("SELECT c_mktsegment AS id, c_mktsegment AS name, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT') AND c_mktsegment ILIKE '%ur%' GROUP BY 1, 2", "id"),
 )
 def _(t: Tables):
     return Q.members(C.ORDERS, "segment", t, contains="UR", filters={"priority": ["1-URGENT"]})
 
 
-@query("i3_members_from_catalogue", "SELECT n_nationkey::VARCHAR AS id, n_name AS name, NULL::BIGINT AS n FROM nation WHERE n_name ILIKE '%n_1%'")
+@query("i3_members_from_catalogue", listed("SELECT n_nationkey::VARCHAR AS id, n_name AS name, NULL::BIGINT AS n FROM nation WHERE n_name ILIKE '%n_1%'", "name, id"))
 def _(t: Tables):
     return Q.members(C.CUSTOMERS, "nation", t, contains="N_1")
 
 
+@query("i3_members_declared_order", "SELECT id, 'Flag ' || id AS name, NULL::BIGINT AS n, position, false AS truncated FROM (VALUES ('A', 1::BIGINT), ('N', 2), ('R', 3)) m(id, position)")
+def _(t: Tables):
+    return Q.members(C.QUANTITIES, "flag", t)
+
+
 @query(
     "i3_members_by_synonym",
-    "SELECT n_nationkey::VARCHAR AS id, n_name AS name, NULL::BIGINT AS n FROM nation WHERE regexp_matches(lower(n_name), 'country|nation_2|nation_7')",
+    """SELECT id, name, NULL::BIGINT AS n, row_number() OVER (ORDER BY hit, name, id) AS position, false AS truncated FROM (SELECT n_nationkey::VARCHAR AS id, n_name AS name,
+         CASE WHEN regexp_matches(lower(n_name) || chr(10) || n_nationkey, '1') THEN 0 ELSE 1 END AS hit FROM nation WHERE regexp_matches(lower(n_name) || chr(10) || n_nationkey, '1|nation_2|nation_7'))""",
 )
 def _(t: Tables):
-    return Q.members(C.CUSTOMERS, "nation", t, contains="Coúntry", thesaurus={"country": ["nation_2", "nation_7"]})
+    # Decomposed accents in the query, a synonym in wide letters; ids are searched as well as names.
+    return Q.members(C.CUSTOMERS, "nation", t, contains="1\u0301", thesaurus={"1": ["Na\u0301tion_2", "\uff4eation_7"]})
 
 
 def _card_sql(key, topic, rows, cut, cube):
@@ -120,7 +145,7 @@ _COUNTS = {
     "customers": ("SELECT count(*) FROM customer", "NULL"),
     "suppliers": ("SELECT count(*) FROM supplier", "NULL"),
     "parts": ("SELECT count(*) FROM part", "NULL"),
-    "quantities": ("SELECT count(*) FROM orders", "SELECT strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders"),
+    "quantities": ("SELECT count(*) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey", "SELECT strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders"),
     "census": ("SELECT count(DISTINCT c_nationkey) + count(DISTINCT n_regionkey) + 1 FROM customer JOIN nation ON c_nationkey = n_nationkey", "NULL"),
     "activity": ("SELECT count(*) FROM events", "SELECT max(ts) FROM events"),
     "funds": ("SELECT count(DISTINCT (c_mktsegment, strftime(o_orderdate, '%Y-%m'))) FROM orders LEFT JOIN customer ON o_custkey = c_custkey", "SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders"),
@@ -166,7 +191,7 @@ FLOWS_SQL = """m AS (SELECT c_mktsegment AS segment, strftime(o_orderdate, '%Y-%
 @query(
     "i8_semi_additive",
     f"""WITH {FLOWS_SQL}, r AS (SELECT segment, arg_max(stock, month) AS stock, sum(flow)::BIGINT AS flow, max(flow) AS largest_flow FROM s GROUP BY 1)
-        SELECT *, row_number() OVER (ORDER BY stock DESC, segment)::INTEGER AS position, false AS truncated FROM r""",
+        SELECT *, row_number() OVER (ORDER BY stock DESC, segment) AS position, false AS truncated FROM r""",
 )
 def _(t: Tables):
     return Q.plan(C.FUNDS, Q.CubeQuery(("stock", "flow", "largest_flow"), ("segment",)), t)
@@ -192,7 +217,7 @@ _DEFAULTS = {
 
 for _cube in C.CUBES:
     _body, _order = _DEFAULTS[_cube.key]
-    _sql = numbered(_body, _order) if _body else f"WITH {FLOWS_SQL}, r AS (SELECT month, sum(stock)::BIGINT AS stock FROM s GROUP BY 1) SELECT *, row_number() OVER (ORDER BY stock DESC, month)::INTEGER AS position, false AS truncated FROM r"
+    _sql = numbered(_body, _order) if _body else f"WITH {FLOWS_SQL}, r AS (SELECT month, sum(stock)::BIGINT AS stock FROM s GROUP BY 1) SELECT *, row_number() OVER (ORDER BY stock DESC, month) AS position, false AS truncated FROM r"
     query(f"i7_cube_{_cube.key}", _sql)(_default(_cube))
 
 

@@ -109,7 +109,7 @@ def _(t: Tables):
     rows = t.part.select("p_partkey", "p_name", "p_retailprice")
     titles = {"p_partkey": "id", "p_name": "name", "p_retailprice": "price"}
     for form in ("csv", "json", "parquet"):
-        S.export(rows, f"{path}/{form}", form, titles, cap=None)
+        S.export(rows, f"{path}/{form}", form, titles)
     schema = "id long, name string, price double"
     back = {
         "csv": t.spark.read.schema(schema).option("header", True).csv(f"{path}/csv"),

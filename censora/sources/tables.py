@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from censora.operators.joins import only_new
 from censora.operators.reshape import keep_first
 
-# Rows per Parquet row group of microdata, rows of an interactive export.
+# Fixed value: rows per Parquet row group of microdata.
 ROW_GROUP = 2_000
-EXPORT_ROWS = 50_000
 
 
 def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], key: Sequence[str], row_group: int = ROW_GROUP) -> DataFrame:
@@ -83,10 +82,17 @@ def materialise_summary(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def export(df: DataFrame, path: str, form: str, titles: Mapping[str, str] | None = None, cap: int | None = EXPORT_ROWS) -> None:
-    """Files for readers: titles as header, quotes only where needed. Interactive exports are capped; ``cap=None`` writes
-    everything, from all tasks."""
-    rows = df if cap is None else df.limit(cap)
+def export(
+    df: DataFrame, path: str, form: str, titles: Mapping[str, str] | None = None, limit: int | None = None, order: Sequence[Column] | None = None
+) -> bool:
+    """Files for readers: titles as header, quotes only where needed; everything, from all tasks.
+
+    A ``limit`` must come with the ``order`` that says which rows it keeps. Returns whether it left rows out.
+    """
+    if limit is not None and not order:
+        raise ValueError("a limited export needs an order")
+    cut = False if limit is None else df.limit(limit + 1).count() > limit
+    rows = df if limit is None else df.orderBy(*order).limit(limit)
     titled = rows.select(*[F.col(c).alias((titles or {}).get(c, c)) for c in df.columns])
     writer = titled.write.mode("overwrite")
     if form == "csv":
@@ -97,6 +103,7 @@ def export(df: DataFrame, path: str, form: str, titles: Mapping[str, str] | None
         writer.parquet(path)
     else:
         raise ValueError(f"unknown export format {form!r}")
+    return cut
 
 
 def inventory(tables: Mapping[str, DataFrame], cuts: Mapping[str, str]) -> DataFrame:

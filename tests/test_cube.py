@@ -75,6 +75,24 @@ def test_limit_and_truncation(tables):
     assert not ask(tables, ("w",), ("level",), limit=3).first().truncated
 
 
+def test_results_are_complete_and_in_order(spark, frame, monkeypatch):
+    from censora.operators import paging
+
+    monkeypatch.setattr(paging, "TOP", 10)
+    df = spark.range(3_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS v").repartition(5)
+    order = paging.ordered("v", True, ["id"])
+    want = {r.id: i for i, r in enumerate(sorted(df.collect(), key=lambda r: (-r.v, r.id)), 1)}
+    got = paging.truncated(df, order).collect()
+    assert {r.id: r.position for r in got} == want and not any(r.truncated for r in got)
+    cut = paging.truncated(df, order, 1_000).collect()
+    assert {r.id for r in cut} == {i for i, p in want.items() if p <= 1_000} and all(r.truncated for r in cut)
+
+
+def test_every_complaint_is_told():
+    with pytest.raises(Q.CubeError, match="nope.*several times"):
+        Q.check_query(PEOPLE, Q.CubeQuery(("nope",), ("year",)))
+
+
 @pytest.mark.parametrize(
     "query",
     [
@@ -96,7 +114,7 @@ def test_bad_queries_are_refused(query):
 
 def test_mandatory_filter():
     cube = next(c for c in CUBES if c.required)
-    with pytest.raises(Q.CubeError, match="asks for a filter"):
+    with pytest.raises(Q.CubeError, match="only read filtered by"):
         Q.check_query(cube, Q.CubeQuery(("events",), ("hour",)))
 
 

@@ -72,7 +72,18 @@ def test_search_by_synonym(frame):
     df = frame("id int, text string", (1, "Población desocupada"), (2, "Tasa de DESEMPLEO"), (3, "Población total"))
     got = text.synonym_search(df, "text", "Desempleo", thesaurus).orderBy("synonym_only").collect()
     assert [(r.id, r.synonym_only) for r in got] == [(2, 0), (1, 1)]
-    assert len(text.search_terms("a", {"a": [str(i) for i in range(20)]})) == text.MAX_TERMS
+    many = frame("v string", *[(f"t{i}",) for i in range(20)])
+    every = {"a": [f"t{i}" for i in range(20)]}
+    assert text.synonym_search(many, "v", "a", every).count() == 20
+    assert text.synonym_search(many, "v", "a", {"a": ["t11", "t12", "t13"]}, most=2).count() == 2
+
+
+def test_folding_is_one_rule_for_texts_and_queries(frame):
+    words = ["Kőszeg ŞİŞLİ ﬁn", "Nation\u0301", "Dž ĳ ﬆ", "Ελλάδα Й", "ＷＩＤＥ", "straße Ø"]
+    got = [r[0] for r in frame("v string", *[(w,) for w in words]).select(text.strip_accents("v")).collect()]
+    assert got == [text.fold(w) for w in words]
+    assert got[0] == "koszeg sisli fin" and got[1] == "nation" and got[4] == "wide"
+    assert text.synonym_search(frame("v string", ("Población",)), "v", "poblacio\u0301n", {}).count() == 1
 
 
 def test_slug_and_accents(frame):

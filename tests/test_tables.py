@@ -174,10 +174,12 @@ def test_slice_reload(spark, tmp_path):
     assert spark.read.schema(df.schema).parquet(path).count() == 10
 
 
-def test_export_caps_only_when_asked(spark, tmp_path):
+def test_export_is_complete_unless_limited(spark, tmp_path):
     df = spark.range(20).select("id", F.lit('a "b", c').alias("t"))
-    tables.export(df, str(tmp_path / "x"), "csv", {"id": "Clave"}, cap=5)
-    tables.export(df, str(tmp_path / "y"), "csv", cap=None)
+    assert tables.export(df, str(tmp_path / "x"), "csv", {"id": "Clave"}, limit=5, order=[F.desc("id")])
+    assert not tables.export(df, str(tmp_path / "y"), "csv")
+    with pytest.raises(ValueError, match="order"):
+        tables.export(df, str(tmp_path / "w"), "csv", limit=5)
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "x"))
     assert back.columns == ["Clave", "t"] and back.count() == 5 and back.first().t == 'a "b", c'
     assert spark.read.option("header", True).csv(str(tmp_path / "y")).count() == 20
