@@ -8,9 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Mean Earth radius and metres per degree of latitude.
+# Fixed value: mean Earth radius.
 EARTH_RADIUS_M = 6_371_000
-METRES_PER_DEGREE = 111_320
 
 
 def haversine_m(lat: Column, lon: Column, lat0: Column | float, lon0: Column | float) -> Column:
@@ -24,10 +23,23 @@ def haversine_m(lat: Column, lon: Column, lat0: Column | float, lon0: Column | f
 
 
 def box_around(lat: Column, lon: Column, lat0: float, lon0: float, radius_m: float) -> Column:
-    """Plain range predicate that reaches the scan; exact distances are only computed inside it."""
-    d_lat = radius_m / METRES_PER_DEGREE
-    d_lon = radius_m / (METRES_PER_DEGREE * math.cos(math.radians(lat0)))
-    return lat.between(lat0 - d_lat, lat0 + d_lat) & lon.between(lon0 - d_lon, lon0 + d_lon)
+    """Plain range predicates that reach the scan; exact distances are only computed inside them.
+
+    The box is as wide as the circle at its latitude, open in longitude where the circle holds a pole, and in two parts
+    where it crosses ±180°. Longitudes are between -180 and 180.
+    """
+    d_lat = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
+    inside = lat.between(lat0 - d_lat, lat0 + d_lat)
+    if abs(lat0) + d_lat >= 90:
+        return inside
+    # The meridian that touches the circle.
+    d_lon = math.degrees(math.asin(math.sin(math.radians(d_lat)) / math.cos(math.radians(lat0)))) * (1 + 1e-9)
+    west, east = lon0 - d_lon, lon0 + d_lon
+    if west < -180:
+        return inside & ((lon >= west + 360) | (lon <= east))
+    if east > 180:
+        return inside & ((lon >= west) | (lon <= east - 360))
+    return inside & lon.between(west, east)
 
 
 def grid_cell(degrees: Column, cell_degrees: float) -> Column:

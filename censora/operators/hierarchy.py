@@ -1,61 +1,72 @@
 """Code trees given as (code, parent): ancestors, closure, subtree totals, paths, level checks.
 
-Trees are climbed level by level with equi-joins; ``depth`` is the number of levels above a leaf, known for every
-classification (six at most for industries, three for places).
+Trees are climbed by doubling: pairs at distance 1, 2, 4 … are joined to those found so far until none is left, so a chain of
+any depth takes a logarithmic number of equi-joins and the tree is read once. A tree that leads back to itself is refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def closure(tree: DataFrame, depth: int, itself: bool = True) -> DataFrame:
-    """``(code, ancestor, distance)`` for every code and each of its ancestors, and the code itself at distance 0."""
-    up = tree.select(F.col("code").alias("ancestor"), F.col("parent").alias("next"))
-    reach = tree.select("code", F.col("code").alias("ancestor"), "parent", F.lit(0).alias("distance"))
-    levels = [reach] if itself else []
-    for distance in range(1, depth + 1):
-        step = reach.where("parent is not null").select("code", F.col("parent").alias("ancestor"))
-        reach = step.join(up, "ancestor").select("code", "ancestor", F.col("next").alias("parent"), F.lit(distance).alias("distance"))
-        levels.append(reach)
-    return reduce(lambda a, b: a.unionByName(b), levels).drop("parent")
+from censora.session import materialise
 
 
-def ancestors(tree: DataFrame, code: str, depth: int) -> DataFrame:
-    """Ancestors of one code, root first: ``level`` counts from the root."""
-    up = closure(tree.where(F.col("code").isNotNull()), depth, itself=False).where(F.col("code") == code)
-    height = up.agg(F.max("distance").alias("height")).scalar()
-    return up.withColumn("height", height).select("ancestor", (F.col("height") - F.col("distance") + 1).alias("level"))
+def closure(tree: DataFrame, itself: bool = True) -> DataFrame:
+    """``(code, ancestor, distance)`` for every code and each of its ancestors, and the code itself at distance 0."""
+    stored = materialise(tree.select("code", "parent"), "tree")
+    codes = stored.count()
+    known = stored.select("code").distinct()
+    steps = stored.join(known.withColumnRenamed("code", "parent"), "parent", "left_semi")
+    found = materialise(steps.select("code", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
+    span = 1
+    while not (far := found.where(F.col("distance") == span)).isEmpty():
+        if span > codes:
+            raise ValueError("the tree leads back to itself")
+        leap = far.select(F.col("code").alias("ancestor"), F.col("ancestor").alias("above"))
+        further = found.join(leap, "ancestor").select("code", F.col("above").alias("ancestor"), (F.col("distance") + span).alias("distance"))
+        found = materialise(found.unionByName(further), "ancestors")
+        span *= 2
+    return known.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance")).unionByName(found) if itself else found
+
+
+def ancestors(tree: DataFrame, code: str) -> DataFrame:
+    """Ancestors of one code, root first: ``level`` counts from the root. One filtered look-up per level, nothing else is read."""
+    chain, at = [], code
+    while True:
+        row = tree.where(F.col("code") == at).select("parent").first()
+        at = row.parent if row else None
+        if at is None or tree.where(F.col("code") == at).isEmpty():
+            break
+        if at in chain or at == code:
+            raise ValueError("the tree leads back to itself")
+        chain.append(at)
+    kind = tree.schema["code"].dataType.simpleString()
+    return tree.sparkSession.createDataFrame([(a, i) for i, a in enumerate(reversed(chain), 1)], f"ancestor {kind}, level int")
 
 
 def children(tree: DataFrame, code: str) -> DataFrame:
     return tree.where(F.col("parent") == code).select("code")
 
 
-def subtree_totals(tree: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+def subtree_totals(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     """Direct and total (with all descendants) counts of every code; ``leaves(code, n)`` are added up to each ancestor.
 
     The root receives every leaf: the sums fold map-side, one row per code and task.
     """
     direct = leaves.groupBy("code").agg(F.sum("n").alias("direct"))
-    lifted = closure(tree, depth).join(direct, "code").groupBy(F.col("ancestor").alias("code")).agg(F.sum("direct").alias("total"))
-    rows = tree.select("code").join(direct, "code", "left").join(lifted, "code", "left")
-    return rows.na.fill(0, ["direct", "total"])
+    reach = closure(tree)
+    rows = reach.join(direct, "code", "left").groupBy(F.col("ancestor").alias("code"))
+    own = F.sum(F.when(F.col("distance") == 0, F.col("direct")))
+    return rows.agg(F.coalesce(own, F.lit(0)).alias("direct"), F.coalesce(F.sum("direct"), F.lit(0)).alias("total"))
 
 
-def paths(tree: DataFrame, depth: int, separator: str = " › ") -> DataFrame:
-    """Root-to-code path of names for every code; ``tree(code, parent, name)``."""
-    up = tree.select(F.col("code").alias("at"), F.col("parent").alias("next"), F.col("name").alias("label"))
-    rows = tree.select("code", F.col("parent").alias("at"), F.col("name").alias("path"))
-    for _ in range(depth):
-        joined = rows.join(up, "at", "left")
-        path = F.when(F.col("label").isNotNull(), F.concat_ws(separator, "label", "path")).otherwise(F.col("path"))
-        rows = joined.select("code", F.col("next").alias("at"), path.alias("path"))
-    return rows.select("code", "path")
+def paths(tree: DataFrame, separator: str = " › ") -> DataFrame:
+    """Root-to-code path of names for every code; ``tree(code, parent, name)``. A path is as long as its code is deep."""
+    named = materialise(tree.select("code", "parent", "name"), "names")
+    labels = named.select(F.col("code").alias("ancestor"), "name")
+    steps = closure(named).join(labels, "ancestor").groupBy("code").agg(F.array_sort(F.collect_list(F.struct(-F.col("distance"), "name"))).alias("steps"))
+    return steps.select("code", F.concat_ws(separator, F.col("steps.name")).alias("path"))
 
 
 def level_check(tree: DataFrame, level: Column, published: DataFrame) -> DataFrame:
@@ -63,10 +74,3 @@ def level_check(tree: DataFrame, level: Column, published: DataFrame) -> DataFra
     counts = tree.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("codes"), F.min("code").alias("first"), F.max("code").alias("last"))
     rows = counts.join(published, "level", "full_outer")
     return rows.withColumn("matches", F.coalesce(F.col("codes") == F.col("published"), F.lit(False)))
-
-
-def depth_exceeded(tree: DataFrame, depth: int, keys: Sequence[str] = ("code",)) -> DataFrame:
-    """Codes that still have a parent above ``depth`` levels; empty when the depth suffices."""
-    far = closure(tree, depth).where(F.col("distance") == depth)
-    top = tree.where("parent is not null").select(F.col("code").alias("ancestor"))
-    return far.join(top, "ancestor", "left_semi").select(*keys)

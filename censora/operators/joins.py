@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censora.functions.geo import METRES_PER_DEGREE, box_around, grid_cell, haversine_m, point_in_ring, ring_box
+from censora.functions.geo import EARTH_RADIUS_M, box_around, grid_cell, haversine_m, point_in_ring, ring_box
 from censora.functions.text import strip_accents
 
+
 def with_catalogue(fact: DataFrame, catalogue: DataFrame, on: Column | Sequence[str], how: str = "left") -> DataFrame:
     """Fact joined to its catalogue; ``left`` keeps facts with unknown codes.
 
@@ -159,23 +161,37 @@ def radius_search(points: DataFrame, lat0: float, lon0: float, radius_m: float,
 
 def sites_near(centres: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
     """Pairs (centre, site) within ``radius_m``: each centre is spread over the grid cells its circle can touch, sites meet
-    it by equal cell, and the exact distance decides. ``centres(centre, clat, clon)``, ``sites(site, lat, lon, …)``."""
-    cell = radius_m / METRES_PER_DEGREE
-    # A degree of longitude shrinks with latitude: 2 cells each side reach beyond the radius up to 60° of latitude.
-    reach = centres.withColumn("cy", F.explode(_cells(F.col("clat"), cell, 1))).withColumn(
-        "cx", F.explode(_cells(F.col("clon"), cell, 2))
-    )
-    placed = sites.withColumn("cy", grid_cell(F.col("lat"), cell)).withColumn("cx", grid_cell(F.col("lon"), cell))
-    pairs = placed.join(reach, ["cy", "cx"])
+    it by equal cell, and the exact distance decides. ``centres(centre, clat, clon)``, ``sites(site, lat, lon, …)``.
+
+    Rows of cells are as high as the radius. A row has as many cells as fit around its parallel, so cells are about square
+    at every latitude, the few next to a pole span it, and numbers wrap around at ±180°.
+    """
+    height = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
+
+    def row_of(lat: Column) -> Column:
+        return F.floor((lat + 90) / height).cast("long")
+
+    def cells_in(row: Column) -> Column:
+        # By the parallel of the row that is nearest to a pole: no cell is narrower than the radius.
+        edge = F.least(F.greatest(F.abs(row * height - 90), F.abs((row + 1) * height - 90)), F.lit(90.0))
+        return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / height), F.lit(1)).cast("long")
+
+    def cell_of(lon: Column, row: Column) -> Column:
+        return F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * cells_in(row)), cells_in(row)).cast("long")
+
+    rows = centres.withColumn("cy", F.explode(F.sequence(row_of(F.col("clat")) - 1, row_of(F.col("clat")) + 1)))
+    # How far the circle reaches to the sides, in cells of that row; a circle that holds a pole reaches all around.
+    sine = F.sin(F.radians(F.lit(height))) / F.cos(F.radians("clat"))
+    reach = F.when((F.abs("clat") + height >= 90) | (sine >= 1), 180.0).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))))
+    steps = F.least(F.ceil(reach / 360 * cells_in(F.col("cy"))) + 1, F.floor(cells_in(F.col("cy")) / 2)).cast("long")
+    around = F.transform(F.sequence(-steps, steps), lambda k: F.pmod(cell_of(F.col("clon"), F.col("cy")) + k, cells_in(F.col("cy"))))
+    spread = rows.withColumn("cx", F.explode(F.array_distinct(around)))
+    placed = sites.withColumn("cy", row_of(F.col("lat"))).withColumn("cx", cell_of(F.col("lon"), F.col("cy")))
+    pairs = placed.join(spread, ["cy", "cx"])
     near = pairs.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")))
     return near.where(F.col("distance_m") <= radius_m).drop("cx", "cy")
 
 
-def _cells(degrees: Column, cell: float, around: int) -> Column:
-    centre = grid_cell(degrees, cell)
-    return F.sequence(centre - around, centre + around)
-
-
 def pick_station(pairs: DataFrame, close_m: float = 5_000) -> DataFrame:
     """Per centre the nearest eligible site, fresh ones within ``close_m`` first and then beyond, plus the nearest close one
     that measures particulates when the first does not.

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Blocks of a group in value-ordered work; raise it for continuous measurements with billions of distinct values.
-BLOCKS = 4096
+from censora.operators.paging import positioned
+from censora.session import materialise
+
+# Distinct (group, value) pairs that one block of value-ordered work holds.
+BLOCK_ROWS = 200_000
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: Column | str) -> DataFrame:
@@ -23,21 +26,17 @@ def value_counts(df: DataFrame, group: Sequence[str], value: Column | str) -> Da
     return rows.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _with_block(pairs: DataFrame, blocks: int) -> DataFrame:
-    """Number blocks of equal width on a logarithmic scale between the smallest and the largest value of the table.
+def _with_block(pairs: DataFrame, group: Sequence[str], block_rows: int) -> DataFrame:
+    """Pairs, stored, with the number of their ``block``; blocks are in (group, value) order and of nearly equal size.
 
-    The scale rises with the value, so blocks are in value order; it keeps blocks narrow where money and counts crowd.
-    A block holds distinct values only: cents below 10^9 give at most a few thousand per block and group.
+    The edges are quantiles that Spark samples when it ranges the pairs, so neither a hot group nor outliers nor a crowd of
+    close values make a block large.
     """
-
-    def scale(value: Column) -> Column:
-        return F.signum(value) * F.log1p(F.abs(value))
-
-    ends = pairs.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("ends")).scalar()
-    low, high = scale(ends["low"].cast("double")), scale(ends["high"].cast("double"))
-    share = F.try_divide(scale(F.col("value").cast("double")) - low, high - low)
-    # Never NULL: otherwise a join on the block pushes its null test below the aggregation, onto every row.
-    return pairs.withColumn("block", F.coalesce(F.floor(share * blocks), F.lit(0)))
+    stored = materialise(pairs, "pairs")
+    blocks = -(-stored.count() // block_rows)
+    if blocks <= 1:
+        return stored.withColumn("block", F.lit(0))
+    return materialise(stored.repartitionByRange(blocks, *group, "value").withColumn("block", F.spark_partition_id()), "blocks")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -55,42 +54,23 @@ def order_statistics(
     group: Sequence[str],
     value: Column | str,
     ranks: Mapping[str, Callable[[Column], Column]],
-    blocks: int = BLOCKS,
-    levels: int = 1,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact values at 0-based ranks: ``ranks[name](n)`` says which rank of the n sorted values goes to column ``name``.
 
     Returns one row per group: ``group``, ``n`` and the named values. Only the blocks that hold a wanted rank are sorted.
-    Each further level cuts those blocks again between their own smallest and largest value: two levels tell 16 million
-    blocks apart, which is for continuous measurements with billions of distinct values.
     """
     group = list(group)
-    pairs = _with_block(value_counts(df, group, value), blocks)
+    pairs = _with_block(value_counts(df, group, value), group, block_rows)
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("rank")) for k, f in ranks.items()])
     keys = [*group, "block"]
-    per_block = pairs.groupBy(*keys).agg(
-        F.sum("copies").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
+    per_block = pairs.groupBy(*keys).agg(F.sum("copies").alias("rows"))
     per_block = (
         per_block.withColumn("n", F.sum("rows").over(W.partitionBy(*group)))
         .withColumn("below", F.sum("rows").over(W.partitionBy(*group).orderBy("block")) - F.col("rows"))
         .withColumn("wanted", wanted)
     )
     inside = join_null_safe(pairs, _holding(per_block), keys)
-    for level in range(1, levels):
-        sub = f"sub_{level}"
-        share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
-        cut = inside.withColumn(sub, F.coalesce(F.floor(share.cast("double") * blocks), F.lit(0)))
-        finer = cut.groupBy(*keys, sub).agg(
-            F.sum("copies").alias("rows"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            *[F.max(c).alias(c) for c in ("n", "below", "wanted")],
-        )
-        along = W.partitionBy(*keys).orderBy(sub)
-        finer = finer.withColumn("below", F.col("below") + F.sum("rows").over(along) - F.col("rows"))
-        keys = [*keys, sub]
-        inside = join_null_safe(cut.drop("low", "high", "n", "below", "wanted"), _holding(finer), keys)
     last = F.col("below") + F.sum("copies").over(W.partitionBy(*keys).orderBy("value")) - 1
     inside = inside.withColumn("last", last).withColumn("first", F.col("last") - F.col("copies") + 1)
     hits = inside.select(*group, "n", "value", F.explode(
@@ -110,14 +90,14 @@ def _holding(blocks: DataFrame) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, group: Sequence[str], value: Column | str, points: Mapping[str, float], blocks: int = BLOCKS, levels: int = 1
+    df: DataFrame, group: Sequence[str], value: Column | str, points: Mapping[str, float], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Exact ``percentile_cont``: position (n−1)·p with linear interpolation between the two neighbours."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in points.items():
         ranks[f"{name}__low"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"{name}__high"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
-    stats = order_statistics(df, group, value, ranks, blocks, levels)
+    stats = order_statistics(df, group, value, ranks, block_rows)
     out = []
     for name, p in points.items():
         position = (F.col("n") - 1) * F.lit(p)
@@ -127,31 +107,31 @@ def percentiles(
 
 
 def floor_rank_quantiles(
-    df: DataFrame, group: Sequence[str], value: Column | str, points: Mapping[str, float], blocks: int = BLOCKS
+    df: DataFrame, group: Sequence[str], value: Column | str, points: Mapping[str, float], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Quantiles that are observed values: the one at rank floor(p·(n−1))."""
     ranks = {name: (lambda n, p=p: F.floor((n - 1) * F.lit(p))) for name, p in points.items()}
-    return order_statistics(df, group, value, ranks, blocks)
+    return order_statistics(df, group, value, ranks, block_rows)
 
 
-def medians(df: DataFrame, group: Sequence[str], value: Column | str, blocks: int = BLOCKS) -> DataFrame:
+def medians(df: DataFrame, group: Sequence[str], value: Column | str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``median`` (midpoint of the two middle values) and ``upper_median`` (value at rank floor(n/2))."""
     stats = order_statistics(
         df,
         group,
         value,
         {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)},
-        blocks,
+        block_rows,
     )
     return stats.select(
         *group, "n", ((F.col("low") + F.col("high")) / 2).alias("median"), F.col("high").alias("upper_median")
     )
 
 
-def value_ladder(df: DataFrame, group: Sequence[str], value: Column | str, blocks: int = BLOCKS) -> DataFrame:
+def value_ladder(df: DataFrame, group: Sequence[str], value: Column | str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every distinct (group, value) with ``copies``, ``below`` (rows with a smaller value), ``n`` and ``previous`` value."""
     group = list(group)
-    pairs = _with_block(value_counts(df, group, value), blocks)
+    pairs = _with_block(value_counts(df, group, value), group, block_rows)
     per_block = pairs.groupBy(*group, "block").agg(F.sum("copies").alias("in_block"), F.max("value").alias("top"))
     along = W.partitionBy(*group).orderBy("block")
     per_block = (
@@ -169,24 +149,24 @@ def value_ladder(df: DataFrame, group: Sequence[str], value: Column | str, block
     )
 
 
-def ranked(df: DataFrame, value: str, tie_break: Sequence[str], blocks: int = BLOCKS) -> DataFrame:
-    """Rank rows by ``value``, largest first, without a one-task window.
+def ranked(df: DataFrame, value: str, tie_break: Sequence[str]) -> DataFrame:
+    """Rank rows by ``value``, largest first, without a one-task window; rows without a value are left out.
 
     Adds ``rank`` (ties share it), ``percent_rank`` (smallest first, 0..1), ``position`` (ties in ``tie_break`` order) and
-    ``prev_value`` (the value of the row one position above; NULL for the first).
+    ``prev_value`` (the value of the row one position above; NULL for the first). Positions come from a range sort over value
+    and tie-break, so a value shared by any share of the rows is split; a tie is folded to its first and last position.
     """
-    flipped = df.withColumn("_flipped", -F.col(value))
-    ladder = value_ladder(flipped, [], "_flipped", blocks).select(
-        *[F.col(c).alias(f"_{c}") for c in ("value", "copies", "below", "n", "previous")]
-    )
-    within = W.partitionBy("_flipped").orderBy(*tie_break)
-    joined = flipped.join(ladder, F.col("_flipped") == F.col("_value")).withColumn("_seat", F.row_number().over(within))
-    smaller = F.col("_n") - F.col("_below") - F.col("_copies")
+    placed = materialise(positioned(df.where(F.col(value).isNotNull()), [F.desc(value), *map(F.col, tie_break)]), "placed")
+    ties = placed.groupBy(F.col(value).alias("_value")).agg(F.min("position").alias("_first"), F.max("position").alias("_last"))
+    above = ties.select(F.col("_value").alias("_above"), (F.col("_last") + 1).alias("_first"))
+    ties = ties.join(above, "_first", "left")
+    n = placed.count()
+    smaller = F.lit(n) - F.col("_last")
     return (
-        joined.withColumn("rank", F.col("_below") + 1)
-        .withColumn("position", F.col("_below") + F.col("_seat"))
-        .withColumn("percent_rank", F.when(F.col("_n") > 1, smaller / (F.col("_n") - 1)).otherwise(F.lit(0.0)))
-        .withColumn("prev_value", F.when(F.col("_seat") > 1, F.col(value)).otherwise(-F.col("_previous")))
+        placed.join(ties, F.col(value) == F.col("_value"))
+        .withColumn("rank", F.col("_first"))
+        .withColumn("percent_rank", smaller / F.lit(n - 1) if n > 1 else F.lit(0.0))
+        .withColumn("prev_value", F.when(F.col("position") > F.col("_first"), F.col(value)).otherwise(F.col("_above")))
         .select(*df.columns, "rank", "position", "percent_rank", "prev_value")
     )
 

@@ -28,7 +28,7 @@ def tree(t: Tables):
     f"""WITH {TREE_SQL} SELECT code, code AS ancestor, 0 AS distance FROM up UNION ALL SELECT code, p1, 1 FROM up WHERE p1 IS NOT NULL UNION ALL SELECT code, p2, 2 FROM up WHERE p2 IS NOT NULL UNION ALL SELECT code, p3, 3 FROM up WHERE p3 IS NOT NULL""",
 )
 def _(t: Tables):
-    return H.closure(tree(t), 3)
+    return H.closure(tree(t))
 
 
 @query(
@@ -37,7 +37,23 @@ def _(t: Tables):
         SELECT parent AS ancestor, (max(distance) OVER () - distance + 1)::INTEGER AS level FROM c WHERE parent IS NOT NULL""",
 )
 def _(t: Tables):
-    return H.ancestors(tree(t), "C7", 3)
+    return H.ancestors(tree(t), "C7")
+
+
+CHAIN_SQL = "chain AS (SELECT 'L' || o_orderkey AS code, CASE WHEN o_orderkey > 1 THEN 'L' || (o_orderkey // 3) END AS parent FROM (SELECT DISTINCT o_orderkey FROM orders))"
+
+
+@query(
+    "l1_closure_any_depth",
+    f"""WITH RECURSIVE {CHAIN_SQL}, u AS (SELECT c.code, c.parent AS ancestor, 1 AS distance FROM chain c WHERE c.parent IN (SELECT code FROM chain)
+          UNION ALL SELECT u.code, c.parent, u.distance + 1 FROM u JOIN chain c ON c.code = u.ancestor WHERE c.parent IN (SELECT code FROM chain))
+        SELECT code, ancestor, distance::INTEGER AS distance FROM u""",
+)
+def _(t: Tables):
+    # A tree over the order numbers, as deep as they are many digits in base three.
+    key = F.col("o_orderkey")
+    parent = F.when(key > 1, F.concat(F.lit("L"), F.floor(key / 3).cast("string")))
+    return H.closure(t.orders.select(F.concat(F.lit("L"), key.cast("string")).alias("code"), parent.alias("parent")).distinct(), itself=False)
 
 
 @query("l1_children", f"WITH {TREE_SQL} SELECT code FROM tree WHERE parent = 'N3'")
@@ -54,12 +70,12 @@ def _(t: Tables):
 )
 def _(t: Tables):
     leaves = t.orders.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return H.subtree_totals(tree(t), leaves, 3)
+    return H.subtree_totals(tree(t), leaves)
 
 
 @query("l3_paths", f"WITH {TREE_SQL} SELECT code, concat_ws(' › ', n3, n2, n1, name) AS path FROM up")
 def _(t: Tables):
-    return H.paths(tree(t), 3)
+    return H.paths(tree(t))
 
 
 @query(

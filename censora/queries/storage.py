@@ -34,21 +34,23 @@ def _(t: Tables):
 
 @query(
     "a3_read_csv_text",
-    """SELECT c_custkey::VARCHAR AS c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN ', Ñandú "é"' ELSE ' ü' END AS c_name, lpad(c_nationkey::VARCHAR, 2, '0') AS c_nationkey FROM customer""",
+    """SELECT c_custkey::VARCHAR AS c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN ', Ñandú "é"' WHEN c_custkey % 3 = 1 THEN chr(10) || ' "ü", ' || chr(10) ELSE ' ü' END || '.' AS c_name, lpad(c_nationkey::VARCHAR, 2, '0') AS c_nationkey FROM customer""",
 )
 def _(t: Tables):
     path = shared_dir(t.spark, "csv")
-    suffix = F.when(F.col("c_custkey") % 2 == 0, ', Ñandú "é"').otherwise(" ü")
+    # A third of the files holds cells with quoted line breaks.
+    key = F.col("c_custkey")
+    suffix = F.when(key % 2 == 0, ', Ñandú "é"').when(key % 3 == 1, '\n "ü", \n').otherwise(" ü")
     rows = t.customer.select(
         F.col("c_custkey").cast("string").alias("c_custkey"),
-        F.concat("c_name", suffix).alias("c_name"),
+        F.concat("c_name", suffix, F.lit(".")).alias("c_name"),
         zero_pad("c_nationkey", 2).alias("c_nationkey"),
         (F.col("c_custkey") % 3).alias("third"),
     )
-    for name, encoding, kept in (("utf8", "UTF-8", "third < 2"), ("latin", "ISO-8859-1", "third = 2")):
+    for name, encoding, kept in (("utf8", "UTF-8", "third = 0"), ("broken", "UTF-8", "third = 1"), ("latin", "ISO-8859-1", "third = 2")):
         writer = rows.where(kept).drop("third").write.option("header", True).option("escape", '"')
         writer.option("encoding", encoding).csv(f"{path}/{name}")
-    return R.read_csv_text(t.spark, [f"{path}/utf8/*.csv", f"{path}/latin/*.csv"])
+    return R.read_csv_text(t.spark, [f"{path}/{name}/*.csv" for name in ("utf8", "broken", "latin")])
 
 
 @query(

@@ -13,26 +13,28 @@ BOM = "﻿"
 
 
 def file_heads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file: its first line and whether every line is valid UTF-8. Lines are checked where they are read."""
+    """Per file: its first line, whether every line is valid UTF-8, and whether some quoted cell holds a line break (a line
+    with an odd number of quotes). Lines are checked where they are read."""
     lines = spark.read.text(list(paths)).select(
         "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")
     )
     first = F.when(F.col("file_block_start") == 0, F.col("place"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return lines.groupBy("file_path").agg(
-        F.min_by("value", first).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+        F.min_by("value", first).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken")
     )
 
 
 def read_csv_text(spark: SparkSession, paths: Sequence[str], separator: str = ",") -> DataFrame:
     """CSV files as text columns: UTF-8 or, for a file with any other byte, Latin-1. Columns are the union of the headers,
-    in order of appearance; what a file does not have is ''. Only one row per file reaches the driver."""
-    groups: dict[tuple[str, bool], list[str]] = {}
-    for head in sorted(file_heads(spark, paths).collect(), key=lambda h: h.file_path):
-        groups.setdefault((head.header, head.utf8), []).append(head.file_path)
+    in order of appearance; what a file does not have is ''. Only files with line breaks inside quotes are read whole.
+
+    One row per distinct header (with encoding) reaches the driver, with the names of its files."""
+    kinds = file_heads(spark, paths).groupBy("header", "utf8", "broken").agg(F.array_sort(F.collect_list("file_path")).alias("files"))
     frames = []
-    for (_, utf8), files in groups.items():
-        reader = spark.read.option("header", True).option("sep", separator).option("escape", '"')
-        df = reader.option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(files)
+    for kind in sorted(kinds.collect(), key=lambda k: k.files[0]):
+        reader = spark.read.option("header", True).option("sep", separator).option("escape", '"').option("multiLine", kind.broken)
+        df = reader.option("encoding", "UTF-8" if kind.utf8 else "ISO-8859-1").csv(list(kind.files))
         frames.append(df.toDF(*[_clean(c) for c in df.columns]))
     return union_headers(frames)
 

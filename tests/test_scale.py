@@ -31,6 +31,26 @@ def test_order_statistics_of_a_hot_group(skewed):
     assert off.count() == 0 and got.count() == exact.count()
 
 
+def test_outliers_do_not_crowd_a_block(spark):
+    values = spark.range(100_000).select((F.col("id") / 100).alias("v")).unionByName(spark.createDataFrame([(1e15,), (-1e15,)], "v double"))
+    blocks = O._with_block(O.value_counts(values, [], "v"), [], 5_000)
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] <= 2 * 5_000
+    got = O.percentiles(values, [], "v", {"p0": 0.0, "p50": 0.5, "p100": 1.0}, 5_000).first()
+    assert (got.p0, got.p50, got.p100) == (-1e15, 499.995, 1e15)
+
+
+def test_a_tie_of_a_third_of_all_rows_is_split(spark, many_tasks):
+    from censora.operators.paging import positioned
+
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") % 1000).alias("v"))
+    got = O.ranked(rows, "v", ["id"])
+    assert got.where("v = 7").agg(F.count_distinct("position"), F.count_distinct("rank")).first()[:] == (20_040, 1)
+    assert got.agg(F.count_distinct("position"), F.max("position")).first()[:] == (60_000, 60_000)
+    plan = positioned(rows, [F.desc("v"), F.col("id")])
+    sizes = plan.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 40_000
+
+
 def test_keep_first_of_a_hot_group(skewed):
     first, repeats = R.keep_first(skewed, ["k"], ["id"])
     assert first.count() + repeats.count() == N

@@ -90,13 +90,20 @@ def test_profiles_see_changes(spark):
 def test_tree(frame):
     pairs = [("72", None), ("722", "72"), ("7225", "722"), ("72251", "7225"), ("722511", "72251"), ("73", None)]
     tree = frame("code string, parent string, name string", *[(c, p, f"n{c}") for c, p in pairs])
-    assert [r.ancestor for r in H.ancestors(tree, "722511", 5).orderBy("level").collect()] == ["72", "722", "7225", "72251"]
+    assert [r.ancestor for r in H.ancestors(tree, "722511").orderBy("level").collect()] == ["72", "722", "7225", "72251"]
     leaves = frame("code string, n long", ("722511", 5), ("722", 2), ("73", 1))
-    got = {r.code: (r.direct, r.total) for r in H.subtree_totals(tree, leaves, 5).collect()}
+    got = {r.code: (r.direct, r.total) for r in H.subtree_totals(tree, leaves).collect()}
     assert got["72"] == (0, 7) and got["722"] == (2, 7) and got["73"] == (1, 1)
-    path = {r.code: r.path for r in H.paths(tree, 5).collect()}
+    path = {r.code: r.path for r in H.paths(tree).collect()}
     assert path["7225"] == "n72 › n722 › n7225"
-    assert H.depth_exceeded(tree, 4).count() == 0 and H.depth_exceeded(tree, 2).count() > 0
+    chain = tree.sparkSession.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(40)], "code string, parent string")
+    assert H.closure(chain).count() == 40 * 41 // 2
+    assert H.ancestors(chain, "39").count() == 39
+    total = {r.code: r.total for r in H.subtree_totals(chain, chain.selectExpr("code", "1L AS n")).collect()}
+    assert total == {str(i): 40 - i for i in range(40)}
+    round_trip = tree.sparkSession.createDataFrame([("a", "b"), ("b", "a")], "code string, parent string")
+    with pytest.raises(ValueError, match="back to itself"):
+        H.closure(round_trip)
 
 
 def test_sheet_fill_down_keeps_every_number(frame):
