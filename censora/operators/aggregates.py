@@ -104,14 +104,15 @@ def coarsen(summary: DataFrame, grain: Sequence[str], sums: Sequence[str], names
     return summary.groupBy(*grain).agg(*[F.sum(c).alias(c) for c in sums], *labels)
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean over the values that are there: added as exact decimals, so it does not depend on order, and not rounded."""
+    return F.sum(value.cast("decimal(18,6)")).cast("double") / F.count(value)
+
+
 def error_stats(df: DataFrame, by: Sequence[Column | str], error: Column | str) -> DataFrame:
-    """Mean absolute error and bias; errors are whole hundredths so that sums do not depend on order."""
-    error = F.round(_col(error) * 100).cast("bigint")
-    return df.groupBy(*by).agg(
-        rows().alias("n"),
-        (F.sum(F.abs(error)) / (rows() * 100)).alias("mae"),
-        (F.sum(error) / (rows() * 100)).alias("bias"),
-    )
+    """Number of errors, mean absolute error and bias; averaged first, rounded by whoever publishes them."""
+    error = _col(error)
+    return df.groupBy(*by).agg(rows().alias("n"), exact_mean(F.abs(error)).alias("mae"), exact_mean(error).alias("bias"))
 
 
 def closing(parts: Column, total: Column, tolerance: float = CLOSING_TOLERANCE) -> dict[str, Column]:

@@ -67,8 +67,17 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], hour: str, value: str, hour
     return out.withColumn(name, F.when(F.size("_values") >= needed, total / F.size("_values"))).drop("_values")
 
 
-def stuck(df: DataFrame, keys: Sequence[str], order: str, value: str, times: int = 6, name: str = "stuck") -> DataFrame:
-    """True where the last ``times`` values are all equal."""
+def stuck_since(df: DataFrame, keys: Sequence[str], order: str, value: str, times: int = 6, name: str = "stuck_since") -> DataFrame:
+    """Where the last ``times`` values are all equal, the ``order`` of the first of them; else NULL.
+
+    How far back that may lie is for the caller to say: equal readings days apart are no stuck sensor.
+    """
     window = W.partitionBy(*keys).orderBy(order).rowsBetween(-(times - 1), 0)
     same = (F.count(value).over(window) == times) & (F.min(value).over(window) == F.max(value).over(window))
-    return df.withColumn(name, same)
+    return df.withColumn(name, F.when(same, F.min(order).over(window)))
+
+
+def stuck(df: DataFrame, keys: Sequence[str], order: str, value: str, within: int, times: int = 6, name: str = "stuck") -> DataFrame:
+    """True where the last ``times`` values are all equal and lie within the last ``within`` units of ``order``."""
+    marked = stuck_since(df, keys, order, value, times, "_since")
+    return marked.withColumn(name, F.coalesce(F.col(order) - F.col("_since") <= within, F.lit(False))).drop("_since")

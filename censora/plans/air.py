@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from censora.functions.scalars import round_half_up
-from censora.operators.calendar import stuck, trailing
+from censora.operators.calendar import stuck_since, trailing
 
 # Fixed values of the air-quality norm: upper limits (inclusive) of the first four categories, conversion factors of the
 # weighted average, decimals of each concentration.
@@ -25,7 +25,8 @@ CATEGORIES = ("Buena", "Aceptable", "Mala", "Muy mala", "Extremadamente mala")
 WEIGHTED_HOURS = 12
 CO_HOURS, CO_NEEDED = 8, 6
 FRESH_HOURS = 3
-STUCK_HOURS = 6
+# A sensor is stuck if its last six values, all within fifteen hours, are the same.
+STUCK_VALUES, STUCK_WITHIN_HOURS = 6, 15
 
 
 def weighted_concentration(slots: Column, factor: Column) -> Column:
@@ -50,7 +51,7 @@ def base_concentrations(hours: DataFrame, keys: Sequence[str] = ("station", "pol
     """
     keys = list(keys)
     history = F.collect_list(F.struct("hour", "value")).over(trailing(keys, "hour", WEIGHTED_HOURS - 1))
-    marked = stuck(hours, keys, "hour", "value", STUCK_HOURS).withColumn("history", history)
+    marked = stuck_since(hours, keys, "hour", "value", STUCK_VALUES).withColumn("history", history)
     newest_first = F.array_sort(
         F.transform("history", lambda h: F.struct((F.col("hour") - h["hour"]).cast("int").alias("slot"), h["value"].alias("value")))
     )
@@ -68,7 +69,7 @@ def base_concentrations(hours: DataFrame, keys: Sequence[str] = ("station", "pol
         .when(F.col("pollutant") == "CO", F.when(F.size(eight) >= CO_NEEDED, round_half_up(total / F.size(eight), 2)))
         .otherwise(round_half_up("value", 3))
     )
-    return marked.withColumn("concentration", concentration).select(*keys, "hour", "value", "stuck", "concentration")
+    return marked.withColumn("concentration", concentration).select(*keys, "hour", "value", "stuck_since", "concentration")
 
 
 def category(pollutant: Column, concentration: Column) -> Column:
@@ -88,9 +89,10 @@ def index_by_hour(hours: DataFrame, grid: DataFrame) -> DataFrame:
     # A value counts for its own hour and the three that follow; of several the newest decides, usable or not.
     spread = base_concentrations(hours).withColumn("at", F.explode(F.sequence("hour", F.col("hour") + FRESH_HOURS)))
     newest = spread.groupBy("station", F.col("at").alias("hour"), "pollutant").agg(
-        F.max_by(F.struct("stuck", "concentration"), "hour").alias("newest")
+        F.max_by(F.struct("stuck_since", "concentration"), "hour").alias("newest")
     )
-    usable = newest.where("not newest.stuck and newest.concentration is not null")
+    stuck = F.coalesce(F.col("hour") - F.col("newest.stuck_since") <= STUCK_WITHIN_HOURS, F.lit(False))
+    usable = newest.where(~stuck & F.col("newest.concentration").isNotNull())
     graded = usable.withColumn("category", category(F.col("pollutant"), F.col("newest.concentration")))
     order = F.array_position(F.array(*[F.lit(name) for name in CUTS]), F.col("pollutant"))
     worst = graded.groupBy("station", "hour").agg(

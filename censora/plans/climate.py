@@ -145,29 +145,60 @@ def climatology(
 ) -> DataFrame:
     """Distribution of each calendar day from the ±k days around it over the years of the station's period.
 
-    ``daily(station, day, tmax, tmin)`` holds one row per day: a group has at most (2k+1) × years values, so its exact
-    percentiles come from one short sorted array. In common years the window of 29 February is that of the 28th.
+    ``daily(station, day, tmax, tmin)`` holds one row per day, shuffled once: the years of a calendar day are folded to one
+    array, and the window looks ±k places along the 366 arrays of a station. A distribution has at most (2k+1) × years values.
+    In common years the window of 29 February is that of the 28th. Means are rounded once, after averaging.
     """
     level = distribution_level(daily, min_years, min_reference, min_days, periods)
-    offsets = F.sequence(F.lit(-half_window), F.lit(half_window))
-    centred = daily.withColumn("centre", F.explode(F.transform(offsets, lambda k: F.date_sub("day", k))))
-    year = F.year("centre")
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    label = F.date_format("centre", "MM-dd")
-    labels = F.when((label == "02-28") & ~leap, F.array(label, F.lit("02-29"))).otherwise(F.array(label))
-    rows = (
-        centred.withColumn("year", year)
-        .withColumn("date", F.explode(labels))
-        .join(level, "station")
-        .where(F.col("year").between(F.col("period.since"), F.col("period.until")))
-    )
-    long = rows.unpivot(["station", "date", "year", "level", "needed"], list(variables), "variable", "value")
-    stats = long.where("value is not null").groupBy("station", "date", "variable", "level", "needed").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.size(F.collect_set("year")).cast("bigint").alias("years"),  # a set of at most some thirty years
-        (F.sum(F.round(F.col("value") * 10).cast("bigint")) / (F.count(F.lit(1)) * 10)).alias("mean"),
-        F.sort_array(F.collect_list("value")).alias("sorted"),
+    since, until = F.make_date("period.since", F.lit(1), F.lit(1)), F.make_date("period.until", F.lit(12), F.lit(31))
+    near = F.col("day").between(F.date_sub(since, half_window), F.date_add(until, half_window))
+    kept = daily.join(level, "station").where(near)
+    # One row per station and place in a leap year of 366 days, with the readings of all years; the ends are repeated beyond
+    # the turn of the year, and one place more is looked at, for the 29 February that a common year lacks.
+    place = F.dayofyear(F.make_date(F.lit(2000), F.month("day"), F.dayofmonth("day")))
+    reading = F.struct("day", *variables)
+    folded = kept.groupBy("station", "level", "needed", "period", place.alias("place")).agg(F.collect_list(reading).alias("readings"))
+    grid = level.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(366))))
+    reach = half_window + 1
+    turns = F.array(*[F.col("place") + 366 * k for k in (-1, 0, 1)])
+    seats = F.explode(F.filter(turns, lambda p: p.between(1 - reach, 366 + reach)))
+    along = W.partitionBy("station").orderBy("seat").rangeBetween(-reach, reach)
+    laid = grid.join(folded.select("station", "place", "readings"), ["station", "place"], "left").withColumn("seat", seats)
+    looked = laid.withColumn("around", F.flatten(F.collect_list("readings").over(along))).where(F.col("seat").between(1, 366))
+    label = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("place") - 1), "MM-dd")
+
+    def centre(year: Column) -> Column:
+        """The day of this place in a year; in common years the 28th stands for 29 February."""
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        short = (F.col("place") == 60) & ~leap
+        return F.make_date(year, F.substring(label, 1, 2).cast("int"), F.when(short, 28).otherwise(F.substring(label, 4, 2).cast("int")))
+
+    def years_of(r: Column) -> Column:
+        """The year in whose window a reading lies; around the turn of the year not its own."""
+        own = F.year(r["day"])
+        tried = F.transform(F.array(own, own - 1, own + 1), lambda y: F.when(F.abs(F.datediff(r["day"], centre(y))) <= half_window, y))
+        return F.get(F.filter(tried, lambda y: y.isNotNull()), F.lit(0))
+
+    inside = F.filter(
+        F.transform("around", lambda r: F.struct(years_of(r).alias("year"), *[r[v].alias(v) for v in variables])),
+        lambda r: r["year"].between(F.col("period.since"), F.col("period.until")),
     )
+    rows = looked.select("station", label.alias("date"), "level", "needed", inside.alias("inside"))
+
+    def own(variable: str) -> Column:
+        pairs = F.transform("inside", lambda r: F.struct(r["year"].alias("year"), r[variable].alias("value")))
+        return F.struct(F.lit(variable).alias("variable"), F.filter(pairs, lambda r: r["value"].isNotNull()).alias("own"))
+
+    one = F.array(*map(own, variables))
+    stats = rows.select("station", "date", "level", "needed", F.explode(one).alias("o")).select("station", "date", "level", "needed", "o.variable", F.col("o.own").alias("own"))
+    total = F.aggregate("own", F.lit(0).cast("decimal(28,6)"), lambda a, r: (a + r["value"].cast("decimal(18,6)")).cast("decimal(28,6)"))
+    stats = stats.where(F.size("own") > 0).select(
+        "station", "date", "variable", "level", "needed",
+        F.size("own").cast("bigint").alias("n"),
+        F.size(F.array_distinct(F.transform("own", lambda r: r["year"]))).cast("bigint").alias("years"),
+        (total.cast("double") / F.size("own")).alias("mean"),
+        F.array_sort(F.transform("own", lambda r: r["value"])).alias("sorted"),
+    )
     enough = (F.col("years") >= F.col("needed")) & (F.col("n") >= MIN_FRACTION * (2 * half_window + 1) * F.col("needed"))
 
     def percentile(percent: Column) -> Column:

@@ -331,23 +331,29 @@ def class_intervals(changes: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ adhesion, users, throughput
 
 
-def adhesion(summaries: DataFrame, start: Column, end: Column) -> DataFrame:
+def adhesion(summaries: DataFrame, start: Column, end: Column, before: DataFrame | None = None) -> DataFrame:
     """State of each system on each civil day in [start, end] (dates): verified after seven complete days with an on-time
-    summary each, declared again after seven without any, otherwise as it was. Starts as declared.
+    summary each, declared again after seven without any, otherwise as it was.
 
-    The state is the last decisive day's verdict carried along the calendar: no state machine is needed.
+    ``before(system, state)`` are the states ahead of ``start``; a system without one begins as declared. The state is the
+    last decisive day's verdict carried along the calendar: no state machine is needed.
     """
-    days = summaries.where("on_time = 1").select("system", civil_date("minute").alias("day")).distinct()
-    systems = summaries.select("system").distinct()
     first = F.date_sub(start, DAYS_TO_VERIFY)
+    days = summaries.where("on_time = 1").select("system", civil_date("minute").alias("day")).where(F.col("day") >= first).distinct()
+    systems = summaries.select("system")
+    systems = (systems if before is None else systems.unionByName(before.select("system"))).distinct()
     grid = systems.withColumn("day", F.explode(F.sequence(first, end)))
     present = grid.join(days.withColumn("there", F.lit(1)), ["system", "day"], "left")
     along = W.partitionBy("system").orderBy("day")
-    week = F.count("there").over(along.rowsBetween(-DAYS_TO_VERIFY, -1))
+    week = present.withColumn("week", F.count("there").over(along.rowsBetween(-DAYS_TO_VERIFY, -1))).where(F.col("day") >= start)
     verdict = F.when(F.col("week") >= DAYS_TO_VERIFY, "verificada").when(F.col("week") == 0, "declarada")
-    state = F.coalesce(F.last(verdict, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)), F.lit("declarada"))
-    rows = present.withColumn("week", week).where(F.col("day") >= start)
-    return rows.select("system", "day", F.col("week").alias("days_on_time"), state.alias("state"))
+    carried = F.last(verdict, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0))
+    rows = week.withColumn("carried", carried)
+    if before is not None:
+        rows = rows.join(before.select("system", F.col("state").alias("initial")), "system", "left")
+    else:
+        rows = rows.withColumn("initial", F.lit(None).cast("string"))
+    return rows.select("system", "day", F.col("week").alias("days_on_time"), F.coalesce("carried", "initial", F.lit("declarada")).alias("state"))
 
 
 def daily_users(reports: DataFrame, states: DataFrame, changes: DataFrame) -> DataFrame:
@@ -381,7 +387,8 @@ def throughput(summaries: DataFrame, data: DataFrame, states: DataFrame, now: Co
 def seen_versus_reported(seen: DataFrame, reported: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Public face against reports: the last refresh within five minutes and the counts within max(2, 20 %).
 
-    ``seen(keys…, last, n)`` and ``reported(keys…, last, n)``; a face that never saw anything agrees with a report of none.
+    ``seen(keys…, last, n)`` and ``reported(keys…, last, n)``; a face that says it saw nothing (``n`` = 0) agrees with a
+    report of none, one that did not answer (``n`` NULL) with nothing.
     """
     rows = seen.select(*keys, F.col("last").alias("seen_last"), F.col("n").alias("seen_n")).join(
         reported.select(*keys, F.col("last").alias("reported_last"), F.col("n").alias("reported_n")), list(keys), "left"
@@ -390,8 +397,12 @@ def seen_versus_reported(seen: DataFrame, reported: DataFrame, keys: Sequence[st
     margin = F.greatest(F.lit(2), F.ceil(F.lit(0.2) * F.greatest(F.col("seen_n"), told)))
     close = F.abs(_ms("seen_last") - _ms("reported_last")) <= CHECK_TOLERANCE_MS
     agree = close & (F.abs(F.col("seen_n") - told) <= margin)
-    silent = F.col("seen_last").isNull()
-    result = F.when(F.when(silent, told == 0).otherwise(F.coalesce(agree, F.lit(False))), "coincide").otherwise("no-coincide")
+    silent = F.col("seen_last").isNull() & (F.col("seen_n") == 0)
+    result = (
+        F.when(F.col("seen_n").isNull(), "sin-respuesta")
+        .when(F.when(silent, told == 0).otherwise(F.coalesce(agree, F.lit(False))), "coincide")
+        .otherwise("no-coincide")
+    )
     return rows.withColumn("margin", margin).withColumn("result", result)
 
 

@@ -276,11 +276,12 @@ def _(t: Tables):
 
 @query(
     "e21_error_stats",
-    """WITH e AS (SELECT event_type, CAST(hour(ts - INTERVAL 6 HOUR) AS INTEGER) AS local_hour, round((value - json_extract_string(props, '$.k')::INTEGER) * 100)::BIGINT AS e FROM events)
-       SELECT event_type, local_hour, count(*) AS n, sum(abs(e))::BIGINT / (count(*) * 100) AS mae, sum(e)::BIGINT / (count(*) * 100) AS bias FROM e GROUP BY 1, 2""",
+    """WITH e AS (SELECT event_type, CAST(hour(ts - INTERVAL 6 HOUR) AS INTEGER) AS local_hour, ((value - json_extract_string(props, '$.k')::INTEGER) / 1000)::DECIMAL(18, 6) AS e FROM events)
+       SELECT event_type, local_hour, count(*) AS n, sum(abs(e))::DOUBLE / count(*) AS mae, sum(e)::DOUBLE / count(*) AS bias FROM e GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    error = F.col("value") - F.get_json_object("props", "$.k").cast("int")
+    # Thousandths: errors far below a hundredth count in full.
+    error = (F.col("value") - F.get_json_object("props", "$.k").cast("int")) / 1000
     local_hour = F.hour(F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("local_hour")
     return A.error_stats(t.events, ["event_type", local_hour], error)
 

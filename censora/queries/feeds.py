@@ -97,11 +97,11 @@ INDEX_SQL = f"""{D.AIR_SQL}, {WEIGHTED_SQL},
      eight AS (SELECT a.station, a.pollutant, a.hour, count(*) AS n, sum(b.value ORDER BY b.hour DESC) / count(*) AS mean FROM air_hours a JOIN air_hours b ON a.station = b.station AND b.pollutant = 'CO' AND b.hour BETWEEN a.hour - 7 AND a.hour WHERE a.pollutant = 'CO' GROUP BY 1, 2, 3),
      conc AS (SELECT station, pollutant, hour, CASE WHEN recent >= 2 THEN floor(raw * 1 + 0.5 + 1e-9) / 1 END AS x FROM c UNION ALL SELECT station, pollutant, hour, CASE WHEN n >= 6 THEN floor(mean * 100 + 0.5 + 1e-9) / 100 END FROM eight
               UNION ALL SELECT station, pollutant, hour, floor(value * 1000 + 0.5 + 1e-9) / 1000 FROM air_hours WHERE pollutant IN ('O3', 'NO2')),
-     stk AS (SELECT station, pollutant, hour, count(value) OVER w = 6 AND min(value) OVER w = max(value) OVER w AS stuck FROM air_hours WINDOW w AS (PARTITION BY station, pollutant ORDER BY hour ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
-     base AS (SELECT conc.*, stuck FROM conc JOIN stk USING (station, pollutant, hour)),
+     stk AS (SELECT station, pollutant, hour, CASE WHEN count(value) OVER w = 6 AND min(value) OVER w = max(value) OVER w THEN min(hour) OVER w END AS since FROM air_hours WINDOW w AS (PARTITION BY station, pollutant ORDER BY hour ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+     base AS (SELECT conc.*, since FROM conc JOIN stk USING (station, pollutant, hour)),
      lim AS (SELECT min(hour) AS lo, max(hour) AS hi FROM air_hours), g AS (SELECT s.station, unnest(range(lo, hi + 1)) AS hour FROM lim, (SELECT DISTINCT station FROM air_hours) s),
-     nw AS (SELECT g.station, g.hour, b.pollutant, arg_max(b.stuck, b.hour) AS stuck, max(b.hour) AS h FROM g JOIN base b ON b.station = g.station AND b.hour BETWEEN g.hour - 3 AND g.hour GROUP BY 1, 2, 3),
-     us AS (SELECT nw.station, nw.hour, nw.pollutant, b.x, list_position(['PM2.5', 'PM10', 'O3', 'NO2', 'SO2', 'CO'], nw.pollutant) AS ord FROM nw JOIN base b ON b.station = nw.station AND b.pollutant = nw.pollutant AND b.hour = nw.h WHERE NOT nw.stuck AND b.x IS NOT NULL),
+     nw AS (SELECT g.station, g.hour, b.pollutant, max(b.hour) AS h FROM g JOIN base b ON b.station = g.station AND b.hour BETWEEN g.hour - 3 AND g.hour GROUP BY 1, 2, 3),
+     us AS (SELECT nw.station, nw.hour, nw.pollutant, b.x, list_position(['PM2.5', 'PM10', 'O3', 'NO2', 'SO2', 'CO'], nw.pollutant) AS ord FROM nw JOIN base b ON b.station = nw.station AND b.pollutant = nw.pollutant AND b.hour = nw.h WHERE coalesce(nw.hour - b.since > 15, true) AND b.x IS NOT NULL),
      cuts AS (SELECT * FROM (VALUES ('PM2.5', 15, 25, 79, 130), ('PM10', 45, 50, 132, 213), ('O3', 0.058, 0.09, 0.135, 0.175), ('NO2', 0.053, 0.106, 0.16, 0.213), ('CO', 5, 9, 12, 16)) v(pollutant, a, b, c, d)),
      gr AS (SELECT us.*, CASE WHEN x <= a::DOUBLE THEN 0 WHEN x <= b::DOUBLE THEN 1 WHEN x <= c::DOUBLE THEN 2 WHEN x <= d::DOUBLE THEN 3 ELSE 4 END AS cat FROM us JOIN cuts USING (pollutant)),
      wr AS (SELECT station, hour, max(cat) AS category, arg_max(pollutant, (cat, -ord)) AS pollutant, count(*) AS pollutants FROM gr GROUP BY 1, 2)"""
@@ -170,8 +170,8 @@ def _(t: Tables):
     "m18_lead_time_accuracy",
     """WITH h AS (SELECT event_type AS station, date_trunc('hour', ts) AS hour, sum(round(value * 100)::BIGINT)::BIGINT / (100 * count(*)) AS temp_c, sum(json_extract_string(props, '$.k')::INTEGER) % 10 = 0 AS marked FROM events GROUP BY 1, 2),
             f AS (SELECT event_type AS station, date_trunc('hour', ts) + to_hours((json_extract_string(props, '$.k')::INTEGER)) AS hour, ts AS issued, value AS temp_c FROM events),
-            e AS (SELECT f.station, (epoch_us(f.hour) // 1000000 - epoch_us(issued) // 1000000) / 3600 AS lead, round((f.temp_c - h.temp_c) * 100)::BIGINT AS e FROM f JOIN h USING (station, hour) WHERE NOT marked AND hour > issued)
-       SELECT station, CASE WHEN lead < 24 THEN '0-24' WHEN lead < 48 THEN '24-48' WHEN lead < 72 THEN '48-72' ELSE '72-120' END AS lead_h, count(*) AS n, sum(abs(e))::BIGINT / (count(*) * 100) AS mae, sum(e)::BIGINT / (count(*) * 100) AS bias FROM e GROUP BY 1, 2""",
+            e AS (SELECT f.station, (epoch_us(f.hour) // 1000000 - epoch_us(issued) // 1000000) / 3600 AS lead, (f.temp_c - h.temp_c)::DECIMAL(18, 6) AS e FROM f JOIN h USING (station, hour) WHERE NOT marked AND hour > issued)
+       SELECT station, CASE WHEN lead < 24 THEN '0-24' WHEN lead < 48 THEN '24-48' WHEN lead < 72 THEN '48-72' ELSE '72-120' END AS lead_h, count(*) AS n, sum(abs(e))::DOUBLE / count(*) AS mae, sum(e)::DOUBLE / count(*) AS bias FROM e GROUP BY 1, 2""",
 )
 def _(t: Tables):
     at, k = F.col("ts").cast("timestamp"), json_field("props", "k", "int")

@@ -231,8 +231,11 @@ def user_summaries(t: Tables):
     f"""WITH {USER_SQL}, sg AS (SELECT *, count(v) OVER (PARTITION BY system ORDER BY day) AS grp FROM vd) SELECT system, day, days AS days_on_time, coalesce(max(v) OVER (PARTITION BY system, grp), 'declarada') AS state FROM sg""",
 )
 def _(t: Tables):
-    first, last = F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")
-    return pulse.adhesion(user_summaries(t), first, last)
+    # The second half of the month goes on from the states at the end of the first.
+    day = lambda n: F.lit(f"2024-01-{n:02d}").cast("date")
+    rows = user_summaries(t)
+    first = materialise(pulse.adhesion(rows, day(1), day(15)), "states")
+    return first.unionByName(pulse.adhesion(rows, day(16), day(31), first.where(F.col("day") == day(15))))
 
 
 TYPE_STATES_SQL = """tdy AS (SELECT DISTINCT system, (minute - INTERVAL 6 HOUR)::DATE AS day FROM summ WHERE on_time = 1),

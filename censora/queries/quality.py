@@ -243,15 +243,20 @@ def _(t: Tables):
 
 @query(
     "k13_seen_versus_reported",
-    """WITH s AS (SELECT user_id, max(ts) AS last, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1), r AS (SELECT user_id, max(ts) AS last, count(*) AS n FROM events WHERE event_id % 9 <> 0 GROUP BY 1)
+    """WITH s AS (SELECT user_id, CASE WHEN user_id % 7 > 1 THEN max(ts) END AS last, CASE WHEN user_id % 7 = 0 THEN 0 WHEN user_id % 7 > 1 THEN count(*) END AS n FROM events WHERE event_type <> 'error' GROUP BY 1), r AS (SELECT user_id, max(ts) AS last, count(*) AS n FROM events WHERE event_id % 9 <> 0 AND user_id % 14 <> 0 GROUP BY 1)
        SELECT user_id, s.last AS seen_last, s.n AS seen_n, r.last AS reported_last, r.n AS reported_n, greatest(2, ceil(0.2::DOUBLE * greatest(s.n, coalesce(r.n, 0))))::BIGINT AS margin,
-              CASE WHEN coalesce(abs(epoch_us(s.last) // 1000 - epoch_us(r.last) // 1000) <= 300000 AND abs(s.n - coalesce(r.n, 0)) <= greatest(2, ceil(0.2::DOUBLE * greatest(s.n, coalesce(r.n, 0)))), false) THEN 'coincide' ELSE 'no-coincide' END AS result FROM s LEFT JOIN r USING (user_id)""",
+              CASE WHEN s.n IS NULL THEN 'sin-respuesta' WHEN s.last IS NULL AND s.n = 0 THEN CASE WHEN r.n IS NULL THEN 'coincide' ELSE 'no-coincide' END
+                   WHEN coalesce(abs(epoch_us(s.last) // 1000 - epoch_us(r.last) // 1000) <= 300000 AND abs(s.n - coalesce(r.n, 0)) <= greatest(2, ceil(0.2::DOUBLE * greatest(s.n, coalesce(r.n, 0)))), false) THEN 'coincide' ELSE 'no-coincide' END AS result FROM s LEFT JOIN r USING (user_id)""",
 )
 def _(t: Tables):
     def face(df):
         return df.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("last"), F.count(F.lit(1)).alias("n"))
 
-    rows = pulse.seen_versus_reported(face(t.events.where("event_type <> 'error'")), face(t.events.where("event_id % 9 <> 0")), ["user_id"])
+    # Some faces say that they saw nothing, some do not answer at all.
+    part = F.col("user_id") % 7
+    seen = face(t.events.where("event_type <> 'error'"))
+    seen = seen.withColumn("last", F.when(part > 1, F.col("last"))).withColumn("n", F.when(part == 0, 0).when(part > 1, F.col("n")))
+    rows = pulse.seen_versus_reported(seen, face(t.events.where("event_id % 9 <> 0 and user_id % 14 <> 0")), ["user_id"])
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("seen_last", "reported_last")})
 
 

@@ -115,14 +115,17 @@ def _(t: Tables):
 
 @query(
     "f9_stuck_sensor",
-    """WITH d AS (SELECT o_orderpriority AS station, date_trunc('month', o_orderdate)::DATE AS month, count(*) // 60 AS value FROM orders GROUP BY 1, 2)
-       SELECT station, month, count(value) OVER w = 6 AND min(value) OVER w = max(value) OVER w AS stuck FROM d WINDOW w AS (PARTITION BY station ORDER BY month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
+    """WITH d AS (SELECT o_orderpriority AS station, year(o_orderdate) * 12 + month(o_orderdate) AS month, count(*) // 60 AS value FROM orders WHERE (o_orderkey + month(o_orderdate)) % 4 <> 0 OR month(o_orderdate) % 5 <> 0 GROUP BY 1, 2)
+       SELECT station, month::INTEGER AS month, count(value) OVER w = 6 AND min(value) OVER w = max(value) OVER w AND month - min(month) OVER w <= 6 AS stuck FROM d WHERE value <> 1 OR month % 7 <> 0
+       WINDOW w AS (PARTITION BY station ORDER BY month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
 )
 def _(t: Tables):
-    monthly = t.orders.groupBy(
-        F.col("o_orderpriority").alias("station"), F.trunc(F.to_date("o_orderdate"), "month").alias("month")
-    ).agg(F.floor(F.count(F.lit(1)) / 60).alias("value"))
-    return C.stuck(monthly, ["station"], "month", "value").select("station", "month", "stuck")
+    # Months stand for hours; some are missing, so six equal readings may span more than the window.
+    month = F.month("o_orderdate")
+    kept = t.orders.where(((F.col("o_orderkey") + month) % 4 != 0) | (month % 5 != 0))
+    number = (F.year("o_orderdate") * 12 + month).alias("month")
+    monthly = kept.groupBy(F.col("o_orderpriority").alias("station"), number).agg(F.floor(F.count(F.lit(1)) / 60).alias("value"))
+    return C.stuck(monthly.where("value <> 1 or month % 7 <> 0"), ["station"], "month", "value", 6).select("station", "month", "stuck")
 
 
 GRID_SQL = """span AS (SELECT date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM events),
@@ -170,7 +173,7 @@ CLIMATE_SQL = f"""{D.DAILY_SQL}, fy AS (SELECT station, year(day) AS y, count(tm
              FROM lvl l, cal c, range(1995, 2001) y(y) WHERE y.y BETWEEN l.a AND l.a + 4),
      long AS (SELECT station, day, 'tmax' AS variable, tmax AS value FROM daily UNION ALL SELECT station, day, 'tmin', tmin FROM daily),
      vals AS (SELECT c.station, c.date, c.level, c.needed, c.y, l.variable, l.value FROM ctr c JOIN long l ON l.station = c.station AND l.day BETWEEN c.centre - 7 AND c.centre + 7 WHERE l.value IS NOT NULL),
-     stat AS (SELECT station, date, variable, level, needed, count(*) AS n, count(DISTINCT y) AS years, sum(round(value * 10)::BIGINT)::BIGINT / (count(*) * 10) AS mean,
+     stat AS (SELECT station, date, variable, level, needed, count(*) AS n, count(DISTINCT y) AS years, sum(value::DECIMAL(18, 6))::DOUBLE / count(*) AS mean,
                      list(value ORDER BY value) AS vs FROM vals GROUP BY 1, 2, 3, 4, 5)"""
 
 

@@ -151,3 +151,36 @@ def test_frozen_forecast(frame):
     data = [("s", NOON, NOON - dt.timedelta(hours=2), 10.0), ("s", NOON, NOON - dt.timedelta(hours=1), 12.0), ("s", NOON, NOON, 99.0)]
     got = climate.frozen_forecast(frame("station string, hour timestamp, consulted timestamp, temp_c double", *data)).first()
     assert got.temp_c == 12.0
+
+
+def test_equal_readings_days_apart_are_no_stuck_sensor(frame):
+    from censora.operators import calendar as C
+
+    near = frame("s string, hour int, v double", *[("a", h, 5.0) for h in range(6)], *[("b", 24 * h, 5.0) for h in range(6)])
+    got = {(r.s, r.hour): r.stuck for r in C.stuck(near, ["s"], "hour", "v", 15).collect()}
+    assert got["a", 5] and not got["a", 4] and not got["b", 120]
+
+
+def test_small_errors_are_not_rounded_away(frame):
+    from censora.operators import aggregates as A
+
+    got = A.error_stats(frame("k string, e double", ("a", 0.004), ("a", -0.004), ("a", 0.004)), ["k"], "e").first()
+    assert (got.n, got.mae) == (3, 0.004) and abs(got.bias - 0.004 / 3) < 1e-12
+
+
+def test_climatology_means_are_rounded_once(frame):
+    import datetime as dt
+
+    days = [("s", dt.date(y, 1, 1) + dt.timedelta(days=k), 10.04, 1.0) for y in (2001, 2002, 2003, 2004) for k in range(366) if (dt.date(y, 1, 1) + dt.timedelta(days=k)).year == y]
+    daily = frame("station string, day date, tmax double, tmin double", *days)
+    got = climate.climatology(daily, 7, 3, 2, 300, ((2001, 2004), (2001, 2004))).where("variable = 'tmax'")
+    rows_ = {r.date: r for r in got.collect()}
+    assert len(rows_) == 366 and {r["mean"] for r in rows_.values()} == {10.0}
+    # Every window has 15 days a year, but for those cut off by the ends of the record.
+    for label, r in rows_.items():
+        want = 0
+        for y in (2001, 2002, 2003, 2004):
+            month, day = map(int, label.split("-"))
+            centre = dt.date(y, 2, 28) if label == "02-29" and y != 2004 else dt.date(y, month, day)
+            want += sum(2001 <= (centre + dt.timedelta(days=k)).year <= 2004 for k in range(-7, 8))
+        assert r.n == want and r.years == 4, label

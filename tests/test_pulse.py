@@ -211,3 +211,21 @@ def test_seen_versus_reported(frame):
     told = frame(face, ("a", at(4), 12), ("b", at(6), 10), ("d", at(0), 9))
     got = {r.k: r.result for r in pulse.seen_versus_reported(seen, told, ["k"]).collect()}
     assert got == {"a": "coincide", "b": "no-coincide", "c": "coincide", "d": "no-coincide"}
+
+
+def test_states_do_not_depend_on_where_the_span_starts(frame):
+    day = lambda n: F.lit(f"2024-01-{n:02d}").cast("date")
+    kept = [("s", dt.datetime(2024, 1, d, 12), 1) for d in range(1, 10)] + [("s", dt.datetime(2024, 1, d, 12), 1) for d in (14, 18, 23)]
+    summaries = frame("system string, minute timestamp, on_time int", *kept)
+    whole = {r.day: r.state for r in pulse.adhesion(summaries, day(1), day(31)).collect()}
+    first = pulse.adhesion(summaries, day(1), day(20))
+    later = pulse.adhesion(summaries, day(21), day(31), first.where(F.col("day") == day(20)).select("system", "state"))
+    assert {r.day: r.state for r in first.unionByName(later).collect()} == whole
+    assert whole[dt.date(2024, 1, 24)] == "verificada" and whole[dt.date(2024, 1, 31)] == "declarada"
+
+
+def test_a_face_that_does_not_answer_agrees_with_nothing(frame):
+    seen = frame("id int, last timestamp, n long", (1, None, None), (2, None, 0), (3, None, 0))
+    reported = frame("id int, last timestamp, n long", (3, T0, 4))
+    got = {r.id: r.result for r in pulse.seen_versus_reported(seen, reported, ["id"]).collect()}
+    assert got == {1: "sin-respuesta", 2: "coincide", 3: "no-coincide"}
