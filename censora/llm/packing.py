@@ -36,6 +36,10 @@ FILLED = (1.0, 0.999, 0.99, 0.0)
 GAP = 1e-4
 
 
+# Words whose ids a worker remembers: two generations of this many.
+KNOWN_WORDS = 500_000
+
+
 class LibraryIds:
     """Ids by the tokenizers library, word by word: what it gives for a text is what it gives for its words, joined."""
 
@@ -45,7 +49,7 @@ class LibraryIds:
 
         self.library = Tokenizer.from_file(path)
         self.cut = bpe.vocabulary(path)
-        self.known = bpe.Recent(lambda word: self.of([word])[0], bpe.CACHE_WORDS)
+        self.known = bpe.Recent(None, KNOWN_WORDS)
 
     def of(self, words: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
@@ -56,11 +60,10 @@ class LibraryIds:
         known, old = self.known, self.known.old
         new = list({w for parts in cut for ws, i in parts if i is None for w in ws if w not in known and w not in old})
         fresh = dict(zip(new, self.of(new), strict=True))
-        known.make = fresh.__getitem__
+        # A word that has left both generations meanwhile is looked up again on its own.
+        known.make = lambda word: fresh.get(word) or self.of([word])[0]
         join = lambda ws: b"".join(map(known.__getitem__, ws))
-        out = [b"".join(join(ws) if i is None else np.array([i], "<u4").tobytes() for ws, i in parts) for parts in cut]
-        known.make = lambda word: self.of([word])[0]
-        return out
+        return [b"".join(join(ws) if i is None else np.array([i], "<u4").tobytes() for ws, i in parts) for parts in cut]
 
 
 _LIBRARY: dict[str, LibraryIds] = {}

@@ -96,3 +96,11 @@ def test_query_over_the_whole_table(spark, tokenizer):
     texts = [(r["doc_id"], r["text"], 1) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     count = validate(rows, texts, tokenizer, 2048)
     assert count <= -(-sum(r["length"] for r in rows) // 2048) + 2
+
+
+def test_ids_survive_a_cache_that_overflows_within_a_batch(tokenizer, tokenizer_path, monkeypatch):
+    monkeypatch.setattr(K, "KNOWN_WORDS", 40)
+    ids, pick = K.LibraryIds(tokenizer_path), np.random.default_rng(18)
+    for _ in range(60):
+        texts = [" ".join("".join(pick.choice(list("abcde"), pick.integers(1, 5))) for _ in range(pick.integers(0, 80))) for _ in range(5)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in ids.batch(texts)] == [e.ids for e in tokenizer.encode_batch(texts)]
