@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from censora.functions.scalars import civil_date
 from censora.operators.joins import in_class_on_days
+from censora.operators.ordering import join_null_safe, with_previous
+from censora.session import materialise
 
 # Fixed values of the protocol: window, grace and latest arrival (minutes), civil days to become verified, checks that must
 # fail in a row, class limits in milliseconds, class names from the finest to the coarsest.
@@ -28,6 +30,9 @@ IN_CLASS = CLASSES[:3]
 NO_WINDOW = CLASSES[4]
 
 KEYS = ["system", "datum"]
+# What grading remembers of a datum's past.
+MEMORY = ("old_last", "old_first_t", "old_hour", "old_failing")
+MEMORY_DDL = "old_last bigint, old_first_t bigint, old_hour struct<delivered:bigint,observed:bigint,last_t:bigint>, old_failing boolean"
 
 
 def _minutes(n: int | Column) -> Column:
@@ -137,34 +142,48 @@ def with_punctuality(summaries: DataFrame) -> DataFrame:
 def intake_rules(summaries: DataFrame, known: DataFrame) -> DataFrame:
     """Every reported summary with ``faults``, the codes of the validity rules it breaks; accepted when there are none.
 
-    ``known(system, datum, via)`` is the catalogue of declared data; ``received`` is the arrival of the report.
+    ``known(system, datum, via)`` is the catalogue of declared data; ``received`` is the arrival of the report, and one
+    arrival of a system is one report, in which a minute of a datum may stand once (``report``, if there, tells them apart).
     """
+    report = ["system", "report" if "report" in summaries.columns else "received"]
+    times = summaries.groupBy(*report, "datum", "minute").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     rows = summaries.join(known.select(*KEYS, "via"), KEYS, "left")
-    end = F.col("minute") + _minutes(1)
-    events, deliveries = F.coalesce("events", F.lit(0)), F.coalesce("deliveries", F.lit(0))
-    span = _ms("last") - _ms("first")
-    none, one, many = F.col("refreshes") == 0, F.col("refreshes") == 1, F.col("refreshes") > 1
-    gap = F.col("max_gap_ms")
-    rules = {
-        "unknown-datum": F.col("via").isNull(),
-        "negative-count": (F.col("refreshes") < 0) | (F.col("observations") < 0) | (gap < 0),
-        "events-without-latency": (events > 0) & F.col("source_latency_max_ms").isNull(),
-        "deliveries-without-latency": (deliveries > 0) & F.col("delivery_latency_max_ms").isNull(),
-        "empty-summary": none & (deliveries == 0),
-        "no-refresh-outside-delivery": none & (F.col("via") != "push"),
-        "minute-not-truncated": F.col("minute") != F.date_trunc("minute", "minute"),
-        "minute-in-future": F.col("minute") > F.date_trunc("minute", "received"),
-        "too-old": F.col("received") > end + _minutes(MAX_DELAY_MIN),
-        "first-outside-minute": (F.col("first") < F.col("minute")) | (F.col("first") >= end),
-        "last-outside-minute": (F.col("last") < F.col("minute")) | (F.col("last") >= end),
-        "last-before-first": span < 0,
-        "single-with-span": one & (span != 0),
-        "gap-without-pair": (none | one) & (gap != 0),
-        "gap-exceeds-span": many & (gap > span),
-        "gap-below-mean": many & (gap * (F.col("refreshes") - 1) < span),
+    rows = join_null_safe(rows, times, [*dict.fromkeys([*report, "datum", "minute"])], "left")
+    start, end = F.col("minute"), F.col("minute") + _minutes(1)
+    received, gap, span = F.col("received"), F.col("max_gap_ms"), _ms("last") - _ms("first")
+    refreshes, events, deliveries = F.col("refreshes"), F.coalesce("events", F.lit(0)), F.coalesce("deliveries", F.lit(0))
+    by_subject = {
+        "who": {"unknown-datum": F.col("via").isNull()},
+        "when": {
+            "minute-not-truncated": start != F.date_trunc("minute", "minute"),
+            "minute-in-future": start > F.date_trunc("minute", received),
+            "too-old": received > end + _minutes(MAX_DELAY_MIN),
+            "minute-repeated": F.col("times").isNotNull(),
+        },
+        "instants": {
+            "first-outside-minute": ~((F.col("first") >= start) & (F.col("first") < end)),
+            "last-outside-minute": ~((F.col("last") >= start) & (F.col("last") < end)),
+            "last-before-first": span < 0,
+        },
+        "counts": {
+            "negative-count": F.least(refreshes, "observations", gap) < 0,
+            "empty-summary": (refreshes == 0) & (deliveries == 0),
+            "no-refresh-outside-delivery": (refreshes == 0) & (F.col("via") != "push"),
+        },
+        "gaps": {
+            "single-with-span": (refreshes == 1) & (span != 0),
+            "gap-without-pair": (refreshes < 2) & (gap != 0),
+            "gap-exceeds-span": (refreshes > 1) & (gap > span),
+            "gap-below-mean": (refreshes > 1) & (gap * (refreshes - 1) < span),
+        },
+        "latencies": {
+            "events-without-latency": (events > 0) & F.col("source_latency_max_ms").isNull(),
+            "deliveries-without-latency": (deliveries > 0) & F.col("delivery_latency_max_ms").isNull(),
+        },
     }
-    faults = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in rules.items()]))
-    return rows.withColumn("faults", faults)
+    tests = [(code, test) for rules in by_subject.values() for code, test in rules.items()]
+    faults = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in tests]))
+    return rows.withColumn("faults", faults).drop("times")
 
 
 def fold_reports(reports: DataFrame) -> DataFrame:
@@ -211,17 +230,9 @@ def _sliding_hour(rows: DataFrame, along, columns: Sequence[str]) -> DataFrame:
     return rows
 
 
-def classes_by_minute(
-    summaries: DataFrame, data: DataFrame, checks: DataFrame, start: Column, end: Column
-) -> DataFrame:
-    """Class of every datum at every minute T in [start, end], from the on-time summaries of [T − 60 min, T).
-
-    ``data(system, datum, source_kind, source_clock_ms, declared_latency_ms, via, check_url)`` declares the data;
-    ``checks(system, datum, at, result)`` are the comparisons with the public face. Each datum is laid on the calendar of
-    minutes, from two hours before ``start`` on, and every rule is a running aggregate or a look-back along it: partitions
-    are as long as the evaluated span, whatever the number of refreshes. What is older comes in as one row per datum.
-    """
-    buckets = summaries.where((F.col("on_time") == 1) & (F.col("minute") < end)).select(
+def minute_buckets(summaries: DataFrame) -> DataFrame:
+    """What grading needs of the on-time summaries: the minute's number ``t`` and its figures."""
+    return summaries.where(F.col("on_time") == 1).select(
         *KEYS,
         F.floor(F.unix_seconds("minute") / 60).alias("t"),
         _ms("first").alias("first_ms"),
@@ -230,12 +241,29 @@ def classes_by_minute(
         F.when(F.col("deliveries") > 0, F.col("delivery_latency_max_ms")).alias("delivered"),
         F.when(F.col("events") > 0, F.col("source_latency_max_ms")).alias("observed"),
     )
+
+
+def classes_by_minute(
+    summaries: DataFrame, data: DataFrame, checks: DataFrame, start: Column, end: Column, before: DataFrame | None = None
+) -> DataFrame:
+    """Class of every datum at every minute T in [start, end], from the on-time summaries of [T − 60 min, T).
+
+    ``data(system, datum, source_kind, source_clock_ms, declared_latency_ms, via, check_url)`` declares the data;
+    ``checks(system, datum, at, result)`` are the comparisons with the public face. Each datum is laid on the calendar of
+    minutes, from two hours before ``start`` on, and every rule is a running aggregate or a look-back along it: partitions
+    are as long as the evaluated span, whatever the number of refreshes. What is older comes in as one row per datum: from
+    ``before``, the ``memory`` kept of earlier spans, and from the summaries that precede the calendar.
+
+    The minute buckets are written once, as a table that grading reads several times; ``w_until`` is the end of the measured
+    hour where that is not the current one (the delivery path without recent deliveries).
+    """
+    buckets = materialise(minute_buckets(summaries.where(F.col("minute") < end)), "buckets")
     first = F.floor(F.unix_seconds(start) / 60)
     origin, recent = first - 2 * WINDOW_MIN, first - WINDOW_MIN
     calendar = F.sequence(origin, F.floor(F.unix_seconds(end) / 60))
-    failing = failing_checks(checks)
+    failing = materialise(failing_checks(checks), "failing")
     grid = data.select(*KEYS).withColumn("t", F.explode(calendar))
-    grid = grid.join(_earlier(buckets, failing, origin, recent), KEYS, "left")
+    grid = grid.join(memory(buckets, failing, first, before), KEYS, "left")
     rows = grid.join(buckets, [*KEYS, "t"], "left").join(failing, [*KEYS, "t"], "left")
     along = W.partitionBy(*KEYS).orderBy("t")
     past = along.rowsBetween(W.unboundedPreceding, -1)
@@ -250,7 +278,7 @@ def classes_by_minute(
     )
     rows = _sliding_hour(rows, along, ["gap", "delivered", "observed"])
     # Without deliveries in the hour, the last hour that had some counts, with the source latencies of that hour.
-    hour = F.when(F.col("delivers"), F.struct("delivered", "observed"))
+    hour = F.when(F.col("delivers"), F.struct("delivered", "observed", F.col("t").alias("last_t")))
     rows = rows.withColumns(
         {
             "gap": F.lag("gap").over(along),
@@ -266,6 +294,8 @@ def classes_by_minute(
     worst = F.when(push, F.coalesce("push_now", "push_last.delivered")).otherwise(polled)
     seen = F.when(push & F.col("push_now").isNull(), F.col("push_last.observed")).otherwise(F.col("source_now"))
     rows = rows.withColumn("w_ms", worst).withColumn("source_ms", seen)
+    stale = F.when(push & F.col("push_now").isNull() & F.col("w_ms").isNotNull(), F.timestamp_seconds((F.col("push_last.last_t") + 1) * 60))
+    rows = rows.withColumn("w_until", stale)
     # A source that is slower than declared raises the declaration for good.
     raised = F.max(F.when(F.col("w_ms").isNotNull(), F.col("source_ms"))).over(along)
     declared = F.when(F.col("declared_latency_ms").isNotNull(), F.greatest("declared_latency_ms", raised))
@@ -277,35 +307,63 @@ def classes_by_minute(
     unchecked = F.col("check_url").isNull() | F.col("failing")
     final = F.when(F.col("w_ms").isNull(), 4).when((grade < 3) & unchecked, 3).otherwise(grade)
     return rows.withColumn("grade", final).select(
-        *KEYS, F.timestamp_seconds(F.col("t") * 60).alias("minute"), "w_ms", "declared_ms", class_name(F.col("grade")).alias("class")
+        *KEYS, F.timestamp_seconds(F.col("t") * 60).alias("minute"), "w_ms", "w_until", "declared_ms", class_name(F.col("grade")).alias("class")
     )
 
 
-def _earlier(buckets: DataFrame, failing: DataFrame, origin: Column, recent: Column) -> DataFrame:
-    """What a datum brings from before the calendar: its last refresh, first minute and verdict of its checks (before
-    ``origin``), and the worst latencies of its last hour with deliveries (before ``recent``). Partial aggregates, one row
-    per datum."""
-    old = buckets.where(F.col("t") < origin).groupBy(*KEYS).agg(
-        F.max_by("last_ms", "t").alias("old_last"), F.min("t").alias("old_first_t")
+def memory(buckets: DataFrame, failing: DataFrame, first: Column, before: DataFrame | None = None) -> DataFrame:
+    """One row per datum with what grading from minute ``first`` on needs of the past, folded from the stored buckets and
+    checks and from an earlier memory: last refresh, first minute and verdict of the checks (older than two hours), and the
+    worst latencies of the last hour with deliveries (older than one)."""
+    origin, recent = first - 2 * WINDOW_MIN, first - WINDOW_MIN
+    old = F.col("t") < origin
+    delivering = F.when((F.col("t") < recent) & F.col("delivered").isNotNull(), F.col("t"))
+    folded = buckets.groupBy(*KEYS).agg(
+        F.struct(F.max(F.when(old, F.col("t"))).alias("t"), F.max_by("last_ms", F.when(old, F.col("t"))).alias("ms")).alias("last"),
+        F.min(F.when(old, F.col("t"))).alias("first_t"),
+        F.max(delivering).alias("last_t"),
     )
-    before = buckets.where(F.col("t") < recent)
-    last = before.where("delivered is not null").groupBy(*KEYS).agg(F.max("t").alias("last_t"))
     in_hour = (F.col("t") > F.col("last_t") - WINDOW_MIN) & (F.col("t") <= F.col("last_t"))
-    hour = before.join(last, KEYS).where(in_hour).groupBy(*KEYS).agg(
-        F.struct(F.max("delivered").alias("delivered"), F.max("observed").alias("observed")).alias("old_hour")
+    hours = buckets.join(folded.where("last_t is not null").select(*KEYS, "last_t"), KEYS).where(in_hour)
+    hours = hours.groupBy(*KEYS).agg(
+        F.struct(F.max("delivered").alias("delivered"), F.max("observed").alias("observed"), F.max("last_t").alias("last_t")).alias("old_hour")
+    )
+    verdict = failing.where(old).groupBy(*KEYS).agg(F.max_by("failing", "t").alias("old_failing"))
+    now = folded.join(hours, KEYS, "full_outer").join(verdict, KEYS, "full_outer")
+    now = now.select(*KEYS, F.col("last.ms").alias("old_last"), F.col("first_t").alias("old_first_t"), "old_hour", "old_failing")
+    if before is None:
+        return now
+    kept = before.select(*KEYS, *[F.col(c).alias(f"was_{c}") for c in MEMORY])
+    both = now.join(kept, KEYS, "full_outer")
+    return both.select(
+        *KEYS,
+        F.coalesce("old_last", "was_old_last").alias("old_last"),
+        F.least("old_first_t", "was_old_first_t").alias("old_first_t"),
+        F.coalesce("old_hour", "was_old_hour").alias("old_hour"),
+        F.coalesce("old_failing", "was_old_failing").alias("old_failing"),
     )
-    verdict = failing.where(F.col("t") < origin).groupBy(*KEYS).agg(F.max_by("failing", "t").alias("old_failing"))
-    return old.join(hour, KEYS, "full_outer").join(verdict, KEYS, "full_outer")
 
 
 def failing_checks(checks: DataFrame) -> DataFrame:
-    """Per check (by the first minute T that sees it) whether it completes three failures in a row."""
-    last_three = W.partitionBy(*KEYS).orderBy("at").rowsBetween(-(FAILED_CHECKS - 1), 0)
-    failed = F.col("result") != "coincide"
-    rows = checks.withColumn("failing", F.count(F.when(failed, 1)).over(last_three) == FAILED_CHECKS)
-    return rows.groupBy(*KEYS, (F.floor(F.unix_seconds("at") / 60) - GRACE_MIN).alias("t")).agg(
-        F.max_by("failing", "at").alias("failing")
-    )
+    """Per check (by the first minute T that sees it) whether it completes three failures in a row.
+
+    A datum's checks are cut by day; a day hands the verdicts of its last checks on, so no datum is one task's work.
+    """
+    rows = checks.select(*KEYS, "at", "result", (F.col("result") != "coincide").alias("failed"))
+    day, order = F.date_trunc("day", "at"), ["at", "result"]
+    rows = with_previous(rows, KEYS, order, day, ["failed"], "one_")
+    rows = with_previous(rows, KEYS, order, day, ["one_failed"], "two_")
+    third = F.col("failed") & F.coalesce("one_failed", F.lit(False)) & F.coalesce("two_one_failed", F.lit(False))
+    minute = (F.floor(F.unix_seconds("at") / 60) - GRACE_MIN).alias("t")
+    return rows.withColumn("failing", third).groupBy(*KEYS, minute).agg(F.max_by("failing", F.struct("at", "result")).alias("failing"))
+
+
+def raised_declarations(classes: DataFrame, data: DataFrame) -> DataFrame:
+    """The log of raised declarations: each minute at which the declared latency of an event source grew, from what to what."""
+    rows = classes.join(data.select(*KEYS, F.col("declared_latency_ms").alias("initial")), KEYS).where("initial is not null")
+    earlier = F.lag("declared_ms").over(W.partitionBy(*KEYS).orderBy("minute"))
+    rows = rows.withColumn("from_ms", F.coalesce(earlier, "initial"))
+    return rows.where("declared_ms > from_ms").select(*KEYS, F.col("minute").alias("since"), "from_ms", F.col("declared_ms").alias("to_ms"))
 
 
 def class_changes(classes: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -319,7 +377,7 @@ def class_changes(classes: DataFrame, before: DataFrame | None = None) -> DataFr
         rows = rows.join(before.select(*KEYS, F.col("class").alias("initial")), KEYS, "left")
         rows = rows.withColumn("earlier", F.coalesce("earlier", "initial"))
     changed = rows.where(F.col("class") != F.coalesce("earlier", F.lit(NO_WINDOW)))
-    return changed.select(*KEYS, F.col("minute").alias("since"), "class", "w_ms")
+    return changed.select(*KEYS, F.col("minute").alias("since"), "class", "w_ms", "w_until")
 
 
 def class_intervals(changes: DataFrame) -> DataFrame:
@@ -414,3 +472,9 @@ def audit(log: DataFrame, pulse: DataFrame, fields: Sequence[str]) -> DataFrame:
         F.when(F.col("b").isNull(), "only_log").when(F.col("a").isNull(), "only_pulse").when(F.col("a") == F.col("b"), "equal")
     ).otherwise("different")
     return left.join(right, "minute", "full_outer").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("minutes"))
+
+
+def punctual_share(summaries: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
+    """Minutes reported, those on time, and their share in percent."""
+    rows = summaries.groupBy(*by).agg(F.count(F.lit(1)).alias("minutes"), F.count_if(F.col("on_time") == 1).alias("punctual"))
+    return rows.withColumn("punctual_pct", 100 * F.col("punctual") / F.col("minutes"))

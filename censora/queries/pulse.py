@@ -51,9 +51,20 @@ def _(t: Tables):
     f"WITH {EV_SQL} SELECT system, datum, minute, refreshes, first, last, observations, events, source_latency_max_ms, deliveries, delivery_latency_max_ms, received, max_gap_ms FROM summ",
 )
 def _(t: Tables):
-    raw = S.event_stream(t.spark, t.directory, t.events.schema, "events.parquet")
-    rows = S.run_available(S.summary_stream(events(raw)), "summaries", "update")
-    return plain(S.latest_batch(rows, ["system", "datum", "minute"]))
+    raw = S.event_stream(t.spark, delivered(t), t.events.schema, "*.parquet", files=1)
+    return plain(S.run_available(S.summary_stream(events(raw)), S.fresh_store(t.spark, "summaries"), ["system", "datum", "minute"]))
+
+
+def delivered(t: Tables) -> str:
+    """A folder with the driver's events in four deliveries of about eight days, one file each; a tenth of the rows comes up
+    to twelve hours late, so that it falls into minutes of the delivery before."""
+    folder, at = shared_dir(t.spark, "deliveries"), F.unix_seconds(F.col("ts").cast("timestamp"))
+    late = F.when(F.col("event_id") % 10 == 0, 12 * 3600).otherwise(0)
+    part = F.floor((at + late - F.lit(1_704_067_200)) / (8 * 86_400))
+    stored = materialise(t.events.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(3), part))), "events")
+    for number in range(4):
+        stored.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 @query("m2_punctuality", f"WITH {EV_SQL} SELECT system, datum, status, count(*) AS summaries, sum(refreshes)::BIGINT AS refreshes FROM summ GROUP BY 1, 2, 3")
@@ -61,11 +72,9 @@ def _(t: Tables):
     return summaries(t).groupBy(*pulse.KEYS, "status").agg(F.count(F.lit(1)).alias("summaries"), F.sum("refreshes").alias("refreshes"))
 
 
-def catalogue(t: Tables):
+def described(rows):
+    """``rows(system, datum)`` with what a catalogue declares of them."""
     datum = F.col("datum")
-    rows = t.events.select(
-        F.col("event_type").alias("system"), F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string")).alias("datum")
-    ).distinct()
     return rows.select(
         "system",
         "datum",
@@ -79,6 +88,11 @@ def catalogue(t: Tables):
     )
 
 
+def catalogue(t: Tables):
+    rows = t.events.select(F.col("event_type").alias("system"), F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string")).alias("datum"))
+    return described(rows.distinct())
+
+
 def checks(t: Tables):
     k = json_field("props", "k", "int")
     rows = t.events.where(k % 10 < 3)
@@ -90,20 +104,19 @@ def checks(t: Tables):
     )
 
 
-def span(t: Tables):
-    ends = t.events.agg(
-        F.struct(
-            F.date_trunc("minute", F.min("ts").cast("timestamp")).alias("lo"),
-            (F.date_trunc("minute", F.max("ts").cast("timestamp")) + F.expr("INTERVAL 5 MINUTES")).alias("hi"),
-        ).alias("s")
-    ).scalar()
-    return ends["lo"], ends["hi"]
+def graded(t: Tables):
+    """Minute summaries as a stored table, the catalogue of their data, and the class of each datum at each minute.
+
+    The events are read twice: for the summaries and for the checks.
+    """
+    stored = materialise(summaries(t), "summaries")
+    ends = stored.agg(F.min("minute").alias("lo"), (F.max("minute") + F.expr("INTERVAL 5 MINUTES")).alias("hi")).first()
+    data = materialise(described(stored.select(*pulse.KEYS).distinct()).drop("mode", "verified_at"), "catalogue")
+    return stored, data, pulse.classes_by_minute(stored, data, checks(t), F.lit(ends.lo), F.lit(ends.hi))
 
 
 def classes(t: Tables):
-    start, end = span(t)
-    data = catalogue(t).drop("mode", "verified_at")
-    return pulse.classes_by_minute(summaries(t), data, checks(t), start, end)
+    return graded(t)[2]
 
 
 CLASS_SQL = f"""{EV_SQL},
@@ -116,10 +129,10 @@ CLASS_SQL = f"""{EV_SQL},
              FROM grid g JOIN ont o ON o.system = g.system AND o.datum = g.datum AND o.minute >= g.minute - INTERVAL 60 MINUTE AND o.minute < g.minute GROUP BY 1, 2, 3),
      roll AS (SELECT a.system, a.datum, a.minute, max(CASE WHEN b.deliveries > 0 THEN b.delivery_latency_max_ms END) AS w, max(CASE WHEN b.events > 0 THEN b.source_latency_max_ms END) AS s
               FROM ont a JOIN ont b ON a.system = b.system AND a.datum = b.datum AND b.minute > a.minute - INTERVAL 60 MINUTE AND b.minute <= a.minute WHERE a.deliveries > 0 AND a.delivery_latency_max_ms IS NOT NULL GROUP BY 1, 2, 3),
-     w0 AS (SELECT g.*, win.gap, push_now, src_now, l.last_ms, r.w AS push_last, r.s AS src_last, m0 < g.minute - INTERVAL 60 MINUTE AS covered
+     w0 AS (SELECT g.*, win.gap, push_now, src_now, l.last_ms, r.w AS push_last, r.s AS src_last, r.minute + INTERVAL 1 MINUTE AS roll_end, m0 < g.minute - INTERVAL 60 MINUTE AS covered
             FROM grid g LEFT JOIN win USING (system, datum, minute) LEFT JOIN begin USING (system, datum) ASOF LEFT JOIN ont l ON l.system = g.system AND l.datum = g.datum AND l.minute < g.minute
             ASOF LEFT JOIN roll r ON r.system = g.system AND r.datum = g.datum AND r.minute < g.minute),
-     w1 AS (SELECT *, CASE WHEN push THEN coalesce(push_now, push_last) WHEN covered THEN greatest(gap, epoch_us(minute) // 1000 - last_ms) END AS w, CASE WHEN push AND push_now IS NULL THEN src_last ELSE src_now END AS src FROM w0),
+     w1 AS (SELECT *, CASE WHEN push THEN coalesce(push_now, push_last) WHEN covered THEN greatest(gap, epoch_us(minute) // 1000 - last_ms) END AS w, CASE WHEN push AND push_now IS NULL THEN src_last ELSE src_now END AS src, CASE WHEN push AND push_now IS NULL AND push_last IS NOT NULL THEN roll_end END AS until FROM w0),
      w2 AS (SELECT *, CASE WHEN declared IS NOT NULL THEN greatest(declared, max(CASE WHEN w IS NOT NULL THEN src END) OVER (PARTITION BY system, datum ORDER BY minute)) END AS raised FROM w1),
      ord AS (SELECT *, CASE WHEN w IS NULL THEN NULL WHEN w <= 1 THEN 0 WHEN w <= 1000 THEN 1 WHEN w <= 60000 THEN 2 ELSE 3 END AS o1,
              CASE WHEN kind = 'event' AND declared IS NULL THEN NULL WHEN kind = 'event' THEN coalesce(src, raised) ELSE clock END AS bound FROM w2),
@@ -128,7 +141,7 @@ CLASS_SQL = f"""{EV_SQL},
      cm AS (SELECT system, datum, date_trunc('minute', inst) - INTERVAL 5 MINUTE AS t, arg_max(failing, inst) AS failing FROM chk GROUP BY 1, 2, 3),
      gr AS (SELECT o.*, coalesce(c.failing, false) AS failing, CASE WHEN w IS NULL THEN 4 ELSE greatest(o1, CASE WHEN bound IS NULL OR bound < 0 THEN 3 WHEN bound <= 1 THEN 0 WHEN bound <= 1000 THEN 1 WHEN bound <= 60000 THEN 2 ELSE 3 END) END AS o2
             FROM ord o ASOF LEFT JOIN cm c ON c.system = o.system AND c.datum = o.datum AND c.t <= o.minute),
-     cls AS (SELECT system, datum, minute, w AS w_ms, raised AS declared_ms, CASE CASE WHEN o2 < 3 AND (NOT checked OR failing) THEN 3 ELSE o2 END WHEN 0 THEN 'DPMS' WHEN 1 THEN 'DPS' WHEN 2 THEN 'DPM' WHEN 3 THEN 'fuera-de-clase' ELSE 'sin-ventana' END AS class FROM gr)"""
+     cls AS (SELECT system, datum, minute, until, w AS w_ms, raised AS declared_ms, CASE CASE WHEN o2 < 3 AND (NOT checked OR failing) THEN 3 ELSE o2 END WHEN 0 THEN 'DPMS' WHEN 1 THEN 'DPS' WHEN 2 THEN 'DPM' WHEN 3 THEN 'fuera-de-clase' ELSE 'sin-ventana' END AS class FROM gr)"""
 
 
 @query(
@@ -161,11 +174,28 @@ def _(t: Tables):
 
 @query(
     "m5_delivery_path",
-    f"WITH {CLASS_SQL} SELECT datum, minute, w_ms FROM cls WHERE system = 'purchase' AND minute(minute) = 0",
+    f"WITH {CLASS_SQL} SELECT datum, date_trunc('hour', minute) AS hour, count(*) AS minutes, count(w_ms) AS graded, sum(w_ms)::BIGINT AS sum_w_ms, count(until) AS stale, max(until) AS measured_until FROM cls WHERE system = 'purchase' GROUP BY 1, 2",
+)
+def _(t: Tables):
+    rows = classes(t).where("system = 'purchase'").groupBy("datum", F.date_trunc("hour", "minute").alias("hour"))
+    return plain(
+        rows.agg(
+            F.count(F.lit(1)).alias("minutes"),
+            F.count("w_ms").alias("graded"),
+            F.sum("w_ms").alias("sum_w_ms"),
+            F.count("w_until").alias("stale"),
+            F.max("w_until").alias("measured_until"),
+        )
+    )
+
+
+@query(
+    "m6_raised_declarations",
+    f"WITH {CLASS_SQL} SELECT system, datum, minute AS since, from_ms, declared_ms AS to_ms FROM (SELECT *, coalesce(lag(declared_ms) OVER (PARTITION BY system, datum ORDER BY minute), CASE WHEN datum = 'd0' THEN 900 END)::BIGINT AS from_ms FROM cls) WHERE declared_ms > from_ms",
 )
 def _(t: Tables):
-    hourly = classes(t).where((F.col("system") == "purchase") & (F.minute("minute") == 0))
-    return plain(hourly.select("datum", "minute", "w_ms"))
+    _, data, rows = graded(t)
+    return plain(pulse.raised_declarations(rows, data))
 
 
 @query("m6_source_clock", f"WITH {CLASS_SQL} SELECT system, datum, max(declared_ms) AS declared_ms, count(*) FILTER (class IN ('DPM', 'DPS', 'DPMS')) AS in_class FROM cls GROUP BY 1, 2")
@@ -186,7 +216,7 @@ CHANGES_SQL = f"""{CLASS_SQL}, chg AS (SELECT system, datum, minute AS since, cl
 
 @query("m8_class_changes", f"WITH {CHANGES_SQL} SELECT *, lead(since) OVER (PARTITION BY system, datum ORDER BY since) AS until FROM chg")
 def _(t: Tables):
-    return plain(pulse.class_intervals(pulse.class_changes(classes(t))))
+    return plain(pulse.class_intervals(pulse.class_changes(classes(t)).drop("w_until")))
 
 
 DUE_SQL = CHANGES_SQL.replace(
@@ -196,15 +226,17 @@ DUE_SQL = CHANGES_SQL.replace(
 
 @query("m8_stream_class_changes", f"WITH {DUE_SQL} SELECT system, datum, since, class, w_ms FROM chg")
 def _(t: Tables):
-    # Reports reach the stream in order of arrival, half a month per micro-batch of so many files.
-    files = 16
+    # Reports reach the stream in order of arrival, about a week per micro-batch of so many files.
+    files = 4
     reports = summaries(t).where("status <> 'rejected'").drop("status", "on_time")
-    folder, half = shared_dir(t.spark, "reports"), F.floor(F.dayofmonth("received") / 16).alias("half")
-    stored = materialise(reports.select("*", half), "reports-all")
-    for number in range(2):
-        stored.where(F.col("half") == number).drop("half").repartition(files).write.mode("append").parquet(folder)
+    folder, week = shared_dir(t.spark, "reports"), F.least(F.floor((F.dayofmonth("received") - 1) / 7), F.lit(4)).alias("week")
+    stored = materialise(reports.select("*", F.when(F.month("received") == 1, week).otherwise(4).alias("week")), "reports-all")
+    for number in range(5):
+        stored.where(F.col("week") == number).drop("week").repartition(files).write.mode("append").parquet(folder)
     stream = S.event_stream(t.spark, folder, reports.schema, "*.parquet", files=files)
-    return plain(S.class_job(stream, catalogue(t).drop("mode", "verified_at"), checks(t)))
+    data = materialise(catalogue(t).drop("mode", "verified_at"), "catalogue")
+    changed = S.class_job(stream, lambda: data, lambda: checks(t), S.fresh_store(t.spark, "classes"))
+    return plain(changed.drop("w_until"))
 
 
 USER_SQL = """us AS (SELECT user_id, date_trunc('minute', ts) AS minute, max(ts + to_microseconds(round(value * 1000000)::BIGINT)) AS received FROM events GROUP BY 1, 2),
@@ -253,14 +285,14 @@ TYPE_STATES_SQL = """tdy AS (SELECT DISTINCT system, (minute - INTERVAL 6 HOUR):
         FROM rp r JOIN ic USING (system, day) LEFT JOIN tst s ON s.system = r.system AND s.day = r.day""",
 )
 def _(t: Tables):
-    rows = summaries(t)
+    rows, _, grades = graded(t)
     states = pulse.adhesion(rows, F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
     civil = F.to_date(F.col("ts") - F.expr("INTERVAL 6 HOURS"))
     reports = t.events.groupBy(F.col("event_type").alias("system"), civil.alias("day")).agg(
         F.count_distinct("user_id").alias("users"),
         F.array(*[F.lit(f"d{i}") for i in range(4)]).alias("data"),
     )
-    return pulse.daily_users(reports, states, pulse.class_changes(classes(t)))
+    return pulse.daily_users(reports, states, pulse.class_changes(grades))
 
 
 @query(

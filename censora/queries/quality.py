@@ -10,6 +10,7 @@ from censora.operators.calendar import slots
 from censora.plans import climate, pulse
 from censora.queries import Tables, query
 from censora.queries import derive as D
+from censora.queries.pulse import EV_SQL, summaries
 from censora.queries.windows import STEPS_SQL, WITNESS_SQL, witness_pairs
 
 MEANS_SQL = """calc AS (SELECT c_nationkey AS geo, sum(round(c_acctbal * 100)::BIGINT)::BIGINT / (100 * count(*)) AS value FROM customer WHERE c_nationkey <> 4 GROUP BY 1),
@@ -121,7 +122,7 @@ def _(t: Tables):
 
 REPORTED_SQL = """rep AS (SELECT event_id, event_type AS system, 'd' || (user_id % 5) AS datum, date_trunc('minute', ts) AS minute, CASE WHEN event_id % 11 = 0 THEN 0 ELSE (event_id % 4)::INTEGER END AS refreshes, ts AS first,
          ts + to_milliseconds((event_id % 90) * 1000) AS last, ((event_id % 90) * 1000 // greatest(event_id % 3, 1))::BIGINT AS max_gap_ms, event_id % 6 - 1 AS observations, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS events,
-         CASE WHEN event_id % 10 = 0 THEN 200 END AS src, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS deliveries, CASE WHEN event_id % 14 = 0 THEN 300 END AS dlv, ts + to_milliseconds((value * 1000)::BIGINT * 300) AS received FROM events),
+         CASE WHEN event_id % 10 = 0 THEN 200 END AS src, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS deliveries, CASE WHEN event_id % 14 = 0 THEN 300 END AS dlv, ts + to_milliseconds((value * 1000)::BIGINT * 300) AS received, epoch_us(ts) // 21600000000 AS report FROM events),
      known AS (SELECT DISTINCT event_type AS system, 'd' || (user_id % 4) AS datum, CASE WHEN event_type = 'purchase' THEN 'push' ELSE 'poll' END AS via FROM events),
      r AS (SELECT rep.*, via, minute + INTERVAL 1 MINUTE AS fin, (epoch_us(last) // 1000 - epoch_us(first) // 1000) AS span FROM rep LEFT JOIN known USING (system, datum))"""
 
@@ -157,13 +158,16 @@ def known_data(t: Tables, modulus: int = 4):
 
 @query(
     "k7_intake_rules",
-    f"""WITH {REPORTED_SQL} SELECT event_id, concat_ws(',', CASE WHEN via IS NULL THEN 'unknown-datum' END, CASE WHEN observations < 0 THEN 'negative-count' END, CASE WHEN events > 0 AND src IS NULL THEN 'events-without-latency' END,
-            CASE WHEN deliveries > 0 AND dlv IS NULL THEN 'deliveries-without-latency' END, CASE WHEN refreshes = 0 AND deliveries = 0 THEN 'empty-summary' END, CASE WHEN refreshes = 0 AND via <> 'push' THEN 'no-refresh-outside-delivery' END,
-            CASE WHEN received > fin + INTERVAL 24 HOUR THEN 'too-old' END, CASE WHEN last >= fin THEN 'last-outside-minute' END, CASE WHEN refreshes = 1 AND span <> 0 THEN 'single-with-span' END,
-            CASE WHEN refreshes <= 1 AND max_gap_ms <> 0 THEN 'gap-without-pair' END, CASE WHEN refreshes > 1 AND max_gap_ms > span THEN 'gap-exceeds-span' END, CASE WHEN refreshes > 1 AND max_gap_ms * (refreshes - 1) < span THEN 'gap-below-mean' END) AS faults FROM r""",
+    f"""WITH {REPORTED_SQL} SELECT event_id, concat_ws(',', CASE WHEN via IS NULL THEN 'unknown-datum' END, CASE WHEN received > fin + INTERVAL 24 HOUR THEN 'too-old' END, CASE WHEN times > 1 THEN 'minute-repeated' END,
+            CASE WHEN last >= fin THEN 'last-outside-minute' END, CASE WHEN observations < 0 THEN 'negative-count' END, CASE WHEN refreshes = 0 AND deliveries = 0 THEN 'empty-summary' END, CASE WHEN refreshes = 0 AND via <> 'push' THEN 'no-refresh-outside-delivery' END,
+            CASE WHEN refreshes = 1 AND span <> 0 THEN 'single-with-span' END, CASE WHEN refreshes <= 1 AND max_gap_ms <> 0 THEN 'gap-without-pair' END, CASE WHEN refreshes > 1 AND max_gap_ms > span THEN 'gap-exceeds-span' END,
+            CASE WHEN refreshes > 1 AND max_gap_ms * (refreshes - 1) < span THEN 'gap-below-mean' END, CASE WHEN events > 0 AND src IS NULL THEN 'events-without-latency' END, CASE WHEN deliveries > 0 AND dlv IS NULL THEN 'deliveries-without-latency' END) AS faults
+        FROM (SELECT *, count(*) OVER (PARTITION BY system, report, datum, minute) AS times FROM r)""",
 )
 def _(t: Tables):
-    checked = pulse.intake_rules(reported(t), known_data(t))
+    # A report is a quarter of a day of a system, so some of them name a minute of a datum twice.
+    rows = reported(t).withColumn("report", F.floor(F.unix_seconds("first") / 21_600))
+    checked = pulse.intake_rules(rows, known_data(t))
     return checked.select("event_id", F.concat_ws(",", "faults").alias("faults"))
 
 
@@ -231,6 +235,14 @@ def _(t: Tables):
     return pulse.audit(log(t.events.where("event_type <> 'error'")), log(t.events.where("event_type <> 'click'")), ["n"])
 
 
+@query(
+    "k11_punctual_share",
+    f"WITH {EV_SQL} SELECT system, count(*) AS minutes, count(*) FILTER (on_time = 1) AS punctual, 100 * count(*) FILTER (on_time = 1) / count(*) AS punctual_pct FROM summ GROUP BY 1",
+)
+def _(t: Tables):
+    return pulse.punctual_share(summaries(t))
+
+
 @query(
     "k12_key_and_domain",
     """WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS copies, sum(CASE WHEN l_suppkey % 40 + 1 > 32 THEN 1 ELSE 0 END) AS bad FROM lineitem GROUP BY 1, 2)
