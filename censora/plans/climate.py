@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censora.functions.scalars import percentile_rank_from_grid, relative_humidity, round_half_even
+from censora.operators.aggregates import exact_mean
 from censora.operators.calendar import worst_and_current_run
 from censora.operators.ordering import medians, with_previous
 
@@ -34,6 +35,8 @@ MIN_YEARS, MIN_YEARS_REFERENCE = 24, 10
 MIN_DAYS_PER_YEAR = 292
 MIN_FRACTION = 0.8
 PERIODS = ((1991, 2020), (1981, 2010))
+# A day with this much rain is wet; a reading this late came with the second batch (minutes).
+WET_MM, SECOND_BATCH_MIN = 0.1, 20
 LEAD_EDGES_H, LEAD_BINS = (24, 48, 72), ("0-24", "24-48", "48-72", "72-120")
 
 
@@ -249,20 +252,28 @@ def completeness(slots: DataFrame) -> DataFrame:
     """Completeness of each station over the watched hours.
 
     ``slots(station, hour, local_hour, watched, arrived, marked, delay_min)`` is the hour calendar of the window. An hour
-    without batch and without reading is not watched and shows as "·" in the strip (L arrived, M marked, F missing).
+    without batch and without reading is not watched and shows as "·" in the strip (L arrived, M marked, F missing). Blocks
+    of six local hours show what was watched, missing and missing in percent; a reading that comes later than the first batch
+    (``SECOND_BATCH_MIN``) came with the second.
     """
     letter = F.when(~F.col("watched"), "·").when(F.col("marked"), "M").when(F.col("arrived"), "L").otherwise("F")
     rows = slots.withColumn("letter", letter)
     missing = F.col("watched") & ~F.col("arrived")
     watched = rows.where("watched")
+    blocks = {f"{h:02d}": F.col("local_hour").between(h, h + 5) for h in (0, 6, 12, 18)}
+    told = F.col("arrived") & F.col("delay_min").isNotNull()
     counts = watched.groupBy("station").agg(
         F.count(F.lit(1)).alias("watched"),
         F.count_if("arrived").alias("arrived"),
         F.count_if("marked").alias("marked"),
         F.count_if(missing).alias("missing"),
         F.max(F.when(F.col("arrived"), F.col("hour"))).alias("last_reading"),
-        *[F.count_if(missing & F.col("local_hour").between(h, h + 5)).alias(f"missing_{h:02d}") for h in (0, 6, 12, 18)],
+        *[F.count_if(inside).alias(f"watched_{b}") for b, inside in blocks.items()],
+        *[F.count_if(missing & inside).alias(f"missing_{b}") for b, inside in blocks.items()],
+        F.try_divide(100 * F.count_if(told & (F.col("delay_min") > SECOND_BATCH_MIN)), F.count_if(told)).alias("second_batch_pct"),
     )
+    for b in blocks:
+        counts = counts.withColumn(f"missing_{b}_pct", F.try_divide(100 * F.col(f"missing_{b}"), F.col(f"watched_{b}")))
     streaks = worst_and_current_run(watched.withColumn("gone", missing), ["station"], "hour", F.col("gone"))
     delays = medians(watched.where("delay_min is not null"), ["station"], "delay_min").select(
         "station", F.col("median").alias("median_delay_min")
@@ -279,6 +290,49 @@ def completeness(slots: DataFrame) -> DataFrame:
     )
 
 
+def national_completeness(slots: DataFrame) -> DataFrame:
+    """One row over all stations: readings watched and arrived, and the hours at which every watched station reported."""
+    hours = slots.where("watched").groupBy("hour").agg(F.count(F.lit(1)).alias("watched"), F.count_if("arrived").alias("arrived"))
+    sums = hours.agg(
+        F.sum("watched").alias("watched"),
+        F.sum("arrived").alias("arrived"),
+        F.count(F.lit(1)).alias("hours"),
+        F.count_if(F.col("watched") == F.col("arrived")).alias("complete_hours"),
+    )
+    return sums.withColumn("arrived_pct", F.try_divide(100 * F.col("arrived"), F.col("watched")))
+
+
+def rain_share(daily: DataFrame, half_window: int, wet: float = WET_MM) -> DataFrame:
+    """Share of wet days around each calendar day, over all years: ``daily(station, day, rain)``; of leap days only their own.
+
+    Days are folded to counts per calendar day first; the window then looks ±k places along the 366 of them."""
+    place = F.dayofyear(F.make_date(F.lit(2000), F.month("day"), F.dayofmonth("day")))
+    folded = daily.where("rain is not null").groupBy("station", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rain") >= wet).alias("k"))
+    turns = F.filter(F.array(*[F.col("place") + 366 * k for k in (-1, 0, 1)]), lambda p: p.between(1 - half_window, 366 + half_window))
+    along = W.partitionBy("station").orderBy("seat").rangeBetween(-half_window, half_window)
+    seats = folded.withColumn("seat", F.explode(turns))
+    summed = seats.withColumn("days", F.sum("n").over(along)).withColumn("wet_days", F.sum("k").over(along)).where(F.col("seat") == F.col("place"))
+    label = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("place") - 1), "MM-dd")
+    return summed.select("station", label.alias("date"), "days", "wet_days", F.round(F.col("wet_days") / F.col("days"), 3).alias("rain_share"))
+
+
+def monthly_recheck(daily: DataFrame, official: DataFrame, variable: str, least_days: int = 20) -> DataFrame:
+    """Monthly means from the daily record against the official normals: a month of a year counts with enough days, and the
+    mean over the years is compared. ``official(station, month, normal)``."""
+    months = daily.where(F.col(variable).isNotNull()).groupBy("station", F.year("day").alias("year"), F.month("day").alias("month"))
+    means = months.agg(F.count(F.lit(1)).alias("days"), exact_mean(F.col(variable)).alias("mean")).where(F.col("days") >= least_days)
+    over = means.groupBy("station", "month").agg(F.count(F.lit(1)).alias("years"), exact_mean(F.round("mean", 6)).alias("computed"))
+    joined = official.join(over, ["station", "month"], "left")
+    return joined.withColumn("difference", F.round(F.col("computed") - F.col("normal"), 2))
+
+
+def versus_monthly_normal(extremes: DataFrame, official: DataFrame) -> DataFrame:
+    """Day extremes against the official normals of their month: ``official(station, month, tmax, tmin)``."""
+    joined = extremes.withColumn("month", F.month("day")).join(official, ["station", "month"], "left")
+    tenth = lambda x: round_half_even(x, 1)
+    return joined.select("station", "day", "high", "low", tenth(F.col("high") - F.col("tmax")).alias("high_vs_month"), tenth(F.col("low") - F.col("tmin")).alias("low_vs_month"))
+
+
 def lead_bin(lead_hours: Column) -> Column:
     first, second, third = LEAD_EDGES_H
     a, b, c, d = LEAD_BINS

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from censora.functions.scalars import bucketize, cents, clean_number_text, completed_years, deepest_code
 from censora.operators import aggregates as A
 from censora.operators.joins import all_members, with_band
-from censora.operators.ordering import medians, percentiles
+from censora.operators.ordering import join_null_safe, medians, percentiles
 from censora.operators.reshape import keep_first
 
 # Months of the quarter a household survey covers; seniority and age classes of the payroll dashboard.
@@ -117,7 +117,9 @@ def payroll_dashboard(payroll: DataFrame, as_of: Column) -> dict[str, DataFrame]
         A.money_mean("gross", men).alias("avg_men"),
         A.money_mean("gross", women).alias("avg_women"),
         A.money_mean("net").alias("avg_net"),
-    )
+        (F.sum(F.round(F.col("gross") * 100).cast("bigint") - F.round(F.col("net") * 100).cast("bigint")) / (F.count("net") * 100)).alias("avg_deduction"),
+        (F.sum(completed_years("hired", as_of)) / F.count("hired")).alias("avg_seniority"),
+    ).withColumn("deduction_pct", F.when(F.col("avg_gross") > 0, 100 * F.coalesce("avg_deduction", F.lit(0.0)) / F.col("avg_gross")).otherwise(0.0))
     spread = percentiles(paid, [], "gross", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}).drop("n")
     # Two one-row frames side by side: read the second as a scalar struct.
     row = spread.select(F.struct("*").alias("s")).scalar()
@@ -129,7 +131,7 @@ def payroll_dashboard(payroll: DataFrame, as_of: Column) -> dict[str, DataFrame]
         A.money_mean("gross", women).alias("avg_women"),
     )
     positions = paid.groupBy("position").agg(A.rows().alias("n"), A.money_mean("gross").alias("avg_gross"))
-    top = positions.orderBy(F.desc("avg_gross"), "position").limit(10)
+    top = positions.orderBy(F.desc("avg_gross"), F.desc("n"), "position").limit(10)
     by_age = (
         paid.where("age >= 18").groupBy(bucketize("age", AGE_EDGES, AGE_LABELS).alias("age_class")).agg(A.money_mean("gross").alias("avg_gross"))
     )
@@ -248,6 +250,71 @@ def price_series(prices: DataFrame) -> DataFrame:
     )
 
 
+def rate_snapshot(funds: DataFrame, rates: DataFrame, when: str, decimals: int = 4) -> DataFrame:
+    """Every fund's ``rate`` at one month, silent ones with NULL, next to the figures of all that report: how many, their
+    simple mean, lowest and highest. ``rates(fund, month, rate)``."""
+    now = rates.where(F.col("month") == when).select("fund", F.round("rate", decimals).alias("rate"))
+    figures = now.agg(
+        F.struct(
+            F.count("rate").alias("reporting"),
+            F.round(A.exact_mean(F.col("rate")), decimals).alias("mean_rate"),
+            F.min("rate").alias("low"),
+            F.max("rate").alias("high"),
+        ).alias("f")
+    ).scalar()
+    return funds.join(now, "fund", "left").withColumn("f", figures).select(*funds.columns, "rate", "f.*")
+
+
+def matrix_snapshot(values: DataFrame, keys: Sequence[str], value: str, when: Column) -> DataFrame:
+    """All reported cells (fund × sub-fund, with a term or a measure) of one date, with the cells, the empty ones, the total
+    and the range of each group of ``keys``; NULL means reported without a figure."""
+    cells = values.where(when)
+    amount = F.col(value).cast("decimal(18,6)")
+    figures = cells.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count_if(F.col(value).isNull()).alias("empty"),
+        F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)).alias("total"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+    )
+    return join_null_safe(cells, figures, keys)
+
+
+def system_returns(returns: DataFrame) -> DataFrame:
+    """Return of the whole system per sub-fund, term and month: weighted by the assets of the funds that report one.
+
+    ``returns(fund, sub, term, month, pct, assets)``; ``assets`` in whole cents."""
+    weighted = F.sum(F.when(F.col("pct").isNotNull(), F.col("pct").cast("decimal(12,6)") * F.col("assets").cast("decimal(20,0)")))
+    weight = F.sum(F.when(F.col("pct").isNotNull(), F.col("assets")))
+    return returns.groupBy("sub", "term", "month").agg(
+        F.count("pct").alias("funds"), (F.try_divide(weighted.cast("double"), weight.cast("double"))).alias("pct")
+    )
+
+
+def account_totals(accounts: DataFrame) -> DataFrame:
+    """Accounts of each measure and month over all funds, with the funds that report it; ``accounts(fund, month, measure, n)``."""
+    return accounts.groupBy("measure", "month").agg(F.sum("n").alias("accounts"), F.count_distinct(F.when(F.col("n").isNotNull(), F.col("fund"))).alias("funds"))
+
+
+def contributor_coverage(years: DataFrame) -> DataFrame:
+    """Contributors as percent of the active population per year, the gap to all of it, and the years of least and most cover.
+
+    ``years(year, contributors, active)``; a year is one row."""
+    rows = years.withColumn("pct", F.round(100 * F.col("contributors") / F.col("active"), 2)).withColumn("gap_pct", F.round(100 - F.col("pct"), 2))
+    ends = rows.agg(
+        F.struct(F.min_by("year", F.struct("pct", "year")).alias("least_year"), F.max_by("year", F.struct("pct", -F.col("year"))).alias("most_year")).alias("e")
+    ).scalar()
+    return rows.withColumn("e", ends).select(*rows.columns, "e.*")
+
+
+def price_comparison(prices: DataFrame, sub: str, since: Column, until: Column) -> DataFrame:
+    """The prices of one sub-fund in all funds that have it, day by day in a window, each with the change in percent since the
+    fund's first price in the window."""
+    window = prices.where((F.col("sub") == sub) & F.col("date").between(since, until))
+    first = window.groupBy("fund").agg(F.min_by("price", "date").alias("first_price"), F.count(F.lit(1)).alias("points"))
+    return window.join(first, "fund").withColumn("change_pct", F.try_divide(100 * (F.col("price") - F.col("first_price")), F.col("first_price")))
+
+
 # ------------------------------------------------------------------ economic census, series catalogue
 
 

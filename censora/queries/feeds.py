@@ -166,6 +166,46 @@ def _(t: Tables):
     return plain(feeds.delivery_minutes(acks))
 
 
+MONTHLY_SQL = """official AS (SELECT station, month(day)::INTEGER AS month, round(avg(tmax), 1) + 0.3 AS tmax, round(avg(tmin), 1) AS tmin FROM (SELECT station, day, tmax, tmin FROM daily) WHERE month(day) <> 11 GROUP BY 1, 2)"""
+
+
+def official(t: Tables):
+    """Official normals of each month as if published: rounded means, moved a little; one month is not published."""
+    grouped = D.daily(t).where(F.month("day") != 11).groupBy("station", F.month("day").alias("month"))
+    return grouped.agg((F.round(F.avg("tmax"), 1) + 0.3).alias("tmax"), F.round(F.avg("tmin"), 1).alias("tmin"))
+
+
+@query(
+    "m16_today_versus_month",
+    f"""WITH {D.DAILY_SQL}, {MONTHLY_SQL}, t AS (SELECT station, day, tmax AS high, tmin AS low, month(day)::INTEGER AS month FROM daily WHERE year(day) = 2000)
+        SELECT t.station, t.day, high, low, format('{{:.1f}}', high - o.tmax)::DOUBLE AS high_vs_month, format('{{:.1f}}', low - o.tmin)::DOUBLE AS low_vs_month FROM t LEFT JOIN official o ON o.station = t.station AND o.month = t.month""",
+)
+def _(t: Tables):
+    today = D.daily(t).where(F.year("day") == 2000).select("station", "day", F.col("tmax").alias("high"), F.col("tmin").alias("low"))
+    return climate.versus_monthly_normal(today, official(t))
+
+
+@query(
+    "f12_monthly_recheck",
+    f"""WITH {D.DAILY_SQL}, {MONTHLY_SQL}, y AS (SELECT station, year(day) AS y, month(day)::INTEGER AS month, count(*) AS days, sum(tmax::DECIMAL(18, 6))::DOUBLE / count(*) AS mean FROM daily WHERE tmax IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+             o AS (SELECT station, month, count(*) AS years, sum(round(mean, 6)::DECIMAL(18, 6))::DOUBLE / count(*) AS computed FROM y GROUP BY 1, 2)
+        SELECT f.station, f.month, f.tmax AS normal, years, computed, round(computed - f.tmax, 2) AS difference FROM official f LEFT JOIN o ON o.station = f.station AND o.month = f.month""",
+)
+def _(t: Tables):
+    return climate.monthly_recheck(D.daily(t), official(t).select("station", "month", F.col("tmax").alias("normal")), "tmax", 10)
+
+
+@query(
+    "f12_rain_share",
+    f"""WITH {D.DAILY_SQL}, r AS (SELECT station, dayofyear(make_date(2000, month(day), day(day))) AS place, CASE WHEN tmax > tmin * 2 THEN 1 ELSE 0 END AS wet FROM daily WHERE tmax IS NOT NULL AND tmin IS NOT NULL), f AS (SELECT station, place, count(*) AS n, sum(wet)::BIGINT AS k FROM r GROUP BY 1, 2)
+        SELECT a.station, strftime(DATE '2000-01-01' + (a.place - 1)::INTEGER, '%m-%d') AS date, sum(b.n)::BIGINT AS days, sum(b.k)::BIGINT AS wet_days, round(sum(b.k)::BIGINT / sum(b.n)::BIGINT, 3) AS rain_share
+        FROM f a JOIN f b ON a.station = b.station AND least(abs(a.place - b.place), 366 - abs(a.place - b.place)) <= 7 GROUP BY a.station, a.place""",
+)
+def _(t: Tables):
+    rain = F.when(F.col("tmax") > F.col("tmin") * 2, 1.0).when(F.col("tmax").isNotNull() & F.col("tmin").isNotNull(), 0.0)
+    return climate.rain_share(D.daily(t).select("station", "day", rain.alias("rain")), 7)
+
+
 @query(
     "m18_lead_time_accuracy",
     """WITH h AS (SELECT event_type AS station, date_trunc('hour', ts) AS hour, sum(round(value * 100)::BIGINT)::BIGINT / (100 * count(*)) AS temp_c, sum(json_extract_string(props, '$.k')::INTEGER) % 10 = 0 AS marked FROM events GROUP BY 1, 2),

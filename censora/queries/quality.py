@@ -200,18 +200,24 @@ COMPLETE_SQL = f"""{D.READINGS_SQL}, span AS (SELECT min(instant) AS lo, max(ins
 @query(
     "k10_completeness",
     f"""WITH {COMPLETE_SQL}, c AS (SELECT station, count(*) FILTER (watched) AS watched, count(*) FILTER (watched AND arrived) AS arrived, count(*) FILTER (marked) AS marked, count(*) FILTER (watched AND NOT arrived) AS missing, max(CASE WHEN arrived THEN hour END) AS last_reading,
-             count(*) FILTER (watched AND NOT arrived AND local_hour < 6) AS missing_00, count(*) FILTER (watched AND NOT arrived AND local_hour BETWEEN 6 AND 11) AS missing_06, count(*) FILTER (watched AND NOT arrived AND local_hour BETWEEN 12 AND 17) AS missing_12,
+             count(*) FILTER (watched AND local_hour < 6) AS watched_00, count(*) FILTER (watched AND local_hour BETWEEN 6 AND 11) AS watched_06, count(*) FILTER (watched AND local_hour BETWEEN 12 AND 17) AS watched_12, count(*) FILTER (watched AND local_hour >= 18) AS watched_18,
+             100 * count(*) FILTER (arrived AND delay_min > 20) / count(*) FILTER (arrived AND delay_min IS NOT NULL) AS second_batch_pct, count(*) FILTER (watched AND NOT arrived AND local_hour < 6) AS missing_00, count(*) FILTER (watched AND NOT arrived AND local_hour BETWEEN 6 AND 11) AS missing_06, count(*) FILTER (watched AND NOT arrived AND local_hour BETWEEN 12 AND 17) AS missing_12,
              count(*) FILTER (watched AND NOT arrived AND local_hour >= 18) AS missing_18, string_agg(CASE WHEN NOT watched THEN '·' WHEN marked THEN 'M' WHEN arrived THEN 'L' ELSE 'F' END, '' ORDER BY hour) AS strip FROM slots GROUP BY 1)
-        SELECT c.*, worst_run, current_run, median_delay_min, 100 * arrived / watched AS arrived_pct FROM c JOIN st USING (station) LEFT JOIN md USING (station)""",
+        SELECT c.*, 100 * missing_00 / watched_00 AS missing_00_pct, 100 * missing_06 / watched_06 AS missing_06_pct, 100 * missing_12 / watched_12 AS missing_12_pct, 100 * missing_18 / watched_18 AS missing_18_pct,
+               worst_run, current_run, median_delay_min, 100 * arrived / watched AS arrived_pct FROM c JOIN st USING (station) LEFT JOIN md USING (station)""",
 )
 def _(t: Tables):
+    return climate.completeness(watched_hours(t)).withColumn("last_reading", F.col("last_reading").cast("timestamp_ntz"))
+
+
+def watched_hours(t: Tables):
     rows = D.readings(t).withColumn("hour", F.col("instant").cast("timestamp"))
     span = rows.agg(F.struct(F.min("hour").alias("lo"), F.max("hour").alias("hi")).alias("s")).scalar()
     grid = rows.select("station").distinct().withColumn("hour", slots(span["lo"], span["hi"], "1 HOUR"))
     batches = rows.where("k % 7 <> 0").select("hour").distinct().withColumn("batch", F.lit(True))
     joined = grid.join(rows.select("station", "hour", "k", "delay_min"), ["station", "hour"], "left").join(batches, "hour", "left")
     arrived = F.col("k").isNotNull()
-    calendar = joined.select(
+    return joined.select(
         "station",
         "hour",
         F.hour(F.from_utc_timestamp("hour", "-06:00")).alias("local_hour"),
@@ -220,7 +226,15 @@ def _(t: Tables):
         F.coalesce(F.col("k") % 10 == 0, F.lit(False)).alias("marked"),
         "delay_min",
     )
-    return climate.completeness(calendar).withColumn("last_reading", F.col("last_reading").cast("timestamp_ntz"))
+
+
+@query(
+    "k10_national_completeness",
+    f"""WITH {COMPLETE_SQL}, h AS (SELECT hour, count(*) AS w, count(*) FILTER (arrived) AS a FROM slots WHERE watched GROUP BY 1)
+        SELECT sum(w)::BIGINT AS watched, sum(a)::BIGINT AS arrived, count(*) AS hours, count(*) FILTER (w = a) AS complete_hours, 100 * sum(a)::BIGINT / sum(w)::BIGINT AS arrived_pct FROM h""",
+)
+def _(t: Tables):
+    return climate.national_completeness(watched_hours(t))
 
 
 @query(

@@ -426,10 +426,12 @@ query(
     "j14_dashboard_overview",
     f"""WITH {PAY_SQL}, k AS (SELECT * FROM pay WHERE paid), q AS ({percentile_sql("k", "", "gross", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})})
         SELECT count(*) AS total, count(DISTINCT sector) AS sectors, {_MEAN} AS avg_gross, min(gross) AS min_gross, max(gross) AS max_gross, count(*) FILTER (man) AS men, count(*) FILTER (NOT man) AS women, {_MEN} AS avg_men, {_WOMEN} AS avg_women,
-               sum(round(round(gross * 0.8::DOUBLE, 2) * 100)::BIGINT)::BIGINT / (100 * count(*)) AS avg_net, any_value(q.p25) AS p25, any_value(q.median) AS median, any_value(q.p75) AS p75, any_value(q.p90) AS p90 FROM k, q""",
+               sum(round(round(gross * 0.8::DOUBLE, 2) * 100)::BIGINT)::BIGINT / (100 * count(*)) AS avg_net,
+               sum(round(gross * 100)::BIGINT - round(round(gross * 0.8::DOUBLE, 2) * 100)::BIGINT)::BIGINT / (count(*) * 100) AS avg_deduction, sum(year(DATE '2024-03-15') - year(hired) - CASE WHEN '03-15' < strftime(hired, '%m-%d') THEN 1 ELSE 0 END)::BIGINT / count(*) AS avg_seniority,
+               100 * (sum(round(gross * 100)::BIGINT - round(round(gross * 0.8::DOUBLE, 2) * 100)::BIGINT)::BIGINT / (count(*) * 100)) / ({_MEAN}) AS deduction_pct, any_value(q.p25) AS p25, any_value(q.median) AS median, any_value(q.p75) AS p75, any_value(q.p90) AS p90 FROM k, q""",
 )(_dashboard("overview"))
 query("j14_dashboard_sectors", f"WITH {PAY_SQL} SELECT sector, count(*) AS n, {_MEAN} AS avg_gross, {_MEN} AS avg_men, {_WOMEN} AS avg_women FROM pay WHERE paid GROUP BY 1")(_dashboard("sectors"))
-query("j14_dashboard_top_positions", f"WITH {PAY_SQL} SELECT position, count(*) AS n, {_MEAN} AS avg_gross FROM pay WHERE paid GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")(_dashboard("top_positions"))
+query("j14_dashboard_top_positions", f"WITH {PAY_SQL} SELECT position, count(*) AS n, {_MEAN} AS avg_gross FROM pay WHERE paid GROUP BY 1 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 10")(_dashboard("top_positions"))
 query(
     "j14_dashboard_pay_by_age",
     f"""WITH {PAY_SQL} SELECT CASE WHEN age < 26 THEN '18-25' WHEN age < 36 THEN '26-35' WHEN age < 46 THEN '36-45' WHEN age < 56 THEN '46-55' ELSE '56+' END AS age_class, {_MEAN} AS avg_gross FROM pay WHERE paid AND age >= 18 GROUP BY 1""",
@@ -538,6 +540,172 @@ def _(t: Tables):
     return R.price_series(prices)
 
 
+RATES_SQL = """rates AS (SELECT s_nationkey AS fund, strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN s_nationkey % 6 <> 5 THEN sum(round(l_discount * 100)::BIGINT)::BIGINT / (100 * count(*)) END AS rate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"""
+
+
+def rates(t: Tables):
+    """Commission of each fund and month: a mean discount; some funds report none."""
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    cents = F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / (100 * F.count(F.lit(1)))
+    grouped = lines.groupBy(F.col("s_nationkey").alias("fund"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(cents.alias("all"))
+    return grouped.select("fund", "month", F.when(F.col("fund") % 6 != 5, F.col("all")).alias("rate"))
+
+
+@query(
+    "j15_commission_snapshot",
+    f"""WITH {RATES_SQL}, now AS (SELECT fund, round(rate, 4) AS rate FROM rates WHERE month = '1997-06'), f AS (SELECT count(rate) AS reporting, round(sum(rate::DECIMAL(18, 6))::DOUBLE / count(rate), 4) AS mean_rate, min(rate) AS low, max(rate) AS high FROM now)
+        SELECT n_nationkey AS fund, n_name, rate, f.* FROM nation LEFT JOIN now ON fund = n_nationkey, f WHERE n_nationkey <> 7""",
+)
+def _(t: Tables):
+    # One fund has no commission on the balance and is left out.
+    funds = t.nation.where("n_nationkey <> 7").select(F.col("n_nationkey").alias("fund"), "n_name")
+    return R.rate_snapshot(funds, rates(t), "1997-06")
+
+
+@query("j15_commission_series", f"WITH {RATES_SQL} SELECT fund, min(month) AS first, max(month) AS last, count(rate) AS points, min(rate) AS low, max(rate) AS high, arg_max(rate, month) FILTER (rate IS NOT NULL) AS last_rate FROM rates WHERE rate IS NOT NULL GROUP BY 1")
+def _(t: Tables):
+    known = rates(t).where("rate is not null")
+    return known.groupBy("fund").agg(
+        F.min("month").alias("first"), F.max("month").alias("last"), F.count("rate").alias("points"), F.min("rate").alias("low"), F.max("rate").alias("high"), F.max_by("rate", "month").alias("last_rate")
+    )
+
+
+ASSETS_SQL = """assets AS (SELECT s_nationkey AS fund, l_returnflag || l_linestatus AS sub, strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN (s_nationkey + month(min(l_shipdate))) % 5 <> 0 THEN sum(round(l_extendedprice * 100)::BIGINT)::BIGINT END AS cents FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)"""
+
+
+def assets(t: Tables):
+    """Net assets of each fund, sub-fund and month, in cents; some cells are reported empty."""
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    grouped = lines.groupBy(
+        F.col("s_nationkey").alias("fund"), F.concat("l_returnflag", "l_linestatus").alias("sub"), F.date_format("l_shipdate", "yyyy-MM").alias("month")
+    ).agg(A.money_sum("l_extendedprice").alias("all"))
+    told = (F.col("fund") + F.substring("month", 6, 2).cast("int")) % 5 != 0
+    return grouped.select("fund", "sub", "month", F.when(told, F.col("all")).alias("cents"))
+
+
+@query(
+    "j15_net_assets_matrix",
+    f"""WITH {ASSETS_SQL}, m AS (SELECT fund, sub, month, cents / 100 AS amount FROM assets WHERE month BETWEEN '1997-05' AND '1997-08'),
+             f AS (SELECT month, count(*) AS cells, count(*) FILTER (amount IS NULL) AS empty, coalesce(sum(amount::DECIMAL(18, 6))::DOUBLE, 0) AS total, min(amount) AS low, max(amount) AS high FROM m GROUP BY 1)
+        SELECT m.*, cells, empty, total, low, high FROM m JOIN f USING (month)""",
+)
+def _(t: Tables):
+    amounts = assets(t).withColumn("amount", F.col("cents") / 100).drop("cents")
+    return R.matrix_snapshot(amounts, ["month"], "amount", F.col("month").between("1997-05", "1997-08"))
+
+
+@query(
+    "j15_net_assets_by_fund",
+    f"WITH {ASSETS_SQL} SELECT fund, month, count(*) AS subs, count(cents) AS told, sum(cents)::BIGINT AS cents FROM assets GROUP BY 1, 2",
+)
+def _(t: Tables):
+    return assets(t).groupBy("fund", "month").agg(A.rows().alias("subs"), F.count("cents").alias("told"), F.sum("cents").alias("cents"))
+
+
+RETURNS_SQL = """returns AS (SELECT s_nationkey AS fund, l_returnflag AS sub, CASE l_linenumber % 3 WHEN 0 THEN '12m' WHEN 1 THEN '36m' ELSE '60m' END AS term, strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN s_nationkey % 8 <> 3 THEN round(sum(round(l_tax * 100)::BIGINT)::BIGINT / count(*), 4) END AS pct,
+         sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS assets FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3, 4)"""
+
+
+def returns(t: Tables):
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    number = F.col("l_linenumber") % 3
+    grouped = lines.groupBy(
+        F.col("s_nationkey").alias("fund"), F.col("l_returnflag").alias("sub"), F.when(number == 0, "12m").when(number == 1, "36m").otherwise("60m").alias("term"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("month"),
+    ).agg(F.round(F.sum(F.round(F.col("l_tax") * 100).cast("bigint")) / F.count(F.lit(1)), 4).alias("all"), A.money_sum("l_extendedprice").alias("assets"))
+    return grouped.select("fund", "sub", "term", "month", F.when(F.col("fund") % 8 != 3, F.col("all")).alias("pct"), "assets")
+
+
+@query(
+    "j15_returns_matrix",
+    f"""WITH {RETURNS_SQL}, m AS (SELECT fund, sub, term, month, pct FROM returns WHERE month = '1997-06'),
+             f AS (SELECT term, count(*) AS cells, count(*) FILTER (pct IS NULL) AS empty, coalesce(sum(pct::DECIMAL(18, 6))::DOUBLE, 0) AS total, min(pct) AS low, max(pct) AS high FROM m GROUP BY 1)
+        SELECT m.*, cells, empty, total, low, high FROM m JOIN f USING (term)""",
+)
+def _(t: Tables):
+    return R.matrix_snapshot(returns(t).drop("assets"), ["term"], "pct", F.col("month") == "1997-06")
+
+
+@query(
+    "j15_returns_system",
+    f"""WITH {RETURNS_SQL} SELECT sub, term, month, count(pct) AS funds, (sum(pct::DECIMAL(12, 6) * assets::DECIMAL(20, 0)))::DOUBLE / (sum(CASE WHEN pct IS NOT NULL THEN assets END))::BIGINT::DOUBLE AS pct FROM returns GROUP BY 1, 2, 3""",
+)
+def _(t: Tables):
+    return R.system_returns(returns(t))
+
+
+MEASURES_SQL = """cells AS (SELECT s_nationkey AS fund, l_returnflag AS sub, strftime(l_shipdate, '%Y-%m') AS month, sum(round(l_discount * 100)::BIGINT)::BIGINT / count(*) AS var, sum(l_quantity::BIGINT)::BIGINT / count(*) AS ppp, CASE WHEN s_nationkey % 4 <> 1 THEN max(l_tax) END AS pid FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3),
+     measures AS (SELECT * FROM cells UNPIVOT INCLUDE NULLS (value FOR measure IN (var, ppp, pid)))"""
+
+
+@query(
+    "j15_measure_matrix",
+    f"""WITH {MEASURES_SQL}, m AS (SELECT fund, sub, month, measure, value FROM measures WHERE month = '1996-03'),
+             f AS (SELECT measure, count(*) AS cells, count(*) FILTER (value IS NULL) AS empty, coalesce(sum(value::DECIMAL(18, 6))::DOUBLE, 0) AS total, min(value) AS low, max(value) AS high FROM m GROUP BY 1)
+        SELECT m.*, cells, empty, total, low, high FROM m JOIN f USING (measure)""",
+)
+def _(t: Tables):
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    wide = lines.groupBy(F.col("s_nationkey").alias("fund"), F.col("l_returnflag").alias("sub"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
+        (F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / A.rows()).alias("var"),
+        (F.sum(F.col("l_quantity").cast("bigint")) / A.rows()).alias("ppp"),
+        F.max("l_tax").alias("top"),
+    )
+    wide = wide.select("fund", "sub", "month", "var", "ppp", F.when(F.col("fund") % 4 != 1, F.col("top")).alias("pid"))
+    return R.matrix_snapshot(wide.unpivot(["fund", "sub", "month"], ["var", "ppp", "pid"], "measure", "value"), ["measure"], "value", F.col("month") == "1996-03")
+
+
+@query(
+    "j15_account_totals",
+    """WITH a AS (SELECT c_nationkey AS fund, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS measure, CASE WHEN c_nationkey % 9 <> 2 THEN count(DISTINCT o_custkey) END AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)
+       SELECT measure, month, sum(n)::BIGINT AS accounts, count(DISTINCT CASE WHEN n IS NOT NULL THEN fund END) AS funds FROM a GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    joined = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    counts = joined.groupBy(F.col("c_nationkey").alias("fund"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("measure")).agg(
+        F.count_distinct("o_custkey").alias("all")
+    )
+    return R.account_totals(counts.select("fund", "month", "measure", F.when(F.col("fund") % 9 != 2, F.col("all")).alias("n")))
+
+
+@query(
+    "j15_contributors",
+    """WITH y AS (SELECT year(o_orderdate)::INTEGER AS year, count(DISTINCT o_custkey) AS contributors, (SELECT count(*) FROM customer) AS active FROM orders GROUP BY 1), p AS (SELECT *, round(100 * contributors / active, 2) AS pct FROM y)
+       SELECT year, contributors, active, pct, round(100 - pct, 2) AS gap_pct, (SELECT arg_min(year, (pct, year)) FROM p) AS least_year, (SELECT arg_max(year, (pct, -year)) FROM p) AS most_year FROM p""",
+)
+def _(t: Tables):
+    active = t.customer.agg(A.rows().alias("n")).scalar()
+    years = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count_distinct("o_custkey").alias("contributors"))
+    return R.contributor_coverage(years.withColumn("active", active))
+
+
+PRICES_SQL = "p AS (SELECT l_suppkey % 10 AS fund, l_returnflag AS sub, l_shipdate::DATE AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def prices(t: Tables):
+    return t.lineitem.groupBy((F.col("l_suppkey") % 10).alias("fund"), F.col("l_returnflag").alias("sub"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("price"))
+
+
+@query(
+    "j15_price_comparison",
+    f"""WITH {PRICES_SQL}, w AS (SELECT * FROM p WHERE sub = 'N' AND date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'), f AS (SELECT fund, arg_min(price, date) AS first_price, count(*) AS points FROM w GROUP BY 1)
+        SELECT w.fund, sub, date, price, first_price, points, 100 * (price - first_price) / first_price AS change_pct FROM w JOIN f USING (fund)""",
+)
+def _(t: Tables):
+    day = lambda d: F.lit(d).cast("date")
+    return R.price_comparison(prices(t), "N", day("1997-01-01"), day("1997-06-30"))
+
+
+@query(
+    "j15_price_snapshot",
+    f"""WITH {PRICES_SQL}, m AS (SELECT * FROM p WHERE date BETWEEN DATE '1997-03-03' AND DATE '1997-03-07'), f AS (SELECT date, count(*) AS cells, 0::BIGINT AS empty, sum(price::DECIMAL(18, 6))::DOUBLE AS total, min(price) AS low, max(price) AS high FROM m GROUP BY 1)
+        SELECT m.*, cells, empty, total, low, high FROM m JOIN f USING (date)""",
+)
+def _(t: Tables):
+    day = lambda d: F.lit(d).cast("date")
+    return R.matrix_snapshot(prices(t), ["date"], "price", F.col("date").between(day("1997-03-03"), day("1997-03-07")))
+
+
 # ------------------------------------------------------------------ layers, contest, economic census, series
 
 
