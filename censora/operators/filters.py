@@ -16,11 +16,12 @@ NOT_MEASURED = 222.2
 TEMPERATURE_RANGE_C = (-30, 55)
 
 
-def in_filter(dimension: Column | str, values: Sequence) -> Column:
+def in_filter(dimension: Column | str, values: Sequence, most: int = MAX_FILTER_VALUES) -> Column:
+    """Membership in a list of literals; a list of more than ``most`` is refused (join a table instead)."""
     if not values:
         raise ValueError("a filter needs at least one value")
-    if len(values) > MAX_FILTER_VALUES:
-        raise ValueError(f"at most {MAX_FILTER_VALUES} values per filter")
+    if len(values) > most:
+        raise ValueError(f"at most {most} values per filter")
     return (F.col(dimension) if isinstance(dimension, str) else dimension).isin(*values)
 
 

@@ -28,12 +28,12 @@ def reconcile(calculated: DataFrame, official: DataFrame, keys: Sequence[str], t
     """Calculated against official values: ``delta``, ``delta_pct`` and ``status`` (equal, different, only one side).
 
     ``calculated(keys…, value)``, ``official(keys…, published)``: the figure as published text, so that ``tolerance`` can
-    depend on its digits (column ``published``).
+    depend on its digits (column ``published``). A published text that is no number differs from any figure.
     """
     rows = calculated.join(official, list(keys), "full_outer").withColumn("official", F.col("published").try_cast("double"))
     delta = F.col("value") - F.col("official")
     status = (
-        F.when(F.col("official").isNull(), "only_calculated")
+        F.when(F.col("published").isNull(), "only_calculated")
         .when(F.col("value").isNull(), "only_official")
         .when(F.abs(delta) <= tolerance, "equal")
         .otherwise("different")

@@ -95,18 +95,22 @@ def witness_difference(temp: Column, witness_temp: Column, height_diff_m: Column
 def witness_history(pairs: DataFrame, days: int = WITNESS_DAYS) -> DataFrame:
     """Typical difference and tolerance from the station's own trailing days (this reading excluded).
 
-    ``pairs(station, instant, diff)`` is hourly, so a window holds at most 24 values per day.
+    ``pairs(station, instant, diff)`` is hourly, so a window holds at most 24 values per day. A station is cut into spans as
+    long as the window; each gets the span before it as well, so that a task holds two windows of one station at most.
     """
+    length = days * 86_400_000_000
     micros = F.unix_micros(F.col("instant").cast("timestamp"))
-    window = W.partitionBy("station").orderBy("_us").rangeBetween(-days * 86_400_000_000, -1)
-    rows = pairs.withColumn("_us", micros).withColumn("history", F.sort_array(F.collect_list("diff").over(window)))
+    rows = pairs.withColumn("_us", micros).withColumn("_own", F.floor(micros / length))
+    spans = rows.withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    window = W.partitionBy("station", "_span").orderBy("_us").rangeBetween(-length, -1)
+    held = spans.withColumn("history", F.sort_array(F.collect_list("diff").over(window))).where("_span = _own")
     enough = F.size("history") >= WITNESS_MIN
     typical = F.when(enough, F.get("history", F.floor(F.size("history") / 2).cast("int"))).otherwise(0.0)
     return (
-        rows.withColumn("compared", F.size("history").cast("bigint"))
+        held.withColumn("compared", F.size("history").cast("bigint"))
         .withColumn("typical", typical)
         .withColumn("tolerance", F.when(enough, WITNESS_TOLERANCE_C).otherwise(WITNESS_TOLERANCE_INITIAL_C))
-        .drop("_us", "history")
+        .drop("_us", "_own", "_span", "history")
     )
 
 

@@ -397,8 +397,9 @@ def members(
 
 
 def card(cube: Cube, tables) -> DataFrame:
-    """One row that describes a cube: rows of its universe, latest cut-off, names of measures and dimensions."""
-    used = [cube.dimension(cube.time)] if cube.time else []
+    """One row that describes a cube: rows of its universe, latest cut-off, measures with units, dimensions, notes and the
+    default query."""
+    used, start = [cube.dimension(cube.time)] if cube.time else [], default_query(cube)
     base = _base(cube, tables, used, CubeQuery((cube.measures[0].key,)))
     cut = F.max(F.expr(cube.cut)).cast("string") if cube.cut else F.lit(None).cast("string")
     return base.agg(
@@ -409,6 +410,9 @@ def card(cube: Cube, tables) -> DataFrame:
         F.lit(",".join(m.key for m in cube.measures)).alias("measures"),
         F.lit(",".join(d.key for d in cube.dimensions)).alias("dimensions"),
         F.lit(",".join(m.key for m in cube.measures if not m.additive)).alias("not_additive"),
+        F.lit(",".join(m.unit for m in cube.measures)).alias("units"),
+        F.lit("; ".join(cube.notes)).alias("notes"),
+        F.lit(f"{','.join(start.measures)} by {','.join(start.columns)}").alias("default_query"),
     )
 
 

@@ -136,7 +136,8 @@ def _(t: Tables):
 
 def _card_sql(key, topic, rows, cut, cube):
     not_additive = ",".join(m.key for m in cube.measures if not m.additive)
-    return f"""SELECT '{key}' AS cube, '{topic}' AS topic, ({rows}) AS rows, ({cut})::VARCHAR AS cut, '{",".join(m.key for m in cube.measures)}' AS measures, '{",".join(d.key for d in cube.dimensions)}' AS dimensions, '{not_additive}' AS not_additive"""
+    start = Q.default_query(cube)
+    return f"""SELECT '{",".join(m.unit for m in cube.measures)}' AS units, '{"; ".join(cube.notes)}' AS notes, '{",".join(start.measures)} by {",".join(start.columns)}' AS default_query, '{key}' AS cube, '{topic}' AS topic, ({rows}) AS rows, ({cut})::VARCHAR AS cut, '{",".join(m.key for m in cube.measures)}' AS measures, '{",".join(d.key for d in cube.dimensions)}' AS dimensions, '{not_additive}' AS not_additive"""
 
 
 _COUNTS = {

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from censora.operators.joins import only_new
@@ -23,12 +23,14 @@ def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], key:
     covers a narrow key range, which is what cursor pages and row-group statistics need.
     """
     ranged = df.repartitionByRange(*partitions, *key).sortWithinPartitions(*partitions, *key)
-    writer = ranged.write.mode("overwrite").partitionBy(*partitions).option("compression", "zstd")
+    # Counted on the way to the writer: the frame is not computed a second time for it.
+    sent = Observation()
+    writer = ranged.observe(sent, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").partitionBy(*partitions).option("compression", "zstd")
     writer.option("parquet.block.row.count.limit", row_group).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     counts = stored.groupBy(*partitions).agg(F.count(F.lit(1)).alias("rows"))
     written = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    expected = df.count()
+    expected = sent.get["rows"]
     if written != expected:
         raise RuntimeError(f"{path}: {written} rows written, {expected} expected")
     return counts

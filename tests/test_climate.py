@@ -184,3 +184,16 @@ def test_climatology_means_are_rounded_once(frame):
             centre = dt.date(y, 2, 28) if label == "02-29" and y != 2004 else dt.date(y, month, day)
             want += sum(2001 <= (centre + dt.timedelta(days=k)).year <= 2004 for k in range(-7, 8))
         assert r.n == want and r.years == 4, label
+
+
+def test_witness_history_across_spans(frame):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 3, 5)
+    pairs = [("a", start + dt.timedelta(hours=h), float((h * 37) % 101)) for h in range(0, 24 * 75, 7)]
+    got = {r.instant: r for r in climate.witness_history(frame("station string, instant timestamp, diff double", *pairs)).collect()}
+    assert len(got) == len(pairs)
+    for _, at, _ in pairs:
+        before = sorted(d for _, t, d in pairs if at - dt.timedelta(days=30) <= t < at)
+        assert got[at].compared == len(before)
+        assert got[at].typical == (before[len(before) // 2] if len(before) >= climate.WITNESS_MIN else 0.0)

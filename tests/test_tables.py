@@ -198,3 +198,8 @@ def test_constraints(frame):
     df = frame("id int, ref int, pct double", (1, 1, 50.0), (1, 9, 150.0), (2, None, None))
     got = Q.constraint_check(df, ["id"], {"fk": ("ref", frame("k int", (1,)), "k")}, {"pct": F.col("pct").between(0, 100)})
     assert rows(got) == [("fk", 1), ("pct", 1), ("primary_key", 1)]
+
+
+def test_a_published_text_that_is_no_number_differs(frame):
+    got = Q.reconcile(frame("k int, value double", (1, 5.0), (2, 5.0)), frame("k int, published string", (1, "N/D")), ["k"], F.lit(0.1))
+    assert {r.k: r.status for r in got.collect()} == {1: "different", 2: "only_calculated"}
