@@ -201,7 +201,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = grouped(stored.select(F.col(doc_id).alias("_id"), F.col("_print").alias("print"), "_row"), "_id")
     first = F.min(F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     stay = materialise(groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("_row")), "staying")
-    return back(stored.join(stay, "_row", "left_semi"))
+    # Half the rows or more may stay, so they are never broadcast, at any size.
+    return back(stored.join(stay.hint("merge"), "_row", "left_semi"))
 
 
 def hex_print(column: str = "print") -> Column:
