@@ -27,8 +27,9 @@ from censora.session import materialise
 
 # Longest vectors that give the first bounds; vectors of a chunk; queries of a block; candidates scored at once.
 SEEDS, CHUNK, BLOCK, STEP = 2_048, 8_192, 1_024, 512
-# Bins per unit of the logarithm of the squared length; share of dimensions in the partial sums; margin of the bounds.
-BINS, LEADING, MARGIN = 50, 0.25, 1e-3
+# Bins per unit of the logarithm of the squared length (about an eighth of the length each); share of dimensions in the partial
+# sums; margin of the bounds.
+BINS, LEADING, MARGIN = 4, 0.25, 1e-3
 LARGEST = float(1 << 18)
 _NONE = np.iinfo(np.int64).min
 
