@@ -148,10 +148,11 @@ def top_k(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vector
     """
     spark = df.sparkSession
     vectors = materialise(quantised(df, vec_id, vector, scale), "vectors")
-    size = vectors.agg(F.max("size")).first()[0] or 0
+    size = vectors.agg(F.max("size")).first()[0]
     schema = "query_row long, query_id long, vec_id long, x_row long, score long"
-    if not size:
+    if size is None:
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    size = max(1, size)
     seeds = vectors.orderBy(F.desc("bin"), "row").limit(SEEDS).select("row", "packed").collect()  # at most SEEDS vectors
     turn = spark.sparkContext.broadcast(rotation(vectors, size))
     asked = materialise(first_bounds(vectors.where(queries & F.col("id").isNotNull()).select("id", "row", "packed"), seeds, size, k), "queries")

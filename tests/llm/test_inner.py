@@ -52,6 +52,7 @@ def test_few_rows(spark):
     rows = [(0, [1.0, 2.0]), (5, [0.5, 0.5]), (7, [-1.0, 0.0])]
     assert run(spark, rows, 20) == brute(rows, 20, lambda i: i % 5 == 0)
     assert run(spark, rows[:1], 20) == []
+    assert run(spark, [(0, []), (1, [])], 20) == ["(0, 1, 1, 0)"]
     assert inner.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 5 == 0, 3).collect() == []
 
 
