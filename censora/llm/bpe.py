@@ -31,7 +31,8 @@ CACHE_WORDS = 250_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(f"[^\t\n\r -~{_LETTER[6:]}]")
 _TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
-_PLAIN = re.compile(rf"{_TAILS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
+# Letters and digits go first: no other alternative begins with one, and most words are letters.
+_PLAIN = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|{_TAILS}| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
 _ANY = regex.compile(rf"{_TAILS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+")
 
 

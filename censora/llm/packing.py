@@ -37,7 +37,7 @@ GAP = 1e-4
 
 
 # Words whose ids a worker remembers: two generations of this many.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 700_000
 
 
 class LibraryIds:
