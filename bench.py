@@ -23,7 +23,7 @@ DIRECTORY = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 HEADLINES = (
-    "i1_cube_query", "i1_cube_no_join_needed", "i2_with_parents", "i5_unfold_virtual_dimension", "i3_members_from_facts",
+    "i1_cube_query", "i1_cube_no_join_needed", "i2_with_parents", "i5_unfold_virtual_dimension", "i3_members_from_facts", "i3_members_from_catalogue", "i1_cube_many_groups",
     "e1_group_agg", "e2_count_distinct", "e5_weighted_mean", "e8_percentile_cont_lines", "e19_preaggregate", "d11_asof_nearest",
     "d16_radius_search", "f7_weighted_moving_average", "f12_climatology", "g6_cursor_page", "h8_dedup_keep_first", "h11_choose_key",
     "j1_labour_indicators", "j18_census_fact", "k6_row_compare", "k8_observation_marks", "l2_subtree_totals", "m1_minute_summaries",

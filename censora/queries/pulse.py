@@ -226,13 +226,13 @@ DUE_SQL = CHANGES_SQL.replace(
 
 @query("m8_stream_class_changes", f"WITH {DUE_SQL} SELECT system, datum, since, class, w_ms FROM chg")
 def _(t: Tables):
-    # Reports reach the stream in order of arrival, about a week per micro-batch of so many files.
+    # Reports reach the stream in order of arrival, eight days per micro-batch of so many files.
     files = 4
     reports = summaries(t).where("status <> 'rejected'").drop("status", "on_time")
-    folder, week = shared_dir(t.spark, "reports"), F.least(F.floor((F.dayofmonth("received") - 1) / 7), F.lit(4)).alias("week")
-    stored = materialise(reports.select("*", F.when(F.month("received") == 1, week).otherwise(4).alias("week")), "reports-all")
-    for number in range(5):
-        stored.where(F.col("week") == number).drop("week").repartition(files).write.mode("append").parquet(folder)
+    folder, week = shared_dir(t.spark, "reports"), F.floor((F.dayofmonth("received") - 1) / 8)
+    stored = materialise(reports.select("*", F.when(F.month("received") == 1, week).otherwise(3).alias("part")), "reports-all")
+    for number in range(4):
+        stored.where(F.col("part") == number).drop("part").repartition(files).write.mode("append").parquet(folder)
     stream = S.event_stream(t.spark, folder, reports.schema, "*.parquet", files=files)
     data = materialise(catalogue(t).drop("mode", "verified_at"), "catalogue")
     changed = S.class_job(stream, lambda: data, lambda: checks(t), S.fresh_store(t.spark, "classes"))
