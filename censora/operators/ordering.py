@@ -35,7 +35,8 @@ def _with_block(pairs: DataFrame, group: Sequence[str], block_rows: int) -> Data
     stored = materialise(pairs, "pairs")
     blocks = -(-stored.count() // block_rows)
     if blocks <= 1:
-        return stored.withColumn("block", F.lit(0))
+        # Always 0, but not a literal: a join on two literals would become a product.
+        return stored.withColumn("block", F.when(F.col("copies") > 0, 0).otherwise(1))
     return materialise(stored.repartitionByRange(blocks, *group, "value").withColumn("block", F.spark_partition_id()), "blocks")
 
 
