@@ -14,7 +14,7 @@ smallest unless a component has no other; an empty table gives an empty table; f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -180,10 +180,13 @@ def edges(prints: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(search, "u long, v long")
 
 
-def grouped(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``marked`` (a stored table with ``print``) with the ``root`` print of its component and ``component_id``, its smallest id."""
+def grouped(marked: DataFrame, doc_id: str = "doc_id", linked: Callable[[DataFrame], DataFrame] = edges) -> DataFrame:
+    """``marked`` (a stored table with ``print``) with the ``root`` print of its component and ``component_id``, its smallest id.
+
+    ``linked`` gives the edges between the distinct prints.
+    """
     prints = materialise(marked.groupBy("print").agg(F.min(doc_id).alias("_least")), "prints")
-    rooted = materialise(components(edges(prints)), "components")
+    rooted = materialise(components(linked(prints)), "components")
     joined = prints.join(rooted.withColumnRenamed("u", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
     return marked.join(joined.join(least, "root").select("print", "root", "component_id"), "print")
