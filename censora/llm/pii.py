@@ -123,10 +123,11 @@ _SAID = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SIGN = "|".join(SIGN_WORDS)
 _GAP = r"[\x20\t,().-]{1,3}"
 # Digit words and digits in a row, with signs said between them.
-_RUN = re.compile(rf"(?<!\w)(?:plus{_GAP}|\+\x20?)?(?:{_SAID}|[0-9]{{1,4}})(?:{_GAP}(?:(?:{_SIGN}){_GAP})?(?:{_SAID}|[0-9]{{1,4}}))+(?!\w)", re.I)
+_RUN = re.compile(rf"(?<!\w)(?:plus{_GAP}|\+\x20?)?(?:{_SAID}|[0-9]++)(?:{_GAP}(?:(?:{_SIGN}){_GAP})?(?:{_SAID}|[0-9]++))+(?!\w)", re.I)
 _TOKEN = re.compile(rf"{_SAID}|{_SIGN}|[0-9]+|\+", re.I)
-# What every such run holds, looked for in lower case.
-_TWO = re.compile(rf"[\x20\n\t(](?:{_SAID})[\x20,.-]+(?:{_SAID}|{_SIGN}|[0-9])")
+# What every such run holds that is not of digits alone, looked for in lower case.
+_TWO = re.compile(rf"[\x20\n\t(](?:(?:{_SAID})[\x20,.-]+(?:{_SAID}|{_SIGN}|[0-9])|plus[\x20,.-]+[0-9])|[0-9][\x20,.-]+(?:{_SAID}|{_SIGN})(?!\w)")
+_LETTER = re.compile(r"[^\W\d_]")
 
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"\x20*{_OPEN}\x20*(?:at|@|arroba|arobase)\x20*{_SHUT}\x20*", re.I)
@@ -138,6 +139,13 @@ _ENDING = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|uk|eu|us|ca|it|nl|ch|at|b
 _LABEL = r"[A-Za-z0-9-]+?"
 _POINT, _SIGN_AT = r"(?:\.|[\x20_-]dot[\x20_-])", r"(?:[\x20_-]at[\x20_-]|@)"
 _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9%+]+(?:(?:[._-]|[\x20_-]dot[\x20_-])[A-Za-z0-9%+]+)*?{_SIGN_AT}{_LABEL}(?:{_POINT}{_LABEL})*?{_POINT}(?:{_ENDING})(?![A-Za-z0-9-])", re.I)
+# Where both signs are spoken any ending counts but these words, which are no top-level domains.
+_NO_ENDING = "of|or|on|if|up|an|he|we|and|the|that|this|which|with|for|from|was|were|has|had|not|but|then|than|when|where"
+_SPOKEN = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9%+]+(?:(?:[._-]|[\x20_-]dot[\x20_-])[A-Za-z0-9%+]+)*?[\x20_-]at[\x20_-]{_LABEL}(?:{_POINT}{_LABEL})*[\x20_-]dot[\x20_-]"
+    rf"(?!(?:{_NO_ENDING})(?![A-Za-z0-9-]))[A-Za-z]{{2,}}(?![A-Za-z0-9-])",
+    re.I,
+)
 _BARE_WORDS = re.compile(r"[\x20_-](at|dot)[\x20_-]", re.I)
 _BARE_HINT = re.compile(r"[\x20_-]dot[\x20_-]")
 _AT_NAME = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9_]*[0-9._])[A-Za-z0-9][A-Za-z0-9._%+-]*(?P<at>\x20+at\x20+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_ENDING})(?![A-Za-z0-9-])", re.I)
@@ -148,18 +156,21 @@ def looks(form: Mapped) -> Mapped:
     return form.rewritten([(*m.span(), LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(form.text) if m[0] in LOOKALIKES])
 
 
-def spelled(form: Mapped) -> Mapped:
-    """Runs of digit words as digits and the signs said between them."""
+def spelled(form: Mapped, close: bool) -> Mapped:
+    """Runs that hold digit words or spoken signs as digits and signs: ``close`` together, or with the marks between the digits left."""
     edits = []
     for m in _RUN.finditer(form.text) if _TWO.search(f" {form.text.lower()}") else ():
-        tokens = list(_TOKEN.finditer(form.text, *m.span()))
-        words = sum(t[0].lower() in DIGIT_WORDS for t in tokens)
-        if words < 3 or words + sum(len(t[0]) for t in tokens if t[0].isdigit()) < 4:
+        if not _LETTER.search(m[0]):
             continue
+        tokens = list(_TOKEN.finditer(form.text, *m.span()))
         for k, token in enumerate(tokens):
             word = token[0].lower()
-            # The gap before a token goes with it, so that digits become neighbours.
-            edits.append((tokens[k - 1].end() if k else token.start(), token.end(), DIGIT_WORDS.get(word) or SIGN_WORDS.get(word, word)))
+            new = DIGIT_WORDS.get(word) or SIGN_WORDS.get(word, word)
+            # The gap before a token goes with it, so that digits become neighbours; a spoken sign takes the gaps beside it along in any case.
+            after_sign = k > 0 and tokens[k - 1][0].lower() in SIGN_WORDS
+            start = tokens[k - 1].end() if k and (close or after_sign or word in SIGN_WORDS) else token.start()
+            if form.text[start : token.end()] != new:
+                edits.append((start, token.end(), new))
     return form.rewritten(edits)
 
 
@@ -170,8 +181,8 @@ def signs(form: Mapped) -> Mapped:
         form = form.rewritten(sorted(edits))
     low = form.text.lower()
     if _BARE_HINT.search(low):
-        found = [w for m in _BARE.finditer(form.text) for w in _BARE_WORDS.finditer(form.text, *m.span())]
-        form = form.rewritten([(*w.span(), "@" if w[1].lower() == "at" else ".") for w in found])
+        found = {w.span(): w[1] for like in (_BARE, _SPOKEN) for m in like.finditer(form.text) for w in _BARE_WORDS.finditer(form.text, *m.span())}
+        form = form.rewritten([(*span, "@" if word.lower() == "at" else ".") for span, word in sorted(found.items())])
     if " at " in low:
         form = form.rewritten([(*m.span("at"), "@") for m in _AT_NAME.finditer(form.text)])
     if "@" in form.text:
@@ -211,13 +222,14 @@ def spans(text: str | None) -> list[Span]:
     found = {kind: [(*s, True) for s in detect(text)] if kind == "email" or has_digit else [] for kind, detect in DETECTORS.items()}
     if disguised(text):
         form = looks(Mapped(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)))
-        form = signs(spelled(form))
-        for kind, detect in DETECTORS.items():
-            plain = list(found[kind])
-            for a, b in detect(form.text):
-                start, end = form.starts[a], max(form.ends[a:b])
-                if (any(form.changed[a:b]) or end - start > b - a) and not any(s <= start and end <= e for s, e, _ in plain):
-                    found[kind].append((start, end, False))
+        close, loose = spelled(form, True), spelled(form, False)
+        for form in map(signs, (close, loose) if loose.text != close.text else (close,)):
+            for kind, detect in DETECTORS.items():
+                plain = list(found[kind])
+                for a, b in detect(form.text):
+                    start, end = form.starts[a], max(form.ends[a:b])
+                    if (any(form.changed[a:b]) or end - start > b - a) and not any(s <= start and end <= e for s, e, _ in plain):
+                        found[kind].append((start, end, False))
     return [Span(kind, *s) for kind in KINDS for s in sorted(found[kind])]
 
 

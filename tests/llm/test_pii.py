@@ -84,3 +84,28 @@ def test_joined_spans(spark):
 def test_very_long_texts():
     text = "1 " * 200_000 + "a@b.c" + "+1" + " " * 200_000
     assert [s[0] for s in pii.spans(text)] == ["email"]
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("host 192 dot 168 dot 1 dot 1 here", "ip", "192 dot 168 dot 1 dot 1"),
+        ("host 10 dot zero dot 0 dot one here", "ip", "10 dot zero dot 0 dot one"),
+        ("host 192.168.one.1 here", "ip", "192.168.one.1"),
+        ("call +1 555 123 45 six seven now", "phone", "+1 555 123 45 six seven"),
+        ("call plus 1 555 123 4567 now", "phone", "plus 1 555 123 4567"),
+        ("card 4111 1111 1111 111 one here", "card", "4111 1111 1111 111 one"),
+        ("card 41111111 one 1111 one 11 here", "card", "41111111 one 1111 one 11"),
+        ("card 4111 dash 1111 dash 1111 dash 1111 here", "card", "4111 dash 1111 dash 1111 dash 1111"),
+        ("to maria dot lopez at correo dot mx, please", "email", "maria dot lopez at correo dot mx"),
+        ("to ana at mail dot empresa dot travel now", "email", "ana at mail dot empresa dot travel"),
+    ],
+)
+def test_few_spoken_words_are_enough(text, kind, span):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.spans(text) if not s.base] == [(kind, span)]
+    assert pii.masked(text) == text.replace(span, f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", ["at 300 dot 168 dot 1 dot 1", "3 point 5 plus one", "4111 1111 1111 111 two", "we look at one dot or the other", "pages 10 dash 20, one each"])
+def test_few_spoken_words_without_an_identifier(text):
+    assert pii.spans(text) == []
