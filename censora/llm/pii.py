@@ -125,8 +125,7 @@ _GAP = r"[\x20\t,().-]{1,3}"
 # Digit words and digits in a row, with signs said between them.
 _RUN = re.compile(rf"(?<!\w)(?:plus{_GAP}|\+\x20?)?(?:{_SAID}|[0-9]++)(?:{_GAP}(?:(?:{_SIGN}){_GAP})?(?:{_SAID}|[0-9]++))+(?!\w)", re.I)
 _TOKEN = re.compile(rf"{_SAID}|{_SIGN}|[0-9]+|\+", re.I)
-# What every such run holds that is not of digits alone, looked for in lower case.
-_TWO = re.compile(rf"[\x20\n\t(](?:(?:{_SAID})[\x20,.-]+(?:{_SAID}|{_SIGN}|[0-9])|plus[\x20,.-]+[0-9])|[0-9][\x20,.-]+(?:{_SAID}|{_SIGN})(?!\w)")
+# What tells such a run from one of digits alone.
 _LETTER = re.compile(r"[^\W\d_]")
 
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
@@ -156,12 +155,15 @@ def looks(form: Mapped) -> Mapped:
     return form.rewritten([(*m.span(), LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(form.text) if m[0] in LOOKALIKES])
 
 
+def runs(text: str) -> Iterator[re.Match]:
+    """Runs that hold digit words or spoken signs."""
+    return (m for m in _RUN.finditer(text) if _LETTER.search(m[0]))
+
+
 def spelled(form: Mapped, close: bool) -> Mapped:
     """Runs that hold digit words or spoken signs as digits and signs: ``close`` together, or with the marks between the digits left."""
     edits = []
-    for m in _RUN.finditer(form.text) if _TWO.search(f" {form.text.lower()}") else ():
-        if not _LETTER.search(m[0]):
-            continue
+    for m in runs(form.text):
         tokens = list(_TOKEN.finditer(form.text, *m.span()))
         for k, token in enumerate(tokens):
             word = token[0].lower()
@@ -203,7 +205,7 @@ def disguised(text: str) -> bool:
         and (" @" in text or "@ " in text)
         or " at " in low
         and any(f".{e}" in low for e in _ENDING.split("|"))
-        or _TWO.search(low)
+        or next(runs(text), None)
     )
 
 

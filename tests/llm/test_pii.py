@@ -109,3 +109,18 @@ def test_few_spoken_words_are_enough(text, kind, span):
 @pytest.mark.parametrize("text", ["at 300 dot 168 dot 1 dot 1", "3 point 5 plus one", "4111 1111 1111 111 two", "we look at one dot or the other", "pages 10 dash 20, one each"])
 def test_few_spoken_words_without_an_identifier(text):
     assert pii.spans(text) == []
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("tel:plus-one-five-five-five-one-two-three-four", "phone", "plus-one-five-five-five-one-two-three-four"),
+        ('"four' + "-one" * 15 + '"', "card", "four" + "-one" * 15),
+        ("card\tfour" + "\tone" * 15 + "\nend", "card", "four" + "\tone" * 15),
+        ("[one) dot (two) dot (three) dot (four]", "ip", "one) dot (two) dot (three) dot (four"),
+    ],
+)
+def test_runs_are_found_whatever_stands_around_them(text, kind, span):
+    """The result does not depend on other runs in the text."""
+    for whole in (text, f"{text}\nlist one two three end"):
+        assert [(s.kind, whole[s.start : s.end]) for s in pii.spans(whole) if not s.base] == [(kind, span)]
