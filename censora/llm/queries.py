@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from censora.llm import bpe, chat, inner, packing, pairwise, perplexity, pii, sharding, simhash, warc
+from censora.llm import bpe, chat, exact, inner, packing, pairwise, perplexity, pii, repair, sharding, simhash, trie, warc
 from censora.queries import Query, Tables
 from censora.session import materialise, shared_dir
 
@@ -147,6 +147,91 @@ def near_duplicates(t: Tables) -> DataFrame:
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+@query(
+    "op11_exact",
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+      doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def exact_duplicates(t: Tables) -> DataFrame:
+    return exact.marks(t.documents).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in DuckDB."""
+    bits = "list_reduce(range(8)::UBIGINT[], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, xor(c, b))"
+    codes = f"list_transform(range(length({text})), lambda i: ascii(substr({text}, i::INT + 1, 1))::UBIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {bits}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+# First turns that a conversation may take over from the first one of its hundred.
+TAKEN, HUNDRED = 6, 100
+
+
+@query(
+    "op12_trie",
+    f"""
+    WITH RECURSIVE said AS (
+      SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), heads AS (SELECT *, conv_id - conv_id % {HUNDRED} AS base, ({_crc32_sql("conv_id::VARCHAR")} % {TAKEN})::BIGINT AS h FROM said
+    ), rebuilt AS (
+      SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns FROM heads c LEFT JOIN said b ON b.conv_id = c.base
+    ), prefixes AS (
+      SELECT conv_id, 0 AS depth, md5('') AS key, NULL::VARCHAR AS parent_key, turns, 0 AS chars FROM rebuilt
+      UNION ALL
+      SELECT conv_id, depth + 1, md5(key || md5(turns[depth + 1].r) || turns[depth + 1].t), key, turns, length(turns[depth + 1].t) FROM prefixes WHERE depth < len(turns)
+    ), found AS (
+      SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent_key) AS parent_key, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(turns)), '')) AS ends_sha256
+      FROM prefixes GROUP BY key
+    ), nodes AS (
+      SELECT f.*, coalesce(k.n, 0) AS n_children FROM found f LEFT JOIN (SELECT parent_key AS key, count(*) AS n FROM found GROUP BY 1) k USING (key)
+    ), climb AS (
+      SELECT key AS top, parent_key AS up, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * chars AS saved FROM nodes
+      UNION ALL
+      SELECT n.key, n.parent_key, c.leaf, c.saved FROM climb c JOIN nodes n ON n.key = c.up
+    ), sums AS (SELECT top AS key, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM climb GROUP BY top)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums s USING (key) LEFT JOIN nodes p ON p.key = n.parent_key
+    """,
+)
+def prefix_trie(t: Tables) -> DataFrame:
+    said = materialise(trie.turn_keys(t.conversations), "turns")
+    own, base = F.col("conv_id"), F.col("conv_id") - F.col("conv_id") % HUNDRED
+    heads = said.where(own % HUNDRED == 0).select(own.alias("_base"), F.slice("turns", 1, TAKEN).alias("_head"))
+    h = (F.crc32(own.cast("string").cast("binary")) % TAKEN).cast("int")
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    head = F.when(F.col("_head").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("_head", 1, h))
+    rebuilt = said.withColumn("_base", base).join(heads, "_base", "left").select("conv_id", F.concat(head, rest).alias("turns"))
+    return trie.nodes(rebuilt)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows as a careless export leaves them, by a hash of conversation and turn: dropped, emptied, unended, repeated, misattributed."""
+    space = F.lit(" ")
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), space)
+    how = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), how.alias("_how")).where("_how <> 0")
+    text = F.when(F.col("_how") == 1, "").when(F.col("_how") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("_how") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("_how") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("_time")).drop("_time")
+
+
+@query("op13_repair")
+def structure_repair(t: Tables) -> DataFrame:
+    rows = damaged(t.conversations)
+    audited = materialise(repair.audits(rows), "audits")
+    hashed = repair.digests(repair.repaired(rows, audited))
+    whole = audited.join(hashed, audited["conv_id"].eqNullSafe(hashed["conv_id"]), "left").drop(hashed["conv_id"]).withColumnRenamed("conv_id", "_conv_id")
+    every = t.conversations.select("conv_id").distinct()
+    joined = every.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 @query("pipeline")
 def pipeline(t: Tables) -> DataFrame:
     return corpus_pipeline.run(t.spark, t.directory)
