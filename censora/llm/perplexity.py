@@ -1,9 +1,14 @@
 """Quality rules by n-gram perplexity: a modified Kneser-Ney model counted by Spark, with bands for each language.
 
-Characters are mapped to a small alphabet (letters, a few classes of capitals, digits, signs and further letters), so a
-model of order n never has more than ``SYMBOLS ** n`` entries whatever the corpus: that bounds what is collected, what is
-broadcast, and a worker's memory. Every document is counted. Each task folds its documents into one count per n-gram,
-Spark adds these up, and the model is kept as sorted arrays of n-gram hashes with probabilities and back-off weights.
+The model is over the bytes of UTF-8, as they are: an n-gram of six bytes packs into a number, which is its hash without
+collisions, and the model grows with what the corpus holds. Each task folds its documents into one count per n-gram and Spark
+adds these up; lower orders, discounts, contexts and probabilities are groupings, windows and joins by Spark. What is counted
+are documents, not places, and an n-gram that a single document holds is discounted in full: it would only be evidence of that
+document for itself. So the model keeps the n-grams with a count of two or more and the weights of their contexts, as sorted
+arrays that are searched by bisection.
+
+Up to ``BROADCAST_ROWS`` entries (12 bytes each) the arrays are broadcast. Beyond that, documents are dealt to parts, and each
+part gets the entries that its n-grams may need by a join. Both ways give the same scores.
 
 A document is rejected if its mean log-perplexity lies outside the band of its language: the median over all documents of
 the language, plus and minus a number of robust deviations. Medians come from a histogram, so they do not depend on the
@@ -17,7 +22,7 @@ words gives a uniform model. Columns with the names of the measures are replaced
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -29,187 +34,213 @@ from pyspark.sql import functions as F
 from censora.llm.frames import slices, with_fields
 from censora.session import materialise
 
-ORDER, SYMBOLS = 4, 48
+# Bytes of an n-gram: with their order they fit into 63 bits.
+ORDER = 6
+# Entries that are broadcast (192 MB); bytes of text in a part where the model is larger.
+BROADCAST_ROWS, PART_BYTES = 16_000_000, 1 << 25
 # Bins per unit of log-perplexity; deviations from the median that a document may have below and above; least deviation.
 BINS, BELOW, ABOVE, LEAST = 1000, 6.0, 7.0, 0.02
 # Simple rules: words a document needs, and percent of its words that repeated windows may cover.
 MIN_WORDS, MAX_REPEATED = 50, 50
-# Characters one step works on: bounds the memory of a task whatever the length of a text.
-STEP = 1 << 22
+# Bytes one step works on, and n-grams a task holds before they go on: they bound the memory of a task.
+STEP, HELD = 1 << 22, 1 << 22
+# Slots of a worker's memory of n-grams looked up before.
+SLOTS = 20
 
 SPACES, MARKS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+_BEFORE = b"\n" * (ORDER - 1)
+PROBABILITY, WEIGHT = 0, 8
 
 
-def _symbols() -> np.ndarray:
-    """The symbol of each code point below 0x250; 0 stands for white space and for what lies before a text."""
-    table = np.zeros(0x250, np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        if ch.isspace() or c < 32:
-            table[c] = 0
-        elif "a" <= ch <= "z":
-            table[c] = 1 + c - ord("a")
-        elif "A" <= ch <= "Z":
-            table[c] = 27 + c % 6
-        elif ch.isdigit():
-            table[c] = 33
-        elif ch in ".,":
-            table[c] = 34 + (ch == ",")
-        elif c < 0xC0:
-            table[c] = 36 + c % 5
-        else:
-            table[c] = 41 + c % 5
-    return table
-
-
-_TABLE = _symbols()
-
-
-def symbols(text: str) -> np.ndarray:
-    """The text's symbols; characters beyond the table are told apart by their last bit."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    near = np.minimum(points, 0x24F)
-    found = _TABLE[near]
-    return found if len(points) == 0 or points.max() < 0x250 else np.where(points < 0x250, found, 46 + (points & 1)).astype(np.uint8)
-
-
-def grams(coded: np.ndarray) -> np.ndarray:
-    """The numbers of all n-grams, one for each character; before the text stand spaces."""
-    padded = np.concatenate([np.zeros(ORDER - 1, np.uint8), coded]).astype(np.int32)
-    n = len(coded)
-    out = padded[:n].copy()
-    for k in range(1, ORDER):
-        out *= SYMBOLS
-        out += padded[k : k + n]
-    return out
+def chunks(texts: Sequence[str | None], step: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Steps of about ``step`` bytes: places of texts, how many bytes each has in the step, and an n-gram for each byte.
+
+    Before a text stand line feeds; a long text goes on in further steps.
+    """
+    step = step or STEP
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def packed():
+        lengths = np.array([len(e) - ORDER + 1 for _, e in held], np.int64)
+        joined = np.frombuffer(b"".join(e for _, e in held), np.uint8).astype(np.uint64)
+        grams = joined[: len(joined) - ORDER + 1].copy()
+        for k in range(1, ORDER):
+            grams <<= np.uint64(8)
+            grams |= joined[k : len(joined) - ORDER + 1 + k]
+        inside = np.arange(lengths.sum()) + np.repeat((ORDER - 1) * np.arange(len(held)), lengths)
+        return np.array([i for i, _ in held], np.int64), lengths, grams[inside]
+
+    for i, text in enumerate(texts):
+        encoded = _BEFORE + text.encode("utf-8", "replace") if text else b""
+        for at in range(0, len(encoded) - ORDER + 1, step):
+            held.append((i, encoded[at : at + step + ORDER - 1]))
+            size += len(held[-1][1])
+            if size >= step:
+                yield packed()
+                held, size = [], 0
+    if held:
+        yield packed()
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and their added counts."""
+    grams, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    by = np.argsort(grams, kind="stable")
+    grams = grams[by]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(counts[by], first) if len(first) else counts
+
+
+def document_counts(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """N-grams and how many of ``texts`` (256 at most) hold them; long texts come alone."""
+    long = {i for i, t in enumerate(texts) if t and len(t) > STEP // 4}
+    for at, lengths, grams in chunks([None if i in long else t for i, t in enumerate(texts)]):
+        places = np.repeat(at.astype(np.uint64), lengths)
+        one = np.unique(grams << np.uint64(8) | places) >> np.uint64(8)
+        yield merged([(one, np.ones(len(one), np.int64))])
+    for i in long:
+        own = np.zeros(0, np.uint64)
+        for _, _, grams in chunks([texts[i]]):
+            own = np.union1d(own, grams)
+        yield own, np.ones(len(own), np.int64)
 
 
 def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``gram`` and its count ``n`` over all documents."""
+    """``gram`` and ``n``: how many documents hold it, over all documents."""
+
+    def batch_of(grams, counts):
+        for at in range(0, len(grams), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["gram", "n"])
 
     def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        held, size = [], 0
+        held, rows = [], 0
         for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                if t:
-                    held.append(grams(symbols(t)))
-                    size += len(held[-1])
-                if size > STEP:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
+            for part in document_counts(batch.column(0).to_pylist()):
+                held.append(part)
+                rows += len(part[0])
+                if rows > HELD:
+                    held = [merged(held)]
+                    rows = len(held[0][0])
+                    if rows > HELD // 2:
+                        yield from batch_of(*held[0])
+                        held, rows = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "n"])
+            yield from batch_of(*merged(held))
 
-    parts = docs.select(F.col(text).cast("string")).mapInArrow(run, "gram int, n long")
+    parts = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "gram long, n long")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def discounts(n: Sequence[int]) -> tuple[float, float]:
+    """What counts of 2, and of 3 or more, give up (modified Kneser-Ney), from how many n-grams have the counts 1, 2, 3 and 4."""
+    if not all(n):
+        return 1.0, 1.5
+    y = n[0] / (n[0] + 2 * n[1])
+    return min(max(2 - 3 * y * n[2] / n[1], 0.0), 1.99), min(max(3 - 4 * y * n[3] / n[2], 0.0), 2.99)
+
+
+def train(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The model of all documents, a stored table: ``key`` (n-gram, order and kind) and ``value`` (a logarithm).
+
+    p(byte | context) = (n - discount) / total of the context + weight of the context * p(byte | shorter context). Orders below
+    the highest count the different bytes before an n-gram. At most 256 n-grams share a context or an end.
+    """
+    last = lambda order: F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
+    levels = {ORDER: materialise(gram_counts(docs, text), "grams")}
+    for order in range(ORDER - 1, 0, -1):
+        levels[order] = materialise(levels[order + 1].groupBy(last(order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    entries, shorter = [], None
+    for order in range(1, ORDER + 1):
+        level = levels[order]
+        seen = {r["n"]: r["rows"] for r in level.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect()}  # four rows
+        two, more = discounts([seen.get(k, 0) for k in (1, 2, 3, 4)])
+        same = W.partitionBy("context")
+        of = lambda rule: F.sum(F.when(rule, 1).otherwise(0)).over(same)
+        given = of(F.col("n") == 1) + two * of(F.col("n") == 2) + more * of(F.col("n") > 2)
+        own = F.col("n") - F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, two).otherwise(more)
+        found = level.withColumn("context", F.shiftrightunsigned("gram", 8)).select("gram", "n", "context", F.sum("n").over(same).alias("total"), given.alias("given"))
+        found = found.select("gram", "n", "context", (F.col("given") / F.col("total")).alias("weight"), (own / F.col("total")).alias("own"), last(order - 1).alias("end"))
+        found = found.withColumn("lower", F.lit(1 / 256)) if shorter is None else found.join(shorter, "end")
+        shown = materialise(found.select("gram", "n", "context", "weight", (F.col("own") + F.col("weight") * F.col("lower")).alias("p")), "levels")
+        shorter = shown.select(F.col("gram").alias("end"), F.col("p").alias("lower"))
+        tag = lambda column, kind, order: (F.col(column) + F.lit((kind + order) << 48)).alias("key")
+        entries.append(shown.where("n >= 2").select(tag("gram", PROBABILITY, order), F.log("p").cast("float").alias("value")))
+        weights = shown.where("weight < 1").groupBy("context").agg(F.max("weight").alias("weight"))
+        entries.append(weights.select(tag("context", WEIGHT, order - 1), F.log(F.greatest("weight", F.lit(1e-30))).cast("float").alias("value")))
+    whole = entries[0]
+    for more in entries[1:]:
+        whole = whole.unionByName(more)
+    return materialise(whole, "model")
+
+
 class Model(NamedTuple):
-    """Hashes of all seen n-grams of all orders, sorted; the log-probability of each, and its weight as a context."""
+    """The entries of the model, or those that a part needs, sorted by key."""
 
-    hashes: np.ndarray
-    log_p: np.ndarray
-    log_weight: np.ndarray
-    log_rest: float  # weight of the empty context
+    keys: np.ndarray
+    values: np.ndarray
     token: str  # tells models apart
 
 
-def hashed(order: int, gram: np.ndarray) -> np.ndarray:
-    """A hash without collisions: an odd multiplier permutes the 64-bit integers."""
-    return (gram.astype(np.uint64) + np.uint64(order << 40)) * np.uint64(0x9E3779B97F4A7C15)
+def arrays(keys: np.ndarray, values: np.ndarray) -> Model:
+    by = np.argsort(keys)
+    return Model(keys[by], values[by], uuid.uuid4().hex)
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What a count of 0, 1, 2, and 3 or more gives up (modified Kneser-Ney, from the counts of counts)."""
-    n = [int((counts == k).sum()) for k in range(5)]
-    if not all(n[1:]):
-        return np.array([0.0, 0.5, 1.0, 1.5])
-    y = n[1] / (n[1] + 2 * n[2])
-    return np.clip([0.0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]], 0.0, [0.0, 0.99, 1.99, 2.99])
+def keyed(kind: int, order: int, grams: np.ndarray) -> np.ndarray:
+    return (grams + np.uint64((kind + order) << 48)).view(np.int64)
 
 
-def estimate(gram: np.ndarray, n: np.ndarray) -> Model:
-    """The interpolated model of the counts. Lower orders count in how many contexts an n-gram continues."""
-    counts = np.zeros(SYMBOLS**ORDER, np.int64)
-    counts[gram] = n
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        levels.insert(0, (levels[0].reshape(SYMBOLS, SYMBOLS**order) > 0).sum(0))
-    lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    probabilities, weights = [], []
-    for level in levels:
-        rows = level.reshape(-1, SYMBOLS)
-        total = rows.sum(1, keepdims=True)
-        off = discounts(level)[np.minimum(rows, 3)]
-        # The share given up in a context; a context never seen passes everything on.
-        weight = np.where(total > 0, off.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
-        shorter = np.tile(lower.reshape(-1, SYMBOLS), (len(rows) * SYMBOLS // len(lower), 1))
-        lower = (np.where(total > 0, (rows - off) / np.maximum(total, 1), 0.0) + weight * shorter).ravel()
-        probabilities.append(lower)
-        weights.append(weight.ravel())
-    log_rest = float(np.log(max(weights[0][0], 1e-30)))
-    hashes, log_p, log_weight = [], [], []
-    for order, level in enumerate(levels, 1):
-        # What was seen, and what stands before something seen.
-        held = np.flatnonzero((level > 0) | (levels[order].reshape(-1, SYMBOLS).any(1) if order < ORDER else False))
-        hashes.append(hashed(order, held))
-        log_p.append(np.log(probabilities[order - 1][held]))
-        log_weight.append(np.log(np.maximum(weights[order][held], 1e-30)) if order < ORDER else np.zeros(len(held)))
-    h = np.concatenate(hashes)
-    by = np.argsort(h)
-    return Model(h[by], np.concatenate(log_p)[by].astype(np.float32), np.concatenate(log_weight)[by].astype(np.float32), log_rest, uuid.uuid4().hex)
-
-
-def find(model: Model, order: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the n-grams in the arrays by binary search, and which of them are there."""
-    wanted = hashed(order, gram)
-    at = np.minimum(np.searchsorted(model.hashes, wanted), max(0, len(model.hashes) - 1))
-    return at, (model.hashes[at] == wanted) if len(model.hashes) else np.zeros(len(gram), bool)
-
-
-def log_probability(model: Model, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log p of each n-gram's last symbol after the others: its own entry, or the context's weight and the shorter n-gram."""
+def find(model: Model, kind: int, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of n-grams by bisection, 0 where they are not in the model, and which of them are."""
+    if not len(model.keys):
+        return np.zeros(len(grams)), np.zeros(len(grams), bool)
+    wanted = keyed(kind, order, grams)
+    at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
+    there = model.keys[at] == wanted
+    return np.where(there, model.values[at], 0.0), there
+
+
+def log_probability(model: Model, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """log p of each n-gram's last byte after the others: its own entry, or the context's weight and the shorter n-gram."""
     if order == 0:
-        return np.full(len(gram), -np.log(SYMBOLS))
-    at, there = find(model, order, gram)
-    out = np.where(there, model.log_p[at], 0.0) if len(model.log_p) else np.zeros(len(gram))
+        return np.full(len(grams), -np.log(256))
+    out, there = find(model, PROBABILITY, order, grams)
     rest = np.flatnonzero(~there)
     if len(rest):
-        shorter = gram[rest] % SYMBOLS ** (order - 1)
-        if order == 1:
-            weight = np.full(len(rest), model.log_rest)
-        else:
-            place, known = find(model, order - 1, gram[rest] // SYMBOLS)
-            weight = np.where(known, model.log_weight[place], 0.0) if len(model.log_weight) else np.zeros(len(rest))
-        out[rest] = weight + log_probability(model, shorter, order - 1)
+        weight, _ = find(model, WEIGHT, order - 1, grams[rest] >> np.uint64(8))
+        out[rest] = weight + log_probability(model, grams[rest] & np.uint64((1 << 8 * (order - 1)) - 1), order - 1)
     return out
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all documents. At most ``SYMBOLS ** ORDER`` counts (5.3 million) reach the driver."""
-    found = gram_counts(docs, text).toArrow()
-    return estimate(found["gram"].to_numpy(), found["n"].to_numpy())
-
-
 class Scorer:
-    """log p of every n-gram there can be, looked up in the model once by each worker."""
+    """Scores by a model, with a memory of the n-grams looked up before (a table of fixed size, the latest one in each slot)."""
 
     def __init__(self, model: Model):
-        self.table = np.concatenate([log_probability(model, np.arange(a, a + SYMBOLS**3)) for a in range(0, SYMBOLS**ORDER, SYMBOLS**3)]).astype(np.float32)
-
-    def log_perplexity(self, text: str | None) -> float | None:
-        if not text:
-            return None
-        coded, total = symbols(text), 0.0
-        for at in range(0, len(coded), STEP):
-            part = coded[max(0, at - ORDER + 1) : at + STEP]
-            total += float(self.table[grams(part)[min(at, ORDER - 1) :]].sum(dtype=np.float64))
-        return -total / len(coded)
+        self.model = model
+        self.grams = np.full(1 << SLOTS, np.iinfo(np.uint64).max, np.uint64)
+        self.logs = np.zeros(1 << SLOTS)
+
+    def logs_of(self, grams: np.ndarray) -> np.ndarray:
+        slot = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        out = self.logs[slot]
+        new = np.flatnonzero(self.grams[slot] != grams)
+        if len(new):
+            wanted, back = np.unique(grams[new], return_inverse=True)
+            found = log_probability(self.model, wanted)
+            out[new] = found[back]
+            # One n-gram for each slot, so that n-gram and value belong together.
+            into, one = np.unique((wanted * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS), return_index=True)
+            self.grams[into], self.logs[into] = wanted[one], found[one]
+        return out
+
+    def log_perplexities(self, texts: Sequence[str | None]) -> list[float | None]:
+        """The mean over the bytes of each text; None where there are none."""
+        total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for at, lengths, grams in chunks(texts):
+            np.add.at(total, at, np.add.reduceat(self.logs_of(grams), np.cumsum(lengths) - lengths))
+            np.add.at(size, at, lengths)
+        return [-t / n if n else None for t, n in zip(total.tolist(), size.tolist())]
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -268,18 +299,61 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def scores(docs: DataFrame, model, text: str = "text", keep: Sequence[str] = ("lang",)) -> DataFrame:
-    """``keep`` columns and the text's ``log_perplexity`` (NULL without characters)."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = with_fields(rows.drop("_text").schema, "log_perplexity double")
+def measured(docs: DataFrame, model: DataFrame, text: str, added: str, rows_of: Callable[[Scorer, list], list[list]]) -> DataFrame:
+    """``docs`` with the columns ``added``, which ``rows_of`` gives for a list of texts."""
+    spark = docs.sparkSession
+    rows = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    names, place, schema = rows.columns, rows.columns.index(text), with_fields(rows.schema, added)
+    fields = schema.fields[len(names) :]
+    types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.float64() for f in fields]
 
-    def run(batches):
-        of = scorer(model).log_perplexity
+    def batch_of(batch, of):
+        found = rows_of(of, batch.column(place).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(found, types))], [*names, *(f.name for f in fields)])
+
+    size = model.count()
+    if size <= BROADCAST_ROWS:
+        entries = model.toArrow()  # BROADCAST_ROWS at most
+        held = spark.sparkContext.broadcast(arrays(entries["key"].to_numpy(), entries["value"].to_numpy()))
+
+        def run(batches):
+            of = scorer(held)
+            for batch in slices(batches):
+                yield batch_of(batch, of)
+
+        return rows.mapInArrow(run, schema)
+
+    total = rows.agg(F.sum(F.octet_length(f"`{text}`").cast("long"))).first()[0] or 0
+    parts = -(-total // PART_BYTES) + 1
+    dealt = materialise(rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), "parts")
+
+    def needs(batches):
         for batch in slices(batches):
-            found = pa.array([of(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], [*keep, "log_perplexity"])
+            parts_of = batch.column(1).to_numpy()
+            for at, lengths, grams in chunks(batch.column(0).to_pylist()):
+                part = np.repeat(parts_of[at], lengths).astype(np.int64)
+                for order in range(ORDER, 0, -1):
+                    for own, key in ((part, keyed(PROBABILITY, order, grams)), (part, keyed(WEIGHT, order - 1, grams >> np.uint64(8)))):
+                        pairs = np.unique(np.stack([own, key]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1])], ["_part", "key"])
+                    both = np.unique(np.stack([part, (grams & np.uint64((1 << 8 * (order - 1)) - 1)).view(np.int64)]), axis=1)
+                    part, grams = both[0], both[1].view(np.uint64)
+
+    wanted = dealt.select(f"`{text}`", "_part").mapInArrow(needs, "_part int, key long").distinct()
+    slice_of = wanted.join(model, "key")
 
-    return rows.mapInArrow(run, schema)
+    def score(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        of = Scorer(arrays(entries["key"].to_numpy(), entries["value"].to_numpy()))
+        whole = [batch_of(b, of) for b in slices(texts.select(names).combine_chunks().to_batches())]
+        return pa.Table.from_batches(whole)
+
+    return dealt.groupBy("_part").cogroup(slice_of.groupBy("_part")).applyInArrow(score, schema)
+
+
+def scores(docs: DataFrame, model: DataFrame, text: str = "text", keep: Sequence[str] = ("lang",)) -> DataFrame:
+    """``keep`` columns and the text's ``log_perplexity`` (NULL without characters)."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    return measured(rows, model, "_text", "log_perplexity double", lambda of, texts: [of.log_perplexities(texts)]).drop("_text")
 
 
 def bands(scored: DataFrame, language: str = "lang") -> DataFrame:
@@ -305,26 +379,18 @@ def bands(scored: DataFrame, language: str = "lang") -> DataFrame:
 def judged(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``log_perplexity``, its band (``low``, ``high``) and ``kept``.
 
-    Three scans of the texts (count, score, judge) and no shuffle of them.
+    Three scans of the texts (count, score, judge), and no shuffle of them unless the model is too large for a broadcast.
     """
     docs = docs.drop(*ADDED)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text))
+    model = train(docs, text)
     limits = materialise(bands(scores(docs, model, text, (language,)), language), "perplexity-bands")
-    names, place = docs.columns, docs.columns.index(text)
-    rows = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
 
-    def run(batches):
-        of = scorer(model).log_perplexity
-        for batch in slices(batches):
-            texts = batch.column(place).to_pylist()
-            found = [pa.array(c, pa.int64()) for c in zip(*map(measures, texts))] or [pa.array([], pa.int64())] * len(Measures._fields)
-            score = pa.array([of(t) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found, score], [*names, *Measures._fields, "log_perplexity"])
+    def rows_of(of, texts):
+        return [*([*c] for c in zip(*map(measures, texts))), of.log_perplexities(texts)]
 
-    added_fields = ", ".join(f"{m} long" for m in Measures._fields) + ", log_perplexity double"
-    measured = rows.mapInArrow(run, with_fields(rows.schema, added_fields))
-    key = F.coalesce(F.concat(F.lit("="), F.col(language).cast("string")), F.lit(""))
+    added = ", ".join(f"{m} long" for m in Measures._fields) + ", log_perplexity double"
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{language}`").cast("string")), F.lit(""))
     # One row per language, read back from a file: Spark sees its size and broadcasts it.
-    placed = measured.withColumn("_lang", key).join(limits, "_lang", "left").drop("_lang").withColumn("base_failed", base_failed())
+    placed = measured(docs, model, text, added, rows_of).withColumn("_lang", key).join(limits, "_lang", "left").drop("_lang").withColumn("base_failed", base_failed())
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return placed.withColumn("kept", ~F.col("base_failed") & inside).select(*[F.col(f"`{c}`") for c in names], *ADDED)
+    return placed.withColumn("kept", ~F.col("base_failed") & inside).select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)

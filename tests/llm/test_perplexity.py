@@ -31,12 +31,11 @@ def test_measures_by_the_book():
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney from dictionaries of symbol tuples."""
+    """Interpolated modified Kneser-Ney from dictionaries of byte strings, counted in documents."""
     counts = {}
     for t in texts:
-        coded = [0] * (P.ORDER - 1) + [int(s) for s in P.symbols(t)]
-        for i in range(len(coded) - P.ORDER + 1):
-            g = tuple(coded[i : i + P.ORDER])
+        whole = P._BEFORE + t.encode()
+        for g in {whole[i : i + P.ORDER] for i in range(len(whole) - P.ORDER + 1)}:
             counts[g] = counts.get(g, 0) + 1
     levels = {P.ORDER: counts}
     for order in range(P.ORDER - 1, 0, -1):
@@ -48,46 +47,87 @@ def brute_model(texts):
     def discount(order):
         n = [0] + [sum(c == k for c in levels[order].values()) for k in (1, 2, 3, 4)]
         if not all(n[1:]):
-            return [0, 0.5, 1.0, 1.5]
+            return [0, 1.0, 1.0, 1.5]
         y = n[1] / (n[1] + 2 * n[2])
-        d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
-        return [min(max(x, 0), top) for x, top in zip(d, (0, 0.99, 1.99, 2.99))]
+        d = [0, 1.0, 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+        return [min(max(x, 0), top) for x, top in zip(d, (0, 1.0, 1.99, 2.99))]
 
     offs = {o: discount(o) for o in levels}
 
     def p(g):
         if not g:
-            return 1 / P.SYMBOLS
+            return 1 / 256
         level, off = levels[len(g)], offs[len(g)]
-        context = {w: level.get(g[:-1] + (w,), 0) for w in range(P.SYMBOLS)}
-        total = sum(context.values())
+        context = [level.get(g[:-1] + bytes([w]), 0) for w in range(256)]
+        total = sum(context)
         if not total:
             return p(g[1:])
         own = context[g[-1]]
-        return (own - off[min(own, 3)]) / total + sum(off[min(c, 3)] for c in context.values()) / total * p(g[1:])
+        return (own - off[min(own, 3)]) / total + sum(off[min(c, 3)] for c in context) / total * p(g[1:])
 
     def score(text):
-        coded = [0] * (P.ORDER - 1) + [int(s) for s in P.symbols(text)]
-        return -sum(math.log(p(tuple(coded[i : i + P.ORDER]))) for i in range(len(text))) / len(text)
+        whole = P._BEFORE + text.encode()
+        grams = [whole[i : i + P.ORDER] for i in range(len(whole) - P.ORDER + 1)]
+        return -sum(math.log(p(g)) for g in grams) / len(grams)
 
     return score
 
 
+TEXTS = ["the cat sat on the mat.", "The dog, the cat; the CAT!", "12 naïve 漢字 dogs on the mat", "a", "", None, "on on on on", "naïve dogs sat on the mat", "the 漢字 cat"]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
+
+
 def test_scores_are_those_of_kneser_ney(spark):
-    texts = ["the cat sat on the mat.", "The dog, the cat; the CAT!", "12 naïve 漢字 dogs", "a", "", None, "on on on on"]
-    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
-    scorer, brute = P.Scorer(P.train(docs)), brute_model([t for t in texts if t])
-    for text in [t for t in texts if t] + ["a cat on a dog", "zzz qq\n|"]:
-        assert abs(scorer.log_perplexity(text) - brute(text)) < 1e-4, text
-    assert np.abs(np.exp(scorer.table.reshape(-1, P.SYMBOLS).astype(float)).sum(1) - 1).max() < 1e-4
-
-
-def test_long_texts_are_scored_in_steps_alike(spark, monkeypatch):
-    text = "abc def. " * 50
-    scorer = P.Scorer(P.train(spark.createDataFrame([(text,)], "text string")))
-    whole = scorer.log_perplexity(text)
+    model, brute = P.train(frame(spark, TEXTS)), brute_model([t for t in TEXTS if t])
+    entries = model.toArrow()
+    scorer = P.Scorer(P.arrays(entries["key"].to_numpy(), entries["value"].to_numpy()))
+    asked = [*TEXTS, "a cat on a dog", "zzz qq\n|", "the cat sat on the mat."]
+    for _ in range(2):
+        for text, score in zip(asked, scorer.log_perplexities(asked)):
+            assert score is None if not text else abs(score - brute(text)) < 1e-5, text
+    for context in (b"the c", b"zzzzz", b"n the", b"dogs "):
+        grams = np.array([int.from_bytes(context + bytes([w])) for w in range(256)], np.uint64)
+        assert abs(np.exp(P.log_probability(scorer.model, grams)).sum() - 1) < 1e-5
+
+
+def test_a_model_too_large_for_a_broadcast(spark, monkeypatch):
+    docs = frame(spark, TEXTS)
+    model = P.train(docs)
+    one = sorted(str(tuple(r)) for r in P.scores(docs, model, keep=("lang",)).collect())
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(P, "PART_BYTES", 40)
+    two = P.scores(docs, model, keep=("lang",))
+    assert "CoGroup" in two._jdf.queryExecution().toString()
+    assert sorted(str(tuple(r)) for r in two.collect()) == one
+    judged = P.judged(docs)
+    assert judged.count() == len(TEXTS) and P.judged(docs.limit(0)).count() == 0
+
+
+def test_the_model_grows_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = docs.where("doc_id % 10 = 0")
+    assert P.train(docs).count() > 2 * P.train(part).count()
+
+
+def test_long_texts_are_counted_and_scored_in_steps_alike(monkeypatch):
+    pick = random.Random(8)
+    texts = ["".join(pick.choice("ab é.") for _ in range(n)) for n in (0, 1, 4, 5, 6, 50, 3000)] + [None, "x" * 100]
+    whole = P.merged(list(P.document_counts(texts)))
+    model = P.arrays(P.keyed(P.PROBABILITY, P.ORDER, whole[0]), -1.0 / whole[1])
+    scores = P.Scorer(model).log_perplexities(texts)
+    brute = {}
+    for t in texts:
+        e = P._BEFORE + (t or "").encode()
+        for g in {e[i : i + P.ORDER] for i in range(len(e) - P.ORDER + 1)} if t else ():
+            brute[int.from_bytes(g)] = brute.get(int.from_bytes(g), 0) + 1
+    assert dict(zip(*(a.tolist() for a in whole))) == brute
     monkeypatch.setattr(P, "STEP", 7)
-    assert abs(scorer.log_perplexity(text) - whole) < 1e-9
+    again = P.merged(list(P.document_counts(texts)))
+    assert all((a == b).all() for a, b in zip(whole, again))
+    assert np.allclose([s or 0 for s in scores], [s or 0 for s in P.Scorer(model).log_perplexities(texts)])
 
 
 def test_awkward_rows(clashing):
