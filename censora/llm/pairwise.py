@@ -29,6 +29,8 @@ from censora.llm.frames import slices, with_fields
 
 # Labelled documents and pairs that learning takes at most; steps of Newton's method; ridge.
 SAMPLE, PAIRS, STEPS, RIDGE = 40_000, 80_000, 25, 1e-3
+# Bins of a unit of the raw score.
+BINS = 1000
 # The published score from which a document is accepted.
 ACCEPT = 0.3
 
@@ -145,7 +147,8 @@ def learnable(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", quantile: float | None = None) -> Ranking:
     """The model of a bounded sample of the labelled documents: the ``SAMPLE`` smallest hashes of the id.
 
-    The sample is drawn from the labels alone; its ids then pick the texts, so no text is shuffled for it.
+    The sample is drawn from the labels alone; its ids then pick the texts, so no text is shuffled for it. The threshold is
+    the ``quantile`` of the scores of all documents, labelled or not; by default the share of bad rows in the sample.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_good")).where(F.col("_good").isin(0, 1) & learnable(F.col("_id")))
@@ -169,7 +172,32 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     got = sorted((repr(r["_id"]), good[r["_id"]], r["_values"]) for r in found.collect())
     if not got:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0, bool))
-    return fit(np.array([v for *_, v in got]), np.array([g for _, g, _ in got]), quantile)
+    marks = np.array([g for _, g, _ in got])
+    ranking = fit(np.array([v for *_, v in got]), marks)
+    # The sample only stands in until the scores of all documents are known.
+    return ranking._replace(threshold=threshold(docs, ranking, float((~marks).mean()) if quantile is None else quantile, text))
+
+
+def threshold(docs: DataFrame, ranking: Ranking, quantile: float, text: str = "text") -> float:
+    """The raw score that ``quantile`` of all documents stay below, from a histogram that Spark counts.
+
+    Raw scores are bounded by the weights, so the driver gets ``16 * BINS`` rows for each unit of their sum at most.
+    """
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"))
+    if not ranking.weights.any():
+        return 0.0
+    model = docs.sparkSession.sparkContext.broadcast(ranking)
+
+    def run(batches):
+        for batch in slices(batches):
+            raw = model.value.raw(np.array([features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(raw * BINS).astype(np.int64))], ["bin"])
+
+    counted = sorted(tuple(r) for r in rows.mapInArrow(run, "bin long").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect())
+    if not counted:
+        return 0.0
+    upto = np.cumsum([n for _, n in counted])
+    return counted[min(int(np.searchsorted(upto, quantile * upto[-1], "right")), len(counted) - 1)][0] / BINS
 
 
 def scored(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -86,16 +86,25 @@ def archives(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "warc")
     warc.write_pages(t.pages, path)
     number = lambda c: F.nullif(F.regexp_extract(c, "^urn:x-page:(.*)$", 1), F.lit("")).cast("long")
-    found = warc.read_pages(t.spark, path).where(F.col("record_type").isin("response", "revisit"))
+    columns = "record_id string, record_type string, payload_digest string, refers_to string, http_length long, payload binary"
+    found = warc.read_pages(t.spark, path, columns).where(F.col("record_type").isin("response", "revisit"))
+    # What a response holds is measured; a revisit holds nothing, so its headers speak for it.
+    response = F.col("record_type") == "response"
     return found.select(
         number("record_id").alias("page_id"),
-        F.col("http_length").alias("payload_bytes"),
-        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(response, base32(F.sha1("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
 
 
+def base32(sha1: Column) -> Column:
+    """A SHA-1 of 40 hexadecimal digits in base 32: forty bits at a time."""
+    digits = [F.lpad(F.conv(F.substring(sha1, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
 @query("op6_packing")
 def best_fit_packing(t: Tables) -> DataFrame:
     packed = packing.packed_documents(t.documents, public_tokenizers.path(TOKENIZER), 2048)

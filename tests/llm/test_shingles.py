@@ -59,6 +59,20 @@ def test_similar_sets_share_a_signature():
             assert set(one.tolist()) & set(two.tolist()), (len(a), len(b))
 
 
+def test_sketches_rule_out_no_similar_sets():
+    pick, ruled_out = random.Random(10), 0
+    for k in range(600):
+        n = pick.choice([1, 3, 9, 40, 400, 1_900, 2_100, 9_000])
+        a = {pick.getrandbits(64) for _ in range(n)}
+        b = set(pick.sample(sorted(a), len(a) - pick.randint(0, n // 5))) | {pick.getrandbits(64) for _ in range(pick.randint(0, n // 4))}
+        b = b if k % 3 else {pick.getrandbits(64) for _ in range(n)}
+        sketches = [shingles.sketch(shingles.np.array(sorted(x), "u8")) for x in (a, b)]
+        maybe = shingles.may_be_similar(*sketches, len(a), len(b))
+        assert maybe or 9 * len(a & b) < 4 * (len(a) + len(b))
+        ruled_out += not maybe and k % 3 == 0
+    assert ruled_out > 150
+
+
 def test_stage_equals_all_pairs(spark, tmp_path):
     texts = corpus()
     want, near = brute_staying(texts)
