@@ -8,7 +8,7 @@ from censora.functions.scalars import cents, json_field
 from censora.plans import air, climate, feeds
 from censora.queries import Tables, query
 from censora.queries import derive as D
-from censora.queries.pulse import delivered, plain
+from censora.queries.pulse import deliveries, plain
 from censora.queries.windows import CLIMATE_ARGS, CLIMATE_SQL, WEIGHTED_SQL, _interpolated
 from censora.streaming import pulse_stream as S
 
@@ -88,9 +88,13 @@ def _(t: Tables):
     "SELECT DISTINCT user_id AS station, date_trunc('hour', ts) AS source_time FROM events",
 )
 def _(t: Tables):
-    raw = S.event_stream(t.spark, delivered(t), t.events.schema, "*.parquet", files=1)
-    hours = raw.select(F.col("user_id").alias("station"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("source_time"))
-    return plain(S.first_seen_job(hours, ["station", "source_time"], S.fresh_store(t.spark, "first-seen")))
+    store = S.fresh_store(t.spark, "first-seen")
+
+    def run(raw):
+        hours = raw.select(F.col("user_id").alias("station"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("source_time"))
+        return S.first_seen_job(hours, ["station", "source_time"], store)
+
+    return plain(deliveries(t, run))
 
 
 INDEX_SQL = f"""{D.AIR_SQL}, {WEIGHTED_SQL},

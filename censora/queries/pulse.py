@@ -51,20 +51,25 @@ def _(t: Tables):
     f"WITH {EV_SQL} SELECT system, datum, minute, refreshes, first, last, observations, events, source_latency_max_ms, deliveries, delivery_latency_max_ms, received, max_gap_ms FROM summ",
 )
 def _(t: Tables):
-    raw = S.event_stream(t.spark, delivered(t), t.events.schema, "*.parquet", files=1)
-    return plain(S.run_available(S.summary_stream(events(raw)), S.fresh_store(t.spark, "summaries"), ["system", "datum", "minute"]))
+    store = S.fresh_store(t.spark, "summaries")
+    return plain(deliveries(t, lambda raw: S.run_available(S.summary_stream(events(raw)), store, ["system", "datum", "minute"])))
 
 
-def delivered(t: Tables) -> str:
-    """A folder with the driver's events in four deliveries of about eight days, one file each; a tenth of the rows comes up
-    to twelve hours late, so that it falls into minutes of the delivery before."""
-    folder, at = shared_dir(t.spark, "deliveries"), F.unix_seconds(F.col("ts").cast("timestamp"))
+def deliveries(t: Tables, run):
+    """What ``run`` makes of the stream after the last of four deliveries of about eight days, each as many files as Spark writes.
+
+    A tenth of the events comes up to twelve hours late, so that it falls into minutes of the delivery before. The stream goes
+    on from its checkpoint when a delivery has arrived, and takes it as one micro-batch.
+    """
+    stored, folder = shared_dir(t.spark, "events"), shared_dir(t.spark, "deliveries")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
     late = F.when(F.col("event_id") % 10 == 0, 12 * 3600).otherwise(0)
     part = F.floor((at + late - F.lit(1_704_067_200)) / (8 * 86_400))
-    stored = materialise(t.events.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(3), part))), "events")
+    t.events.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(3), part))).write.partitionBy("part").parquet(stored)
     for number in range(4):
-        stored.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        t.spark.read.parquet(stored).where(F.col("part") == number).drop("part").write.mode("append").parquet(folder)
+        result = run(S.event_stream(t.spark, folder, t.events.schema, "*.parquet", files=1_000_000))
+    return result
 
 
 @query("m2_punctuality", f"WITH {EV_SQL} SELECT system, datum, status, count(*) AS summaries, sum(refreshes)::BIGINT AS refreshes FROM summ GROUP BY 1, 2, 3")
