@@ -57,6 +57,13 @@ def test_similar_sets_share_a_signature():
         if 9 * len(a & b) >= 4 * (len(a) + len(b)):
             one, two = (shingles.signatures(shingles.np.array(sorted(x), "u8")) for x in (a, b))
             assert set(one.tolist()) & set(two.tolist()), (len(a), len(b))
+            # Whatever the order of the signatures, the spare ones at its end may go.
+            order, kept = {x: pick.random() for x in (*one.tolist(), *two.tolist())}, []
+            for x in (a, b):
+                kept.append(set())
+                for _, spare, found in shingles.schemes(shingles.np.array(sorted(x), "u8")):
+                    kept[-1] |= set(sorted(found.tolist(), key=order.get)[: len(found) - spare])
+            assert kept[0] & kept[1], (len(a), len(b))
 
 
 def test_sketches_rule_out_no_similar_sets():
