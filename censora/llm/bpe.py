@@ -10,6 +10,7 @@ give repeated rows; an empty table gives an empty table; columns beside the id a
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -127,6 +128,22 @@ class Bpe:
                 push(heap, pair << 32 | h)
         return [s for s in symbols if s >= 0]
 
+    @functools.cached_property
+    def regular(self) -> bool:
+        """Every merge makes a string of its own, strings rise in id as the ranks of their merges do, and each merges back to itself.
+
+        Then merging the neighbours with the lowest joined id is merging by rank. Take a pair that no merge lists, though it
+        joins to a known string, and whose id is the lowest: all merges of lower rank are done, none across the string's
+        edges, so the string alone would come to the same pair and never to itself.
+        """
+        mask, special = (1 << self.bits) - 1, set(self.specials.values())
+        made = [pair & mask for pair in self.pairs.values()]
+        rising = all(a < b for a, b in zip(made, made[1:])) and all(max(k >> self.bits, k & mask) < v & mask for k, v in self.pairs.items())
+        held = [(i, s) for i, s in enumerate(self.strings) if s and i not in special]
+        single = {self.first[b] for b in range(256)}
+        whole = len({s for _, s in held}) == len(held) and {i for i, _ in held} == single | set(made)
+        return rising and whole and all(self.merge(s) == [i] for i, s in held)
+
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text between special strings, and the special strings with their ids."""
         at = 0

@@ -14,6 +14,7 @@ their own; an empty table gives no piece; other columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -36,51 +37,64 @@ FILLED = (1.0, 0.999, 0.99, 0.0)
 GAP = 1e-4
 
 
-# Words whose ids a worker remembers: two generations of this many.
-KNOWN_WORDS = 700_000
+# Words whose ids a worker remembers: two generations of this many. Longer words than LONG characters are left to the library.
+KNOWN_WORDS, LONG = 700_000, 400
 
 
 class LibraryIds:
-    """Ids by the tokenizers library, word by word: what it gives for a text is what it gives for its words, joined."""
+    """A text's ids as the tokenizers library gives them, word by word: those of a text are those of its words, joined.
 
-    def __init__(self, path: str):
+    Where the vocabulary is ``regular`` (``bpe.Bpe.regular``), a word that is not remembered is encoded by a second library
+    that takes the lowest id of all neighbours whose strings join to a known one; there this is the lowest rank of all
+    merges. Of any other vocabulary, and for very long words, the tokenizers library itself is asked.
+    """
+
+    def __init__(self, path: str, regular: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.cut = bpe.vocabulary(path)
-        self.known = bpe.Recent(None, KNOWN_WORDS)
+        if regular:
+            import tiktoken
+
+            special = set(self.cut.specials.values())
+            ranks = {s: i for i, s in enumerate(self.cut.strings) if s and i not in special}
+            self.short = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.short = self.by_library
+        self.known = bpe.Recent(self._word, KNOWN_WORDS)
+
+    def by_library(self, word: str) -> list[int]:
+        return self.library.encode(word, add_special_tokens=False).ids
 
-    def of(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _word(self, word: str) -> bytes:
+        ids = self.short(word) if len(word) <= LONG else self.by_library(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [[(bpe.words(part), i) for part, i in self.cut.parts(t)] for t in texts]
-        known, old = self.known, self.known.old
-        new = list({w for parts in cut for ws, i in parts if i is None for w in ws if w not in known and w not in old})
-        fresh = dict(zip(new, self.of(new), strict=True))
-        # A word that has left both generations meanwhile is looked up again on its own.
-        known.make = lambda word: fresh.get(word) or self.of([word])[0]
-        join = lambda ws: b"".join(map(known.__getitem__, ws))
-        return [b"".join(join(ws) if i is None else np.array([i], "<u4").tobytes() for ws, i in parts) for parts in cut]
+        found = self.known.__getitem__
+        join = lambda part: b"".join(map(found, bpe.words(part)))
+        return [b"".join(struct.pack("<I", i) if i is not None else join(part) for part, i in self.cut.parts(t)) for t in texts]
 
 
-_LIBRARY: dict[str, LibraryIds] = {}
+_LIBRARY: dict[tuple[str, bool], LibraryIds] = {}
 
 
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, keep: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``keep``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, its ``ids``."""
     rows = df.select(df[keep], df[text].cast("string").alias("_text"))
     fields = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    key = (path, bpe.vocabulary(path).regular)
 
     def run(batches):
-        if path not in _LIBRARY:
-            _LIBRARY[path] = LibraryIds(path)
+        if key not in _LIBRARY:
+            _LIBRARY[key] = LibraryIds(*key)
+        coder = _LIBRARY[key]
         end = np.array([end_id], "<u4").tobytes()
         for part in slices(batches):
             owner, out = [], ([], [], [], [], [])
-            for row, ids in enumerate(_LIBRARY[path].batch([t or "" for t in part.column(1).to_pylist()])):
+            for row, ids in enumerate(coder.batch([t or "" for t in part.column(1).to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 first = total % capacity or capacity

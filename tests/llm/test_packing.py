@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from censora.llm import bpe
 from censora.llm import packing as K
 from censora.llm.queries import QUERIES
 from censora.session import materialise
@@ -104,3 +105,34 @@ def test_ids_survive_a_cache_that_overflows_within_a_batch(tokenizer, tokenizer_
     for _ in range(60):
         texts = [" ".join("".join(pick.choice(list("abcde"), pick.integers(1, 5))) for _ in range(pick.integers(0, 80))) for _ in range(5)]
         assert [np.frombuffer(b, "<u4").tolist() for b in ids.batch(texts)] == [e.ids for e in tokenizer.encode_batch(texts)]
+
+
+def test_ids_by_the_second_library_are_those_of_the_first(tokenizer, tokenizer_path, monkeypatch):
+    coder = bpe.vocabulary(tokenizer_path)
+    assert coder.regular
+    monkeypatch.setattr(K, "LONG", 60)
+    ids, pick = K.LibraryIds(tokenizer_path, True), np.random.default_rng(33)
+    strings = [s.decode("utf-8", "ignore") for s in coder.strings]
+    texts = ["", " ", "a" * 3000 + " b", " " * 500, "<|endoftext|>x<|endoftext|>", "é漢字\U0001f600\x00 's 'S  \n\n 12"]
+    texts += ["".join(strings[i] for i in pick.integers(0, len(strings), pick.integers(1, 40))) for _ in range(2000)]
+    texts += ["".join(pick.choice(list("abeinrst ' \n1."), pick.integers(0, 90))) for _ in range(2000)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.batch(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_vocabulary_out_of_order_is_not_regular(tokenizer_path):
+    def small(merges):
+        coder = object.__new__(bpe.Bpe)
+        strings = [bytes([b]) for b in range(256)]
+        known = {s: i for i, s in enumerate(strings)}
+        coder.first, coder.bits, coder.specials, coder.pairs = list(range(256)), 9, {}, {}
+        for _, b in merges:
+            known.setdefault(b, len(strings))
+            strings.append(b) if b not in strings else None
+        for rank, (a, b) in enumerate(merges, 1):
+            coder.pairs[known[a] << 9 | known[b[len(a) :]]] = rank << 9 | known[b]
+        coder.strings = strings
+        return coder.regular
+
+    assert small([(b"a", b"ab"), (b"ab", b"abc")])
+    assert not small([(b"a", b"ab"), (b"b", b"bc"), (b"ab", b"abc"), (b"a", b"abc")])  # two merges make one string
+    assert not small([(b"b", b"bc"), (b"a", b"ab"), (b"ab", b"abc")])  # no text comes to the last string
