@@ -7,14 +7,20 @@ its queries. Inside a task vectors are taken by descending length: a query ends
 pair is scored in full only if the sum over the leading rotated dimensions plus the product of what is left of both
 lengths reaches it. Scores are exact integers; the floating bounds only decide what is left out, with a margin.
 
-Defined results: vectors that are NULL or hold a NULL, a non-finite or an absurdly large component (beyond 2^18) take no
-part, neither as query nor as candidate; shorter vectors count as filled up with zeros; a query never meets its own row,
+Products of wide vectors (longer than the root of ``EXACT``) may not be exact in double precision. They are kept apart: every
+query meets the wide candidates, wide queries meet all candidates, again in blocks and chunks. There a floating score with
+its error bound leaves out what cannot be among the k best, and the others are scored in whole numbers of any size.
+
+Defined results: vectors that are NULL or hold a NULL or a non-finite component (also after scaling) take no part, neither as
+query nor as candidate; scores beyond a long are shown as its end, and are ties there; shorter vectors count as filled up with zeros; a query never meets its own row,
 but other rows with the same id; ties go to the smaller id; NULL ids come last and are no query; with fewer than k other
 rows a query has them all; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from operator import mul
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,32 +36,37 @@ SEEDS, CHUNK, BLOCK, STEP = 2_048, 8_192, 1_024, 512
 # Bins per unit of the logarithm of the squared length (about an eighth of the length each); share of dimensions in the partial
 # sums; margin of the bounds.
 BINS, LEADING, MARGIN = 4, 0.25, 1e-3
-LARGEST = float(1 << 18)
+# Squared length up to which products of two vectors are exact, also with a place within a chunk behind them in one integer.
+EXACT = float(1 << 49)
 _NONE = np.iinfo(np.int64).min
 
 
-def usable(vector: Column) -> Column:
-    """No component is missing, infinite, not a number, or too large for exact scores."""
-    sound = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) <= LARGEST, F.lit(False)) & ~F.isnan(x.cast("double")))
-    return F.coalesce(vector.isNotNull() & sound, F.lit(False))
+def usable(whole: Column) -> Column:
+    """No component is missing, infinite or not a number."""
+    return F.coalesce(F.forall(whole, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """``id``, ``row`` and the vector's whole numbers, floor(scale * x), packed in ``packed``; ``bin`` grows with the length."""
-    whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("int"))
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), whole.alias("whole"), usable(F.col(vector)).alias("ok")).where("ok").drop("ok")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    """``id``, ``row`` and the vector's whole numbers, floor(scale * x), packed in ``packed``; ``bin`` grows with the length.
+
+    Those of ``wide`` vectors are packed as doubles, which hold them exactly, the others as integers of four bytes.
+    """
+    scaled = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), scaled.alias("scaled")).where(usable(F.col("scaled")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("id", "scaled", "row")
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            arrays = [np.array(v, "<i4") for v in lists]
-            squared = np.array([float(a.astype(np.float64) @ a) for a in arrays])
-            bins = pa.array(np.floor(np.log1p(squared) * BINS).astype(np.int32))
-            packed, size = pa.array([a.tobytes() for a in arrays], pa.binary()), pa.array([len(a) for a in arrays], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed, size, bins], ["id", "row", "packed", "size", "bin"])
+            arrays = [np.floor(np.array(v, np.float64)) for v in batch.column(1).to_pylist()]
+            with np.errstate(over="ignore"):
+                squared = np.array([float(a @ a) for a in arrays])
+            wide = squared > EXACT
+            bins = pa.array(np.floor(np.log1p(np.where(wide, EXACT, squared)) * BINS).astype(np.int32))
+            packed = pa.array([a.astype("<f8" if w else "<i4").tobytes() for a, w in zip(arrays, wide)], pa.binary())
+            size = pa.array([len(a) for a in arrays], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed, size, bins, pa.array(wide)], ["id", "row", "packed", "size", "bin", "wide"])
 
-    return rows.mapInArrow(run, "id long, row long, packed binary, size int, bin int")
+    return rows.mapInArrow(run, "id long, row long, packed binary, size int, bin int, wide boolean")
 
 
 def unpack(packed, size: int) -> np.ndarray:
@@ -141,21 +152,102 @@ def best_of(q: np.ndarray, q_row: np.ndarray, bound: np.ndarray, x: np.ndarray,
     return best
 
 
+def scaled_down(m: np.ndarray, axis: int | None) -> np.ndarray:
+    """``m`` times a power of two (for each row or for all) that brings its largest number below one."""
+    largest = np.abs(m).max(axis=axis, keepdims=True, initial=0.0)
+    return np.ldexp(m, -np.frexp(largest)[1])
+
+
+def best_exact(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, rank: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """Query, candidate and score of the k best candidates of each query, in whole numbers of any size; ``rank`` breaks ties."""
+    distinct, same = np.unique(x, axis=0, return_inverse=True)
+    same = same.reshape(-1)
+    near_q, near_x = scaled_down(q, 1), scaled_down(distinct, None)
+    # Rounding errors of a sum of products, twice over, and of numbers too small to be told from zero.
+    error = np.sqrt((near_q**2).sum(1))[:, None] * np.sqrt((near_x**2).sum(1))[None, :] * (x.shape[1] + 2) * 2.0**-51 + 1e-290
+    about = near_q @ near_x.T
+    whole = [[int(v) for v in row] for row in distinct.tolist()]
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    for i, row in enumerate(q_row):
+        others = np.flatnonzero(x_row != row)
+        low = (about[i] - error[i])[same[others]]
+        least = np.partition(low, len(low) - k)[-k] if len(low) >= k else -np.inf
+        maybe = others[(about[i] + error[i])[same[others]] >= least]
+        own = [int(v) for v in q[i].tolist()]
+        score = {int(d): sum(map(mul, own, whole[d])) for d in np.unique(same[maybe])}
+        found = sorted((-min(max(score[int(same[j])], -(1 << 63)), (1 << 63) - 1), int(rank[j]), int(j)) for j in maybe)[:k]
+        for negative, _, j in found:
+            for column, value in zip(out, (i, j, -negative)):
+                column.append(value)
+    return out
+
+
+def wide_best(asked: DataFrame, candidates: DataFrame, size: int, k: int) -> DataFrame:
+    """The k best scores of ``asked`` among ``candidates`` of each chunk, where one of both is wide; both have ``wide``."""
+    sides = [
+        materialise(numbered(df, ["wide"], ["row"], "nth").withColumn("part", F.floor(F.col("nth") / step)).select("id", "row", "packed", "wide", "part"), name)
+        for df, step, name in ((asked, BLOCK, "wide-queries"), (candidates, CHUNK, "wide-candidates"))
+    ]
+    # One number for each side and kind: how many blocks or chunks it has.
+    counts = [{w: n + 1 for w, n in side.groupBy("wide").agg(F.max("part")).collect()} for side in sides]
+
+    def met(side: DataFrame, other: dict[bool, int]) -> DataFrame:
+        """Rows once for each part of the other side that they meet: narrow ones meet only wide ones."""
+
+        def parts(wide: bool, n: int) -> Column:
+            each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(F.lit(wide).alias("w"), p.alias("p")))
+            return F.when(F.col("wide") | F.lit(wide), each).otherwise(F.slice(each, 1, 0))
+
+        kinds = [parts(w, n) for w, n in sorted(other.items())]
+        return side.withColumn("other", F.explode(F.concat(*kinds))).select("*", F.col("other.w").alias("other_wide"), F.col("other.p").cast("long").alias("other_part"))
+
+    schema = "query_row long, query_id long, vec_id long, x_row long, score long"
+    if not all(counts):
+        return asked.sparkSession.createDataFrame([], schema)
+    names = ["q_wide", "q_part", "x_wide", "x_part"]
+    q_side = met(sides[0], counts[1]).select("id", "row", "packed", *(F.col(c).alias(n) for c, n in zip(("wide", "part", "other_wide", "other_part"), names)))
+    x_side = met(sides[1], counts[0]).select("id", "row", "packed", *(F.col(c).alias(n) for c, n in zip(("other_wide", "other_part", "wide", "part"), names)))
+
+    def doubles(side: pd.DataFrame, wide: bool) -> np.ndarray:
+        kind, width = ("<f8", 8) if wide else ("<i4", 4)
+        return np.frombuffer(b"".join(p.ljust(width * size, b"\0") for p in side["packed"]), kind).reshape(-1, size).astype(np.float64)
+
+    def cell(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or x.empty:
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_row", "query_id", "vec_id", "x_row", "score")})
+        known, ids = x["id"].notna().to_numpy(), x["id"].fillna(0).astype("int64").to_numpy()
+        rank = np.empty(len(x), np.int64)
+        rank[np.lexsort([x["row"].to_numpy(), ids, ~known])] = np.arange(len(x))
+        i, j, score = best_exact(doubles(q, bool(key[0])), q["row"].to_numpy(), doubles(x, bool(key[2])), x["row"].to_numpy(), rank, k)
+        return pd.DataFrame(
+            {
+                "query_row": q["row"].to_numpy()[i],
+                "query_id": q["id"].to_numpy()[i],
+                "vec_id": pd.Series(ids[j]).astype("Int64").where(known[j]),
+                "x_row": x["row"].to_numpy()[j],
+                "score": np.array(score, np.int64),
+            }
+        )
+
+    return q_side.groupBy(*names).cogroup(x_side.groupBy(*names)).applyInPandas(cell, schema)
+
+
 def top_k(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``: the k highest inner products of every row that ``queries`` holds for.
 
     ``queries`` is a condition on the column ``id``.
     """
     spark = df.sparkSession
-    vectors = materialise(quantised(df, vec_id, vector, scale), "vectors")
-    size = vectors.agg(F.max("size")).first()[0]
+    stored = materialise(quantised(df, vec_id, vector, scale), "vectors")
+    size, widest = stored.agg(F.max("size"), F.max("wide")).first()
     schema = "query_row long, query_id long, vec_id long, x_row long, score long"
     if size is None:
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     size = max(1, size)
+    vectors, asks = stored.where("NOT wide"), queries & F.col("id").isNotNull()
     seeds = vectors.orderBy(F.desc("bin"), "row").limit(SEEDS).select("row", "packed").collect()  # at most SEEDS vectors
     turn = spark.sparkContext.broadcast(rotation(vectors, size))
-    asked = materialise(first_bounds(vectors.where(queries & F.col("id").isNotNull()).select("id", "row", "packed"), seeds, size, k), "queries")
+    asked = materialise(first_bounds(vectors.where(asks).select("id", "row", "packed"), seeds, size, k), "queries")
     chunked = materialise(numbered(vectors, ["bin"], ["row"], "nth").select("id", "row", "packed", "bin", F.floor(F.col("nth") / CHUNK).alias("chunk")), "chunks")
     blocked = materialise(numbered(asked, ["need"], ["row"], "nth").withColumn("block", F.floor(F.col("nth") / BLOCK)).drop("nth"), "blocks")
     # Bins are few (BINS per unit of a logarithm); each says how many chunks or blocks it has.
@@ -212,6 +304,8 @@ def top_k(df: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vector
 
     key = ["need", "block", "bin", "chunk"]
     partial = q_side.groupBy(*key).cogroup(x_side.groupBy(*key)).applyInPandas(cell, schema)
+    if widest:
+        partial = partial.unionByName(wide_best(stored.where(asks), stored, size, k))
     best = W.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "x_row")
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,25 @@ def test_awkward_rows(spark, small_blocks):
     assert run(spark, rows, 6) == brute(rows, 6, lambda i: i % 5 == 0)
 
 
+def test_wide_vectors_are_scored_in_whole_numbers(spark, small_blocks):
+    pick = np.random.default_rng(34)
+    rows = [(i, [float(np.float32(x)) for x in pick.normal(size=4)]) for i in range(150)]
+    # Scores that differ in the last of more than fifty-three bits, copies, both signs, and a query that only wide ones beat.
+    rows += [(200 + i, [float(2**24 + i), float(2**24 - i), float(-(2**23)), 0.5 * i]) for i in range(60)]
+    rows += [(300 + i, [300000.0, -300000.0, 1.0]) for i in range(30)]
+    rows += [(400, [-1.5e7, -1.5e7, 0.0, 1.0]), (405, [0.0, 0.0, 0.0, 0.0]), (None, [3e6, 3e6, 0.0, 0.0]), (410, [float("inf"), 1.0, 1.0, 1.0])]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert run(spark, rows, 7) == brute(rows, 7, lambda i: i % 5 == 0)
+    assert run(spark, rows[150:240], 7) == brute(rows[150:240], 7, lambda i: i % 5 == 0)  # no other vectors
+
+
+def test_scores_beyond_a_long_are_its_end(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [2e30, 5.0]), (4, [0.5, 0.5])]
+    end = 2**63 - 1
+    assert run(spark, rows, 4)[:2] == [f"(0, 1, 1, {end})", f"(0, 2, 3, {end})"]
+    assert run(spark, rows, 4)[3] == f"(0, 4, 2, {-end - 1})"
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0, 2.0]), (5, [0.5, 0.5]), (7, [-1.0, 0.0])]
     assert run(spark, rows, 20) == brute(rows, 20, lambda i: i % 5 == 0)
