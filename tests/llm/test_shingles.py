@@ -48,22 +48,38 @@ def corpus():
     return dict(enumerate(map(" ".join, rows))) | {10_000: "", 10_001: " \n"}
 
 
-def test_similar_sets_share_a_signature():
-    pick = random.Random(9)
+def test_similar_sets_share_opening_and_prefix_hashes():
+    pick, similar = random.Random(9), 0
     for _ in range(6_000):
-        n = pick.choice([3, 4, 5, 7, 9, 12, 20, 40, 100, 400])
+        n = pick.choice([1, 2, 3, 4, 5, 7, 9, 12, 20, 40, 100, 400])
         a = {pick.getrandbits(64) for _ in range(n)}
         b = set(pick.sample(sorted(a), len(a) - pick.randint(0, n // 5))) | {pick.getrandbits(64) for _ in range(pick.randint(0, n // 4))}
-        if 9 * len(a & b) >= 4 * (len(a) + len(b)):
-            one, two = (shingles.signatures(shingles.np.array(sorted(x), "u8")) for x in (a, b))
-            assert set(one.tolist()) & set(two.tolist()), (len(a), len(b))
-            # Whatever the order of the signatures, the spare ones at its end may go.
-            order, kept = {x: pick.random() for x in (*one.tolist(), *two.tolist())}, []
-            for x in (a, b):
-                kept.append(set())
-                for _, spare, found in shingles.schemes(shingles.np.array(sorted(x), "u8")):
-                    kept[-1] |= set(sorted(found.tolist(), key=order.get)[: len(found) - spare])
-            assert kept[0] & kept[1], (len(a), len(b))
+        if b and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+            similar += 1
+            one, two = (set(shingles.opening(shingles.np.array(sorted(x), "u8")).tolist()) for x in (a, b))
+            assert len(one & two) >= max(shingles.needed(len(a)), shingles.needed(len(b))) >= 1, (len(a), len(b))
+            # Whatever the common order, some hash is in the first fifth of both, and the first such one passes the bound of places.
+            order = {x: pick.random() for x in a | b}
+            ranked = [sorted(x, key=order.get) for x in (a, b)]
+            first = next(x for x in ranked[0] if x in b)
+            places = [r.index(first) + 1 for r in ranked]
+            assert all(5 * (at - 1) <= len(r) for at, r in zip(places, ranked))
+            assert 9 * (1 + min(len(r) - at for at, r in zip(places, ranked))) >= 4 * (len(a) + len(b))
+    assert similar > 1_000
+
+
+def test_tasks_count_met_hashes_like_all_sets_together():
+    pick = random.Random(11)
+    pool = [pick.getrandbits(64) for _ in range(300)]
+    owns = [shingles.np.array(sorted({*pick.sample(pool, 8), *(pick.getrandbits(64) for _ in range(4))}), "u8") for _ in range(60)]
+    whole = [(k, own, shingles.opening(own)) for k, own in enumerate(owns, 1)]
+    rows = [r for part in range(3) for r in shingles.met_rows([(k, part, o, len(own)) for k, own, o in whole[part::3]]).to_pylist()]
+    prints = {}
+    for r in rows:
+        prints.setdefault(r["sig"], set()).add(r["print"])
+    for k, _, first in whole:
+        met = sum(any(x in other for j, _, other in whole if j != k) for x in first)
+        assert sum(-r["n"] if r["n"] < 0 else r["n"] * (len(prints[r["sig"]]) > 1) for r in rows if r["print"] == k) == met
 
 
 def test_sketches_rule_out_no_similar_sets():
