@@ -46,17 +46,29 @@ def grid_cell(degrees: Column, cell_degrees: float) -> Column:
     return F.floor(degrees / F.lit(cell_degrees)).cast("long")
 
 
+def crossing(lon: Column, lat: Column, b: Column, a: Column) -> Column:
+    """1 if the edge between the points ``b`` and ``a`` (``lon``, ``lat``) lies to the right of the point, at its latitude."""
+    spans = (b["lat"] > lat) != (a["lat"] > lat)
+    at = b["lon"] + F.try_divide((a["lon"] - b["lon"]) * (lat - b["lat"]), a["lat"] - b["lat"])
+    return F.when(spans & (lon < at), 1).otherwise(0)
+
+
+def _next_in(ring: Column) -> Column:
+    return F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.size(ring) - 1))
+
+
 def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Ray casting over ``array<struct<lon,lat>>``: inside when an odd number of edges lie to the right of the point."""
-    shifted = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.size(ring) - 1))
+    crossings = F.aggregate(F.zip_with(ring, _next_in(ring), lambda b, a: crossing(lon, lat, b, a)), F.lit(0), lambda acc, c: acc + c)
+    return (F.size(ring) >= 3) & (crossings % 2 == 1)
 
-    def crosses(b: Column, a: Column) -> Column:
-        spans = (b["lat"] > lat) != (a["lat"] > lat)
-        at = b["lon"] + F.try_divide((a["lon"] - b["lon"]) * (lat - b["lat"]), a["lat"] - b["lat"])
-        return F.when(spans & (lon < at), 1).otherwise(0)
 
-    crossings = F.aggregate(F.zip_with(ring, shifted, crosses), F.lit(0), lambda acc, c: acc + c)
-    return (F.size(ring) >= 3) & (crossings % 2 == 1)
+def ring_edges(ring: Column) -> Column:
+    """``array<struct<b,a>>``: the edges that some point may cross, in the order of the ring. Level edges and edges without all
+    coordinates cross nothing; a ring of fewer than three points has none."""
+    edges = F.zip_with(ring, _next_in(ring), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+    whole = F.filter(edges, lambda e: (e["b"]["lat"] != e["a"]["lat"]) & e["b"]["lon"].isNotNull() & e["a"]["lon"].isNotNull())
+    return F.when(F.size(ring) >= 3, whole)
 
 
 def ring_of(points: Sequence[tuple[float, float]]) -> Column:

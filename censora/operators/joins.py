@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censora.functions.geo import EARTH_RADIUS_M, box_around, grid_cell, haversine_m, point_in_ring, ring_box
+from censora.functions.geo import EARTH_RADIUS_M, box_around, crossing, grid_cell, haversine_m, point_in_ring, ring_box, ring_edges
 from censora.functions.text import strip_accents
 
 
@@ -217,15 +217,44 @@ def pick_station(pairs: DataFrame, close_m: float = 5_000) -> DataFrame:
     return chosen.select("centre", F.explode(picks).alias("p")).select("centre", "p.pick", "p.s.*")
 
 
+# Edges of a polygon in one row of cells that are columns of their own; rows with more are tested by the whole ring.
+FEW_EDGES = 4
+
+
 def covering_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """Pairs (point, polygon) where the polygon's ring holds the point. Polygons are spread over the grid cells of their
-    box, points meet them by equal cell, and the ring decides."""
+    box, points meet them by equal cell, and the ring decides.
+
+    A point crosses only edges that reach its row of cells. Where these are few they are plain columns, so that the test is
+    compiled into the join. Both sides are shuffled by cell at any size: pairs are many more than rows, and a broadcast would
+    leave all of them to the few tasks that read the points.
+    """
     low_x, high_x, low_y, high_y = ring_box(F.col("ring"))
-    spread = polygons.withColumn("cx", F.explode(F.sequence(grid_cell(low_x, cell), grid_cell(high_x, cell)))).withColumn(
-        "cy", F.explode(F.sequence(grid_cell(low_y, cell), grid_cell(high_y, cell)))
-    )
-    placed = points.withColumn("cx", grid_cell(F.col("lon"), cell)).withColumn("cy", grid_cell(F.col("lat"), cell))
-    return placed.join(spread, ["cx", "cy"]).where(point_in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).drop("cx", "cy")
+    rows = polygons.withColumn("_edges", ring_edges(F.col("ring"))).withColumn("cx", F.sequence(grid_cell(low_x, cell), grid_cell(high_x, cell)))
+    rows = rows.withColumn("cy", F.explode(F.sequence(grid_cell(low_y, cell), grid_cell(high_y, cell))))
+
+    def reaches(e: Column) -> Column:
+        low, high = F.least(e["b"]["lat"], e["a"]["lat"]), F.greatest(e["b"]["lat"], e["a"]["lat"])
+        return (grid_cell(low, cell) <= F.col("cy")) & (F.isnan(high) | (grid_cell(high, cell) >= F.col("cy")))
+
+    rows = rows.withColumn("_edges", F.filter("_edges", reaches)).where(F.size("_edges") > 0)
+    flat = [F.get("_edges", F.lit(k))[end][axis].alias(f"_{end}_{axis}_{k}") for k in range(FEW_EDGES) for end in "ba" for axis in ("lon", "lat")]
+    few, many = F.size("_edges") <= FEW_EDGES, F.size("_edges") > FEW_EDGES
+    lon, lat = F.col("lon"), F.col("lat")
+
+    def edge(k: int, end: str) -> dict[str, Column]:
+        return {axis: F.col(f"_{end}_{axis}_{k}") for axis in ("lon", "lat")}
+
+    crossings = sum((crossing(lon, lat, edge(k, "b"), edge(k, "a")) for k in range(FEW_EDGES)), F.lit(0))
+    placed = points.withColumn("cx", grid_cell(lon, cell)).withColumn("cy", grid_cell(lat, cell))
+
+    def meeting(part: DataFrame, inside: Column) -> DataFrame:
+        spread = part.withColumn("cx", F.explode("cx")).hint("merge")
+        met = placed.join(spread, ["cx", "cy"]).where(inside)
+        return met.drop("cx", "cy", "_edges", *[f"_{end}_{axis}_{k}" for k in range(FEW_EDGES) for end in "ba" for axis in ("lon", "lat")])
+
+    by_edges = meeting(rows.where(few).select("*", *flat), crossings % 2 == 1)
+    return by_edges.union(meeting(rows.where(many), point_in_ring(lon, lat, F.col("ring"))))
 
 
 def resolve_names(
