@@ -10,12 +10,14 @@ No link is lost. Equal sets are one node; what remains are sets that share four
   in the first fifth (and one) of both. Hashes of one set alone are not kept, only their number; frequent passages are last.
 * Place: the places of the first hash two sets share, and their sizes, bound what they can share altogether.
 
-Sets with a common prefix hash are candidates. A sketch of counts rules most of them out without their sets: the counts of two
-sets differ by no more than the sets do. Those left are linked only after their intersection is known exactly.
+Two ways lead to candidates. Each set of those left has a SimHash fingerprint, and the vantage-point trees of ``simhash`` find
+partners within ``REACH`` bits. Similar sets may differ in more bits, so sets with a common prefix hash are candidates as well:
+these are all. A sketch of counts rules most candidates out without their sets: the counts of two sets differ by no more than the
+sets do. Those left are linked only after their intersection is known exactly.
 
-Groups of copies are not paired out: every set is first compared with one other, the smallest of all that share a prefix hash
-with it; then, where sets of a hash are still apart, with the smallest of each such hash; and only sets that are then in
-different components are compared with each other.
+Groups of copies are not paired out: every set is first compared with its partner of the trees and with one other, the smallest
+of all that share a prefix hash with it; then, where sets of a hash are still apart, with the smallest of each such hash; and only
+sets that are then in different components are compared with each other.
 
 Defined results: words are runs of other characters than the six ASCII white spaces, lower-cased in A-Z alone; a text of
 one to four words is one shingle; texts without words (NULL or empty) are alike; repeated shingles count once; texts are
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from censora.llm.components import components
 from censora.llm.frames import aside, slices, with_fields
-from censora.llm.simhash import grouped
+from censora.llm.simhash import grouped, partners, print_of
 from censora.session import materialise
 
 SHINGLE, SEED = 5, 42
@@ -42,6 +44,8 @@ SHINGLE, SEED = 5, 42
 OPENED, STEP = 200_000, 1 << 18
 # Counts of a sketch: how many hashes of the set fall to each of so many cells, 255 at most; larger sets have more cells.
 CELLS, LARGE, LARGE_CELLS = 256, 2_000, 4_096
+# Bits that partners of the trees may differ in.
+REACH = 4
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -89,15 +93,21 @@ def sketch(own: np.ndarray) -> bytes:
     return np.minimum(found, 255).astype(np.uint8).tobytes()
 
 
+def folded(found: bytes) -> bytes:
+    """The sketch with ``CELLS`` cells: cells of a larger one are parts of these."""
+    if len(found) == CELLS:
+        return found
+    return np.minimum(np.frombuffer(found, np.uint8).astype(np.int64).reshape(-1, CELLS).sum(0), 255).astype(np.uint8).tobytes()
+
+
 def may_be_similar(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
     """False only for sketches of sets that differ in more than (a + b) / 9 hashes."""
     allowed = size_a + size_b
     if 9 * abs(size_a - size_b) > allowed:
         return False
+    if len(a) != len(b):
+        a, b = folded(a), folded(b)
     one, two = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
-    if len(one) != len(two):
-        # Cells of the larger sketch are parts of those of the smaller one.
-        one, two = (np.minimum(x.reshape(-1, CELLS).sum(0), 255) for x in (one, two))
     return 9 * int(np.abs(one - two).sum()) <= allowed
 
 
@@ -190,14 +200,24 @@ def prefixes(known: DataFrame) -> DataFrame:
 
 
 def sets(texts: DataFrame) -> DataFrame:
-    """``print`` and the ``set`` of hashes."""
+    """``print``, the ``set`` of hashes and its SimHash fingerprint as ``mark``."""
 
     def run(batches):
         for batch in slices(batches):
-            found = pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["print", "set"])
+            owns = [shingles(t) for t in batch.column(1).to_pylist()]
+            found = pa.array([own.view(np.int64) for own in owns], pa.list_(pa.int64()))
+            marks = pa.array(np.array([print_of(own) for own in owns], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, marks], ["print", "set", "mark"])
+
+    return texts.mapInArrow(run, "print long, set array<long>, mark long")
+
 
-    return texts.mapInArrow(run, "print long, set array<long>")
+def near_marks(known: DataFrame) -> DataFrame:
+    """``u``, ``v``: prints of sets whose fingerprints are equal, or within ``REACH`` bits as the vantage-point trees find them."""
+    marks = materialise(known.groupBy("mark").agg(F.min("print").alias("least")), "marks")
+    equal = known.select("mark", "print").join(marks, "mark").where("print <> least").select(F.col("least").alias("u"), F.col("print").alias("v"))
+    found = partners(marks.select(F.col("mark").alias("print")), REACH)
+    return equal.unionByName(found.join(marks.toDF("u", "_u"), "u").join(marks.toDF("v", "_v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -236,7 +256,7 @@ def links(stored: DataFrame, text: str = "text") -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         """Sets are only joined for the pairs that their sketches leave."""
         left = materialise(likely(pairs, sketches), "likely")
-        return materialise(similar(left, known), "links")
+        return materialise(similar(left, known.select("print", "set")), "links")
 
     def still_apart(found: DataFrame) -> DataFrame:
         """Prints of hashes whose prints are in several components, with the component and the smallest print of the smallest one."""
@@ -247,7 +267,8 @@ def links(stored: DataFrame, text: str = "text") -> DataFrame:
         return materialise(labelled.join(first.where("first.root < high").drop("high"), "sig"), "apart")
 
     one_each = meeting.where("print <> least").groupBy("print").agg(F.min("least").alias("least"))
-    near = linked(one_each.select(F.col("least").alias("u"), F.col("print").alias("v")))
+    one_each = one_each.select(F.col("least").alias("u"), F.col("print").alias("v")).unionByName(near_marks(known))
+    near = linked(one_each.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     star = still_apart(near).where(F.col("root") != F.col("first.root")).select(F.col("first.print").alias("u"), F.col("print").alias("v")).distinct()
     near = near.unionByName(linked(star))
     apart = still_apart(near).drop("first")

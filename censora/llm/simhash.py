@@ -46,7 +46,12 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate([[0], ends[: n - SHINGLE]]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())], "<u8")
+    return print_of(np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())], "<u8"))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits; a bit is set if it is set in over half of the hashes; zero for none."""
+    hashes = hashes.astype("<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -108,8 +113,8 @@ def build(prints: np.ndarray, leaf: int, number: list[int] | None = None) -> Nod
     return Node(*cut, build(prints[inner], leaf, number), build(prints[~inner], leaf, number))
 
 
-def route(node: Node, prints: np.ndarray, at: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Shard by shard: places of the prints that go there, and whether they live there."""
+def route(node: Node, prints: np.ndarray, at: np.ndarray, home: np.ndarray, reach: int = RADIUS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shard by shard: places of the prints that go there (with partners within ``reach`` bits), and whether they live there."""
     if not len(at):
         return
     if node.shard >= 0:
@@ -117,9 +122,9 @@ def route(node: Node, prints: np.ndarray, at: np.ndarray, home: np.ndarray) -> I
         return
     d = distances(prints[at], node.vantage).astype(np.int64)
     # A partner inside is at most radius away from the vantage point, one outside at least radius + 1.
-    near, far = d <= node.radius + RADIUS, d >= node.radius + 1 - RADIUS
-    yield from route(node.inside, prints, at[near], home[near] & (d[near] <= node.radius))
-    yield from route(node.outside, prints, at[far], home[far] & (d[far] > node.radius))
+    near, far = d <= node.radius + reach, d >= node.radius + 1 - reach
+    yield from route(node.inside, prints, at[near], home[near] & (d[near] <= node.radius), reach)
+    yield from route(node.outside, prints, at[far], home[far] & (d[far] > node.radius), reach)
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -133,8 +138,8 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def link(prints: np.ndarray, data: np.ndarray, asking: np.ndarray, labels: np.ndarray) -> None:
-    """Join the labels of all pairs within the radius, one of ``data`` and one of ``asking`` (places in ``prints``)."""
+def within(prints: np.ndarray, data: np.ndarray, asking: np.ndarray, reach: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``reach`` bits, one of ``asking`` and one of ``data`` (places in ``prints``), some at a time."""
     if not len(data) or not len(asking):
         return
     cut = split(prints[data]) if len(data) * len(asking) > BLOCK and len(data) > 64 else None
@@ -142,17 +147,24 @@ def link(prints: np.ndarray, data: np.ndarray, asking: np.ndarray, labels: np.nd
         step = max(1, BLOCK // len(data))
         for k in range(0, len(asking), step):
             part = asking[k : k + step]
-            i, j = np.nonzero(np.bitwise_count(prints[part][:, None] ^ prints[data][None, :]) <= RADIUS)
-            join_labels(labels, part[i], data[j])
+            i, j = np.nonzero(np.bitwise_count(prints[part][:, None] ^ prints[data][None, :]) <= reach)
+            yield part[i], data[j]
         return
     vantage, radius = cut
     of_data, of_asking = distances(prints[data], vantage), distances(prints[asking], vantage).astype(np.int64)
-    link(prints, data[of_data <= radius], asking[of_asking <= radius + RADIUS], labels)
-    link(prints, data[of_data > radius], asking[of_asking >= radius + 1 - RADIUS], labels)
+    yield from within(prints, data[of_data <= radius], asking[of_asking <= radius + reach], reach)
+    yield from within(prints, data[of_data > radius], asking[of_asking >= radius + 1 - reach], reach)
 
 
-def edges(prints: DataFrame) -> DataFrame:
-    """``u``, ``v``: a forest that joins all of ``prints`` (a stored table of distinct ``print``) within the radius."""
+def link(prints: np.ndarray, data: np.ndarray, asking: np.ndarray, labels: np.ndarray) -> None:
+    """Join the labels of all pairs within the radius, one of ``data`` and one of ``asking`` (places in ``prints``)."""
+    for i, j in within(prints, data, asking):
+        join_labels(labels, i, j)
+
+
+def dealt(prints: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """``shard``, ``print``, ``home``: each of ``prints`` (a stored table of distinct ``print``) in the shard where it lives, and in
+    all that may hold a partner within ``reach`` bits."""
     spark = prints.sparkSession
     total = prints.count()
     drawn = prints.orderBy(F.xxhash64("print"), "print").limit(SAMPLE).collect()  # at most SAMPLE numbers
@@ -163,10 +175,32 @@ def edges(prints: DataFrame) -> DataFrame:
     def deal(batches):
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
-            for shard, at, home in route(tree.value, own, np.arange(len(own)), np.ones(len(own), bool)):
+            for shard, at, home in route(tree.value, own, np.arange(len(own)), np.ones(len(own), bool), reach):
                 shards = pa.array(np.full(len(at), shard, np.int32))
                 yield pa.RecordBatch.from_arrays([shards, pa.array(own[at].view(np.int64)), pa.array(home)], ["shard", "print", "home"])
 
+    return prints.select("print").mapInArrow(deal, "shard int, print long, home boolean")
+
+
+def partners(prints: DataFrame, reach: int) -> DataFrame:
+    """``u``, ``v``: for every one of ``prints`` (a stored table of distinct ``print``) with smaller ones within ``reach`` bits, the
+    smallest of these in each shard that holds any, as ``v``."""
+
+    def search(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values("print")
+        signed = shard["print"].to_numpy(np.int64)
+        least = np.arange(len(signed))
+        for i, j in within(signed.view(np.uint64), np.flatnonzero(shard["home"].to_numpy(bool)), np.arange(len(signed)), reach):
+            np.minimum.at(least, i, j)
+        found = np.flatnonzero(least != np.arange(len(signed)))
+        return pd.DataFrame({"u": signed[found], "v": signed[least[found]]})
+
+    return dealt(prints, reach).groupBy("shard").applyInPandas(search, "u long, v long")
+
+
+def edges(prints: DataFrame) -> DataFrame:
+    """``u``, ``v``: a forest that joins all of ``prints`` (a stored table of distinct ``print``) within the radius."""
+
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("print")
         own, home = shard["print"].to_numpy(np.int64).view(np.uint64), shard["home"].to_numpy(bool)
@@ -176,8 +210,7 @@ def edges(prints: DataFrame) -> DataFrame:
         signed = own.view(np.int64)
         return pd.DataFrame({"u": signed[moved], "v": signed[labels[moved]]})
 
-    dealt = prints.select("print").mapInArrow(deal, "shard int, print long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(search, "u long, v long")
+    return dealt(prints).groupBy("shard").applyInPandas(search, "u long, v long")
 
 
 def grouped(marked: DataFrame, doc_id: str = "doc_id", linked: Callable[[DataFrame], DataFrame] = edges) -> DataFrame:

@@ -27,7 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles with a Jaccard similarity of 0.8 or more. SimHash
+    fingerprints in vantage-point trees give the first links, common rare shingles all others; each is verified exactly."""
     return shingles.deduplicated(docs)
 
 

@@ -111,3 +111,28 @@ def test_awkward_rows(clashing):
     assert stay.columns == clashing.columns
     assert sorted(str(r["doc_id"]) for r in stay.collect()) == ["1", "10", "2", "5", "8", "9", "None"]
     assert shingles.deduplicated(clashing.limit(0)).count() == 0
+
+
+def test_trees_give_partners_within_reach(spark):
+    pick = random.Random(12)
+    marks = {pick.getrandbits(64) for _ in range(300)}
+    for mark in list(marks):
+        for _ in range(3):
+            bits = pick.sample(range(64), pick.randint(1, 6))
+            marks.add(mark ^ sum(1 << b for b in bits))
+    signed = sorted(m - (1 << 64) * (m >> 63) for m in marks)
+    got = simhash.partners(spark.createDataFrame([(m,) for m in signed], "print long"), shingles.REACH).collect()
+    near = {m: [o for o in signed if o < m and ((m ^ o) & (2**64 - 1)).bit_count() <= shingles.REACH] for m in signed}
+    assert {(r["u"], min(s["v"] for s in got if s["u"] == r["u"])) for r in got} == {(m, min(o)) for m, o in near.items() if o}
+    assert all(r["v"] in near[r["u"]] for r in got) and len(got) > 300
+
+
+def test_links_start_from_the_trees(spark):
+    """Candidates of equal and of near fingerprints, by the operator of op10."""
+    pick = random.Random(13)
+    words = [f"w{pick.randrange(10_000)}" for _ in range(2_000)]
+    texts = [" ".join(words), " ".join(edited(pick, words, 1)), " ".join(f"x{k}" for k in range(50))]
+    known = shingles.sets(spark.createDataFrame(list(enumerate(texts)), "print long, text string"))
+    rows = {r["print"]: r["mark"] for r in known.collect()}
+    assert all(simhash.print_of(shingles.shingles(t)) == rows[k] % 2**64 for k, t in enumerate(texts))
+    assert [sorted(r) for r in shingles.near_marks(known).collect()] == [[0, 1]]
