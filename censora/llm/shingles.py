@@ -17,7 +17,8 @@ sets do. Those left are linked only after their intersection is known exactly.
 
 Groups of copies are not paired out: every set is first compared with its partner of the trees and with one other, the smallest
 of all that share a prefix hash with it; then, where sets of a hash are still apart, with the smallest of each such hash; and only
-sets that are then in different components are compared with each other.
+sets that are then in different components are compared with each other, by their sketches in blocks within a task, so that only
+the pairs that sketches leave become rows.
 
 Defined results: words are runs of other characters than the six ASCII white spaces, lower-cased in A-Z alone; a text of
 one to four words is one shingle; texts without words (NULL or empty) are alike; repeated shingles count once; texts are
@@ -44,8 +45,8 @@ SHINGLE, SEED = 5, 42
 OPENED, STEP = 200_000, 1 << 18
 # Counts of a sketch: how many hashes of the set fall to each of so many cells, 255 at most; larger sets have more cells.
 CELLS, LARGE, LARGE_CELLS = 256, 2_000, 4_096
-# Bits that partners of the trees may differ in.
-REACH = 4
+# Bits that partners of the trees may differ in; sets of one hash that are compared with as many others at once.
+REACH, BLOCK = 4, 1_024
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -240,6 +241,68 @@ def similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def compared(print_: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, block: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows of one or two blocks that are in different components and that neither places nor sketches rule out."""
+    u, v = [], []
+    if (root == root[0]).all():
+        return print_[:0], print_[:0]
+    two = block != block[0]
+    firsts = np.flatnonzero(~two)
+    for k, i in enumerate(firsts):
+        # The first hash that similar sets share meets this bound of places; a later one may fail it.
+        others = np.flatnonzero(two) if two.any() else firsts[k + 1 :]
+        both = size[others] + size[i]
+        others = others[(root[others] != root[i]) & (9 * (1 + np.minimum(size[others] - place[others], size[i] - place[i])) >= 4 * both)]
+        apart = np.abs(cells[others].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
+        others = others[9 * apart <= size[others] + size[i]]
+        u.append(np.full(len(others), print_[i]))
+        v.append(print_[others])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def meetings(apart: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``u``, ``v``: pairs of ``apart`` (a stored table of ``sig``, ``print``, ``root``, ``size``, ``place``) with a common ``sig`` that
+    are in different components and that neither places nor sketches rule out.
+
+    The sets of a hash are dealt to blocks, and every two blocks meet in a task: no pairs become rows but those it returns.
+    """
+
+    def fold(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(folded, batch.column(1).to_pylist()), pa.binary())], ["print", "cells"])
+
+    def meet(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(8)]
+            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, CELLS))
+            columns = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns)]
+            change = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+            ends = (np.flatnonzero(change) + 1).tolist()
+            yield from rows(columns, [0, *ends])
+            rest = [c[ends[-1] if ends else 0 :] for c in columns]
+        if rest is not None:
+            yield from rows(rest, [0, len(rest[0])])
+
+    def rows(columns, cuts):
+        found = [compared(*(c[a:b] for c in columns[3:])) for a, b in zip(cuts, cuts[1:])]
+        if found:
+            u, v = (np.concatenate(side) for side in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    # A hash has as many blocks as its sets need; blocks are of one size but for chance.
+    blocks = apart.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    own = apart.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
+    cells = sketches.select("_print", "_sketch").mapInArrow(fold, "print long, cells binary")
+    spread = own.join(cells, "print").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["sig", "one", "two"]
+    spread = spread.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    wanted = spread.select(*keys, "print", "root", F.col("size").cast("long"), F.col("place").cast("long"), "block", "cells")
+    return wanted.repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(meet, "u long, v long")
+
+
 def links(stored: DataFrame, text: str = "text") -> DataFrame:
     """``u``, ``v``: edges that join all prints of ``stored`` (a stored table with the columns of ``with_prints`` and ``_row``) that are similar."""
     asked = materialise(involved(stored.select("_print", text)), "involved")
@@ -271,12 +334,7 @@ def links(stored: DataFrame, text: str = "text") -> DataFrame:
     near = linked(one_each.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     star = still_apart(near).where(F.col("root") != F.col("first.root")).select(F.col("first.print").alias("u"), F.col("print").alias("v")).distinct()
     near = near.unionByName(linked(star))
-    apart = still_apart(near).drop("first")
-    other = apart.toDF(*[f"o_{c}" for c in apart.columns])
-    # The first hash that similar sets share meets this; a later one may fail it.
-    bound = F.expr("9 * (1 + least(size - place, o_size - o_place)) >= 4 * (size + o_size)")
-    rest = apart.join(other, (F.col("sig") == F.col("o_sig")) & (F.col("root") < F.col("o_root")) & bound)
-    return near.unionByName(linked(rest.select(F.col("print").alias("u"), F.col("o_print").alias("v")).distinct()))
+    return near.unionByName(linked(meetings(still_apart(near).drop("first"), sketches).distinct()))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

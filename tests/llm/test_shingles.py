@@ -136,3 +136,20 @@ def test_links_start_from_the_trees(spark):
     rows = {r["print"]: r["mark"] for r in known.collect()}
     assert all(simhash.print_of(shingles.shingles(t)) == rows[k] % 2**64 for k, t in enumerate(texts))
     assert [sorted(r) for r in shingles.near_marks(known).collect()] == [[0, 1]]
+
+
+def test_sets_of_a_hash_meet_in_blocks(spark, monkeypatch):
+    """Near copies that are not similar enough: no row for each pair, none that is similar is lost."""
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    pick = random.Random(14)
+    base = [pick.getrandbits(64) for _ in range(100)]
+    owns = {}
+    for k in range(90):
+        kept = base[:1] + pick.sample(base[1:], 84 if k % 9 else 97)
+        owns[k] = shingles.np.array(sorted({*kept, *(pick.getrandbits(64) for _ in range(100 - len(kept)))}), "u8")
+    apart = spark.createDataFrame([(7, k, k // 2, len(own), 1) for k, own in owns.items()] + [(8, 0, 0, 100, 1), (8, 2, 1, 100, 1)], "sig long, print long, root long, size int, place long")
+    sketches = spark.createDataFrame([(k, bytearray(shingles.sketch(own))) for k, own in owns.items()], "_print long, _sketch binary")
+    got = [tuple(r) for r in shingles.meetings(apart, sketches).distinct().collect()]
+    pairs = [(i, j) for i in owns for j in owns if i < j and i // 2 != j // 2]
+    similar = {(i, j) for i, j in pairs if 9 * len({*owns[i].tolist()} & {*owns[j].tolist()}) >= 4 * (len(owns[i]) + len(owns[j]))}
+    assert similar and similar <= {*got} <= {*pairs} and len(got) < len(pairs) / 10
