@@ -17,8 +17,8 @@ sets do. Those left are linked only after their intersection is known exactly.
 
 Groups of copies are not paired out: every set is first compared with its partner of the trees and with one other, the smallest
 of all that share a prefix hash with it; then, where sets of a hash are still apart, with the smallest of each such hash; and only
-sets that are then in different components are compared with each other, by their sketches in blocks within a task, so that only
-the pairs that sketches leave become rows.
+sets that are then in different components are compared with each other, in blocks within a task: by sketches first, then those
+with a candidate by the sets themselves. Only a forest of the similar pairs of two blocks becomes rows.
 
 Defined results: words are runs of other characters than the six ASCII white spaces, lower-cased in A-Z alone; a text of
 one to four words is one shingle; texts without words (NULL or empty) are alike; repeated shingles count once; texts are
@@ -27,6 +27,8 @@ read whole; NULL ids are never the smallest unless a component has no other; an
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,8 +47,9 @@ SHINGLE, SEED = 5, 42
 OPENED, STEP = 200_000, 1 << 18
 # Counts of a sketch: how many hashes of the set fall to each of so many cells, 255 at most; larger sets have more cells.
 CELLS, LARGE, LARGE_CELLS = 256, 2_000, 4_096
-# Bits that partners of the trees may differ in; sets of one hash that are compared with as many others at once.
-REACH, BLOCK = 4, 1_024
+# Bits that partners of the trees may differ in; sets of one hash that are compared with as many others at once, and the
+# hashes that these may hold altogether.
+REACH, BLOCK, BLOCK_HASHES = 4, 1_024, 1 << 20
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -241,11 +244,10 @@ def similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def compared(print_: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, block: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the rows of one or two blocks that are in different components and that neither places nor sketches rule out."""
-    u, v = [], []
+def candidates(root: np.ndarray, size: np.ndarray, place: np.ndarray, block: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of one or two blocks, each with the later ones that are in other components and that neither places nor sketches rule out."""
     if (root == root[0]).all():
-        return print_[:0], print_[:0]
+        return
     two = block != block[0]
     firsts = np.flatnonzero(~two)
     for k, i in enumerate(firsts):
@@ -255,52 +257,113 @@ def compared(print_: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.n
         others = others[(root[others] != root[i]) & (9 * (1 + np.minimum(size[others] - place[others], size[i] - place[i])) >= 4 * both)]
         apart = np.abs(cells[others].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
         others = others[9 * apart <= size[others] + size[i]]
-        u.append(np.full(len(others), print_[i]))
-        v.append(print_[others])
-    return np.concatenate(u), np.concatenate(v)
+        if len(others):
+            yield int(i), others
+
+
+def forest(root: np.ndarray, found: Iterable[tuple[int, np.ndarray]], values: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the candidates ``found`` as few similar pairs as join all that are similar: less than one for each component that
+    ``root`` names. The set of row i is ``values[starts[i] : starts[i + 1]]``."""
+    # Places in the sorted hashes: sets are marked in a table, not searched.
+    hashes, ids = np.unique(values, return_inverse=True)
+    label, size, marked = np.unique(root, return_inverse=True)[1], np.diff(starts), np.zeros(len(hashes), bool)
+    one, two = [], []
+    for i, others in found:
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        own = ids[starts[i] : starts[i + 1]]
+        marked[own] = True
+        met = marked[np.concatenate([ids[starts[j] : starts[j + 1]] for j in others.tolist()])]
+        common = np.bincount(np.repeat(np.arange(len(others)), size[others])[met], minlength=len(others))
+        marked[own] = False
+        near = others[9 * common >= 4 * (size[others] + size[i])]
+        joined, first = np.unique(label[near], return_index=True)
+        one += [i] * len(first)
+        two += near[first].tolist()
+        label[np.isin(label, joined)] = label[i]
+    return one, two
+
+
+def by_meeting(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the rows of every two blocks that meet (``sig``, ``one``, ``two``), in the order of ``print``."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            sig, one, two = (held.column(i).to_numpy() for i in range(3))
+            ends = (np.flatnonzero((sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1).tolist()
+            done = (work(held.slice(a, b - a)) for a, b in zip([0, *ends], ends))
+            yield from (out for out in done if out.num_rows)
+            rest = held.slice(ends[-1] if ends else 0)
+        if rest is not None:
+            yield work(rest)
+
+    keys = ["sig", "one", "two"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(run, schema)
+
 
+def met_candidates(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """``candidates`` of the rows of two blocks that meet."""
+    columns = [rows.column(name).to_numpy() for name in ("root", "size", "place", "block")]
+    return candidates(*columns, np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS))
 
-def meetings(apart: DataFrame, sketches: DataFrame) -> DataFrame:
+
+def edges_of(rows: pa.RecordBatch, one: list[int] | np.ndarray, two: list[int] | np.ndarray) -> pa.RecordBatch:
+    """``u``, ``v`` for pairs of rows."""
+    own = rows.column("print").to_numpy()
+    u, v = own[np.asarray(one, np.int64)], own[np.asarray(two, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def meetings(apart: DataFrame, sketches: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``u``, ``v``: pairs of ``apart`` (a stored table of ``sig``, ``print``, ``root``, ``size``, ``place``) with a common ``sig`` that
     are in different components and that neither places nor sketches rule out.
 
-    The sets of a hash are dealt to blocks, and every two blocks meet in a task: no pairs become rows but those it returns.
+    The sets of a hash are dealt to blocks, and every two blocks meet in a task. With ``known`` (``print``, ``set``) the tasks
+    compare the sets themselves, and of the similar pairs a forest becomes rows, fewer than the sets that meet: sets with a
+    candidate are found first, and only they are shuffled whole.
     """
 
     def fold(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(folded, batch.column(1).to_pylist()), pa.binary())], ["print", "cells"])
 
-    def meet(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(8)]
-            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, CELLS))
-            columns = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns)]
-            change = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
-            ends = (np.flatnonzero(change) + 1).tolist()
-            yield from rows(columns, [0, *ends])
-            rest = [c[ends[-1] if ends else 0 :] for c in columns]
-        if rest is not None:
-            yield from rows(rest, [0, len(rest[0])])
-
-    def rows(columns, cuts):
-        found = [compared(*(c[a:b] for c in columns[3:])) for a, b in zip(cuts, cuts[1:])]
-        if found:
-            u, v = (np.concatenate(side) for side in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    # A hash has as many blocks as its sets need; blocks are of one size but for chance.
-    blocks = apart.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    own = apart.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
+    def pairs(rows):
+        found = [(np.full(len(others), i), others) for i, others in met_candidates(rows)] or [(np.zeros(0, np.int64),) * 2]
+        return edges_of(rows, *(np.concatenate(side) for side in zip(*found)))
+
+    def with_candidate(rows):
+        chosen = np.zeros(rows.num_rows, bool)
+        for i, others in met_candidates(rows):
+            chosen[i] = chosen[others] = True
+        return rows.filter(pa.array(chosen))
+
+    def similar_pairs(rows):
+        # Offsets of a slice count from the first row of the whole.
+        held = rows.column("set")
+        starts = held.offsets.to_numpy().astype(np.int64)
+        values = held.values.to_numpy()[starts[0] : starts[-1]]
+        return edges_of(rows, *forest(rows.column("root").to_numpy(), met_candidates(rows), values, starts - starts[0]))
+
+    # A hash has as many blocks as its sets need, by number and by hashes; blocks are of one size but for chance. Hashes with
+    # several are a small part of the rows, so they are broadcast, and rows of a frequent hash stay where they are.
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.col("size").cast("long")) / BLOCK_HASHES)).cast("long")
+    several = apart.groupBy("sig").agg(blocks.alias("blocks")).where("blocks > 1")
+    own = apart.join(F.broadcast(several), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    own = own.withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
     cells = sketches.select("_print", "_sketch").mapInArrow(fold, "print long, cells binary")
     spread = own.join(cells, "print").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keys = ["sig", "one", "two"]
     spread = spread.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    wanted = spread.select(*keys, "print", "root", F.col("size").cast("long"), F.col("place").cast("long"), "block", "cells")
-    return wanted.repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(meet, "u long, v long")
+    spread = spread.select("sig", "one", "two", "print", "root", F.col("size").cast("long"), F.col("place").cast("long"), "block", "cells")
+    if known is None:
+        return by_meeting(spread, pairs, "u long, v long")
+    chosen = by_meeting(spread, with_candidate, "sig long, one long, two long, print long, root long, size long, place long, block long, cells binary")
+    whole = chosen.join(known.select("print", "set"), "print").select(*chosen.columns, "set")
+    return by_meeting(whole, similar_pairs, "u long, v long")
 
 
 def links(stored: DataFrame, text: str = "text") -> DataFrame:
@@ -334,7 +397,7 @@ def links(stored: DataFrame, text: str = "text") -> DataFrame:
     near = linked(one_each.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     star = still_apart(near).where(F.col("root") != F.col("first.root")).select(F.col("first.print").alias("u"), F.col("print").alias("v")).distinct()
     near = near.unionByName(linked(star))
-    return near.unionByName(linked(meetings(still_apart(near).drop("first"), sketches).distinct()))
+    return near.unionByName(materialise(meetings(still_apart(near).drop("first"), sketches, known), "links"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -153,3 +153,71 @@ def test_sets_of_a_hash_meet_in_blocks(spark, monkeypatch):
     pairs = [(i, j) for i in owns for j in owns if i < j and i // 2 != j // 2]
     similar = {(i, j) for i, j in pairs if 9 * len({*owns[i].tolist()} & {*owns[j].tolist()}) >= 4 * (len(owns[i]) + len(owns[j]))}
     assert similar and similar <= {*got} <= {*pairs} and len(got) < len(pairs) / 10
+
+
+def cloud(pick, n, cut):
+    """Near copies of one set, each two of which may be similar enough or not."""
+    base = [pick.getrandbits(64) for _ in range(100)]
+    kept = [pick.sample(base, 100 - pick.choice(cut)) for _ in range(n)]
+    return {k: shingles.np.array(sorted({*own, *(pick.getrandbits(64) for _ in range(100 - len(own)))}), "u8") for k, own in enumerate(kept)}
+
+
+def similar_of(owns, pairs):
+    sets = {k: {*own.tolist()} for k, own in owns.items()}
+    return {(i, j) for i, j in pairs if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+
+
+def groups_of(edges, label):
+    label = dict(label)
+    for i, j in edges:
+        least, most = sorted((label[i], label[j]))
+        label = {k: least if x == most else x for k, x in label.items()}
+    return label
+
+
+def test_a_forest_joins_all_similar_sets():
+    pick = random.Random(15)
+    for _ in range(20):
+        owns = cloud(pick, 60, (2, 5, 6, 7, 9))
+        root = {k: k - k % pick.choice([1, 3]) for k in owns}
+        starts = shingles.np.cumsum([0, *map(len, owns.values())])
+        later = [(i, shingles.np.array([j for j in owns if j > i and root[j] != root[i]], int)) for i in owns]
+        one, two = shingles.forest(shingles.np.array([*root.values()]), later, shingles.np.concatenate([*owns.values()]).view("i8"), starts)
+        got, want = {*zip(one, two)}, similar_of(owns, [(i, j) for i, others in later for j in others.tolist()])
+        assert got <= want and len(one) < len({*root.values()}) and groups_of(got, root) == groups_of(want, root)
+        assert len(want) > 3 * len(got)
+
+
+def test_sets_of_a_hash_become_a_forest(spark, monkeypatch):
+    """Blocks of many and of large sets, hashes of one block beside them; a forest within two blocks joins what all pairs join."""
+    pick = random.Random(16)
+    owns = cloud(pick, 90, (2, 6, 7, 9))
+    rows = [(sig, k, k, len(own), 1) for sig in (7, 8) for k, own in owns.items() if sig == 7 or k % 9 == 0]
+    apart = spark.createDataFrame(rows, "sig long, print long, root long, size int, place long")
+    sketches = spark.createDataFrame([(k, bytearray(shingles.sketch(own))) for k, own in owns.items()], "_print long, _sketch binary")
+    known = spark.createDataFrame([(k, own.view("i8").tolist()) for k, own in owns.items()], "print long, set array<long>")
+    want = similar_of(owns, [(i, j) for i in owns for j in owns if i < j])
+    for name, size in (("BLOCK", 16), ("BLOCK", 1_024), ("BLOCK_HASHES", 3_000)):
+        monkeypatch.setattr(shingles, name, size)
+        got = [tuple(r) for r in shingles.meetings(apart, sketches, known).collect()]
+        label = {k: k for k in owns}
+        assert {*got} <= want and groups_of(got, label) == groups_of(want, label)
+        assert size != 1_024 or len(got) < 2 * len(owns) < len(want)
+
+
+def test_near_copies_do_not_become_pairs(spark, monkeypatch):
+    """The last comparison of ``links`` returns few of the pairs that sketches leave, and loses no link."""
+    pick, counts, plain = random.Random(17), [], shingles.meetings
+    words = [f"w{k}" for k in range(300)]
+    texts = {k: " ".join(edited(pick, words, pick.choice([1, 4, 6, 7, 8]))) for k in range(150)}
+
+    def counted(apart, sketches, *known):
+        found = shingles.materialise(plain(apart, sketches, *known), "counted")
+        counts.extend([found.count(), plain(apart, sketches).count()])
+        return found
+
+    monkeypatch.setattr(shingles, "meetings", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, near = brute_staying(texts)
+    assert {r["doc_id"] for r in shingles.deduplicated(docs).collect()} == want
+    assert len(near) > 10 * len(texts) and len(counts) == 2 and 0 < 5 * counts[0] < counts[1], counts
