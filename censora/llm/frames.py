@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 BLOCK_ROWS = 100_000
 # Rows with whole texts that a worker handles at once.
 SLICE_ROWS = 256
+# Bytes of an Arrow batch on its way to a worker. Spark's own bound is 64 MB, which both processes hold for every running task.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def blocks_for(rows: int, spark) -> int:
@@ -44,6 +46,12 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to workers in batches of ``BATCH_BYTES`` from here on, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut small, so that what a worker holds in Python does not depend on the session's batch size."""
     for batch in batches:

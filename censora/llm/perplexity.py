@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censora.llm.frames import slices, with_fields
+from censora.llm.frames import bounded_batches, slices, with_fields
 from censora.session import materialise
 
 # Bytes of an n-gram: with their order they fit into 63 bits.
@@ -44,6 +44,8 @@ BINS, BELOW, ABOVE, LEAST = 1000, 6.0, 7.0, 0.02
 MIN_WORDS, MAX_REPEATED = 50, 50
 # Bytes one step works on, and n-grams a task holds before they go on: they bound the memory of a task.
 STEP, HELD = 1 << 20, 1 << 21
+# Bytes that are scored in one step, which takes more memory a byte than counting.
+SCORED = 1 << 18
 # Slots of a worker's memory of n-grams looked up before.
 SLOTS = 20
 
@@ -63,12 +65,14 @@ def chunks(texts: Sequence[str | None], step: int | None = None) -> Iterator[tup
 
     def packed():
         lengths = np.array([len(e) - ORDER + 1 for _, e in held], np.int64)
-        joined = np.frombuffer(b"".join(e for _, e in held), np.uint8).astype(np.uint64)
-        grams = joined[: len(joined) - ORDER + 1].copy()
+        joined = np.frombuffer(b"".join(e for _, e in held), np.uint8)
+        size = len(joined) - ORDER + 1
+        grams = joined[:size].astype(np.uint64)
         for k in range(1, ORDER):
             grams <<= np.uint64(8)
-            grams |= joined[k : len(joined) - ORDER + 1 + k]
-        inside = np.arange(lengths.sum()) + np.repeat((ORDER - 1) * np.arange(len(held)), lengths)
+            grams |= joined[k : size + k]
+        inside = np.ones(size, bool)
+        inside[(np.cumsum(lengths + ORDER - 1)[:-1, None] - np.arange(1, ORDER)).ravel()] = False
         return np.array([i for i, _ in held], np.int64), lengths, grams[inside]
 
     for i, text in enumerate(texts):
@@ -89,33 +93,46 @@ def runs(ordered: np.ndarray) -> np.ndarray:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams and their added counts."""
-    grams, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
-    if counts.max(initial=0) < 1 << 16:
+    """Sorted n-grams and their added counts. ``parts`` is emptied, so that no n-gram is held twice."""
+    if all(counts.max(initial=0) < 1 << 16 for _, counts in parts):
         # Six bytes of an n-gram and two of its count sort as one number, which is much faster.
-        both = np.sort(grams << np.uint64(16) | counts.astype(np.uint64))
-        grams, counts = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+        grams, at = np.empty(sum(len(g) for g, _ in parts), np.uint64), 0
+        while parts:
+            own, counts = parts.pop()
+            here = grams[at : at + len(own)]
+            np.left_shift(own, np.uint64(16), out=here)
+            here |= counts.astype(np.uint16)
+            at += len(own)
+        own = counts = None
+        grams.sort()
+        counts = (grams & np.uint64(0xFFFF)).astype(np.uint16)
+        grams >>= np.uint64(16)
     else:
+        grams, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        parts.clear()
         by = np.argsort(grams)
         grams, counts = grams[by], counts[by]
     first = runs(grams)
-    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+    return grams[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 def document_counts(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """N-grams and how many of ``texts`` (256 at most) hold them; long texts come alone."""
     long = {i for i, t in enumerate(texts) if t and len(t) > STEP // 4}
     for at, lengths, grams in chunks([None if i in long else t for i, t in enumerate(texts)]):
-        places = np.repeat(at.astype(np.uint64), lengths)
-        both = np.sort(grams << np.uint64(8) | places)
-        one = both[runs(both)] >> np.uint64(8)
+        # The place of a text is the lowest byte; in place, for these are the largest arrays of a task.
+        grams <<= np.uint64(8)
+        grams |= np.repeat(at.astype(np.uint8), lengths)
+        grams.sort()
+        one = grams[runs(grams)]
+        one >>= np.uint64(8)
         first = runs(one)
-        yield one[first], np.diff(first, append=len(one))
+        yield one[first], np.diff(first, append=len(one)).astype(np.uint16)
     for i in long:
         own = np.zeros(0, np.uint64)
         for _, _, grams in chunks([texts[i]]):
             own = np.union1d(own, grams)
-        yield own, np.ones(len(own), np.int64)
+        yield own, np.ones(len(own), np.uint16)
 
 
 def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -125,7 +142,11 @@ def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for at in range(0, len(grams), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], ["gram", "n"])
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
+        # A worker lives on between jobs: the model of an earlier one is not held beside the counts.
+        _SCORERS.clear()
         held, rows = [], 0
         for batch in slices(batches):
             for part in document_counts(batch.column(0).to_pylist()):
@@ -249,7 +270,7 @@ class Scorer:
     def log_perplexities(self, texts: Sequence[str | None]) -> list[float | None]:
         """The mean over the bytes of each text; None where there are none."""
         total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for at, lengths, grams in chunks(texts):
+        for at, lengths, grams in chunks(texts, min(STEP, SCORED)):
             np.add.at(total, at, np.add.reduceat(self.logs_of(grams), np.cumsum(lengths) - lengths))
             np.add.at(size, at, lengths)
         return [-t / n if n else None for t, n in zip(total.tolist(), size.tolist())]
@@ -314,6 +335,7 @@ def base_failed() -> Column:
 def measured(docs: DataFrame, model: DataFrame, text: str, added: str, rows_of: Callable[[Scorer, list], list[list]]) -> DataFrame:
     """``docs`` with the columns ``added``, which ``rows_of`` gives for a list of texts."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
     names, place, schema = rows.columns, rows.columns.index(text), with_fields(rows.schema, added)
     fields = schema.fields[len(names) :]
